@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, embeddings, langid, licenses, minhash, quality, substring, warc
+from . import bpe, decontam, embeddings, langid, licenses, minhash, quality, substring, tokenbin, warc
 
-MODULES = (embeddings, licenses, langid, bpe, quality, minhash, substring, decontam, warc)
+MODULES = (embeddings, licenses, langid, bpe, quality, minhash, substring, decontam, warc, tokenbin)
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 ORACLES = {name: q for m in MODULES for name, q in m.ORACLES.items()}
