@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,9 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage by writing to the shared checkpoint folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage: the rows are written as a table in the shared folder and read again.
+
+    A written table also gives the planner true sizes; the estimates of ``DataFrame.checkpoint``
+    are carried over from the plan before and multiply from join to join in a loop.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/parlance-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -146,7 +153,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         rank = lambda name, by=by: F.struct(by(F.col(name)).alias("h"), F.col(name).alias("x"))
         near = both.groupBy("u").agg(F.min(rank("v")).alias("m"))
         point = near.select(F.col("u").alias("id"), F.when(F.col("m") < rank("u"), F.col("m.x")).otherwise(F.col("u")).alias("to"))
-        point = checkpoint(point)
         hop = point.alias("p").join(point.alias("q"), F.col("p.to") == F.col("q.id")).select(F.col("p.id").alias("id"), F.col("q.to").alias("to"))
         point = checkpoint(hop)
         if owner is None:

@@ -124,7 +124,7 @@ def _linked(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     links, owner, pivots = None, None, 1
     while not open_.isEmpty():
         live = open_ if owner is None else open_.join(owner, "id", "left")
-        live = checkpoint(live.select("band", "id", "n", (F.col("id") if owner is None else F.coalesce("component_id", "id")).alias("c")))
+        live = live.select("band", "id", "n", (F.col("id") if owner is None else F.coalesce("component_id", "id")).alias("c"))
         state = live.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("size"), F.min("id").alias("first"))
         state = state.where("c0 <> c1").select("band", "size", "first")
         live = live.join(state, "band")
@@ -134,8 +134,9 @@ def _linked(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         near = (F.col("c") != F.col("pc")) & (F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent)
         pairs = live.join(hub, "band").where(near).select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct()
         found = checkpoint(_verified(pairs, sets, percent))
-        links = found if links is None else links.unionAll(found)
-        owner = checkpoint(components(links))
+        if not found.isEmpty():
+            links = found if links is None else links.unionAll(found)
+            owner = checkpoint(components(links))
         open_ = live.where(~F.col("pivot")).select("band", "id", "n")
         rest = open_.groupBy("band").agg(F.count("*").alias("size")).where("size > 1").select("band")
         open_ = checkpoint(open_.join(rest, "band"))
