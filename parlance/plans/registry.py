@@ -2,5 +2,21 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+import functools
+
+from ..shipping import ship
+from . import interval_queries, table_queries
+
+
+def _shipped(query):
+    @functools.wraps(query)
+    def run(spark, sf_dir):
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+MODULES = (interval_queries, table_queries)
+QUERIES = {name: _shipped(q) for m in MODULES for name, q in m.QUERIES.items()}
+ORACLES = {name: q for m in MODULES for name, q in m.ORACLES.items()}

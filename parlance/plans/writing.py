@@ -1,0 +1,20 @@
+"""Intermediate tables of iterative plans, written to the cluster's shared folder."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def keeper(spark: SparkSession):
+    """A function that writes a table down and reads it again, so a loop's plan stays short."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="parlance-")
+
+    def keep(df: DataFrame) -> DataFrame:
+        path = f"{folder}/kept-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return keep
