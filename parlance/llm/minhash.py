@@ -122,24 +122,25 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int =
 def _linked(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(id, component_id) of all classes that have a link."""
     links, owner, pivots = None, None, 1
-    while not open_.isEmpty():
-        live = open_ if owner is None else open_.join(owner, "id", "left")
-        live = live.select("band", "id", "n", (F.col("id") if owner is None else F.coalesce("component_id", "id")).alias("c"))
+    live = open_.withColumn("c", F.col("id"))
+    while True:
         state = live.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("size"), F.min("id").alias("first"))
-        state = state.where("c0 <> c1").select("band", "size", "first")
-        live = live.join(state, "band")
-        chosen = (F.col("id") == F.col("first")) | (F.pmod(F.xxhash64("band", "id", F.lit(pivots)), F.greatest(F.lit(1), F.floor(F.col("size") / pivots))) == 0)
-        live = checkpoint(live.select("band", "id", "n", "c", (chosen if pivots > 1 else F.col("id") == F.col("first")).alias("pivot")))
+        live = live.join(state.where("c0 <> c1").select("band", "size", "first"), "band")
+        share = F.greatest(F.lit(1), F.floor(F.col("size") / pivots))
+        chosen = (F.col("id") == F.col("first")) | F.lit(pivots > 1) & (F.pmod(F.xxhash64("band", "id", F.lit(pivots)), share) == 0)
+        live = checkpoint(live.select("band", "id", "n", "c", chosen.alias("pivot")))
+        if live.isEmpty():
+            break
         hub = live.where("pivot").select("band", F.col("id").alias("pid"), F.col("n").alias("pn"), F.col("c").alias("pc"))
         near = (F.col("c") != F.col("pc")) & (F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent)
         pairs = live.join(hub, "band").where(near).select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct()
         found = checkpoint(_verified(pairs, sets, percent))
+        live = live.where(~F.col("pivot")).select("band", "id", "n", "c")
         if not found.isEmpty():
             links = found if links is None else links.unionAll(found)
             owner = checkpoint(components(links))
-        open_ = live.where(~F.col("pivot")).select("band", "id", "n")
-        rest = open_.groupBy("band").agg(F.count("*").alias("size")).where("size > 1").select("band")
-        open_ = checkpoint(open_.join(rest, "band"))
+            # written at once, as both the bands' state and the next round read it
+            live = checkpoint(live.drop("c").join(owner, "id", "left").select("band", "id", "n", F.coalesce("component_id", "id").alias("c")))
         pivots *= 2
     return owner if owner is not None else open_.sparkSession.createDataFrame([], "id long, component_id long")
 
