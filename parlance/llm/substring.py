@@ -83,6 +83,8 @@ def dedup_spans(docs: DataFrame, least_sentences: int = SENTENCES, least_words:
                 for doc, text in zip(batch.column(0).slice(k, 256).to_pylist(), batch.column(1).slice(k, 256)):
                     _, before, words = sentences(text_bytes(text.as_py()))
                     first, _, value = runs(before, words, least_sentences, least_words)
+                    value, at = np.unique(value, return_index=True)  # a text's own repeats are found in the text itself
+                    first = first[at]
                     ids.append(np.full(len(first), doc, np.int64))
                     places.append(first.astype(np.int32))
                     hashes.append(value.view(np.int64))
@@ -105,10 +107,15 @@ def dedup_spans(docs: DataFrame, least_sentences: int = SENTENCES, least_words:
                 data = text_bytes(text)
                 edges, before, words = sentences(data)
                 count = len(edges) - 1
-                covered = np.zeros(count + 1, np.int64)
-                if starts:
-                    first, after, _ = runs(before, words, least_sentences, least_words)
-                    at = np.searchsorted(first, np.asarray(starts))
+                first, after, value = runs(before, words, least_sentences, least_words) if text else (edges[:0], edges[:0], words)
+                later = np.ones(len(first), bool)
+                later[np.unique(value, return_index=True)[1]] = False
+                again = first[later]
+                if starts:  # every place of a run that an earlier document has
+                    again = np.concatenate([again, np.asarray(starts)])
+                if len(again) and count:
+                    at = np.searchsorted(first, again)
+                    covered = np.zeros(count + 1, np.int64)
                     np.add.at(covered, first[at], 1)
                     np.add.at(covered, after[at], -1)
                     gone = np.cumsum(covered)[:-1] > 0
