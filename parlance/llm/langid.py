@@ -27,14 +27,14 @@ from pyspark.sql import functions as F
 from ..shipping import map_arrow
 from .common import crc_mod, mix, table, text_bytes
 
-WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 12
+WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 8
 SAMPLE, CUTS, EPOCHS, BATCH, RATE = 3000, 4, 4, 128, 0.01
 STEP = WINDOW - max(WIDTHS) + 1
 PAD = 0  # the byte that fills short windows
 
 
 class Net:
-    """Tables of the filters (36 kB each width and byte), and the softmax layer."""
+    """Tables of the filters (8 kB each byte of a width), and the softmax layer."""
 
     def __init__(self, classes: list[str]):
         rng = np.random.default_rng(3)
