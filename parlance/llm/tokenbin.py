@@ -44,6 +44,7 @@ MAGIC = b"PTIDBIN2"
 BLOCK, LANES, RENEW = 1 << 18, 1024, 8
 IDS = 1 << 16  # ids lie below
 END_ID = 0
+READ_TASKS = 20_000  # at most, for the files to be read
 _BITS = 24  # of the mixture's total
 _TOTAL = 1 << _BITS
 _LEVELS = 16  # of a prediction's confidence
@@ -322,7 +323,7 @@ def read_ids(manifest: DataFrame, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of all documents in the files, in the order of the parts."""
     # the manifest has one row for each file, so this one-partition window is small
     before = F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    placed = manifest.select("path", F.coalesce(before, F.lit(0)).alias("before")).repartition(F.col("path"))
+    placed = manifest.select("path", F.coalesce(before, F.lit(0)).alias("before")).repartition(max(1, min(manifest.count(), READ_TASKS)))  # a number, so that small rows are not put together into one task
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, _ = _files(folder)

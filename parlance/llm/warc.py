@@ -33,6 +33,7 @@ SKIPPABLE = 0x184D2A5D
 VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 REQUIRED = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
+READ_TASKS = 20_000  # at most, for the archives to be read
 LEAST_BYTES = 1000  # of a payload that may be revisited
 ARCHIVE_BYTES = 64 << 20  # of records before compression, after which the next archive begins
 SAMPLE_PAGES, DICTIONARY_BYTES = 400, 32 << 10
@@ -208,7 +209,7 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    spread = manifest.repartition(F.col("path"))
+    spread = manifest.repartition(max(1, min(manifest.count(), READ_TASKS)))  # a number, so that small rows are not put together into one task
     return map_arrow(spread, run, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
