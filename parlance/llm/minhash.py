@@ -5,7 +5,7 @@ Two permutations make all coordinates: the first scatters the shingles over a ci
 ``min over shingles of second[(first(shingle) + k) mod CIRCLE]``.  Documents with equal
 shingle sets become one class before any pairing.  Classes that share a band are compared
 with pivots of the band only: classes that already lie in the pivot's component need no
-comparison, pivots that are done leave the band, and their number doubles each round, so a
+comparison, pivots that are done leave the band, and their number grows fourfold each round, so a
 group of near copies costs about one comparison a member and no link between components
 is lost.  Each comparison counts the whole sets.
 
@@ -28,6 +28,7 @@ from .common import checkpoint, components, mix, shingle_set, table
 
 CIRCLE = 1 << 20
 BANDS, ROWS = 25, 4  # a pair of similarity 0.8 is missed with probability (1 - 0.8 ** 4) ** 25 = 2e-6
+GROWTH = 4  # of the number of pivots of a band, from round to round
 
 _second: np.ndarray | None = None
 
@@ -120,8 +121,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int =
 
 
 def _linked(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(id, component_id) of all classes that have a link."""
-    links, owner, pivots = None, None, 1
+    """(id, component_id) of all classes that have a link.
+
+    ``c`` is a vertex that the found links reach, and only saves comparisons: links lower it by
+    one hook and one jump a round, and components are computed once, from all links, at the end.
+    """
+    links, pivots = None, 1
     live = open_.withColumn("c", F.col("id"))
     while True:
         state = live.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("size"), F.min("id").alias("first"))
@@ -133,16 +138,21 @@ def _linked(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             break
         hub = live.where("pivot").select("band", F.col("id").alias("pid"), F.col("n").alias("pn"), F.col("c").alias("pc"))
         near = (F.col("c") != F.col("pc")) & (F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent)
-        pairs = live.join(hub, "band").where(near).select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct()
+        swap = F.col("pid") < F.col("id")
+        first, second = F.struct(F.col("pid").alias("a"), F.col("pc").alias("ca")), F.struct(F.col("id").alias("a"), F.col("c").alias("ca"))
+        ends = live.join(hub, "band").where(near).select(F.when(swap, first).otherwise(second).alias("x"), F.when(swap, second).otherwise(first).alias("y"))
+        pairs = ends.selectExpr("x.a AS a", "y.a AS b", "x.ca AS ca", "y.ca AS cb").distinct()
         found = checkpoint(_verified(pairs, sets, percent))
         live = live.where(~F.col("pivot")).select("band", "id", "n", "c")
         if not found.isEmpty():
-            links = found if links is None else links.unionAll(found)
-            owner = checkpoint(components(links))
+            links = found.select("a", "b") if links is None else links.unionAll(found.select("a", "b"))
+            hooks = found.select(F.greatest("ca", "cb").alias("c"), F.least("ca", "cb").alias("to")).groupBy("c").agg(F.min("to").alias("to"))
+            jump = hooks.select(F.col("c").alias("to"), F.col("to").alias("next"))
+            lower = hooks.join(jump, "to", "left").select("c", F.coalesce("next", "to").alias("low"))
             # written at once, as both the bands' state and the next round read it
-            live = checkpoint(live.drop("c").join(owner, "id", "left").select("band", "id", "n", F.coalesce("component_id", "id").alias("c")))
-        pivots *= 2
-    return owner if owner is not None else open_.sparkSession.createDataFrame([], "id long, component_id long")
+            live = checkpoint(live.join(lower, "c", "left").select("band", "id", "n", F.coalesce("low", "c").alias("c")))
+        pivots *= GROWTH
+    return components(links) if links is not None else open_.sparkSession.createDataFrame([], "id long, component_id long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -150,7 +160,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     right = sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
     both = pairs.join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("sa", "sb")).cast("long")
-    return both.where(shared * 100 >= (F.size("sa") + F.size("sb") - shared) * percent).select("a", "b")
+    return both.where(shared * 100 >= (F.size("sa") + F.size("sb") - shared) * percent).select("a", "b", "ca", "cb")
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
