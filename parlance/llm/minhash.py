@@ -7,7 +7,9 @@ shingle sets become one class before any pairing.  Classes that share a band are
 with pivots of the band only: classes that already lie in the pivot's component need no
 comparison, pivots that are done leave the band, and their number grows fourfold each round, so a
 group of near copies costs about one comparison a member and no link between components
-is lost.  Each comparison counts the whole sets.
+is lost.  A pair is compared only if a sketch allows the link: every shingle flips one of
+``SKETCH`` bits, so two sets differ in at least as many shingles as their sketches in bits,
+and a pair that differs in too many has no link.  Each comparison counts the whole sets.
 
 Defined results: null or empty texts and texts of white space have no shingles, link with
 nothing and are kept; a null id links with nothing, has a null component and is kept;
@@ -28,6 +30,7 @@ from .common import checkpoint, components, mix, shingle_set, table
 
 CIRCLE = 1 << 20
 BANDS, ROWS = 25, 4  # a pair of similarity 0.8 is missed with probability (1 - 0.8 ** 4) ** 25 = 2e-6
+SKETCH = 512  # bits
 GROWTH = 4  # of the number of pivots of a band, from round to round
 
 _second: np.ndarray | None = None
@@ -61,25 +64,32 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of shingles that fall on each of ``SKETCH`` places, as 64-bit words."""
+    places = (mix(shingles ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(32)).astype(np.int64) % SKETCH
+    return np.packbits((np.bincount(places, minlength=SKETCH) & 1).astype(np.uint8)).view(np.int64)
+
+
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, n_shingles, set_key, bands) of each document; set_key is a 128-bit digest of the whole set."""
+    """(doc_id, n_shingles, set_key, bands, sketch) of each document; set_key is a 128-bit digest of the whole set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            sizes, keys, lists = [], [], []
+            sizes, keys, lists, sketches = [], [], [], []
             for value in batch.column(1):
                 shingles = shingle_set(value.as_py(), n)
                 sizes.append(len(shingles))
                 keys.append(xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None)
                 lists.append(band_keys(signature(shingles, bands * rows), bands, rows) if len(shingles) else None)
+                sketches.append(sketch(shingles) if len(shingles) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(lists, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "set_key", "bands"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), *(pa.array(x, pa.list_(pa.int64())) for x in (lists, sketches))],
+                names=["doc_id", "n_shingles", "set_key", "bands", "sketch"],
             )
 
-    return map_arrow(docs, run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    return map_arrow(docs, run, "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>")
 
 
 def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -105,11 +115,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int =
     signed = checkpoint(signatures(docs, n, bands, rows))
     named = signed.where("n_shingles > 0 and doc_id is not null")
     classes = checkpoint(
-        named.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+        named.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     )
     in_bands = classes.select("id", "n", F.explode("bands").alias("band"))
     shared = in_bands.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    open_ = checkpoint(in_bands.join(shared, "band").select("band", "id", "n"))
+    open_ = in_bands.join(shared, "band").select("band", "id", "n")
+    open_ = checkpoint(open_.join(classes.select("id", "sketch"), "id"))
     wanted = open_.select("id").distinct()
     texts = docs.where("doc_id is not null").join(wanted, docs.doc_id == wanted.id, "left_semi").dropDuplicates(["doc_id"])
     sets = checkpoint(shingle_sets(texts, n))
@@ -133,24 +144,26 @@ def _linked(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         live = live.join(state.where("c0 <> c1").select("band", "size", "first"), "band")
         share = F.greatest(F.lit(1), F.floor(F.col("size") / pivots))
         chosen = (F.col("id") == F.col("first")) | F.lit(pivots > 1) & (F.pmod(F.xxhash64("band", "id", F.lit(pivots)), share) == 0)
-        live = checkpoint(live.select("band", "id", "n", "c", chosen.alias("pivot")))
+        live = checkpoint(live.select("band", "id", "n", "sketch", "c", chosen.alias("pivot")))
         if live.isEmpty():
             break
-        hub = live.where("pivot").select("band", F.col("id").alias("pid"), F.col("n").alias("pn"), F.col("c").alias("pc"))
+        hub = live.where("pivot").select("band", F.col("id").alias("pid"), F.col("n").alias("pn"), F.col("sketch").alias("ps"), F.col("c").alias("pc"))
         near = (F.col("c") != F.col("pc")) & (F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent)
+        differ = sum((F.bit_count(F.col("sketch")[k].bitwiseXOR(F.col("ps")[k])) for k in range(SKETCH // 64)), F.lit(0))
+        near = near & (differ * (100 + percent) <= (F.col("n") + F.col("pn")) * (100 - percent))
         swap = F.col("pid") < F.col("id")
         first, second = F.struct(F.col("pid").alias("a"), F.col("pc").alias("ca")), F.struct(F.col("id").alias("a"), F.col("c").alias("ca"))
         ends = live.join(hub, "band").where(near).select(F.when(swap, first).otherwise(second).alias("x"), F.when(swap, second).otherwise(first).alias("y"))
         pairs = ends.selectExpr("x.a AS a", "y.a AS b", "x.ca AS ca", "y.ca AS cb").distinct()
         found = checkpoint(_verified(pairs, sets, percent))
-        live = live.where(~F.col("pivot")).select("band", "id", "n", "c")
+        live = live.where(~F.col("pivot")).select("band", "id", "n", "sketch", "c")
         if not found.isEmpty():
             links = found.select("a", "b") if links is None else links.unionAll(found.select("a", "b"))
             hooks = found.select(F.greatest("ca", "cb").alias("c"), F.least("ca", "cb").alias("to")).groupBy("c").agg(F.min("to").alias("to"))
             jump = hooks.select(F.col("c").alias("to"), F.col("to").alias("next"))
             lower = hooks.join(jump, "to", "left").select("c", F.coalesce("next", "to").alias("low"))
             # written at once, as both the bands' state and the next round read it
-            live = checkpoint(live.join(lower, "c", "left").select("band", "id", "n", F.coalesce("low", "c").alias("c")))
+            live = checkpoint(live.join(lower, "c", "left").select("band", "id", "n", "sketch", F.coalesce("low", "c").alias("c")))
         pivots *= GROWTH
     return components(links) if links is not None else open_.sparkSession.createDataFrame([], "id long, component_id long")
 
