@@ -1,11 +1,14 @@
 """Substring dedup: repeated runs of consecutive sentences.
 
 A text is cut after each line feed and after white space that follows ``.``, ``!`` or ``?``;
-pieces without words belong to the piece before.  From each sentence starts one run: the
-fewest following sentences that have at least ``SENTENCES`` sentences and ``WORDS`` words (a
-sentence of ``LONE`` words is a run by itself).  Runs are hashed by their words, A-Z
-lower-cased, and meet in one global aggregate and join; every sentence that lies in a
-run which occurs earlier, by (doc_id, position), is removed.
+pieces without words belong to the piece before.  A run is two or more sentences in a row that
+have at least ``SENTENCES`` sentences and ``WORDS`` words, or one sentence of ``LONE`` words;
+every sentence that lies in a run which occurs earlier, by (doc_id, position), is removed.
+
+Hashed are the shortest run that starts at each sentence, the shortest that ends there, and the
+long sentences: a repeated run is covered by the shortest runs inside it, as a sentence which
+the one from its start leaves out has words enough before it.  Runs are hashed by their
+words, A-Z lower-cased, and meet in one global aggregate and join.
 
 Defined results: null texts stay null and empty texts empty, without sentences; a null
 doc_id takes no part and its text stays; repeated rows of one id and text count as one
@@ -54,15 +57,17 @@ def sentences(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def runs(before: np.ndarray, words: np.ndarray, least_sentences: int, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first sentence, sentence after the last, hash) of the run that starts at each sentence, if one fits."""
+    """(first sentence, sentence after the last, hash) of the shortest runs that start or end at each sentence, and of long sentences."""
     count = len(before) - 1
-    first = np.arange(count)
+    at = np.arange(count)
     if count == 0 or len(words) == 0:
-        return first[:0], first[:0], words[:0]
-    after = np.maximum(first + least_sentences, np.searchsorted(before, before[:-1] + least_words))
-    after = np.where(before[1:] - before[:-1] >= LONE, first + 1, after)
-    fits = after <= count
-    first, after = first[fits], after[fits]
+        return at[:0], at[:0], words[:0]
+    after = np.maximum(at + least_sentences, np.searchsorted(before, before[:-1] + least_words))
+    first = np.minimum(at + 1 - least_sentences, np.searchsorted(before, before[1:] - least_words, side="right") - 1)
+    lone = at[before[1:] - before[:-1] >= LONE]
+    first, after = np.concatenate([at, first, lone]), np.concatenate([after, at + 1, lone + 1])
+    fits = (first >= 0) & (after <= count)
+    first, after = np.divmod(np.unique(first[fits] * (count + 1) + after[fits]), count + 1)
     with np.errstate(over="ignore"):
         powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(words), _STEP, np.uint64)]))
         inverses = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(words), _BACK, np.uint64)]))
@@ -72,6 +77,11 @@ def runs(before: np.ndarray, words: np.ndarray, least_sentences: int, least_word
     return first, after, value
 
 
+def _place(first: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Where a run starts and ends, in one number that sorts by its start."""
+    return first.astype(np.int64) << 32 | after
+
+
 def dedup_spans(docs: DataFrame, least_sentences: int = SENTENCES, least_words: int = WORDS) -> DataFrame:
     """The documents with repeated sentences removed from ``text``, and long n_sentences, n_removed."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -82,18 +92,17 @@ def dedup_spans(docs: DataFrame, least_sentences: int = SENTENCES, least_words:
                 ids, places, hashes = [], [], []
                 for doc, text in zip(batch.column(0).slice(k, 256).to_pylist(), batch.column(1).slice(k, 256)):
                     _, before, words = sentences(text_bytes(text.as_py()))
-                    first, _, value = runs(before, words, least_sentences, least_words)
+                    first, after, value = runs(before, words, least_sentences, least_words)
                     value, at = np.unique(value, return_index=True)  # a text's own repeats are found in the text itself
-                    first = first[at]
-                    ids.append(np.full(len(first), doc, np.int64))
-                    places.append(first.astype(np.int32))
+                    ids.append(np.full(len(at), doc, np.int64))
+                    places.append(_place(first, after)[at])
                     hashes.append(value.view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hashes, ids, places)], names=["h", "doc", "at"])
 
-    found = map_arrow(plain.where("doc_id is not null and text is not null"), spans, "h long, doc long, at int")
+    found = map_arrow(plain.where("doc_id is not null and text is not null"), spans, "h long, doc long, at long")
     place = F.struct("doc", "at")
     repeated = found.groupBy("h").agg(F.min(place).alias("origin"), F.max(place).alias("last")).where("origin <> last").select("h", "origin")
-    marked = found.join(repeated, "h").where(place != F.col("origin")).groupBy("doc").agg(F.array_sort(F.collect_set("at")).alias("__starts"))
+    marked = found.join(repeated, "h").where(place != F.col("origin")).groupBy("doc").agg(F.collect_set("at").alias("__places"))
     names = docs.columns
     text_at = names.index("text")
     joined = docs.join(marked, F.col("doc_id").cast("long") == F.col("doc"), "left").drop("doc")
@@ -102,22 +111,20 @@ def dedup_spans(docs: DataFrame, least_sentences: int = SENTENCES, least_words:
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, totals, removed = [], [], []
-            for text, starts in zip(batch.column(text_at), batch.column(len(names))):
-                text, starts = text.as_py(), starts.as_py()
+            for text, places in zip(batch.column(text_at), batch.column(len(names))):
+                text, places = text.as_py(), places.as_py()
                 data = text_bytes(text)
                 edges, before, words = sentences(data)
                 count = len(edges) - 1
                 first, after, value = runs(before, words, least_sentences, least_words) if text else (edges[:0], edges[:0], words)
                 later = np.ones(len(first), bool)
                 later[np.unique(value, return_index=True)[1]] = False
-                again = first[later]
-                if starts:  # every place of a run that an earlier document has
-                    again = np.concatenate([again, np.asarray(starts)])
-                if len(again) and count:
-                    at = np.searchsorted(first, again)
+                if places:  # the first place of each run that an earlier document has
+                    later |= np.isin(_place(first, after), np.asarray(places, np.int64))
+                if later.any():
                     covered = np.zeros(count + 1, np.int64)
-                    np.add.at(covered, first[at], 1)
-                    np.add.at(covered, after[at], -1)
+                    np.add.at(covered, first[later], 1)
+                    np.add.at(covered, after[later], -1)
                     gone = np.cumsum(covered)[:-1] > 0
                     raw = data.tobytes()
                     text = b"".join(raw[edges[i] : edges[i + 1]] for i in np.flatnonzero(~gone)).decode("utf-8", "surrogatepass")

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import io
 import random
+import re
 import zlib
 
 import numpy as np
@@ -79,6 +80,44 @@ def test_substring_against_brute_force(spark):
     assert out[0].text is None and out[0].id == "x"
 
 
+def _repeated_sentences(texts, least_sentences=2, least_words=16, lone=24):
+    """Sentences in any run that meets both minima (or is one long sentence) and occurs earlier, from the definition."""
+    first, cut = {}, []
+    for k, t in enumerate(texts):
+        parts = [p for p in re.split(r"(?<=\n)|(?<=[.!?] )", t) if p]
+        words = [tuple(p.lower().split()) for p in parts]
+        cut.append((parts, words))
+        for i in range(len(words)):
+            for j in range(i + 1, len(words) + 1):
+                first.setdefault(tuple(words[i:j]), (k, i))
+    kept = []
+    for k, (parts, words) in enumerate(cut):
+        gone = set()
+        for i in range(len(words)):
+            for j in range(i + 1, len(words) + 1):
+                n = sum(map(len, words[i:j]))
+                if (j - i >= least_sentences and n >= least_words or j - i == 1 and n >= lone) and first[tuple(words[i:j])] < (k, i):
+                    gone |= set(range(i, j))
+        kept.append(("".join(p for i, p in enumerate(parts) if i not in gone), len(gone)))
+    return kept
+
+
+def test_substring_removes_all_of_a_repeated_run(spark):
+    rng = random.Random(12)
+    sentence = lambda n: _words(rng, n) + ". "
+    long_first = sentence(30) + sentence(20)  # a lone run, then a sentence whose own run reaches into other text
+    short_last = sentence(12) + sentence(12) + sentence(3) + sentence(2)  # the end has too few words for a run of its own
+    texts = [sentence(9) + shared + sentence(25) + sentence(10) for shared in (long_first, short_last) for _ in range(3)]
+    pool = [sentence(rng.choice([1, 2, 3, 5, 8, 15, 16, 23, 24, 30])) for _ in range(12)]
+    for _ in range(40):
+        at = rng.randrange(9)
+        texts.append("".join([sentence(5), *pool[at : at + rng.randrange(1, 5)], sentence(rng.choice([2, 26])), *rng.choices(pool, k=3)]))
+    out = {r.doc_id: r for r in substring.dedup_spans(_docs(spark, texts)).collect()}
+    want = _repeated_sentences(texts)
+    assert want[1][1] == want[2][1] == 2 and want[4][1] == want[5][1] == 4
+    assert [(out[k].text, out[k].n_removed) for k in range(len(texts))] == want
+
+
 def test_bpe_as_tiktoken(spark):
     import tiktoken
 
