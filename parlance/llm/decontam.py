@@ -1,17 +1,18 @@
 """Benchmark decontamination by templates: DataFrame functions only.
 
 A text is first put in plain form (digit groups joined, a number set apart from the unit that
-follows it), then every number, unit after a number and capitalised word inside a
-sentence is replaced by a typed placeholder, one token for one token.  Windows of
-``WINDOW`` template tokens of the benchmark are hash-joined with windows of the documents.
-Documents with a hit are looked at again: all their windows are joined with the windows of
-the items that were hit, and what stands in the slots of the two sides is compared.  An item
-is found in a document if at least ``COVER`` of its windows match and its slots are consistent,
-that is, at least ``AGREE`` of the item's slot values always meet one and the same value there.
-
-The first pass takes every ``stride``-th window of a document against every window of the
-items; the stride is the largest up to ``STRIDE`` at which no item can be missed.  Items
-shorter than a window are compared as whole templates.
+follows it), then every number, unit after a number and capitalised word is replaced by a typed
+placeholder, one token for one token, in two forms: with the capitalised words inside a
+sentence, and with those at its start as well.  A pair found in either form is found.
+Windows of ``WINDOW`` template tokens of the benchmark are hash-joined with all windows of
+the documents.  Documents with a hit are looked at again: their windows are joined with
+the windows of the items, each at the place in the document whose distance to the item most
+windows share, and what stands in the slots of the two sides is compared.  An item is found
+in a document if at least ``COVER`` of its windows match and its slots are consistent, that is,
+at least ``AGREE`` of the item's slot values always meet one and the same value there.
+
+Items shorter than a window are one window of their own length.  Their words are compared too,
+and their templates only where ``COVER`` of the tokens are words or the document is that long.
 
 Defined results: null and empty texts have no windows and are clean; null ids of documents
 are clean; items with null id or text are ignored; repeated rows count once; an empty
@@ -20,12 +21,12 @@ benchmark leaves all documents clean.  Extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint, table
 
-WINDOW, STRIDE = 8, 4
+WINDOW = 8
 COVER, AGREE = 0.5, 0.8
 #: A hash table of benchmark windows is broadcast up to so many rows (16 bytes each).
 BROADCAST_ROWS = 500_000
@@ -44,8 +45,13 @@ def plain(text: Column) -> Column:
     return F.when(text.rlike(r"\d"), apart).otherwise(text)
 
 
+def all_names(text: Column) -> Column:
+    """The template with the other capitalised words as names."""
+    return F.regexp_replace(text, r"\p{Lu}(?<![\p{L}\p{N}]\p{Lu})\p{Ll}+(?![\p{L}\p{N}])", "_name")
+
+
 def template(text: Column) -> Column:
-    """The plain text with typed placeholders.  Each pattern starts with what it consumes, so most places fail at once."""
+    """The plain text with typed placeholders, names inside a sentence only.  Each pattern starts with what it consumes, so most places fail at once."""
     names = F.regexp_replace(text, r"\p{Lu}(?<=[\p{Ll},;] \p{Lu})\p{Ll}+(?![\p{L}\p{N}])", "_name")
     numbers = F.regexp_replace(names, r"\d(?<![\p{L}\d]\d)\d*(?![\p{L}\d])", "_num")
     units = F.regexp_replace(numbers, r"_num (?i:" + "|".join(UNITS.split()) + r")(?![\p{L}\p{N}])", "_num _unit")
@@ -57,73 +63,94 @@ def tokens(text: Column) -> Column:
 
 
 def with_tokens(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, words, kinds): plain tokens and template tokens, place by place."""
+    """(key, words, inner, every): plain tokens and template tokens of both forms, place by place."""
     base = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias(key), F.translate(F.col(text).cast("string"), "_", " ").alias("t"))
     base = base.select(key, plain(F.col("t")).alias("p"))
-    return base.select(key, "p", template(F.col("p")).alias("k")).select(key, tokens(F.col("p")).alias("words"), tokens(F.col("k")).alias("kinds"))
+    base = base.select(key, "p", template(F.col("p")).alias("k"))
+    return base.select(key, tokens(F.col("p")).alias("words"), tokens(F.col("k")).alias("inner"), tokens(all_names(F.col("k"))).alias("every"))
+
+
+def forms(df: DataFrame, key: str, names: list[str]) -> DataFrame:
+    """(key, form, words, kinds): a row for each form."""
+    each = F.array(*[F.struct(F.lit(n).alias("form"), F.col(n).alias("kinds")) for n in names])
+    return df.select(key, "words", F.explode(each).alias("f")).select(key, "f.form", "words", "f.kinds")
+
+
+def hashes(kinds: Column, width: int) -> Column:
+    """The hash of each window of the tokens' hashes, in order; none for fewer tokens."""
+    last = F.size(kinds) - width
+    return F.transform(F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(1))), lambda i: F.xxhash64(*[F.get(kinds, i + k) for k in range(width)]))
+
 
+def coded(name: str) -> Column:
+    return F.transform(name, lambda t: F.xxhash64(t)).alias(name)
 
-def windows(df: DataFrame, key: str, width: int, stride: int, at: str) -> DataFrame:
-    """(key, at, h) for every stride-th window of the templates; shorter templates have none.
 
-    Tokens are hashed once; a window's hash is the hash of its token hashes.
-    """
-    coded = df.select(key, F.transform("kinds", lambda t: F.xxhash64(t)).alias("coded"))
-    last = F.size("coded") - width
-    places = F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(stride)))
-    hashes = F.transform(places, lambda i: F.struct(i.alias("at"), F.xxhash64(*[F.get("coded", i + k) for k in range(width)]).alias("h")))
+def windows(df: DataFrame, key: str, width: int, at: str) -> DataFrame:
+    """(key, form, width, at, h) for every window of the templates; shorter templates have none."""
+    each = F.transform(hashes(F.col("kinds"), width), lambda h, i: F.struct(i.alias("at"), h.alias("h")))
     # explode_outer, as for explode Spark also filters by the array's size and so computes it twice
-    return coded.select(key, F.explode_outer(hashes).alias("w")).select(key, F.col("w.at").alias(at), "w.h").where(F.col(at).isNotNull())
+    rows = df.select(key, "form", coded("kinds")).select(key, "form", F.explode_outer(each).alias("w"))
+    return rows.select(key, "form", F.lit(width).alias("width"), F.col("w.at").alias(at), "w.h").where(F.col(at).isNotNull())
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, cover: float = COVER, agree: float = AGREE) -> DataFrame:
     """(doc_id, item_id, n_windows, n_hit, n_slots, n_consistent) of items found in documents."""
-    items = checkpoint(with_tokens(benchmark, "item_id").dropDuplicates(["item_id", "words", "kinds"]))
-    shortest = items.where(F.size("kinds") >= width).agg(F.min(F.size("kinds"))).first()[0]
-    stride = 1 if shortest is None else max(1, min(STRIDE, shortest - width + 1))
-    size = items.agg(F.sum(F.greatest(F.lit(1), F.size("kinds") - width + 1))).first()[0] or 0
-    small = F.broadcast if size <= BROADCAST_ROWS else (lambda df: df)
-
-    ready = with_tokens(docs, "doc_id")
-    kinds = ready.select("doc_id", "kinds")
-    item_windows = windows(items, "item_id", width, 1, "item_at")
-    heads = item_windows.select("h").distinct()
-    seen = windows(kinds, "doc_id", width, stride, "doc_at")
-    whole = lambda df, key: df.where((F.size("kinds") < width) & (F.size("kinds") > 0)).select(key, F.xxhash64("kinds").alias("h"))
-    short_items = whole(items, "item_id")
-    hit_long = seen.join(small(heads), "h", "left_semi").select("doc_id")
-    suspects = hit_long.distinct()
-    if not short_items.isEmpty():
-        suspects = suspects.union(whole(kinds, "doc_id").join(small(short_items.select("h").distinct()), "h", "left_semi").select("doc_id")).distinct()
-    suspects = checkpoint(suspects)
-
-    # the suspects once more, with all windows and what stands in the slots
-    again = checkpoint(with_tokens(docs.join(suspects, "doc_id", "left_semi"), "doc_id").dropDuplicates(["doc_id", "words"]))
-    doc_windows = windows(again, "doc_id", width, 1, "doc_at")
-    found = doc_windows.join(small(item_windows), "h")
-    # one place in the document for each window of an item: the first
-    found = found.groupBy("doc_id", "item_id", "item_at").agg(F.min("doc_at").alias("doc_at"))
-    covers = found.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_hit"))
-    long_items = items.where(F.size("kinds") >= width).select("item_id", (F.size("kinds") - width + 1).cast("long").alias("n_windows"))
-    covers = covers.join(small(long_items.groupBy("item_id").agg(F.max("n_windows").alias("n_windows"))), "item_id").where(F.col("n_hit") >= cover * F.col("n_windows"))
-    if not short_items.isEmpty():
-        exact = whole(again, "doc_id").join(small(short_items), "h").select("item_id", "doc_id", F.lit(1).cast("long").alias("n_hit"), F.lit(1).cast("long").alias("n_windows"))
-        covers = covers.unionByName(exact.distinct())
-        found = found.unionByName(exact.select("doc_id", "item_id", F.lit(0).alias("item_at"), F.lit(0).alias("doc_at")).distinct())
-    covers = checkpoint(covers)
+    items = checkpoint(with_tokens(benchmark, "item_id").dropDuplicates())
+    size = F.size("kinds")
+    short = sorted(r[0] for r in items.select(F.size("words")).where(F.size("words").between(1, width - 1)).distinct().collect())
+    names = ["inner", "every", "words"] if short else ["inner", "every"]
+    items = forms(items, "item_id", names)
+    spread = items.where((size >= width) & (F.col("form") != "words"))
+    item_windows = windows(spread, "item_id", width, "item_at")
+    for n in short:
+        item_windows = item_windows.unionAll(windows(items.where(size == n), "item_id", n, "item_at"))
+    item_windows = checkpoint(item_windows)
+    small = F.broadcast if item_windows.count() <= BROADCAST_ROWS else (lambda df: df)
+
+    ready = with_tokens(docs, "doc_id").select("doc_id", *[coded(n) for n in names])
+    seen = [hashes(F.col(n), width) for n in names if n != "words"] + [hashes(F.col(n), k) for n in names for k in short]
+    seen = F.array_distinct(F.concat(*[F.coalesce(x, F.array().cast("array<bigint>")) for x in seen]))
+    seen = ready.select("doc_id", F.explode_outer(seen).alias("h"))
+    suspects = checkpoint(seen.join(small(item_windows.select("h").distinct()), "h", "left_semi").select("doc_id").distinct())
+
+    # the suspects once more, with the places of the windows and what stands in the slots
+    again = with_tokens(docs.join(suspects, "doc_id", "left_semi"), "doc_id").dropDuplicates()
+    again = checkpoint(forms(again, "doc_id", names))
+    doc_windows = windows(again.where("form <> 'words'"), "doc_id", width, "doc_at")
+    for n in short:
+        doc_windows = doc_windows.unionAll(windows(again, "doc_id", n, "doc_at"))
+    found = doc_windows.join(small(item_windows), ["h", "form", "width"])
+    pair = ["doc_id", "item_id", "form", "width"]
+    if short:
+        telling = items.select("item_id", "form", size.alias("width"), F.when(F.col("form") == "words", size).otherwise(F.size(F.filter("kinds", lambda k: ~k.startswith("_")))).alias("plain"))
+        telling = telling.where((F.col("width") < width) & (F.col("plain") >= cover * F.col("width"))).select("item_id", "form", "width").distinct()
+        whole = again.select("doc_id", "form", size.alias("width")).where(F.col("width") < width).distinct()
+        brief = found.where(F.col("width") < width)
+        brief = brief.join(small(telling), ["item_id", "form", "width"], "left_semi").unionByName(brief.join(whole, ["doc_id", "form", "width"], "left_semi")).distinct()
+        found = found.where(F.col("width") == width).unionByName(brief)
+    # one place in the document for each window of an item: where most windows of the item lie as in the item
+    shared = F.count("*").over(Window.partitionBy(*pair, F.col("doc_at") - F.col("item_at")))
+    found = found.withColumn("rank", F.struct((-shared).alias("n"), F.col("doc_at").alias("doc_at")))
+    found = checkpoint(found.groupBy(*pair, "item_at").agg(F.min("rank").alias("rank")).select(*pair, "item_at", "rank.doc_at"))
+    counts = item_windows.groupBy("item_id", "form", "width").agg((F.max("item_at") + 1).cast("long").alias("n_windows"))
+    covers = found.groupBy(*pair).agg(F.count("*").alias("n_hit")).join(small(counts), ["item_id", "form", "width"])
+    covers = checkpoint(covers.where(F.col("n_hit") >= cover * F.col("n_windows")))
 
     # slots: pairs (value in the item, value in the document) of the matched windows
-    cut = lambda df, key, at: F.transform(
-        F.filter(F.arrays_zip(F.slice("words", F.col(at) + 1, width).alias("w"), F.slice("kinds", F.col(at) + 1, width).alias("k")), lambda x: x["k"].startswith("_")), lambda x: x["w"]
+    cut = lambda at: F.transform(
+        F.filter(F.arrays_zip(F.slice("words", F.col(at) + 1, F.col("width")).alias("w"), F.slice("kinds", F.col(at) + 1, F.col("width")).alias("k")), lambda x: (F.col("form") != "words") & x["k"].startswith("_")), lambda x: x["w"]
     )
-    pairs = found.join(covers.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi")
-    pairs = pairs.join(small(items.select("item_id", "words", "kinds")), "item_id").select("doc_id", "item_id", "doc_at", cut(items, "item_id", "item_at").alias("ours"))
-    pairs = pairs.where(F.size("ours") > 0).join(again.select("doc_id", "words", "kinds"), "doc_id").select("doc_id", "item_id", "ours", cut(again, "doc_id", "doc_at").alias("theirs"))
-    slots = pairs.select("doc_id", "item_id", F.explode(F.arrays_zip("ours", "theirs")).alias("s")).select("doc_id", "item_id", "s.ours", "s.theirs")
-    each = slots.groupBy("doc_id", "item_id", "ours").agg((F.min("theirs") == F.max("theirs")).alias("same"))
-    agreed = each.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_slots"), F.sum(F.col("same").cast("long")).alias("n_consistent"))
-    out = covers.join(agreed, ["doc_id", "item_id"], "left").na.fill(0, ["n_slots", "n_consistent"])
-    return out.where(F.col("n_consistent") >= agree * F.col("n_slots")).select("doc_id", "item_id", "n_windows", "n_hit", "n_slots", "n_consistent")
+    pairs = found.join(covers.select(*pair), pair, "left_semi")
+    pairs = pairs.join(small(items.select("item_id", "form", "words", "kinds")), ["item_id", "form"]).select(*pair, "doc_at", cut("item_at").alias("ours"))
+    pairs = pairs.where(F.size("ours") > 0).join(again, ["doc_id", "form"]).select(*pair, "ours", cut("doc_at").alias("theirs"))
+    slots = pairs.select(*pair, F.explode(F.arrays_zip("ours", "theirs")).alias("s")).select(*pair, "s.ours", "s.theirs")
+    each = slots.groupBy(*pair, "ours").agg((F.min("theirs") == F.max("theirs")).alias("same"))
+    agreed = each.groupBy(*pair).agg(F.count("*").alias("n_slots"), F.sum(F.col("same").cast("long")).alias("n_consistent"))
+    out = covers.join(agreed, pair, "left").na.fill(0, ["n_slots", "n_consistent"]).where(F.col("n_consistent") >= agree * F.col("n_slots"))
+    figures = ["n_windows", "n_hit", "n_slots", "n_consistent"]
+    best = F.max(F.struct((F.col("n_hit") / F.col("n_windows")).alias("part"), *figures)).alias("best")
+    return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", *[f"best.{x}" for x in figures])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -146,6 +146,31 @@ def test_decontamination(spark):
     assert not any(r.contaminated for r in decontam.decontaminate(_docs(spark, texts), bench.limit(0)).collect())
 
 
+def test_decontamination_of_short_strided_and_renamed_items(spark):
+    rng = random.Random(15)
+    short, eleven = "why do tall gates open inwards", "grey wolves near the frozen lake often sleep under fallen trunks"
+    names = "Alice has 12 apples. Alice gives 3 to Bob. How many apples does Alice have?"
+    start = "Fresh bread from the old mill costs little"
+    bench = spark.createDataFrame([(1, short), (2, eleven), (3, names), (4, start), (5, "12"), (6, "Paul 7")], "item_id long, text string")
+    texts, want = [], []
+    for k in range(8):  # every offset of the leak in the document
+        before, after = _words(rng, 30 + k), _words(rng, 40)
+        half = " ".join(eleven.split()[:9])  # 2 of its 4 windows
+        renamed = names.replace("Alice", "Carol").replace("12", "40").replace("Bob", "Dora")
+        for leak, item in ((short, 1), (half, 2), (renamed, 3), ("eggs. " + start.lower(), 4), ("sum 12 of", 5)):
+            texts.append(f"{before} {leak} {after}")
+            want.append([item])
+        # an earlier place with the same template window and other names must not hide the leak
+        texts.append(f"{before}. Frank gives 8 to Gerd. How many apples does Hugo {after}. {renamed} {after}")
+        want.append([3])
+        texts.append(f"{before}. Mary counts 9 {after}")
+        want.append([])
+    texts.append("Anna 9")
+    want.append([6])
+    got = {r.doc_id: r.item_ids for r in decontam.decontaminate(_docs(spark, texts), bench).collect()}
+    assert [got[k] for k in range(len(texts))] == want
+
+
 def test_quality(spark):
     rng = random.Random(6)
     texts = [_words(rng, 60).capitalize() + "." if k % 2 else "buy " * 50 + "!!! $$$" for k in range(160)] + ODD
