@@ -8,10 +8,11 @@ a known spread, so ``ERRORS`` times the spread above the estimate bounds the cos
 whose bound stays under the threshold are dropped; the cosine of the others is computed
 again in double precision from the vectors themselves.
 
-Which pairs get an estimate: those that agree in one of a number of draws of code bits.
-The draw's length grows with the logarithm of the number of vectors, so that a bucket
-holds a few dozen unrelated vectors at any size, and the number of draws follows from ``MISS``, the
-chance that a pair at the threshold agrees in none.  A pair is taken in the first draw in
+Which pairs get an estimate: those that lie on the same side of every random hyperplane of one
+of a number of draws.  The draw's length grows with the logarithm of the number of vectors, so that a
+bucket holds a few dozen unrelated vectors at any size, and the number of draws follows from ``MISS``,
+the chance that a pair at the threshold agrees in none; each draw has hyperplanes of its own,
+so the draws are independent at any number of dimensions.  A pair is taken in the first draw in
 which it agrees, so none is counted twice.  Equal vectors are one class, whatever their
 number.  A large bucket is cut into chunks, and pairs of chunks go to different tasks.
 
@@ -51,16 +52,19 @@ def encode(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return np.packbits(y > 0, axis=1), factor, np.rint(y / step[:, None]).astype(np.int8), step
 
 
-def draws(codes: np.ndarray, bits: int, count: int) -> np.ndarray:
-    """(rows, count) 64-bit keys: each of ``bits`` code bits at fixed random places."""
-    size = codes.shape[1] * 8
-    rng = np.random.default_rng(SEED)
-    places = np.array([rng.choice(size, min(bits, size), replace=False) for _ in range(count)])
-    plain = np.unpackbits(codes, axis=1)
-    powers = np.uint64(1) << np.arange(places.shape[1], dtype=np.uint64)
+def plane_sides(unit: np.ndarray, bits: int, count: int) -> np.ndarray:
+    """Packed bits of unit rows: the side of each of ``bits`` random hyperplanes for each draw."""
+    planes = np.random.default_rng([SEED, unit.shape[1]]).normal(size=(bits * count, unit.shape[1]))
+    return np.packbits(unit @ planes.T > 0, axis=1)
+
+
+def draws(packed: np.ndarray, bits: int, count: int, dims: int = 0) -> np.ndarray:
+    """(rows, count) 64-bit keys of the draws' bits; vectors of other dimensions have other keys."""
+    plain = np.unpackbits(packed, axis=1, count=bits * count)
+    powers = np.uint64(1) << np.arange(bits, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        keys = np.stack([(plain[:, p] * powers).sum(axis=1) for p in places], axis=1)
-        return mix(mix(keys + np.uint64(size)) + np.arange(count, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        keys = np.stack([(plain[:, k * bits : (k + 1) * bits] * powers).sum(axis=1) for k in range(count)], axis=1)
+        return mix(mix(keys + np.uint64(dims << 32)) + np.arange(count, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def plan(n: int, threshold: float) -> tuple[int, int]:
@@ -95,7 +99,7 @@ def candidates(group: dict[str, np.ndarray], threshold: float, bits: int, count:
     i, j = i[keep], j[keep]
     if len(i):
         used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
-        keys = draws(codes[used], bits, count)
+        keys = draws(np.frombuffer(b"".join(group["sides"][u] for u in used), np.uint8).reshape(len(used), -1), bits, count)
         first = _first_common(keys, at[: len(i)], at[len(i) :])
         here = first == group["draw"][0]
         i, j = i[here], j[here]
@@ -133,27 +137,30 @@ def similar_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
                     part = rows[k : k + 2048]
                     x = np.frombuffer(b"".join(keys[r] for r in part), np.float64).reshape(len(part), -1)
                     x = x / np.abs(x).max(axis=1, keepdims=True)
-                    codes, factor, q, step = encode(x / np.linalg.norm(x, axis=1, keepdims=True))
+                    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+                    codes, factor, q, step = encode(unit)
+                    packed = plane_sides(unit, bits, count)
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([ids[r] for r in part], pa.int64()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(factor),
-                            pa.array([c.tobytes() for c in q], pa.binary()), pa.array(step), pa.array(list(draws(codes, bits, count).view(np.int64)), pa.list_(pa.int64())),
+                            pa.array([c.tobytes() for c in q], pa.binary()), pa.array(step), pa.array([c.tobytes() for c in packed], pa.binary()),
+                            pa.array(list(draws(packed, bits, count, unit.shape[1]).view(np.int64)), pa.list_(pa.int64())),
                         ],
-                        names=["id", "code", "factor", "q", "step", "keys"],
+                        names=["id", "code", "factor", "q", "step", "sides", "keys"],
                     )
 
-    coded = checkpoint(map_arrow(classes.select("key", "id"), code, "id long, code binary, factor double, q binary, step double, keys array<long>"))
+    coded = checkpoint(map_arrow(classes.select("key", "id"), code, "id long, code binary, factor double, q binary, step double, sides binary, keys array<long>"))
     placed = coded.select("id", F.posexplode("keys").alias("draw", "bucket"))
     sizes = placed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    rows = coded.select("id", "code", "factor", "q", "step", F.posexplode("keys").alias("draw", "bucket")).join(sizes, "bucket")
+    rows = coded.select("id", "code", "factor", "q", "step", "sides", F.posexplode("keys").alias("draw", "bucket")).join(sizes, "bucket")
     chunks = F.ceil(F.col("size") / CHUNK).cast("int")
     rows = rows.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select("bucket", F.least("chunk", "other").alias("pa"), F.greatest("chunk", "other").alias("pb"), "chunk", "draw", "id", "factor", "step", "code", "q")
+    rows = rows.select("bucket", F.least("chunk", "other").alias("pa"), F.greatest("chunk", "other").alias("pb"), "chunk", "draw", "id", "factor", "step", "code", "q", "sides")
     rows = rows.repartition("bucket", "pa", "pb").sortWithinPartitions("bucket", "pa", "pb")
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["bucket", "pa", "pb", "chunk", "draw", "id", "factor", "step", "code", "q"]
+        names = ["bucket", "pa", "pb", "chunk", "draw", "id", "factor", "step", "code", "q", "sides"]
         rest: pa.Table | None = None
 
         def groups(t: pa.Table, last: bool):

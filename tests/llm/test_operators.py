@@ -194,6 +194,35 @@ def test_langid(spark):
     assert [got[200 + k].lang_pred for k in range(4)] == ["und", "und", "und", "aa"]
 
 
+def _pairs_at_threshold(rng, n, dims):
+    a, r = rng.normal(size=(2, n, dims))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    r -= (r * a).sum(axis=1, keepdims=True) * a
+    r /= np.linalg.norm(r, axis=1, keepdims=True)
+    return a, embeddings.THRESHOLD * a + np.sqrt(1 - embeddings.THRESHOLD**2) * r
+
+
+def test_embeddings_missed_pairs_at_any_size():
+    rng = np.random.default_rng(18)
+    for dims in (16, 64):
+        a, b = _pairs_at_threshold(rng, 5000, dims)
+        for n in (2000, 1_000_000):
+            bits, count = embeddings.plan(n, embeddings.THRESHOLD)
+            keys = [embeddings.draws(embeddings.plane_sides(x, bits, count), bits, count, dims) for x in (a, b)]
+            assert (~(keys[0] == keys[1]).any(axis=1)).sum() <= 4  # 0.5 expected
+
+
+def test_embeddings_links_of_few_dimensions(spark):
+    a, b = _pairs_at_threshold(np.random.default_rng(19), 1000, 16)
+    b = b + 0.01 * a
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(np.concatenate([a, b]))], "vec_id long, embedding array<double>")
+    x = np.concatenate([a, b])
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (x @ x.T >= embeddings.THRESHOLD).sum(axis=1) - 1
+    got = {r.vec_id: r.n_links for r in embeddings.similar_vectors(df).collect()}
+    assert [got[k] for k in range(len(x))] == near.tolist()
+
+
 def test_embeddings_against_all_pairs(spark):
     rng = np.random.default_rng(8)
     base = rng.normal(size=(20, 16))
