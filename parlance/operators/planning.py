@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -225,13 +227,14 @@ def window_verdicts(windows: DataFrame, segments: DataFrame, assistant: str, s:
     return wide.select("source_id", S, E, status.alias("status"), reasons.alias("reasons"), a.alias("assistant_s"), u.alias("user_s"), count.cast("long").alias("speaker_count"), quiet.alias("silence_ratio"), over.alias("overlap_ratio"), small.alias("min_share"))
 
 
-def greedy_segments(segments: DataFrame, durations: DataFrame, assistant: str, s: Settings = DEFAULT, keep=lambda df: df, most: int = 2000) -> DataFrame:
+def greedy_segments(segments: DataFrame, durations: DataFrame, assistant: str, s: Settings = DEFAULT, keep=lambda df: df, most: int | None = None) -> DataFrame:
     """(source_id, clip_no, start_sample, end_sample, status, reasons): clips one after the other from the first speech.
 
     All sources advance together, one clip a round.  A boundary is a turn's end with context; of
     those at a fitting length the best is (status, overlap ratio, distance from the target,
     minus the smaller share, position); without one the clip has the greatest length.  A rest that
-    is too short joins the last clip if that stays within bounds.
+    is too short joins the last clip if that stays within bounds.  Rounds go on until all sources
+    are at their ends; more than ``most`` rounds are an error.
     """
     lo, mid, hi = (int(x * CLOCK) for x in (s.min_clip_s, s.target_clip_s, s.max_clip_s))
     first = segments.groupBy("source_id").agg(F.min(S).alias("first")).join(durations, "source_id")
@@ -240,7 +243,9 @@ def greedy_segments(segments: DataFrame, durations: DataFrame, assistant: str, s
     cuts = cuts.unionByName(first.select("source_id", F.col("duration").alias("b"))).distinct()
     cursor = first.select("source_id", F.col("first").alias("c"), "duration", F.lit(1).alias("clip_no"))
     out = None
-    for _ in range(most):
+    for k in itertools.count():
+        if k == most:
+            raise RuntimeError(f"greedy_segments: sources are not at their ends after {most} rounds")
         spans = cursor.join(cuts, "source_id").where((F.col("b") - F.col("c")).between(lo, hi))
         rated = window_verdicts(spans.select("source_id", F.col("c").alias(S), F.col("b").alias(E)), segments, assistant, s)
         rank = F.when(F.col("status") == "PASS", 0).when(F.col("status") == "REVIEW", 1).otherwise(2)

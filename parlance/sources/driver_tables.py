@@ -13,7 +13,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source_id, turn, speaker, role, toks, start_sample, end_sample): one row a turn, 0.4 s a token."""
     base = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)).alias("toks"))
-    base = base.withColumn("dur", F.greatest(F.lit(1), F.least(F.lit(400), F.size("toks"))) * 9600)
+    base = base.withColumn("dur", F.greatest(F.lit(1), F.when(F.col("toks").isNull(), 400).otherwise(F.size("toks"))) * 9600)
     before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     base = base.withColumn("base", 24000 + F.coalesce(F.sum("dur").over(before), F.lit(0)))
     shift = F.when(F.col("turn") % 3 == 0, 12000).when(F.col("turn") % 3 == 1, -6000).otherwise(0)
@@ -38,8 +38,8 @@ def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def turn_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(source_id, turn, i, word, start_sample, end_sample, score): the first 400 tokens of each spoken turn."""
-    words = turns(spark, sf_dir).where("speaker is not null").select("source_id", "turn", "start_sample", F.posexplode(F.slice("toks", 1, 400)).alias("i", "word"))
+    """(source_id, turn, i, word, start_sample, end_sample, score): the tokens of each spoken turn."""
+    words = turns(spark, sf_dir).where("speaker is not null").select("source_id", "turn", "start_sample", F.posexplode("toks").alias("i", "word"))
     start = F.col("start_sample") + F.col("i") * 9600
     return words.select(
         "source_id", "turn", "i", "word", (start + 960).alias("start_sample"), (start + F.when(F.col("i") % 8 == 7, 3360).otherwise(8640)).alias("end_sample"),

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from parlance.functions import text as T
@@ -13,6 +14,7 @@ from parlance.operators import planning as G
 from parlance.operators import qc as C
 from parlance.operators import state as M
 from parlance.plans.writing import keeper
+from parlance.sources import driver_tables as D
 
 K = 24_000
 
@@ -106,6 +108,25 @@ def test_greedy_segments(spark):
     assert all(a[1] == b[0] for a, b in zip(bounds, bounds[1:]))
 
 
+def test_greedy_segments_leaves_out_no_clip_silently(spark):
+    from parlance.settings import Settings
+
+    s = Settings(min_clip_s=4, target_clip_s=6, max_clip_s=8, min_speaker_s=0.5)
+    acts = _acts(spark, [("A", .5, 2), ("B", 2.5, 4), ("A", 4.5, 6), ("B", 6.5, 8), ("A", 8.5, 10), ("B", 10.5, 12)])
+    dur = spark.createDataFrame([(1, int(12.5 * K))], "source_id long, duration long")
+    with pytest.raises(RuntimeError):
+        G.greedy_segments(acts, dur, "A", s, keep=keeper(spark), most=1)
+
+
+def test_turns_of_any_length(spark, tmp_path):
+    rows = [(1, 0, "user", "word " * 900), (1, 1, "assistant", "a b"), (1, 2, "user", None)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.turn: (r.n, r.last) for r in D.turn_words(spark, str(tmp_path)).groupBy("turn").agg(F.count("*").alias("n"), F.max("i").alias("last")).collect()}
+    assert got == {0: (900, 899), 1: (2, 1)}
+    spans = {r.turn: r.end_sample - r.start_sample for r in D.turns(spark, str(tmp_path)).collect()}
+    assert spans == {0: 900 * 9600, 1: 2 * 9600, 2: 400 * 9600}  # a turn without text counts as 400 tokens, as in the SQL
+
+
 def test_excessive_overlap(spark):
     from parlance.settings import Settings
 
