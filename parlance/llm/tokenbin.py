@@ -8,16 +8,24 @@ share for ids not seen yet.  Each id is one step of a range coder with carry.
 
 A block of up to ``BLOCK`` ids starts from a fresh model and carries a crc32 of its ids, so any
 block can be decoded alone.  It is cut into lanes of consecutive ids, which advance side by side
-in numpy arrays, share the block's model and have a byte stream each; the order-0 table is
-renewed every ``RENEW`` steps.  All arithmetic is in integers, so files do not depend on the machine.
+in numpy arrays, share the block's model and have a byte stream each; the model learns after
+every ``RENEW`` steps from all ids of these steps.  All results are integers, so files do
+not depend on the machine (the one division in floating point is exact: both sides are under 2^48).
 
 A file holds the documents of one range of doc_id, in ascending order::
 
-    magic "PTIDBIN2" | blocks | index | u64 index position | u32 crc32 of the index | magic
+    magic "PTIDBIN3" | blocks | index | u64 index position | u32 crc32 of the index | magic
     block: u32 ids, u32 bytes, u32 crc32 of the ids (little-endian u32 each), bytes
     bytes: u16 lanes, u32 length in words of each lane, u16 words of the lanes
     index (zlib): u64 documents, u64 ids, then i64 doc_id, u8 null flag, u64 ids of each document
 
+The tokenizers library encodes the words of the texts, each with the blank or line feed before
+it, and a worker remembers up to ``CACHE`` of them: the library's own splitting starts a new unit at
+such a blank, so the words' ids in a row are the ids of the whole text.  Texts in which that is
+not sure (other white space, runs of it, words of over ``PIECE`` characters, special tokens) are
+given to the library whole.  Words of letters under ``LETTERS`` are cut by the library's published
+pattern and given to its BPE model; other words go through all of the library.
+
 Defined results: null counts as empty; every document ends with the end id, so an empty text has
 one id; null doc_ids come first and are read back as null; of repeated rows each is stored,
 their order among themselves is not defined.  Extra columns are ignored.
@@ -30,6 +38,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,137 +49,160 @@ from pyspark.sql import Window
 from ..shipping import map_arrow
 from .common import checkpoint, shared_dir, table
 
-MAGIC = b"PTIDBIN2"
-BLOCK, LANES, RENEW = 1 << 18, 1024, 8
+MAGIC = b"PTIDBIN3"
+BLOCK, LANES, RENEW = 1 << 19, 2048, 8
 IDS = 1 << 16  # ids lie below
 END_ID = 0
 READ_TASKS = 20_000  # at most, for the files to be read
+CACHE = 500_000  # words that a worker remembers
+PIECE = 64
+LETTERS = "\u0500"  # below, letters and digits are the same in all versions of Unicode in use
 _BITS = 24  # of the mixture's total
 _TOTAL = 1 << _BITS
 _LEVELS = 16  # of a prediction's confidence
+_MISS, _HIT = 4, 3  # confidence of a new prediction, and what it gains when it comes true
 
 
 class _Model:
-    """The block's statistics; ``mixture`` gives the weights of a step, ``learn`` takes its ids."""
+    """The block's statistics: ``freeze`` makes the tables of the next steps, ``learn`` takes the ids of these steps."""
 
-    def __init__(self, lanes: int):
+    def __init__(self):
         self.counts = np.zeros(IDS, np.int64)
         self.seen = 0
-        self.follow = [np.zeros(IDS, np.int64), np.zeros(IDS, np.int64)]
-        self.trust = [np.zeros(IDS, np.int64), np.zeros(IDS, np.int64)]
-        self.hits = np.ones((2, _LEVELS), np.int64)
-        self.tries = np.full((2, _LEVELS), 4, np.int64)
-        self.one, self.two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.steps = 0
-
-    def renew(self) -> None:
-        """The order-0 table: every id has a floor, which is larger while many ids are new."""
+        self.entry = [np.zeros(IDS, np.int64), np.zeros(IDS, np.int64)]  # predicted id * _LEVELS + confidence, by context
+        self.hits, self.tries = np.ones((2, _LEVELS), np.int64), np.full((2, _LEVELS), 4, np.int64)
+        self.table = np.zeros(IDS + 1, np.int64)
+
+    def freeze(self) -> None:
+        """The order-0 table, in which every id has a floor that is larger while many ids are new, and the weights by confidence."""
         distinct = np.count_nonzero(self.counts)
         floor = max(8, _TOTAL * (distinct + 64) // (self.seen + 128) // 2 // IDS)
         scale = (_TOTAL - floor * IDS) // max(1, self.seen)
-        self.table = np.zeros(IDS + 1, np.int64)
         np.cumsum(self.counts * scale + floor, out=self.table[1:])
         self.table[-1] = _TOTAL
-
-    def mixture(self) -> None:
-        if self.steps % RENEW == 0:
-            self.renew()
-        self.at = [self.one, (self.one * 40503 + self.two * 10007) & (IDS - 1)]
-        self.guess = [f[x] for f, x in zip(self.follow, self.at)]
-        self.level = [t[x] for t, x in zip(self.trust, self.at)]
-        left = np.full(len(self.one), _TOTAL, np.int64)
-        self.weight = [left, left]
-        for k in (1, 0):  # order 2 first, then order 1 of what is left
-            rate = (self.hits[k] * 3500 // self.tries[k])[self.level[k]]
-            self.weight[k] = left * np.minimum(rate, 2600) >> 12
-            left = left - self.weight[k]
-        self.rest = left
+        rate = np.minimum(self.hits * 3500 // self.tries, 2600)
+        two = np.repeat(_TOTAL * rate[1] >> 12, _LEVELS)  # by order-2 confidence * _LEVELS + order-1 confidence
+        one = (_TOTAL - two) * np.tile(rate[0], _LEVELS) >> 12
+        self.weights = [one, two]
+        self.rest = _TOTAL - two - one
+
+    def predict(self, one: np.ndarray, two: np.ndarray) -> None:
+        """Predictions, weights and the share of order 0 after the ids ``one`` (the last) and ``two`` (the one before)."""
+        self.at = [one, (one * 40503 + two * 10007) & (IDS - 1)]
+        entry = [e.take(x) for e, x in zip(self.entry, self.at)]
+        self.guess = [e >> 4 for e in entry]
+        self.level = [e & (_LEVELS - 1) for e in entry]
+        pair = self.level[1] * _LEVELS + self.level[0]
+        self.weight = [w.take(pair) for w in self.weights]
+        self.share = self.rest.take(pair)
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(lower end, width) of ids in the mixture."""
-        low = self.table[ids] * self.rest >> _BITS
-        width = (self.table[ids + 1] * self.rest >> _BITS) - low
+        low = self.table.take(ids) * self.share >> _BITS
+        width = (self.table.take(ids + 1) * self.share >> _BITS) - low
         for g, w in zip(self.guess, self.weight):
-            low = low + w * (ids > g)
-            width = width + w * (ids == g)
+            low += w * (ids > g)
+            width += w * (ids == g)
         return low, width
 
-    def find(self, value: np.ndarray) -> np.ndarray:
-        """The ids whose intervals hold the values."""
-        ids, done, plain = np.zeros(len(value), np.int64), np.zeros(len(value), bool), value.copy()
-        for g in self.guess:
-            low, width = self.interval(g)
-            inside = (value >= low) & (value < low + width)
-            ids[inside] = g[inside]
-            done |= inside
-        for g, w in zip(self.guess, self.weight):
-            low, width = self.interval(g)
-            plain -= w * (value >= low + width)
-        other = np.searchsorted(self.table, ((plain + 1 << _BITS) - 1) // self.rest, "right") - 1
-        return np.where(done, ids, other)
-
-    def learn(self, ids: np.ndarray) -> None:
+    def find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids whose intervals hold the values, and the intervals."""
+        (g1, g2), (w1, w2) = self.guess, self.weight
+        before, equal = g1 < g2, g1 == g2
+        low1, low2 = (self.table.take(g) * self.share >> _BITS for g in self.guess)
+        high1, high2 = ((self.table.take(g + 1) * self.share >> _BITS) + w for g, w in zip(self.guess, self.weight))
+        after = ~(before | equal)
+        low1 += w2 * after
+        high1 += w2 * ~before
+        low2 += w1 * before
+        high2 += w1 * ~after
+        ids, start, width = g1.copy(), low1, high1 - low1
+        is2 = (value >= low2) & (value < high2)
+        np.copyto(ids, g2, where=is2)
+        np.copyto(start, low2, where=is2)
+        np.copyto(width, high2 - low2, where=is2)
+        other = np.flatnonzero(~is2 & ((value < low1) | (value >= high1)))
+        v, share = value[other], self.share[other]
+        shift = w1[other] * (v >= high1[other]) + w2[other] * (v >= high2[other])
+        found = np.searchsorted(self.table, ((v - shift + 1 << _BITS) - 1) // share, "right") - 1
+        low = self.table.take(found) * share >> _BITS
+        ids[other], start[other], width[other] = found, low + shift, (self.table.take(found + 1) * share >> _BITS) - low
+        return ids, start, width
+
+    def learn(self, steps: list[tuple]) -> None:
+        """Takes (ids, contexts, levels, predictions) of the steps since ``freeze``; of a context's several ids the last one counts."""
+        ids = np.concatenate([s[0] for s in steps])
         for k in (0, 1):
-            hit = self.guess[k] == ids
-            self.tries[k] += np.bincount(self.level[k], minlength=_LEVELS)
-            self.hits[k] += np.bincount(self.level[k][hit], minlength=_LEVELS)
-            self.trust[k][self.at[k]] = np.where(hit, np.minimum(self.level[k] + 1, _LEVELS - 1), self.level[k] >> 1)
-            replaced = ~hit & (self.level[k] < 2)
-            self.follow[k][self.at[k][replaced]] = ids[replaced]
-        self.counts += np.bincount(ids, minlength=IDS) if len(ids) > 4096 else 0
-        if len(ids) <= 4096:
-            np.add.at(self.counts, ids, 1)
+            at, level, guess = (np.concatenate([s[j][k] for s in steps]) for j in (1, 2, 3))
+            hit = guess == ids
+            self.tries[k] += np.bincount(level, minlength=_LEVELS)
+            self.hits[k] += np.bincount(level[hit], minlength=_LEVELS)
+            more = guess * _LEVELS + np.minimum(level + _HIT, _LEVELS - 1)
+            less = np.where(level < _MISS, ids * _LEVELS + _MISS, guess * _LEVELS + (level >> 1))
+            self.entry[k][at] = np.where(hit, more, less)
+        self.counts += np.bincount(ids, minlength=IDS)
         self.seen += len(ids)
-        self.two, self.one = self.one, ids
-        self.steps += 1
 
 
-_WORD = 0xFFFF
 _RANGE = (1 << 48) - 1
 
 
+def _lanes(count: int) -> int:
+    return max(1, min(LANES, count // 64))
+
+
 def encode_block(ids: np.ndarray) -> bytes:
     """The coded bytes of at least one id."""
-    lanes = max(1, min(LANES, len(ids) // 64))
+    lanes = _lanes(len(ids))
     steps = -(-len(ids) // lanes)
-    grid = np.zeros(lanes * steps, np.int64)
-    grid[: len(ids)] = ids
-    grid = grid.reshape(lanes, steps)
-    model = _Model(lanes)
+    grid = np.zeros((lanes, steps + 2), np.int64)  # two empty contexts before each lane
+    padded = np.zeros(lanes * steps, np.int64)
+    padded[: len(ids)] = ids
+    grid[:, 2:] = padded.reshape(lanes, steps)
+    columns = np.ascontiguousarray(grid.T)
+    model = _Model()
     low, span = np.zeros(lanes, np.int64), np.full(lanes, _RANGE, np.int64)
-    out, used = np.zeros((lanes, 2 * steps + 8), np.uint16), np.zeros(lanes, np.int64)
-    for i in range(steps):
-        column = grid[:, i]
-        model.mixture()
-        start, width = model.interval(column)
-        unit = span >> _BITS
-        low = low + unit * start
-        span = unit * width
-        over = np.flatnonzero(low > _RANGE)
-        if len(over):
-            low[over] -= _RANGE + 1
-            _carry(out, over, used[over] - 1)
-        small = np.flatnonzero(span < 1 << 32)
-        while len(small):
-            out[small, used[small]] = low[small] >> 32
-            used[small] += 1
-            low[small] = (low[small] << 16) & _RANGE
-            span[small] <<= 16
-            small = small[span[small] < 1 << 32]
-        model.learn(column)
+    room = 2 * steps + 8
+    out, start_at = np.zeros(lanes * room, np.uint16), np.arange(lanes, dtype=np.int64) * room
+    at = start_at.copy()
+    for first in range(0, steps, RENEW):
+        last = min(first + RENEW, steps)
+        model.freeze()
+        now = columns[first + 2 : last + 2].ravel()
+        model.predict(columns[first + 1 : last + 1].ravel(), columns[first:last].ravel())
+        starts, widths = (x.reshape(last - first, lanes) for x in model.interval(now))
+        for start, width in zip(starts, widths):
+            unit = span >> _BITS
+            low += unit * start
+            span = unit * width
+            over = np.flatnonzero(low > _RANGE)
+            if len(over):
+                low[over] -= _RANGE + 1
+                _carry(out, at[over] - 1)
+            small = np.flatnonzero(span < 1 << 32)
+            while len(small):
+                some, place = low[small], at[small]
+                out[place] = some >> 32
+                at[small] = place + 1
+                low[small] = (some << 16) & _RANGE
+                left = span[small] << 16
+                span[small] = left
+                small = small[left < 1 << 32]
+        model.learn([(now, model.at, model.level, model.guess)])
     for _ in range(3):
-        out[np.arange(lanes), used] = low >> 32
-        used += 1
+        out[at] = low >> 32
+        at += 1
         low = (low << 16) & _RANGE
-    words = out[np.arange(out.shape[1]) < used[:, None]]
+    used = at - start_at
+    words = out.reshape(lanes, room)[np.arange(room) < used[:, None]]
     return struct.pack("<H", lanes) + used.astype("<u4").tobytes() + words.astype("<u2").tobytes()
 
 
-def _carry(out: np.ndarray, lanes: np.ndarray, at: np.ndarray) -> None:
-    while len(lanes):
-        out[lanes, at] += 1  # wraps
-        wrapped = out[lanes, at] == 0
-        lanes, at = lanes[wrapped], at[wrapped] - 1
+def _carry(out: np.ndarray, at: np.ndarray) -> None:
+    """Adds one at the places of different lanes; a word that wraps carries on to the word before."""
+    while len(at):
+        out[at] += 1
+        at = at[out[at] == 0] - 1
 
 
 def decode_block(coded: bytes, count: int) -> np.ndarray:
@@ -180,26 +212,145 @@ def decode_block(coded: bytes, count: int) -> np.ndarray:
     words = np.concatenate([np.frombuffer(coded, "<u2", -1, 2 + 4 * lanes).astype(np.int64), np.zeros(4, np.int64)])
     at = np.concatenate([[0], np.cumsum(used)[:-1]])
     steps = -(-count // lanes)
-    model = _Model(lanes)
+    model = _Model()
     code, span = words[at] << 32 | words[at + 1] << 16 | words[at + 2], np.full(lanes, _RANGE, np.int64)
-    at = at + 3
-    grid = np.zeros((lanes, steps), np.int64)
-    for i in range(steps):
-        model.mixture()
-        unit = span >> _BITS
-        ids = model.find(np.minimum(code // unit, _TOTAL - 1))
-        start, width = model.interval(ids)
-        code = code - unit * start
-        span = unit * width
-        small = np.flatnonzero(span < 1 << 32)
-        while len(small):
-            code[small] = code[small] << 16 | words[np.minimum(at[small], len(words) - 1)]
-            at[small] += 1
-            span[small] <<= 16
-            small = small[span[small] < 1 << 32]
-        grid[:, i] = ids
-        model.learn(ids)
-    return grid.ravel()[:count]
+    at += 3
+    columns = np.zeros((steps + 2, lanes), np.int64)
+    for first in range(0, steps, RENEW):
+        seen = []
+        model.freeze()
+        for i in range(first, min(first + RENEW, steps)):
+            model.predict(columns[i + 1], columns[i])
+            unit = span >> _BITS
+            ids, start, width = model.find(np.minimum((code / unit).astype(np.int64), _TOTAL - 1))
+            code -= unit * start
+            span = unit * width
+            small = np.flatnonzero(span < 1 << 32)
+            while len(small):
+                place = at[small]
+                code[small] = code[small] << 16 | words.take(place, mode="clip")
+                at[small] = place + 1
+                left = span[small] << 16
+                span[small] = left
+                small = small[left < 1 << 32]
+            columns[i + 2] = ids
+            seen.append((ids, model.at, model.level, model.guess))
+        model.learn(seen)
+    return np.ascontiguousarray(columns[2:].T).ravel()[:count]
+
+
+def _byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies: printable ones for themselves, the others from U+0100 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(0x100 + hidden.index(b)) if b in hidden else chr(b) for b in range(256)}
+
+
+class _Places(dict):
+    """Numbers of words; a word that is not known gets the next one and waits in ``new``."""
+
+    def __init__(self):
+        self.new, self.last = [], -1
+
+    def __missing__(self, word: str) -> int:
+        self.last += 1
+        self[word] = self.last
+        self.new.append(word)
+        return self.last
+
+
+class Words:
+    """Ids of whole texts by the tokenizers library, which sees every different word of the texts once.
+
+    A word is what stands between blanks, with the line feed before it if there is one.
+    """
+
+    def __init__(self, coder, pattern: str):
+        import regex
+
+        self.coder, self.model, self.split = coder, coder.model, regex.compile(pattern).findall
+        self.specials = [t.content for t in coder.get_added_tokens_decoder().values()]
+        self.letters = _byte_letters()
+        self.clear()
+
+    def clear(self) -> None:
+        self.place, self.units = _Places(), {}
+        self.flat, self.total = np.zeros(1 << 16, np.uint32), 0
+        self.starts, self.sizes, self.odd, self.fed = (np.zeros(1 << 16, t) for t in (np.int64, np.int64, bool, bool))
+        self.place["\n"]
+        self._take_in()
+
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.coder.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _unit(self, unit: str) -> list[int]:
+        """The ids of one match of the library's pattern; those of marks and endings are remembered."""
+        ids = self.units.get(unit)
+        if ids is None:
+            ids = [t.id for t in self.model.tokenize(unit.encode().decode("latin-1").translate(self.letters))]
+            if len(unit) < 4 and len(self.units) < CACHE // 8:
+                self.units[unit] = ids
+        return ids
+
+    def _take_in(self) -> None:
+        """Encodes the words that wait."""
+        new, first = self.place.new, self.place.last + 1 - len(self.place.new)
+        found, odd, other = [], [], []
+        for k, word in enumerate(new):
+            fed = word[:1] == "\n"
+            strange = word != "\n" and (len(word) > PIECE or word.split() != [word[1:] if fed else word])
+            odd.append(strange)
+            if strange:
+                found.append(())
+            elif max(word) < LETTERS:
+                units = self.split(word if fed else " " + word)
+                found.append(self._unit(units[0]) if len(units) == 1 else [i for unit in units for i in self._unit(unit)])
+            else:
+                other.append(k)
+                found.append(())
+        for k, ids in zip(other, self._whole([new[k] if new[k][0] == "\n" else " " + new[k] for k in other])):
+            found[k] = ids
+        each = np.fromiter(map(len, found), np.int64, len(found))
+        count = int(each.sum())
+        for name, need in (("starts", first + len(new)), ("sizes", first + len(new)), ("odd", first + len(new)), ("fed", first + len(new)), ("flat", self.total + count)):
+            have = getattr(self, name)
+            if need > len(have):
+                setattr(self, name, np.concatenate([have, np.zeros(need, have.dtype)]))
+        where = slice(first, first + len(new))
+        self.sizes[where], self.starts[where], self.odd[where] = each, self.total + np.cumsum(each) - each, odd
+        self.fed[where] = [len(word) > 1 and word[0] == "\n" for word in new]
+        self.flat[self.total : self.total + count] = np.fromiter(chain.from_iterable(found), np.uint32, count)
+        self.total += count
+        for word in new:
+            if len(word) > PIECE:  # not remembered
+                del self.place[word]
+        self.place.new = []
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        out: list[np.ndarray | None] = []
+        for text in texts:
+            if any(t in text for t in self.specials):
+                out.append(None)
+                continue
+            # a line feed is put before the text, so that its first word is like one after a line feed
+            words = ("\n" + text).replace("\n", " \n").split(" ")[1:]
+            codes = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+            if self.place.new:
+                self._take_in()
+            alone = codes == 0  # a line feed by itself is sound before one that has a word
+            if self.odd[codes].any() or (alone[1:] & ~self.fed[np.append(codes[2:], 0)]).any() or (alone[0] and len(codes) > 1):
+                out.append(None)
+            else:
+                each = self.sizes[codes]
+                ends = np.cumsum(each)
+                out.append(self.flat[np.repeat(self.starts[codes] - ends + each, each) + np.arange(ends[-1])][1:])
+            if len(self.place) > CACHE:
+                self.clear()
+        whole = [k for k, ids in enumerate(out) if ids is None]
+        for k, ids in zip(whole, self._whole([texts[k] for k in whole])):
+            out[k] = np.array(ids, np.uint32)
+        return out
 
 
 class Writer:
@@ -286,8 +437,8 @@ def _files(folder: str):
     return fs.FileSystem.from_uri(folder) if ":" in folder.split("/")[0] else (fs.LocalFileSystem(), folder)
 
 
-def write_ids(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
-    """Encodes and writes; returns the manifest (part, path, n_docs, n_ids), written down."""
+def write_ids(docs: DataFrame, folder: str, tokenizer_path: str, pattern: str, end_id: int = END_ID) -> DataFrame:
+    """Encodes and writes; returns the manifest (part, path, n_docs, n_ids), written down.  ``pattern`` is what the byte-level tokenizer splits texts by."""
     with open(tokenizer_path, encoding="utf-8") as f:  # a bounded vocabulary
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -298,19 +449,19 @@ def write_ids(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = E
         from pyspark import TaskContext
         from tokenizers import Tokenizer
 
-        coder = Tokenizer.from_str(shared.value)
+        coder = Words(Tokenizer.from_str(shared.value), pattern)
+        end = np.array([end_id], np.uint32)
         files, root = _files(folder)
         writer, path = None, ""
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for k in range(0, len(ids), 64):
-                part = [v.as_py() for v in texts.slice(k, 64)]
-                for doc, found in zip(ids[k : k + 64], coder.encode_batch_fast(part, add_special_tokens=False)):
+                for doc, found in zip(ids[k : k + 64], coder.encode(texts.slice(k, 64).to_pylist())):
                     if writer is None:
                         files.create_dir(root, recursive=True)
                         path = f"{root}/{uuid.uuid4().hex}.ids"
                         writer = Writer(files.open_output_stream(path))
-                    writer.add(doc, np.array([*found.ids, end_id], np.uint32))
+                    writer.add(doc, np.concatenate([found, end]))
         if writer is not None:
             writer.close()
             part = TaskContext.get().partitionId()
@@ -347,7 +498,7 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     folder = f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
-    manifest = write_ids(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    manifest = write_ids(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
     return read_ids(manifest, folder)
 
 

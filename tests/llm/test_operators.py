@@ -271,7 +271,7 @@ def test_token_files(spark, tmp_path):
     path = public_tokenizers.path("byte_bpe_50k.json")
     coder = Tokenizer.from_file(path)
     folder = f"file://{tmp_path}/t"
-    got = sorted(tokenbin.read_ids(tokenbin.write_ids(_docs(spark, ODD), folder, path), folder).collect())
+    got = sorted(tokenbin.read_ids(tokenbin.write_ids(_docs(spark, ODD), folder, path, public_tokenizers.PATTERN), folder).collect())
     start = 0
     for k, t in enumerate(ODD):
         ids = [*coder.encode(t or "", add_special_tokens=False).ids, 0]
