@@ -1,31 +1,34 @@
 """Near-duplicate embeddings: rotated binary codes with correction factors.
 
-A unit vector is embedded in twice its dimensions by a random rotation.  Its code is the
-sign of each rotated component; stored with it are the correction factor, the inner product of
-the normalised code and the rotated vector, and the rotated vector in 8 bits.  For two
-vectors, <code of a, b> divided by a's factor is an unbiased estimate of their cosine with
-a known spread, so ``ERRORS`` times the spread above the estimate bounds the cosine.  Pairs
-whose bound stays under the threshold are dropped; the cosine of the others is computed
-again in double precision from the vectors themselves.
+A unit vector is embedded in twice its dimensions by a random rotation and kept in 4 bits a
+component.  The first bit of each is its sign, the binary code; stored with it are the correction
+factor, the inner product of the normalised code and the rotated vector, and the step of
+the 4 bits.  For two vectors, <code of a, b> divided by a's factor is an unbiased estimate of their
+cosine with a known spread, so ``ERRORS`` times the spread above the estimate bounds the cosine.
+Only vectors with a partner whose bound reaches the threshold have their cosines computed
+again, in double precision from the vectors themselves.
 
 Which pairs get an estimate: those that lie on the same side of every random hyperplane of one
 of a number of draws.  The draw's length grows with the logarithm of the number of vectors, so that a
-bucket holds a few dozen unrelated vectors at any size, and the number of draws follows from ``MISS``,
-the chance that a pair at the threshold agrees in none; each draw has hyperplanes of its own,
-so the draws are independent at any number of dimensions.  A pair is taken in the first draw in
-which it agrees, so none is counted twice.  Equal vectors are one class, whatever their
-number.  A large bucket is cut into chunks, and pairs of chunks go to different tasks.
+bucket holds about ``BUCKET`` unrelated vectors at any size, and the number of draws follows from ``MISS``,
+the chance that a pair at the threshold agrees in none; each draw has hyperplanes of its own.
+Sides are computed in whole numbers from the 4 bits, so every task finds the same ones, and
+a pair counts in the first draw in which it agrees only.  What goes through the network for each draw
+is a row of about 100 bytes at 64 dimensions; the vectors themselves follow only for those that have
+a partner to be computed again.  Tasks return counts of links and a spanning forest of them, never the links.
+Equal vectors are one class, whatever their number.  A large bucket is cut into chunks, and pairs of
+chunks are groups of their own.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components
 link with nothing and are kept; vectors of different lengths never link; a null id links with nothing,
-has a null component and is kept; repeated rows of one id and vector are one vector (n_links counts ids).  Extra columns
-are ignored.
+has a null component and is kept; n_links counts ids, so repeated rows of one id and vector are one vector; of several
+vectors of one id that with the smallest bytes counts, and each row is returned.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,80 +38,157 @@ from pyspark.sql import functions as F
 from ..shipping import map_arrow
 from .common import checkpoint, components, mix, table
 
-THRESHOLD, ERRORS, MISS, CHUNK, SEED = 0.9, 4.0, 1e-4, 1024, 29
+THRESHOLD, ERRORS, MISS, SEED = 0.9, 4.0, 1e-4, 29
+BUCKET, CHUNK, SLAB = 1024, 4096, 512
+ROUGH = 0.05  # what 4 bits may add to an estimate
+BENT = 0.015  # by which 4 bits may lower a cosine at the threshold
 
 
 def rotation(dims: int) -> np.ndarray:
-    """2 * dims rows, orthonormal columns."""
+    """2 * dims rows, orthonormal columns; an even number of rows."""
     size = max(16, 2 * dims)
     return np.linalg.qr(np.random.default_rng(SEED + dims).normal(size=(size, size)))[0][:, :dims]
 
 
-def encode(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(packed signs, correction factors, 8-bit rotated vectors, their steps) of unit rows."""
+def encode(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(odd whole numbers from -15 to 15 for each rotated component, correction factors, steps) of unit rows."""
     y = unit @ rotation(unit.shape[1]).T
-    factor = np.abs(y).sum(axis=1) / math.sqrt(y.shape[1])
-    step = np.abs(y).max(axis=1) / 127
-    return np.packbits(y > 0, axis=1), factor, np.rint(y / step[:, None]).astype(np.int8), step
+    step = np.abs(y).max(axis=1) / 15.99
+    level = 2 * np.floor(y / (2 * step[:, None])).clip(-8, 7).astype(np.int8) + 1
+    sign = np.where(level > 0, 1.0, -1.0)
+    return level, (sign * y).sum(axis=1) / math.sqrt(y.shape[1]), step
 
 
-def plane_sides(unit: np.ndarray, bits: int, count: int) -> np.ndarray:
-    """Packed bits of unit rows: the side of each of ``bits`` random hyperplanes for each draw."""
-    planes = np.random.default_rng([SEED, unit.shape[1]]).normal(size=(bits * count, unit.shape[1]))
-    return np.packbits(unit @ planes.T > 0, axis=1)
+def pack(level: np.ndarray) -> np.ndarray:
+    """Two components a byte."""
+    half = ((level + 15) >> 1).astype(np.uint8)
+    return half[:, 0::2] << 4 | half[:, 1::2]
 
 
-def draws(packed: np.ndarray, bits: int, count: int, dims: int = 0) -> np.ndarray:
-    """(rows, count) 64-bit keys of the draws' bits; vectors of other dimensions have other keys."""
-    plain = np.unpackbits(packed, axis=1, count=bits * count)
+def unpack(packed: np.ndarray) -> np.ndarray:
+    out = np.empty((packed.shape[0], 2 * packed.shape[1]), np.int8)
+    out[:, 0::2], out[:, 1::2] = packed >> 4, packed & 15
+    return 2 * out - 15
+
+
+_planes: dict[tuple[int, int], np.ndarray] = {}
+
+
+def draws(level: np.ndarray, bits: int, count: int) -> np.ndarray:
+    """(rows, count) 64-bit keys: the sides of each draw's hyperplanes, which have whole coefficients; other dimensions have other keys."""
+    size = level.shape[1]
+    if (size, bits * count) not in _planes:
+        _planes[size, bits * count] = np.rint(np.random.default_rng([SEED, size]).normal(size=(bits * count, size)) * 1000).T.copy()
+    sides = level.astype(np.float64) @ _planes[size, bits * count] > 0  # exact: whole numbers far under 2^53
     powers = np.uint64(1) << np.arange(bits, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        keys = np.stack([(plain[:, k * bits : (k + 1) * bits] * powers).sum(axis=1) for k in range(count)], axis=1)
-        return mix(mix(keys + np.uint64(dims << 32)) + np.arange(count, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        keys = np.stack([(sides[:, k * bits : (k + 1) * bits] * powers).sum(axis=1) for k in range(count)], axis=1)
+        return mix(mix(keys + np.uint64(size << 32)) + np.arange(count, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def plan(n: int, threshold: float) -> tuple[int, int]:
     """(bits of a draw, number of draws) for n vectors."""
-    bits = max(3, int(math.log2(max(n, 2))) - 5)
-    agree = 1 - math.acos(threshold) / math.pi
+    bits = max(3, round(math.log2(max(n, 2) / BUCKET)))
+    agree = 1 - math.acos(threshold - BENT) / math.pi
     return bits, math.ceil(math.log(MISS) / math.log(1 - agree**bits))
 
 
-def _upper(codes: np.ndarray, factors: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Upper bounds of the cosines of coded rows with rotated rows."""
-    size = codes.shape[1] * 8
-    signs = (np.unpackbits(codes, axis=1).astype(np.float32) * 2 - 1) / np.float32(math.sqrt(size))
-    estimate = (signs @ others.T) / factors[:, None].astype(np.float32)
-    spread = ERRORS * np.sqrt((1 - factors**2).clip(0) / factors**2 / (size - 1)) + 0.01  # 0.01: the 8 bits
-    return estimate + spread[:, None].astype(np.float32)
-
-
-def candidates(group: dict[str, np.ndarray], threshold: float, bits: int, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of ids of one bucket (or pair of chunks) whose bounds reach the threshold and that meet here first."""
-    own = group["chunk"] == group["pa"]
-    a = np.flatnonzero(own)
-    b = a if group["pa"][0] == group["pb"][0] else np.flatnonzero(~own)
-    if len(a) == 0 or len(b) == 0:
-        return a[:0], a[:0]
-    codes = np.frombuffer(b"".join(group["code"]), np.uint8).reshape(len(own), -1)
-    rotated = np.frombuffer(b"".join(group["q"]), np.int8).reshape(len(own), -1) * group["step"][:, None].astype(np.float32)
-    bound = np.minimum(_upper(codes[a], group["factor"][a], rotated[b]), _upper(codes[b], group["factor"][b], rotated[a]).T)
-    i, j = np.nonzero(bound >= threshold)
-    i, j = a[i], b[j]
-    keep = i < j if b is a else i != j
-    i, j = i[keep], j[keep]
-    if len(i):
-        used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
-        keys = draws(np.frombuffer(b"".join(group["sides"][u] for u in used), np.uint8).reshape(len(used), -1), bits, count)
-        first = _first_common(keys, at[: len(i)], at[len(i) :])
-        here = first == group["draw"][0]
-        i, j = i[here], j[here]
-    return group["id"][i], group["id"][j]
-
-
-def _first_common(keys: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The first draw in which two rows agree, pair by pair, in pieces of bounded size."""
-    return np.concatenate([(keys[x[k : k + 32768]] == keys[y[k : k + 32768]]).argmax(axis=1) for k in range(0, len(x), 32768)])
+class Group:
+    """The rows of one bucket, or of two chunks of it, in a task: ``own`` marks those of the first chunk."""
+
+    def __init__(self, columns: dict[str, np.ndarray]):
+        self.draw = int(columns["draw"][0])
+        self.own = columns["chunk"] == columns["pa"]
+        self.same = columns["pa"][0] == columns["pb"][0]
+        self.left = np.flatnonzero(self.own)
+        self.right = self.left if self.same else np.flatnonzero(~self.own)
+        self.columns = columns
+
+    def bytes_of(self, name: str, kind=np.uint8) -> np.ndarray:
+        return np.frombuffer(b"".join(self.columns[name]), kind).reshape(len(self.own), -1)
+
+    def slabs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(rows, mask of the other rows' order): a bounded number of left rows with all right rows, each pair once."""
+        for k in range(0, len(self.left), SLAB):
+            rows = self.left[k : k + SLAB]
+            later = self.right[None, :] > rows[:, None] if self.same else np.ones((len(rows), len(self.right)), bool)
+            yield rows, later
+
+
+def partners(group: Group, threshold: float) -> np.ndarray:
+    """The rows that have a partner whose bound reaches the threshold."""
+    level = unpack(group.bytes_of("q"))
+    factor, step = (group.columns[n].astype(np.float32) for n in ("factor", "step"))
+    size = level.shape[1]
+    rotated = level * step[:, None]
+    codes = np.where(level > 0, np.float32(1 / math.sqrt(size)), np.float32(-1 / math.sqrt(size)))
+    spread = (ERRORS * np.sqrt((1 - factor**2).clip(0) / factor**2 / (size - 1)) + ROUGH).astype(np.float32)
+    # the bound reaches the threshold where the raw product reaches this
+    least = (threshold - spread) * factor
+    marked = np.zeros(len(level), bool)
+    others = rotated[group.right].T
+    for rows, later in group.slabs():
+        i, j = np.nonzero((codes[rows] @ others >= least[rows, None]) & later)
+        i, j = rows[i], group.right[j]
+        back = np.einsum("ij,ij->i", codes[j], rotated[i]) >= least[j]  # the bound from the other side
+        marked[i[back]] = marked[j[back]] = True
+    return np.flatnonzero(marked)
+
+
+def links(group: Group, threshold: float, bits: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """(linked ids that count in this group, by row; root row of each row in the group's forest)."""
+    x = group.bytes_of("key", np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    square = np.einsum("ij,ij->i", x, x)
+    keys = draws(unpack(group.bytes_of("q")), bits, count)[:, : group.draw]
+    copies = group.columns["copies"]
+    total, root = np.zeros(len(x), np.int64), np.arange(len(x))
+    for rows, later in group.slabs():
+        product = x[rows] @ x[group.right].T
+        linked = (product >= threshold * np.sqrt(square[rows, None] * square[None, group.right])) & later
+        for d in range(group.draw):  # pairs of an earlier draw are not counted again
+            if not linked.any():
+                break
+            linked &= keys[rows, d][:, None] != keys[group.right, d][None, :]
+        total[rows] += linked @ copies[group.right]
+        total[group.right] += linked.T @ copies[rows]
+        i, j = np.nonzero(linked & (root[rows, None] != root[None, group.right]))
+        while len(i):  # hooks of roots, then jumps
+            a, b = root[rows[i]], root[group.right[j]]
+            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+            while (root != root[root]).any():
+                root = root[root]
+            still = root[rows[i]] != root[group.right[j]]
+            i, j = i[still], j[still]
+    return total, root
+
+
+def _in_groups(names: list[str], plain: int, work: Callable[[Group], pa.RecordBatch | None]) -> Callable:
+    """A task's function over sorted rows: ``work`` is called once for each (bucket, pa, pb); the first ``plain`` columns are numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+
+        def groups(t: pa.Table, last: bool) -> Iterator[Group]:
+            nonlocal rest
+            b, x, y = (t[n].to_numpy() for n in names[:3])
+            edges = np.concatenate([[0], np.flatnonzero((b[1:] != b[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1, [len(b)]])
+            rest = None if last else t.slice(edges[-2])
+            numbers = {n: t[n].to_numpy() for n in names[:plain]}
+            for p, q in zip(edges[:-1], edges[1:] if last else edges[1:-1]):
+                if q - p > 1:
+                    yield Group({n: v[p:q] for n, v in numbers.items()} | {n: t[n].slice(p, q - p).to_pylist() for n in names[plain:]})
+
+        for batch in batches:
+            if batch.num_rows:
+                t = pa.Table.from_batches([batch])
+                for group in groups(t if rest is None else pa.concat_tables([rest, t]), False):
+                    yield from work(group)
+        if rest is not None and rest.num_rows:
+            for group in groups(rest, True):
+                yield from work(group)
+
+    return run
 
 
 def similar_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -122,8 +202,10 @@ def similar_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
             keys = [(np.array(v.as_py()) + 0.0).tobytes() for v in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary())], names=["vec_id", "key"])
 
-    keyed = map_arrow(usable, raw, "vec_id long, key binary").distinct()
-    classes = checkpoint(keyed.groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")))
+    one = map_arrow(usable, raw, "vec_id long, key binary").groupBy("vec_id").agg(F.min("key").alias("key"))
+    keyed = checkpoint(one.withColumn("class", F.sha2("key", 256)))
+    classes = keyed.groupBy("class").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
+    classes = checkpoint(classes.join(keyed.select(F.col("vec_id").alias("id"), "key"), "id"))
     bits, count = plan(classes.count(), threshold)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,82 +219,49 @@ def similar_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
                     part = rows[k : k + 2048]
                     x = np.frombuffer(b"".join(keys[r] for r in part), np.float64).reshape(len(part), -1)
                     x = x / np.abs(x).max(axis=1, keepdims=True)
-                    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-                    codes, factor, q, step = encode(unit)
-                    packed = plane_sides(unit, bits, count)
+                    level, factor, step = encode(x / np.linalg.norm(x, axis=1, keepdims=True))
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([ids[r] for r in part], pa.int64()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(factor),
-                            pa.array([c.tobytes() for c in q], pa.binary()), pa.array(step), pa.array([c.tobytes() for c in packed], pa.binary()),
-                            pa.array(list(draws(packed, bits, count, unit.shape[1]).view(np.int64)), pa.list_(pa.int64())),
+                            pa.array([ids[r] for r in part], pa.int64()), pa.array([c.tobytes() for c in pack(level)], pa.binary()), pa.array(factor, pa.float32()),
+                            pa.array(step, pa.float32()), pa.array(list(draws(level, bits, count).view(np.int64)), pa.list_(pa.int64())),
                         ],
-                        names=["id", "code", "factor", "q", "step", "sides", "keys"],
+                        names=["id", "q", "factor", "step", "keys"],
                     )
 
-    coded = checkpoint(map_arrow(classes.select("key", "id"), code, "id long, code binary, factor double, q binary, step double, sides binary, keys array<long>"))
-    placed = coded.select("id", F.posexplode("keys").alias("draw", "bucket"))
-    sizes = placed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    rows = coded.select("id", "code", "factor", "q", "step", "sides", F.posexplode("keys").alias("draw", "bucket")).join(sizes, "bucket")
-    chunks = F.ceil(F.col("size") / CHUNK).cast("int")
+    coded = checkpoint(map_arrow(classes.select("key", "id"), code, "id long, q binary, factor float, step float, keys array<long>"))
+    sizes = coded.select(F.explode("keys").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("size"))
+    large = checkpoint(sizes.where(F.col("size") > CHUNK))  # few: each holds over CHUNK vectors
+    rows = coded.select("id", "q", "factor", "step", F.posexplode("keys").alias("draw", "bucket")).join(large, "bucket", "left")
+    chunks = F.coalesce(F.ceil(F.col("size") / CHUNK).cast("int"), F.lit(1))
     rows = rows.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select("bucket", F.least("chunk", "other").alias("pa"), F.greatest("chunk", "other").alias("pb"), "chunk", "draw", "id", "factor", "step", "code", "q", "sides")
-    rows = rows.repartition("bucket", "pa", "pb").sortWithinPartitions("bucket", "pa", "pb")
-
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["bucket", "pa", "pb", "chunk", "draw", "id", "factor", "step", "code", "q", "sides"]
-        rest: pa.Table | None = None
-
-        def groups(t: pa.Table, last: bool):
-            nonlocal rest
-            b, x, y = (t[n].to_numpy() for n in names[:3])
-            edges = np.concatenate([[0], np.flatnonzero((b[1:] != b[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1, [len(b)]])
-            if not last:
-                rest = t.slice(edges[-2])
-                edges = edges[:-1]
-            numbers = {n: t[n].to_numpy() for n in names[:8]}
-            lists = {n: t[n].to_pylist() for n in names[8:]}
-            for p, q in zip(edges[:-1], edges[1:]):
-                if q - p > 1:
-                    yield {n: v[p:q] for n, v in (numbers | lists).items()}
-
-        def found(t: pa.Table, last: bool):
-            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for group in groups(t, last):
-                a, b = candidates(group, threshold, bits, count)
-                left.append(np.minimum(a, b))
-                right.append(np.maximum(a, b))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
-
-        for batch in batches:
-            if batch.num_rows:
-                t = pa.Table.from_batches([batch])
-                t = t if rest is None else pa.concat_tables([rest, t])
-                rest = None
-                yield found(t, False)
-        if rest is not None and rest.num_rows:
-            yield found(rest, True)
-
-    pairs = map_arrow(rows, pair, "a long, b long")
-    sides = [classes.select(F.col("id").alias(x), F.col("key").alias("k" + x)) for x in "ab"]
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [False] * batch.num_rows
-            for at, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-                x, y = np.frombuffer(x.as_py(), np.float64), np.frombuffer(y.as_py(), np.float64)
-                x, y = x / np.abs(x).max(), y / np.abs(y).max()
-                keep[at] = bool(x @ y >= threshold * math.sqrt((x @ x) * (y @ y)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    joined = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "ka", "kb")
-    links = checkpoint(map_arrow(joined, exact, "a long, b long"))
-    copies = classes.select(F.col("id").alias("y"), "copies")
-    both = links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionAll(links.select(F.col("b").alias("x"), F.col("a").alias("y")))
-    others = both.join(copies, "y").groupBy(F.col("x").alias("id")).agg(F.sum("copies").alias("others"))
-    whole = classes.join(others, "id", "left").join(components(links), "id", "left")
-    whole = whole.select("key", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
-    known = keyed.join(whole, "key").select("vec_id", "n_links", "component_id")
+    place = ["bucket", "pa", "pb", "chunk", "draw"]
+    rows = rows.withColumn("pa", F.least("chunk", "other")).withColumn("pb", F.greatest("chunk", "other"))
+    rows = rows.select(*place, "id", "factor", "step", "q").repartition("bucket", "pa", "pb").sortWithinPartitions("bucket", "pa", "pb")
+
+    def screen(group: Group) -> Iterator[pa.RecordBatch]:
+        if len(group.left) and len(group.right):
+            at = partners(group, threshold)
+            if len(at):
+                columns = [pa.array(group.columns[n][at]) for n in [*place, "id"]] + [pa.array([group.columns["q"][k] for k in at], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*place, "id", "q"])
+
+    found = map_arrow(rows, _in_groups([*place, "id", "factor", "step", "q"], 8, screen), "bucket long, pa int, pb int, chunk int, draw int, id long, q binary")
+    again = checkpoint(found).join(classes.select("id", "copies", "key"), "id")
+    again = again.select(*place, "id", "copies", "q", "key").repartition("bucket", "pa", "pb").sortWithinPartitions("bucket", "pa", "pb")
+
+    def count_links(group: Group) -> Iterator[pa.RecordBatch]:
+        if len(group.left) and len(group.right):
+            total, root = links(group, threshold, bits, count)
+            at = np.flatnonzero(total)
+            ids = group.columns["id"]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(ids[root[at]]), pa.array(total[at])], names=["id", "root", "n"])
+
+    counted = checkpoint(map_arrow(again, _in_groups([*place, "id", "copies", "q", "key"], 7, count_links), "id long, root long, n long"))
+    others = counted.groupBy("id").agg(F.sum("n").alias("others"))
+    whole = classes.select("class", "id", "copies").join(others, "id", "left").join(components(counted, "id", "root"), "id", "left")
+    whole = whole.select("class", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    known = keyed.select("vec_id", "class").join(whole, "class").select("vec_id", "n_links", "component_id")
     out = vectors.select("vec_id").join(known, "vec_id", "left")
     least = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), least.alias("component_id"), F.coalesce(least == F.col("vec_id"), F.lit(True)).alias("kept"))

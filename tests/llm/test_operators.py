@@ -208,7 +208,7 @@ def test_embeddings_missed_pairs_at_any_size():
         a, b = _pairs_at_threshold(rng, 5000, dims)
         for n in (2000, 1_000_000):
             bits, count = embeddings.plan(n, embeddings.THRESHOLD)
-            keys = [embeddings.draws(embeddings.plane_sides(x, bits, count), bits, count, dims) for x in (a, b)]
+            keys = [embeddings.draws(embeddings.encode(x)[0], bits, count) for x in (a, b)]
             assert (~(keys[0] == keys[1]).any(axis=1)).sum() <= 4  # 0.5 expected
 
 
@@ -223,19 +223,47 @@ def test_embeddings_links_of_few_dimensions(spark):
     assert [got[k] for k in range(len(x))] == near.tolist()
 
 
-def test_embeddings_against_all_pairs(spark):
+@pytest.mark.parametrize("chunk", [4096, 16])
+def test_embeddings_against_all_pairs(spark, monkeypatch, chunk):
+    monkeypatch.setattr(embeddings, "CHUNK", chunk)  # small: large buckets meet chunk by chunk
     rng = np.random.default_rng(8)
     base = rng.normal(size=(20, 16))
     vectors = [(base[k % 20] + rng.normal(size=16) * 0.08 * (k % 4)).tolist() for k in range(200)]
     vectors += [vectors[0], None, [], [0.0] * 16, [float("nan")] + [1.0] * 15, [None] + [1.0] * 15, [1.0, 2.0]]
-    df = spark.createDataFrame([(k, v, 0, "c") for k, v in enumerate(vectors)], "vec_id long, embedding array<double>, copies long, code string")
-    got = {r.vec_id: r for r in embeddings.similar_vectors(df).collect()}
+    rows = [(k, v, 0, "c") for k, v in enumerate(vectors)] + [(5, vectors[5], 1, "again"), (None, vectors[0], 1, "no id")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, copies long, key string")
+    out = embeddings.similar_vectors(df).collect()
+    assert len(out) == len(rows) and [tuple(r) for r in out if r.vec_id is None] == [(None, 0, None, True)]
+    got = {r.vec_id: r for r in out}
     u = np.array(vectors[:201])
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     near = u @ u.T >= 0.9
-    assert sum(got[k].n_links for k in range(201)) >= 0.99 * (near.sum() - 201)
-    assert all(got[k].n_links <= near[k].sum() - 1 for k in range(201))
+    links, all_ = sum(got[k].n_links for k in range(201)), int(near.sum() - 201)
+    print(f"recall of links: {links / all_:.4f} of {all_}")
+    assert [got[k].n_links for k in range(201)] == (near.sum(axis=1) - 1).tolist()
+    owner = np.arange(201)
+    for _ in range(201):
+        owner = np.where(near, owner[None], 1000).min(axis=1)
+    assert [got[k].component_id for k in range(201)] == owner.tolist()
     assert all(got[k].n_links == 0 and got[k].kept for k in range(201, 207))
+    assert embeddings.similar_vectors(df.limit(0)).count() == 0
+
+
+def test_embeddings_bounds_hold():
+    """Of pairs at the threshold, hardly any has a bound under it; of unrelated pairs, few reach it."""
+    rng = np.random.default_rng(23)
+    a, b = _pairs_at_threshold(rng, 2000, 64)
+    x = np.concatenate([a, b])
+    level, factor, step = embeddings.encode(x)
+    packed = embeddings.pack(level)
+    assert (embeddings.unpack(packed) == level).all()
+    marked = []
+    for rows in ([k, k + 2000] for k in range(2000)):
+        columns = {"draw": np.zeros(2, int), "chunk": np.zeros(2, int), "pa": np.zeros(2, int), "pb": np.zeros(2, int), "factor": factor[rows], "step": step[rows], "q": [packed[r].tobytes() for r in rows]}
+        marked.append(len(embeddings.partners(embeddings.Group(columns), embeddings.THRESHOLD)) == 2)
+    assert np.mean(marked) >= 0.999
+    columns = {"draw": np.zeros(2000, int), "chunk": np.zeros(2000, int), "pa": np.zeros(2000, int), "pb": np.zeros(2000, int), "factor": factor[:2000], "step": step[:2000], "q": [c.tobytes() for c in packed[:2000]]}
+    assert len(embeddings.partners(embeddings.Group(columns), embeddings.THRESHOLD)) <= 200  # of 2 million pairs
 
 
 def test_licenses(spark):
