@@ -49,6 +49,26 @@ def crc_mod(column: str | Column, modulus: int) -> Column:
     return F.crc32(column.cast("string").cast("binary")) % F.lit(modulus)
 
 
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted`` with as many underscores before it as keep it apart from the columns."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted = "_" + wanted
+    return wanted
+
+
+HOT_SHARE = 10_000  # a key is hot with more than this part of the rows, so there are fewer hot keys than this
+
+
+def join_hot(rows: DataFrame, sizes: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join of rows with one row a key (key, n, ...): hot keys are broadcast, as they are fewer than HOT_SHARE; others shuffle."""
+    hot = sizes.where(F.col("n") * HOT_SHARE > total)
+    cold = sizes.where(F.col("n") * HOT_SHARE <= total).drop("n")
+    near = rows.join(F.broadcast(hot.drop("n")), key)
+    far = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return near.unionByName(far)
+
+
 # ---------------------------------------------------------------- hashing of words and spans
 
 _VALUES = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)

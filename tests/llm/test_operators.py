@@ -63,28 +63,23 @@ def test_substring_against_brute_force(spark):
     shared = "".join(sentence() for _ in range(6))
     texts = [*ODD, *("".join(sentence() for _ in range(4)) + (shared if k % 2 else "") + "".join(sentence() for _ in range(3)) for k in range(6))]
     out = {r.doc_id: r for r in substring.dedup_spans(_docs(spark, texts)).collect()}
-    seen = set()
-    for k, t in enumerate(texts):
-        data = (t or "").encode()
-        edges, before, words = substring.sentences(np.frombuffer(data, np.uint8))
-        first, after, value = substring.runs(before, words, substring.SENTENCES, substring.WORDS)
-        gone = set()
-        for a, b, h in zip(first.tolist(), after.tolist(), value.tolist()):
-            if h in seen:
-                gone |= set(range(a, b))
-            seen.add(h)
-        kept = b"".join(data[edges[i] : edges[i + 1]] for i in range(len(edges) - 1) if i not in gone)
-        assert (out[k].text or "").encode() == (kept if len(edges) > 1 and t and t.split() else data)
+    kept = _repeated_sentences([t or "" for t in texts])
+    assert [(out[k].text or "", out[k].n_removed) for k in range(len(texts))] == kept
     hit = [k for k in out if k >= len(ODD) and out[k].n_removed]
     assert len(hit) == 2 and all(shared[-200:] not in out[k].text for k in hit)
     assert out[0].text is None and out[0].id == "x"
 
 
-def _repeated_sentences(texts, least_sentences=2, least_words=16, lone=24):
-    """Sentences in any run that meets both minima (or is one long sentence) and occurs earlier, from the definition."""
+def _repeated_sentences(texts, least_sentences=2, least_words=16):
+    """Texts without the sentences in any run that meets both minima and occurs earlier, from the definition."""
     first, cut = {}, []
     for k, t in enumerate(texts):
-        parts = [p for p in re.split(r"(?<=\n)|(?<=[.!?] )", t) if p]
+        parts = []
+        for p in re.split(r"(?<=\n)|(?<=[.!?][ \t\x0b\x0c\r])", t):
+            if parts and (not p.strip() or not parts[-1].strip()):
+                parts[-1] += p  # pieces without words join the one before, leading ones the first sentence
+            else:
+                parts.append(p)
         words = [tuple(p.lower().split()) for p in parts]
         cut.append((parts, words))
         for i in range(len(words)):
@@ -96,7 +91,7 @@ def _repeated_sentences(texts, least_sentences=2, least_words=16, lone=24):
         for i in range(len(words)):
             for j in range(i + 1, len(words) + 1):
                 n = sum(map(len, words[i:j]))
-                if (j - i >= least_sentences and n >= least_words or j - i == 1 and n >= lone) and first[tuple(words[i:j])] < (k, i):
+                if j - i >= least_sentences and n >= least_words and first[tuple(words[i:j])] < (k, i):
                     gone |= set(range(i, j))
         kept.append(("".join(p for i, p in enumerate(parts) if i not in gone), len(gone)))
     return kept
@@ -313,3 +308,22 @@ def test_range_coder(n):
     for ids in (rng.integers(0, 1 << 16, n), np.full(n, 7), rng.zipf(1.3, n) % 50257):
         coded = tokenbin.encode_block(ids)
         assert (tokenbin.decode_block(coded, n) == ids).all()
+
+
+def test_substring_defined_cases(spark):
+    rng = random.Random(12)
+    shared = " ".join(_words(rng, 9) + "." for _ in range(3))
+    other = " ".join(_words(rng, 9) + "." for _ in range(3))
+    schema = "doc_id long, text string, doc long, h long, at string, n_removed int, N_Sentences int, mark_places string, `__starts` int, n_chars int"
+    extra = (1, 2, "a", 3, 4, "p", 5, 7)
+    rows = [(1, shared, *extra), (2, other + "\n" + shared, *extra), (2, other + "\n" + shared, *extra), (None, shared, *extra), (3, None, *extra), (4, "", *extra), (5, other, *extra), (5, other + "\n" + other, *extra)]
+    df = spark.createDataFrame(rows, schema)
+    out = [tuple(r) for r in substring.stage(spark, df, "").collect()]
+    hashes = {r.text: r.t for r in df.selectExpr("text", "xxhash64(text) AS t").collect()}
+    assert all(r[2:9] == extra[:7] for r in out)
+    got = sorted(((r[0], r[1]) for r in out), key=str)
+    left = other + "\n"  # of document 2, which is before document 5
+    assert sorted(got, key=str) == sorted([(1, shared), (2, left), (2, left), (None, shared), (3, None), (4, ""), (5, ""), (5, "")], key=str), hashes
+    figures = substring.dedup_spans(df)
+    assert figures.columns[-2:] == ["n_sentences", "n_removed"] and len({c.lower() for c in figures.columns}) == len(figures.columns)
+    assert substring.dedup_spans(df.limit(0)).count() == 0
