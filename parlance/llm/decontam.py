@@ -6,10 +6,11 @@ placeholder, one token for one token, in two forms: with the capitalised words i
 sentence, and with those at its start as well.  A pair found in either form is found.
 Windows of ``WINDOW`` template tokens of the benchmark are hash-joined with all windows of
 the documents.  Documents with a hit are looked at again: their windows are joined with
-the windows of the items, each at the place in the document whose distance to the item most
-windows share, and what stands in the slots of the two sides is compared.  An item is found
-in a document if at least ``COVER`` of its windows match and its slots are consistent, that is,
-at least ``AGREE`` of the item's slot values always meet one and the same value there.
+the windows of the items, and what stands in the slots of the two sides is compared.  Places at
+one distance to the item are an occurrence; it is consistent if at least ``AGREE`` of the item's slot
+values always meet one and the same value there.  An item is found in a document if ``COVER`` of its windows
+match in one consistent occurrence, or in several together (words put in or left out): then each
+window lies in the largest occurrence that has it, and all slots together are consistent.
 
 Items shorter than a window are one window of their own length.  Their words are compared too,
 and their templates only where ``COVER`` of the tokens are words or the document is that long.
@@ -129,26 +130,34 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, cover: f
         brief = found.where(F.col("width") < width)
         brief = brief.join(small(telling), ["item_id", "form", "width"], "left_semi").unionByName(brief.join(whole, ["doc_id", "form", "width"], "left_semi")).distinct()
         found = found.where(F.col("width") == width).unionByName(brief)
-    # one place in the document for each window of an item: where most windows of the item lie as in the item
-    shared = F.count("*").over(Window.partitionBy(*pair, F.col("doc_at") - F.col("item_at")))
-    found = found.withColumn("rank", F.struct((-shared).alias("n"), F.col("doc_at").alias("doc_at")))
-    found = checkpoint(found.groupBy(*pair, "item_at").agg(F.min("rank").alias("rank")).select(*pair, "item_at", "rank.doc_at"))
     counts = item_windows.groupBy("item_id", "form", "width").agg((F.max("item_at") + 1).cast("long").alias("n_windows"))
-    covers = found.groupBy(*pair).agg(F.count("*").alias("n_hit")).join(small(counts), ["item_id", "form", "width"])
-    covers = checkpoint(covers.where(F.col("n_hit") >= cover * F.col("n_windows")))
+    most = found.groupBy(*pair).agg(F.count_distinct("item_at").alias("n")).join(small(counts), ["item_id", "form", "width"])
+    most = most.where(F.col("n") >= cover * F.col("n_windows")).select(*pair, "n_windows")
+    found = checkpoint(found.select(*pair, "item_at", "doc_at").join(most, pair).withColumn("off", F.col("doc_at") - F.col("item_at")))
 
     # slots: pairs (value in the item, value in the document) of the matched windows
     cut = lambda at: F.transform(
         F.filter(F.arrays_zip(F.slice("words", F.col(at) + 1, F.col("width")).alias("w"), F.slice("kinds", F.col(at) + 1, F.col("width")).alias("k")), lambda x: (F.col("form") != "words") & x["k"].startswith("_")), lambda x: x["w"]
     )
-    pairs = found.join(covers.select(*pair), pair, "left_semi")
-    pairs = pairs.join(small(items.select("item_id", "form", "words", "kinds")), ["item_id", "form"]).select(*pair, "doc_at", cut("item_at").alias("ours"))
-    pairs = pairs.where(F.size("ours") > 0).join(again, ["doc_id", "form"]).select(*pair, "ours", cut("doc_at").alias("theirs"))
-    slots = pairs.select(*pair, F.explode(F.arrays_zip("ours", "theirs")).alias("s")).select(*pair, "s.ours", "s.theirs")
-    each = slots.groupBy(*pair, "ours").agg((F.min("theirs") == F.max("theirs")).alias("same"))
-    agreed = each.groupBy(*pair).agg(F.count("*").alias("n_slots"), F.sum(F.col("same").cast("long")).alias("n_consistent"))
-    out = covers.join(agreed, pair, "left").na.fill(0, ["n_slots", "n_consistent"]).where(F.col("n_consistent") >= agree * F.col("n_slots"))
+    pairs = found.join(small(items.select("item_id", "form", "words", "kinds")), ["item_id", "form"]).select(*pair, "off", "item_at", "doc_at", cut("item_at").alias("ours"))
+    pairs = pairs.where(F.size("ours") > 0).join(again, ["doc_id", "form"]).select(*pair, "off", "item_at", "ours", cut("doc_at").alias("theirs"))
+    slots = checkpoint(pairs.select(*pair, "off", "item_at", F.explode(F.arrays_zip("ours", "theirs")).alias("s")).select(*pair, "off", "item_at", "s.ours", "s.theirs"))
+
+    def agreed(places: DataFrame, values: DataFrame, by: list[str]) -> DataFrame:
+        """Places counted by ``by``, with how many slot values of the item meet one and the same value in each of them."""
+        each = values.groupBy(*by, "ours").agg((F.min("theirs") == F.max("theirs")).alias("same"))
+        each = each.groupBy(*by).agg(F.count("*").alias("n_slots"), F.sum(F.col("same").cast("long")).alias("n_consistent"))
+        out = places.groupBy(*by, "n_windows").agg(F.count("*").alias("n_hit"), F.min("doc_at").alias("first")).join(each, by, "left").na.fill(0, ["n_slots", "n_consistent"])
+        return out.where(F.col("n_consistent") >= agree * F.col("n_slots"))
+
+    # an occurrence is what lies in the document as in the item; decoys, whose slots disagree, go before places are chosen
+    occurrences = checkpoint(agreed(found, slots, [*pair, "off"]))
+    rank = F.row_number().over(Window.partitionBy(*pair, "item_at").orderBy(F.desc("hits"), "first", "off"))
+    chosen = found.join(occurrences.select(*pair, "off", F.col("n_hit").alias("hits"), "first"), [*pair, "off"])
+    chosen = checkpoint(chosen.withColumn("rank", rank).where("rank = 1").select(*pair, "n_windows", "off", "item_at", "doc_at"))
+    merged = agreed(chosen, slots.join(chosen.select(*pair, "off", "item_at"), [*pair, "off", "item_at"], "left_semi"), pair)
     figures = ["n_windows", "n_hit", "n_slots", "n_consistent"]
+    out = occurrences.select(*pair, *figures).unionByName(merged.select(*pair, *figures)).where(F.col("n_hit") >= cover * F.col("n_windows"))
     best = F.max(F.struct((F.col("n_hit") / F.col("n_windows")).alias("part"), *figures)).alias("best")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", *[f"best.{x}" for x in figures])
 
@@ -172,9 +181,13 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without those that hold a benchmark item."""
-    found = matches(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Documents without those that hold a benchmark item.
+
+    Null and empty texts and rows with a null id stay; of rows of one id all go if one of their texts holds
+    an item; repeated rows stay or go together; extra columns pass through, whatever their names.
+    """
+    found = matches(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(found, docs.doc_id.cast("long") == found.doc_id, "left_anti")
 
 
 QUERIES = {"op8_decontaminate": op8_decontaminate}
