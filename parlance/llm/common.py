@@ -15,13 +15,15 @@ PIECE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (``spark.checkpoint.dir``); a temporary one where unset."""
+    """The shared folder of the cluster (``spark.checkpoint.dir``); where it is unset, a temporary one, in local mode only."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where
     sc = spark.sparkContext
     where = sc.getCheckpointDir()
     if where is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="parlance-ckpt-"))
         where = sc.getCheckpointDir()
     return where
@@ -57,6 +59,20 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def one_text(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(rows, others) of documents (doc_id, text): of an id with several texts only rows of that with the smallest hash stay.
+
+    ``others`` are the rows left out, None if there are none; a null id stays.
+    """
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("h")).where("doc_id is not null")
+    twice = hashed.groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select(F.col("doc_id").alias("twice"), "low")
+    twice = checkpoint(twice)
+    if twice.isEmpty():
+        return docs, None
+    other = (F.col("doc_id") == F.col("twice")) & (F.xxhash64("text") != F.col("low"))
+    return docs.join(twice, other, "left_anti"), docs.join(twice, other, "left_semi")
+
+
 HOT_SHARE = 10_000  # a key is hot with more than this part of the rows, so there are fewer hot keys than this
 
 

@@ -13,7 +13,8 @@ and a pair that differs in too many has no link.  Each comparison counts the who
 
 Defined results: null or empty texts and texts of white space have no shingles, link with
 nothing and are kept; a null id links with nothing, has a null component and is kept;
-repeated rows of one id are one document and each row is returned.  Extra columns are ignored.
+repeated rows of one id are one document and each row is returned; of several texts of one id that with
+the smallest hash is the document, and the id's other rows are returned with its result.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,12 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import map_arrow
-from .common import checkpoint, components, mix, shingle_set, table
+from .common import checkpoint, components, mix, one_text, shingle_set, table
 
 CIRCLE = 1 << 20
 BANDS, ROWS = 25, 4  # a pair of similarity 0.8 is missed with probability (1 - 0.8 ** 4) ** 25 = 2e-6
 SKETCH = 512  # bits
 GROWTH = 4  # of the number of pivots of a band, from round to round
+SALT = 1024  # classes of a band that meet its pivots in one task
 
 _second: np.ndarray | None = None
 
@@ -112,6 +114,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int =
     shingle sets; component_id is the smallest id that links reach.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs, others = one_text(docs)
     signed = checkpoint(signatures(docs, n, bands, rows))
     named = signed.where("n_shingles > 0 and doc_id is not null")
     classes = checkpoint(
@@ -128,7 +131,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int =
     least = classes.join(owner, "id", "left").select("set_key", F.coalesce("component_id", "id").alias("component_id"))
     out = signed.join(least, "set_key", "left")
     whole = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", whole.alias("component_id"), F.coalesce(whole == F.col("doc_id"), F.lit(True)).alias("kept"))
+    out = out.select("doc_id", "n_shingles", whole.alias("component_id"), F.coalesce(whole == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return out if others is None else out.unionByName(others.select("doc_id").join(out.dropDuplicates(["doc_id"]), "doc_id"))
 
 
 def _linked(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -144,16 +148,17 @@ def _linked(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         live = live.join(state.where("c0 <> c1").select("band", "size", "first"), "band")
         share = F.greatest(F.lit(1), F.floor(F.col("size") / pivots))
         chosen = (F.col("id") == F.col("first")) | F.lit(pivots > 1) & (F.pmod(F.xxhash64("band", "id", F.lit(pivots)), share) == 0)
-        live = checkpoint(live.select("band", "id", "n", "sketch", "c", chosen.alias("pivot")))
+        salts = F.ceil(F.col("size") / SALT).cast("int")  # a large band is spread, its few pivots are repeated
+        live = checkpoint(live.select("band", "id", "n", "sketch", "c", chosen.alias("pivot"), salts.alias("salts"), F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt")))
         if live.isEmpty():
             break
-        hub = live.where("pivot").select("band", F.col("id").alias("pid"), F.col("n").alias("pn"), F.col("sketch").alias("ps"), F.col("c").alias("pc"))
+        hub = live.where("pivot").select("band", F.col("id").alias("pid"), F.col("n").alias("pn"), F.col("sketch").alias("ps"), F.col("c").alias("pc"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
         near = (F.col("c") != F.col("pc")) & (F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent)
         differ = sum((F.bit_count(F.col("sketch")[k].bitwiseXOR(F.col("ps")[k])) for k in range(SKETCH // 64)), F.lit(0))
         near = near & (differ * (100 + percent) <= (F.col("n") + F.col("pn")) * (100 - percent))
         swap = F.col("pid") < F.col("id")
         first, second = F.struct(F.col("pid").alias("a"), F.col("pc").alias("ca")), F.struct(F.col("id").alias("a"), F.col("c").alias("ca"))
-        ends = live.join(hub, "band").where(near).select(F.when(swap, first).otherwise(second).alias("x"), F.when(swap, second).otherwise(first).alias("y"))
+        ends = live.join(hub, ["band", "salt"]).where(near).select(F.when(swap, first).otherwise(second).alias("x"), F.when(swap, second).otherwise(first).alias("y"))
         pairs = ends.selectExpr("x.a AS a", "y.a AS b", "x.ca AS ca", "y.ca AS cb").distinct()
         found = checkpoint(_verified(pairs, sets, percent))
         live = live.where(~F.col("pivot")).select("band", "id", "n", "sketch", "c")
@@ -181,9 +186,13 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, that with the smallest id, of each group of near copies (five-word shingles)."""
-    gone = near_duplicates(docs, n=5, percent=80).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """Keep one document, that with the smallest id, of each group of near copies (five-word shingles).
+
+    Null and empty texts and rows with a null id stay; repeated rows of a kept id all stay, and of an id with
+    several texts all rows stay or go by the text with the smallest hash; extra columns pass through, whatever their names.
+    """
+    gone = near_duplicates(docs, n=5, percent=80).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, docs.doc_id.cast("long") == gone.gone, "left_anti")
 
 
 #: DuckDB: all pairs of 2-word shingle sets by an inverted list, then reachability.

@@ -10,7 +10,7 @@ Rows whose fold (crc32 of the id, modulo 3) is 0 fit the ridge, fold 2 the calib
 is held out.  All labelled rows of these folds are used.
 
 Defined results: null and empty texts have the statistics of an empty text and get a score;
-null labels are ignored, repeated labels of one document count once (the largest); without
+null labels are ignored, repeated labels of one document count once (the largest), as do repeated rows of one id and text; without
 usable labels every score is 0.5, with labels of one class only it is that class's calibrated
 rate; a null doc_id is scored and is not held out.  Extra columns are ignored.
 """
@@ -94,15 +94,15 @@ def statistics(text: str | None) -> np.ndarray:
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
-    """(doc_id, stats array<double>) of documents (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """(doc_id, t, stats array<double>) of documents (doc_id, text); t is a hash of the text."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("t"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [statistics(x.as_py()) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64()))], names=["doc_id", "stats"])
+            found = [statistics(x.as_py()) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.float64()))], names=["doc_id", "t", "stats"])
 
-    return map_arrow(docs, run, "doc_id long, stats array<double>")
+    return map_arrow(docs, run, "doc_id long, t long, stats array<double>")
 
 
 class Model:
@@ -150,7 +150,7 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model:
     """A model from (doc_id, stats) and labels (doc_id, quality); only bounded sums reach the driver."""
     truth = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("double").alias("y"))
     fold = crc_mod("doc_id", 3)
-    rows = checkpoint(stats.dropDuplicates(["doc_id"]).join(truth, "doc_id").withColumn("fold", fold).where("fold <> 1"))
+    rows = checkpoint(stats.dropDuplicates(["doc_id", "t"]).join(truth, "doc_id").withColumn("fold", fold).where("fold <> 1"))
     width = len(NAMES)
     one = rows.where("fold = 0").agg(*[g(F.col("stats")[i]).alias(f"{k}{i}") for i in range(width) for k, g in (("m", F.avg), ("s", F.stddev_pop))]).first()
     value = lambda k: np.array([one[f"{k}{i}"] or 0.0 for i in range(width)])
@@ -188,18 +188,18 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model:
     return model
 
 
-def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every document, learnt from labels of the folds 0 and 2."""
+def scores(docs: DataFrame, labels: DataFrame, hashed: bool = False) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every document, learnt from labels of the folds 0 and 2; with ``hashed`` also t, a hash of the text."""
     stats = checkpoint(with_statistics(docs))
     model = fit(stats.where("doc_id is not null"), labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             value = np.clip(model.score(_matrix(batch, "stats")), 0.0, 1.0) if batch.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(value)], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(value)], names=["doc_id", "t", "score"])
 
-    out = map_arrow(stats, run, "doc_id long, score double")
-    return out.select("doc_id", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    out = map_arrow(stats, run, "doc_id long, t long, score double")
+    return out.select("doc_id", *["t"][: int(hashed)], F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,9 +207,13 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without those that the classifier rejects (score under 0.5)."""
-    rejected = scores(docs, table(spark, sf_dir, "labels")).where("predicted = 0").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    """Documents without those that the classifier rejects (score under 0.5).
+
+    Null and empty texts are scored like others; a row with a null id stays; repeated rows of one text stay or go
+    together, rows of one id and different texts each by their own score; extra columns pass through, whatever their names.
+    """
+    rejected = scores(docs, table(spark, sf_dir, "labels"), hashed=True).where("predicted = 0").select(F.col("doc_id").alias("gone"), "t").distinct()
+    return docs.join(rejected, (docs.doc_id.cast("long") == rejected.gone) & (F.xxhash64(docs.text.cast("string")) == rejected.t), "left_anti")
 
 
 QUERIES = {"op5_quality": op5_quality}
