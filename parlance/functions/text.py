@@ -11,7 +11,7 @@ from ..settings import DEFAULT, Settings
 
 # fixed values: patterns, flags and weights that must be these for right results
 TOKEN = r"[\p{L}\p{N}_\x{0600}-\x{06ff}]+"
-DIACRITICS = "[ؐ-ًؚ-ٰٟۖ-ۭ]"
+DIACRITICS = "[\\u0610-\\u061a\\u064b-\\u065f\\u0670\\u06d6-\\u06dc\\u06df-\\u06e8\\u06ea-\\u06ed]"
 ALEFS, ALEF = "آأإٱ", "ا"
 MAQSURA, YEH = "ى", "ي"
 HIGH_RISK = ["abnormally_high_word_rate", "decode_disagreement", "low_average_log_probability", "overlapping_speech", "repeated_ngram", "suspicious_character_sequence"]
@@ -130,14 +130,17 @@ def character_error_rate(reference: Column, hypothesis: Column) -> Column:
 
 
 def token_distance(a: Column, b: Column) -> Column:
-    """Edit distance of token lists; null beyond 6,400 distinct tokens in a pair.
+    """Edit distance of token lists.
 
-    The distinct tokens of the pair are numbered and written as private-use characters, so
-    that the built-in edit distance of strings counts tokens.
+    The distinct tokens of the pair are numbered and written as characters of the supplementary planes
+    (surrogates are left out), so that the built-in edit distance of strings counts tokens; a pair has room for a
+    million distinct tokens, and more are an error.
     """
     known = F.array_distinct(F.concat(a, b))
-    chars = lambda xs: F.array_join(F.transform(xs, lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, t) + 57343), 4, "0")), "UTF-16BE")), "")
-    return F.when(F.size(known) <= 6400, F.levenshtein(chars(a), chars(b)))
+    code = lambda t: F.array_position(known, t) + 0xFFFF
+    chars = lambda xs: F.array_join(F.transform(xs, lambda t: F.decode(F.unhex(F.lpad(F.hex(code(t)), 8, "0")), "UTF-32")), "")
+    room = F.when(F.size(known) > 1_000_000, F.raise_error(F.lit("over a million distinct tokens in a pair")).cast("int"))
+    return F.coalesce(room, F.levenshtein(chars(a), chars(b)))
 
 
 def error_rates(predicted: Column, gold: Column) -> tuple[Column, Column]:
@@ -168,16 +171,24 @@ def weighted_logprob(segments: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def media_key(path: Column) -> Column:
-    stem = F.regexp_replace(F.regexp_extract(path, r"([^/\\]*?)(\.[^./\\]*)?$", 1), r"[^A-Za-z0-9_.\-\x{0600}-\x{06ff}]", "_")
-    return F.coalesce(F.nullif(F.btrim(stem, F.lit("._")), F.lit("")), F.substring(F.sha2(path, 256), 1, 12))
+    """The stem of a path with runs of other characters as one underscore; a digest of the path if nothing is left."""
+    name = F.regexp_extract(path, r"([^/]*)/*$", 1)
+    stem = F.when(name.rlike(r"^.+\.[^.]+$"), F.regexp_replace(name, r"\.[^.]+$", "")).otherwise(name)
+    clean = F.btrim(F.regexp_replace(stem, r"[^A-Za-z0-9_.\-\x{0600}-\x{06ff}]+", "_"), F.lit("._"))
+    return F.coalesce(F.nullif(clean, F.lit("")), F.substring(F.sha2(path, 256), 1, 12))
+
+
+def _safe(name: Column, longest: int, other: str) -> Column:
+    clean = F.btrim(F.regexp_replace(F.trim(name), r"[^A-Za-z0-9._\-]+", "_"), F.lit("._"))
+    return F.coalesce(F.nullif(F.substring(clean, 1, longest), F.lit("")), F.lit(other))
 
 
 def safe_filename(name: Column) -> Column:
-    return F.coalesce(F.nullif(F.substring(F.btrim(F.regexp_replace(name, r"[^A-Za-z0-9_.\-]+", "_"), F.lit("._")), 1, 180), F.lit("")), F.lit("media.bin"))
+    return _safe(F.regexp_extract(name, r"([^/]*)/*$", 1), 180, "media.bin")
 
 
 def slug(name: Column) -> Column:
-    return F.coalesce(F.nullif(F.substring(F.btrim(F.regexp_replace(F.lower(name), r"[^a-z0-9]+", "-"), F.lit("-")), 1, 80), F.lit("")), F.lit("dataset"))
+    return _safe(name, 80, "dataset")
 
 
 def stable_id(parts: list[Column], length: int) -> Column:

@@ -9,17 +9,17 @@ from ..functions.text import cosine
 from ..settings import DEFAULT, Settings
 
 
-def prototypes(vectors: DataFrame, key: str) -> DataFrame:
-    """(key, centroid): the mean vector by key; components meet in one aggregate with partial sums."""
-    parts = vectors.where("embedding is not null").select(key, F.posexplode("embedding").alias("i", "x"))
-    means = parts.groupBy(key, "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+def prototypes(vectors: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, centroid): the mean vector by key; components meet in one aggregate with partial sums."""
+    parts = vectors.where("embedding is not null").select(*keys, F.posexplode("embedding").alias("i", "x"))
+    means = parts.groupBy(*keys, "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda r: r["m"])
-    return means.groupBy(key).agg(ordered.alias("centroid"))
+    return means.groupBy(*keys).agg(ordered.alias("centroid"))
 
 
-def similarities(detected: DataFrame, references: DataFrame) -> DataFrame:
-    """(detected, reference, similarity); both sides have a few rows, one a voice."""
-    return detected.crossJoin(references).select("detected", "reference", cosine(F.col("d_vec"), F.col("r_vec")).alias("similarity"))
+def similarities(detected: DataFrame, references: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, detected, reference, similarity) of the voices of each source."""
+    return detected.join(references, keys).select(*keys, "detected", "reference", cosine(F.col("d_vec"), F.col("r_vec")).alias("similarity"))
 
 
 def choose_mapping(similarity: DataFrame, keys: list[str], s: Settings = DEFAULT) -> DataFrame:

@@ -26,21 +26,26 @@ def sidecar_problems(alignments: DataFrame, durations: DataFrame) -> DataFrame:
 
 
 def clip_verdicts(clips: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """``status`` and sorted ``reasons`` of one wide row a clip; see the column names below, null counts as absent."""
+    """``status`` and sorted ``reasons`` of one wide row a clip; see the column names below, null counts as absent.
+
+    A missing or unreadable file (``problem`` wav_missing, json_missing or wav_unreadable) is the only reason of its clip.
+    """
     c = lambda name, other=0.0: F.coalesce(F.col(name), F.lit(other))
     ratio = lambda n: F.when(c("total_words") > 0, c(n) / c("total_words")).otherwise(0.0)
     low, unsure = ratio("low_confidence_words"), ratio("uncertain_words")
     clipping = F.greatest(c("left_clipping"), c("right_clipping"))
     rest = c("overlap_ratio") * F.greatest(F.lit(0.0), 1.0 - c("separation_coverage"))
     incomplete = (c("overlap_ratio") > s.max_overlap) & (c("separation_coverage") < 0.95)
+    stereo = c("channels", 0) == 2
     reject = [
-        ("wav_not_stereo", c("channels", 0) != 2),
+        ("wav_not_stereo", ~stereo),
+        ("channel_count_mismatch", ~stereo),
         ("wrong_sample_rate", c("sample_rate", 0) != CLOCK),
         ("invalid_duration", c("duration") <= 0),
-        ("left_channel_silent", c("left_rms") == 0),
-        ("right_channel_silent", c("right_rms") == 0),
-        ("channel_silence_ratio_above_reject_threshold", F.greatest(c("left_silence"), c("right_silence")) > s.channel_silence),
-        ("clipping_ratio_above_reject_threshold", clipping > s.clipping_reject),
+        ("left_channel_silent", stereo & (c("left_rms") == 0)),
+        ("right_channel_silent", stereo & (c("right_rms") == 0)),
+        ("channel_silence_ratio_above_reject_threshold", stereo & (F.greatest(c("left_silence"), c("right_silence")) > s.channel_silence)),
+        ("clipping_ratio_above_reject_threshold", stereo & (clipping > s.clipping_reject)),
         ("overlap_separation_incomplete", incomplete),
         ("overlap_ratio_above_reject_threshold", ~incomplete & (rest > s.max_overlap)),
         ("low_confidence_ratio_above_reject_threshold", low > s.low_confidence_reject),
@@ -48,10 +53,11 @@ def clip_verdicts(clips: DataFrame, s: Settings = DEFAULT) -> DataFrame:
         ("unresolved_transcript_hallucination", c("unresolved") > 0),
     ]
     review = [
-        ("clipping_ratio_above_warning_threshold", (clipping <= s.clipping_reject) & (clipping > s.clipping_review)),
-        ("possible_right_channel_leakage", c("right_leakage") > s.leakage_review),
-        ("possible_left_channel_leakage", c("left_leakage") > s.leakage_review),
-        ("possible_swapped_channels", c("swapped", False)),
+        ("clipping_ratio_above_warning_threshold", stereo & (clipping <= s.clipping_reject) & (clipping > s.clipping_review)),
+        ("possible_right_channel_leakage", stereo & (c("right_leakage") > s.leakage_review)),
+        ("possible_left_channel_leakage", stereo & (c("left_leakage") > s.leakage_review)),
+        ("possible_swapped_channels", stereo & c("swapped", False)),
+        ("possible_swapped_or_missing_left_channel", stereo & (c("left_energy") < c("right_energy") * 1e-4)),
         ("separated_overlap_requires_review", c("separation_used", False)),
         ("overlap_ratio_above_warning_threshold", ~incomplete & (rest <= s.max_overlap) & (rest > s.warn_overlap)),
         ("unaligned_words_present", c("unaligned_words") > 0),
@@ -61,10 +67,12 @@ def clip_verdicts(clips: DataFrame, s: Settings = DEFAULT) -> DataFrame:
         ("transcript_to_audio_duration_inconsistency", F.abs(F.col("duration") - F.col("expected_duration")) > 1.0 / CLOCK + 1e-9),
     ]
     named = lambda rules: F.array_compact(F.array(*[F.when(r, F.lit(n)) for n, r in rules]))
-    extra = F.coalesce("sidecar_reasons", F.array().cast("array<string>"))
-    bad = F.concat(named(reject), extra)
-    reasons = F.array_sort(F.array_distinct(F.concat(bad, named(review))))
-    return clips.withColumn("status", F.when(F.size(bad) > 0, "REJECT").when(F.size(reasons) > 0, "REVIEW").otherwise("PASS")).withColumn("reasons", reasons)
+    sidecar = F.coalesce("sidecar_reasons", F.array().cast("array<string>"))
+    bad = F.concat(named(reject), F.array_remove(sidecar, "unexpected_alignment_speaker"))
+    reasons = F.array_sort(F.array_distinct(F.concat(bad, sidecar, named(review))))
+    lost = F.col("problem").isNotNull()
+    status = F.when(lost | (F.size(bad) > 0), "REJECT").when(F.size(reasons) > 0, "REVIEW").otherwise("PASS")
+    return clips.withColumn("status", status).withColumn("reasons", F.when(lost, F.array("problem")).otherwise(reasons))
 
 
 def worse(a: str, b: str):
@@ -152,3 +160,10 @@ def annotation_problems(activities: DataFrame, references: DataFrame, excluded:
     length = F.col(E) - F.col(S)
     odd = references.select("source_id", F.when(length < 36_000, F.format_string("speaker_reference_too_short:%s", F.col("id").cast("string"))).when(length > 360_000, F.format_string("speaker_reference_too_long:%s", F.col("id").cast("string"))).alias("problem")).where("problem is not null")
     return twice.unionByName(outside).unionByName(clash).unionByName(many).unionByName(odd)
+
+
+def reject_empty(clips: DataFrame) -> DataFrame:
+    """Clips without an aligned word (``n_alignments``) are rejected, whatever their verdict was."""
+    none = F.coalesce("n_alignments", F.lit(0)) == 0
+    reasons = F.when(none, F.array_sort(F.array_union("reasons", F.array(F.lit("missing_assistant_alignment"))))).otherwise(F.col("reasons"))
+    return clips.withColumn("status", F.when(none, "REJECT").otherwise(F.col("status"))).withColumn("reasons", reasons)

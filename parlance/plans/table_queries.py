@@ -65,16 +65,14 @@ def f1_normalized(spark, sf):
 
 
 def f8_character_error_rate(spark, sf):
-    """Every benchmark item against the start of the item after it, ASCII letters only."""
-    plain = F.regexp_replace("text", "[^A-Za-z ]", "")
-    b = D.table(spark, sf, "benchmark").select("item_id", plain.alias("t"))
+    """Every benchmark item against the item after it."""
+    b = D.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("t"))
     other = b.select((F.col("item_id") - 1).alias("item_id"), F.col("t").alias("o"))
     return b.join(other, "item_id").select("item_id", T.character_error_rate(F.col("t"), F.col("o")).alias("cer"))
 
 
 def a11_error_rates(spark, sf):
-    plain = F.regexp_replace("text", "[^A-Za-z ]", "")
-    b = D.table(spark, sf, "benchmark").select("item_id", plain.alias("t"))
+    b = D.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("t"))
     other = b.select((F.col("item_id") - 1).alias("item_id"), F.col("t").alias("o"))
     wer, cer = T.error_rates(F.col("o"), F.col("t"))
     return b.join(other, "item_id").select("item_id", wer.alias("wer"), cer.alias("cer"))
@@ -86,15 +84,25 @@ def _utterances(spark, sf):
     flags = F.array_compact(F.array(F.when(F.col("toxic") == 1, F.lit("decode_disagreement")), F.when(F.col("doc_id") % 7 == 0, F.lit("repeated_ngram"))))
     return d.select(
         F.col("source").alias("source_id"), F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 3 == 0, "A").when(F.col("doc_id") % 3 == 1, "B").alias("speaker"), F.lit("A").alias("assistant"),
-        F.when(F.col("doc_id") % 5 < 3, "A").otherwise("B").alias("model_speaker"), F.substring(F.regexp_replace("text", "[^A-Za-z ]", ""), 1, 40).alias("text"),
-        F.substring(F.regexp_replace("text", "[^A-Za-z ]", ""), 3, 40).alias("model_text"), flags.alias("quality_flags"),
+        F.when(F.col("doc_id") % 5 < 3, "A").otherwise("B").alias("model_speaker"), "text", flags.alias("quality_flags"),
         F.when(F.col("doc_id") % 4 == 0, "unaligned").otherwise("aligned").alias("alignment_status"), F.coalesce(F.col("quality") == 1, F.lit(False)).alias("human_verified"),
         (F.col("doc_id") * 1000).alias("start_sample"), (F.col("doc_id") * 1000 + 900).alias("end_sample"), F.when(F.col("quality") == 1, "approve").when(F.col("quality") == 0, "reject").alias("decision"),
     )
 
 
+def _spoken(spark, sf):
+    """Turns of conversations as utterances of twenty sources; the model's text has lost some letters."""
+    n = F.col("conv_id") + F.col("turn")
+    flags = F.array_compact(F.array(F.when(n % 6 == 0, F.lit("decode_disagreement")), F.when(F.col("turn") % 7 == 0, F.lit("repeated_ngram"))))
+    return D.table(spark, sf, "conversations").select(
+        (F.col("conv_id") % 20).alias("source_id"), "conv_id", "turn", F.when(F.col("role") == "assistant", "A").when(F.col("role") == "user", "B").alias("speaker"), F.lit("A").alias("assistant"),
+        F.when(F.col("turn") % 5 < 3, "A").otherwise("B").alias("model_speaker"), "text", F.regexp_replace("text", "(?i)th", "t").alias("model_text"), flags.alias("quality_flags"),
+        F.when(n % 4 == 0, "unaligned").otherwise("aligned").alias("alignment_status"), (n % 2 == 0).alias("human_verified"),
+    )
+
+
 def a5_dashboard(spark, sf):
-    return Q.dashboard(_utterances(spark, sf), ["source_id"]).withColumn("model_cer", F.round("model_cer", 9))
+    return Q.dashboard(_spoken(spark, sf), ["source_id"]).withColumn("model_cer", F.round("model_cer", 9))
 
 
 def t1_review_queue(spark, sf):
@@ -130,11 +138,12 @@ def j16_undecided(spark, sf):
 
 
 def j21_identity(spark, sf):
-    v = D.table(spark, sf, "embeddings")
-    refs = ID.prototypes(v.where("label in (0, 1)"), "label").select(F.when(F.col("label") == 0, "A").otherwise("B").alias("reference"), F.col("centroid").alias("r_vec"))
-    det = ID.prototypes(v.where("label in (0, 1) and vec_id % 2 = 0"), "label").select(F.format_string("SPEAKER_%02d", F.col("label")).alias("detected"), F.col("centroid").alias("d_vec"))
-    s = ID.similarities(det, refs).withColumn("source_id", F.lit(0))
-    out = ID.choose_mapping(s, ["source_id"])
+    """Two labels are the two voices of a source; vectors with an odd hash are references, the others detections."""
+    v = D.table(spark, sf, "embeddings").where("embedding is not null").withColumn("source_id", F.expr("label div 2")).withColumn("odd", F.expr("(vec_id div 3) % 2"))
+    keys = ["source_id", "label"]
+    refs = ID.prototypes(v.where("odd = 1"), keys).select("source_id", F.when(F.col("label") % 2 == 0, "A").otherwise("B").alias("reference"), F.col("centroid").alias("r_vec"))
+    det = ID.prototypes(v.where("odd = 0"), keys).select("source_id", F.format_string("SPEAKER_%02d", F.col("label") % 2).alias("detected"), F.col("centroid").alias("d_vec"))
+    out = ID.choose_mapping(ID.similarities(det, refs, ["source_id"]), ["source_id"])
     return out.select("source_id", "first_to", "second_to", "status", F.round("similarity", 9).alias("similarity"), F.round("margin", 9).alias("margin"))
 
 
@@ -217,7 +226,7 @@ def j11_sidecar_words(spark, sf):
 def s14_train_manifest(spark, sf):
     """Manifest texts of the spoken turns as clips, split by source."""
     t = D.activities(spark, sf).select("source_id", F.format_string("clips/%d_%d.wav", "source_id", "turn").alias("path"), ((F.col("end_sample") - F.col("start_sample")) / 24000).alias("duration"))
-    src = X.split_sources(t.select("source_id").distinct().withColumn("project_id", F.lit(0)))
+    src = X.split_sources(t.select("source_id").distinct().withColumn("project_id", F.expr("source_id div 25")))
     return t.join(src.select("source_id", "split"), "source_id").select("split", "path", "duration")
 
 
@@ -284,10 +293,11 @@ fl AS (SELECT doc_id, source, e, p, list_filter([CASE WHEN m > 3 THEN 'repeated_
   CASE WHEN n > 0 AND e > 0 AND n / e < 0.35 THEN 'abnormally_low_word_rate' END, CASE WHEN e = 0 OR n / e > 6.0 THEN 'abnormally_high_word_rate' END], lambda x: x IS NOT NULL) AS f FROM s JOIN g3 USING (doc_id))"""
 _UTT = """l AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1),
 u AS (SELECT source AS source_id, d.doc_id AS id, CASE d.doc_id % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' END AS speaker, CASE WHEN d.doc_id % 5 < 3 THEN 'A' ELSE 'B' END AS model_speaker,
-  substring(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 1, 40) AS text, substring(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 3, 40) AS model_text,
+  text,
   coalesce(toxic = 1, false) AS dd, d.doc_id % 7 = 0 AS rn, CASE WHEN d.doc_id % 4 = 0 THEN 'unaligned' ELSE 'aligned' END AS st, coalesce(quality = 1, false) AS hv, d.doc_id * 1000 AS start_sample,
   CASE quality WHEN 1 THEN 'approve' WHEN 0 THEN 'reject' END AS decision FROM documents d LEFT JOIN l ON l.doc_id = d.doc_id)"""
-_NORM = "trim(regexp_replace(lower({0}), '\\s+', ' ', 'g'))"
+# DuckDB's edit distance counts bytes, so the letters that the given texts have beyond ASCII become one byte each
+_NORM = "trim(regexp_replace(translate(replace(lower({0}), 'ß', 'ss'), 'äçèéêíñóöü', chr(1) || chr(2) || chr(3) || chr(4) || chr(5) || chr(6) || chr(7) || chr(8) || chr(14) || chr(15)), '\\s+', ' ', 'g'))"
 _GATE = f"""{_UTT},
 p AS (SELECT source_id, count(*) AS n_clips, sum(CASE WHEN id % 500 = 3 AND decision IS NULL THEN 1 ELSE 0 END) AS und, sum(CASE WHEN id % 911 = 5 THEN 1 ELSE 0 END) AS pend, sum(CASE WHEN decision = 'approve' THEN 1 ELSE 0 END) AS app,
   sum(CASE WHEN decision = 'approve' AND id % 997 = 1 THEN 1 ELSE 0 END) AS bad, sum(CASE WHEN id % 300 = 7 AND NOT hv THEN 1 ELSE 0 END) AS risky FROM u GROUP BY 1),
@@ -298,7 +308,18 @@ _REV = f"WITH {D.SQL}, rev AS (SELECT *, row_number() OVER (PARTITION BY source_
 _PCM = """WITH ev AS (SELECT user_id AS clip_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS b, value / 200 AS v FROM events),
 pcm AS (SELECT clip_id, b * 240 + i AS pos, greatest(-1.0, least(1.0, v * (((i * 7) % 21) - 10) / 10))::FLOAT AS l, greatest(-1.0, least(1.0, v * (((i * 5) % 21) - 10) / 10))::FLOAT AS r FROM ev, range(0, 240) t(i))"""
 
+_ID_SQL = """v AS (SELECT label // 2 AS source_id, label % 2 AS side, (vec_id // 3) % 2 AS odd, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings WHERE embedding IS NOT NULL),
+m AS (SELECT source_id, side, odd, i, avg(x::DOUBLE) AS m FROM v GROUP BY ALL),
+s AS (SELECT d.source_id, d.side AS d, r.side AS r, sum(d.m * r.m) / (sqrt(sum(d.m * d.m)) * sqrt(sum(r.m * r.m))) AS c FROM m d JOIN m r ON d.source_id = r.source_id AND d.i = r.i AND d.odd = 0 AND r.odd = 1 GROUP BY 1, 2, 3),
+w AS (SELECT source_id, max(c) FILTER (d = 0 AND r = 0) AS a, max(c) FILTER (d = 0 AND r = 1) AS b, max(c) FILTER (d = 1 AND r = 0) AS e, max(c) FILTER (d = 1 AND r = 1) AS f FROM s GROUP BY 1),
+z AS (SELECT source_id, a + f >= b + e AS straight, least(CASE WHEN a + f >= b + e THEN a ELSE b END, CASE WHEN a + f >= b + e THEN f ELSE e END) AS low, CASE WHEN a + f >= b + e THEN least(a - b, f - e) ELSE least(b - a, e - f) END AS gap FROM w)"""
+
 ORACLES = {
+    "J21_identity": f"""WITH {_ID_SQL} SELECT source_id, CASE WHEN straight THEN 'A' ELSE 'B' END AS first_to, CASE WHEN straight THEN 'B' ELSE 'A' END AS second_to,
+CASE WHEN low < 0.65 THEN 'low_similarity' WHEN gap < 0.10 THEN 'low_margin' ELSE 'matched' END AS status, round(low, 9) AS similarity, round(gap, 9) AS margin FROM z""",
+    "F1_normalize_text": """WITH w AS (SELECT doc_id, unnest(string_split_regex(text, '\\s+')) AS t, unnest(range(len(string_split_regex(text, '\\s+')))) AS i FROM documents),
+n AS (SELECT doc_id, i, regexp_replace(translate(regexp_replace(nfkc_text, '[\\x{0610}-\\x{061a}\\x{064b}-\\x{065f}\\x{0670}\\x{06d6}-\\x{06dc}\\x{06df}-\\x{06e8}\\x{06ea}-\\x{06ed}]', '', 'g'), 'أإآٱ', 'اااا'), '[\\p{P}\\p{S}]', '', 'g') AS t FROM (SELECT doc_id, i, t AS nfkc_text FROM w))
+SELECT d.doc_id, sha256(coalesce(string_agg(t, ' ' ORDER BY i) FILTER (t <> ''), '')) AS digest FROM documents d LEFT JOIN n USING (doc_id) WHERE text IS NOT NULL GROUP BY 1""",
     "F3_tokens": f"WITH t AS (SELECT doc_id, {_TOK} AS t FROM documents) SELECT doc_id, len(t) AS n_tokens, CAST(len(list_distinct(t)) AS BIGINT) AS n_distinct FROM t",
     "A18_max_ngrams": f"WITH {_GRAMS} SELECT doc_id, m AS max_ngrams FROM g3",
     "F5_segment_flags": f"WITH {_FLAGS} SELECT doc_id, array_to_string(f, ',') AS flags FROM fl",
@@ -308,9 +329,11 @@ CAST(sum(CASE WHEN list_has_any(f, ['repeated_ngram', 'suspicious_character_sequ
 SELECT source, round(sum(p * w) / sum(w), 9) AS avg_logprob FROM s GROUP BY 1""",
     "F6_quality_rank": f"""WITH {_FLAGS} SELECT doc_id, CAST(coalesce(list_sum(list_transform(f, lambda x: CASE x WHEN 'repeated_ngram' THEN 6 WHEN 'suspicious_character_sequence' THEN 6 WHEN 'abnormally_high_word_rate' THEN 4
 WHEN 'abnormally_low_word_rate' THEN 3 WHEN 'low_average_log_probability' THEN 2 ELSE 1 END)), 0) AS BIGINT) AS weight, len(f) AS n_flags, -p AS penalty FROM fl""",
-    "F8_character_error_rate": f"""WITH b AS (SELECT item_id, {_NORM.format("regexp_replace(text, '[^A-Za-z ]', '', 'g')")} AS t FROM benchmark)
+    "F8_character_error_rate": f"""WITH b AS (SELECT item_id, {_NORM.format("text")} AS t FROM benchmark)
 SELECT a.item_id, CASE WHEN length(a.t) = 0 THEN CASE WHEN length(o.t) = 0 THEN 0.0 ELSE 1.0 END ELSE levenshtein(a.t, o.t) / length(a.t)::DOUBLE END AS cer FROM b a JOIN b o ON o.item_id = a.item_id + 1""",
-    "A5_dashboard": f"""WITH {_UTT} SELECT source_id, count(*) AS utterances, CAST(sum((dd OR rn)::INT) AS BIGINT) AS flagged, CAST(sum(((dd OR rn) AND NOT hv)::INT) AS BIGINT) AS unresolved,
+    "A5_dashboard": f"""WITH u AS (SELECT conv_id % 20 AS source_id, CASE role WHEN 'assistant' THEN 'A' WHEN 'user' THEN 'B' END AS speaker, CASE WHEN turn % 5 < 3 THEN 'A' ELSE 'B' END AS model_speaker,
+text, regexp_replace(text, 'th', 't', 'gi') AS model_text, (conv_id + turn) % 6 = 0 AS dd, turn % 7 = 0 AS rn, CASE WHEN (conv_id + turn) % 4 = 0 THEN 'unaligned' ELSE 'aligned' END AS st, (conv_id + turn) % 2 = 0 AS hv FROM conversations)
+SELECT source_id, count(*) AS utterances, CAST(sum((dd OR rn)::INT) AS BIGINT) AS flagged, CAST(sum(((dd OR rn) AND NOT hv)::INT) AS BIGINT) AS unresolved,
 CAST(sum(((dd OR rn) AND NOT hv AND speaker IS NOT DISTINCT FROM 'A')::INT) AS BIGINT) AS assistant_unresolved, CAST(sum((hv AND trim(text) <> '')::INT) AS BIGINT) AS golden,
 round(avg(CASE WHEN hv AND trim(text) <> '' AND trim(model_text) <> '' THEN levenshtein({_NORM.format('text')}, {_NORM.format('model_text')}) / length({_NORM.format('text')})::DOUBLE END), 9) AS model_cer,
 avg(CASE WHEN hv AND trim(text) <> '' AND speaker IS NOT NULL THEN (model_speaker <> speaker)::INT END) AS speaker_correction_rate,
@@ -347,7 +370,7 @@ SELECT project_id, source_id, CASE WHEN n >= 2 AND r <= greatest(1, least(n - 1,
 c AS (SELECT source_id, k, k * 1440000 AS c0, (k + 1) * 1440000 AS c1 FROM (SELECT source_id, unnest(range(0, (duration - 1) // 1440000 + 1)) AS k FROM dur))
 SELECT c.source_id, c.source_id || '_' || k AS clip_id, CASE WHEN start_sample < c0 OR end_sample > c1 THEN 'crosses_clip_boundary' ELSE 'kept' END AS result, count(*) AS n, round(sum((start_sample - c0) / 24000::DOUBLE), 3) AS start_sum
 FROM c JOIN w ON w.source_id = c.source_id AND start_sample < c1 AND c0 < end_sample GROUP BY 1, 2, 3""",
-    "S14_train_manifest": f"""WITH {D.SQL}, s AS (SELECT DISTINCT source_id FROM act), x AS (SELECT source_id, row_number() OVER (ORDER BY sha256(source_id::VARCHAR)) AS r, count(*) OVER () AS n FROM s)
+    "S14_train_manifest": f"""WITH {D.SQL}, s AS (SELECT DISTINCT source_id FROM act), x AS (SELECT source_id, row_number() OVER (PARTITION BY source_id // 25 ORDER BY sha256(source_id::VARCHAR)) AS r, count(*) OVER (PARTITION BY source_id // 25) AS n FROM s)
 SELECT CASE WHEN n >= 2 AND r <= greatest(1, least(n - 1, round_even(n * 0.10, 0))) THEN 'eval' ELSE 'train' END AS split, 'clips/' || source_id || '_' || turn || '.wav' AS path, (end_sample - start_sample) / 24000::DOUBLE AS duration FROM act JOIN x USING (source_id)""",
     "A12_channel_figures": f"""{_PCM} SELECT clip_id, round(sqrt(sum(l::DOUBLE * l) / count(*)), 6) AS left_rms, round(max(abs(l))::DOUBLE, 6) AS left_peak, round(sum((abs(l) >= 32767 / 32768.0::DOUBLE)::INT) / count(*)::DOUBLE, 6) AS left_clipping,
 round(sum((abs(l) <= pow(10, -2.5))::INT) / count(*)::DOUBLE, 6) AS left_silence, round(sqrt(sum(r::DOUBLE * r) / count(*)), 6) AS right_rms, round(max(abs(r))::DOUBLE, 6) AS right_peak,

@@ -58,7 +58,7 @@ def event_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same tables for DuckDB, to be followed by more common table expressions.
 SQL = r"""t0 AS (SELECT conv_id, turn, role, regexp_extract_all(text, '[\p{L}\p{N}_]+') AS toks FROM conversations),
-t1 AS (SELECT *, greatest(1, least(400, len(toks))) * 9600 AS dur FROM t0),
+t1 AS (SELECT *, greatest(1, coalesce(len(toks), 400)) * 9600 AS dur FROM t0),
 t2 AS (SELECT *, 24000 + coalesce(sum(dur) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
   + CASE turn % 3 WHEN 0 THEN 12000 WHEN 1 THEN -6000 ELSE 0 END AS s FROM t1),
 turns AS (SELECT conv_id AS source_id, turn, role, CASE role WHEN 'assistant' THEN 'A' WHEN 'user' THEN 'B' END AS speaker, toks,
@@ -68,6 +68,6 @@ exc AS (SELECT source_id, turn, start_sample, end_sample FROM turns WHERE speake
 dur AS (SELECT source_id, max(end_sample) + 24000 AS duration FROM turns GROUP BY 1),
 words AS (SELECT source_id, turn, i, toks[i + 1] AS word, start_sample + i * 9600 + 960 AS start_sample,
   start_sample + i * 9600 + CASE WHEN i % 8 = 7 THEN 3360 ELSE 8640 END AS end_sample, ((i * 37 + turn * 11) % 100) / 100.0 AS score
-  FROM (SELECT *, unnest(range(0, least(400, len(toks)))) AS i FROM turns WHERE speaker IS NOT NULL)),
+  FROM (SELECT *, unnest(range(0, len(toks))) AS i FROM turns WHERE speaker IS NOT NULL)),
 sp0 AS (SELECT user_id AS source_id, event_id, CASE WHEN event_type IN ('click', 'view') THEN 'A' ELSE 'B' END AS speaker, epoch_us(ts) // 1000 AS start_sample,
   epoch_us(ts) // 1000 + CAST(floor(value * 600) AS BIGINT) * 1000 + 1000 AS end_sample FROM events)"""
