@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StringType
 
 from ..settings import DEFAULT, Settings
 
@@ -58,38 +59,51 @@ def latin(word: Column) -> Column:
     return word.rlike("[A-Za-z]")
 
 
+def _most_frequent(tokens, n: int) -> int:
+    """Occurrences of the most frequent n-gram of one list, 0 with fewer tokens."""
+    if tokens is None or len(tokens) < n:
+        return 0
+    numbers: dict[str, int] = {}
+    ids = np.fromiter((numbers.setdefault(t, len(numbers)) for t in tokens), np.int64, len(tokens))
+    grams = ids[: len(ids) - n + 1]
+    for k in range(1, n):  # pairs of numbers are numbered again, so keys stay under 2^62
+        grams = np.unique(grams, return_inverse=True)[1] * len(numbers) + ids[k : len(ids) - n + 1 + k]
+    return int(np.unique(grams, return_counts=True)[1].max())
+
+
 def max_ngrams(tokens: Column, n: int = 3) -> Column:
-    """Occurrences of the most frequent n-gram, 0 with fewer tokens.
+    """Occurrences of the most frequent n-gram of each token list."""
 
-    Sorted n-grams make equal ones neighbours; a fold counts the longest run, in one row.
-    """
-    count = F.size(tokens) - (n - 1)
-    grams = F.array_sort(F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(tokens, i, n), "\x01")))
-    start = F.struct(F.lit("").alias("g"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+    @F.pandas_udf(IntegerType())
+    def count(lists: pd.Series) -> pd.Series:
+        return pd.Series([_most_frequent(x, n) for x in lists], dtype="int32")
 
-    def step(acc: Column, gram: Column) -> Column:
-        run = F.when(acc["g"] == gram, acc["run"] + 1).otherwise(1)
-        return F.struct(gram.alias("g"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
+    return count(tokens)
 
-    return F.when(count > 0, F.aggregate(grams, start, step, lambda acc: acc["best"])).otherwise(0)
 
+def _has_run(tokens, longest: int = 3, run: int = 8) -> bool:
+    """Eight tokens in a row of up to three letters with one first letter; a longer token starts anew."""
+    if tokens is None or len(tokens) < run:
+        return False
+    heads = np.array([ord(t[0]) if len(t) <= longest else -1 for t in tokens])
+    changes = np.flatnonzero(np.diff(heads)) + 1
+    edges = np.concatenate([[0], changes, [len(heads)]])
+    return bool(((np.diff(edges) >= run) & (heads[edges[:-1]] >= 0)).any())
 
-def suspicious(text: Column, tokens: Column) -> Column:
-    """Format or surrogate characters, or eight short tokens in a row with one first letter."""
-    start = F.struct(F.lit("").alias("p"), F.lit(0).alias("run"), F.lit(0).alias("best"))
 
-    def step(acc: Column, token: Column) -> Column:
-        head = F.substring(token, 1, 1)
-        run = F.when(F.length(token) > 3, 0).when(acc["p"] == head, acc["run"] + 1).otherwise(1)
-        return F.struct(F.when(F.length(token) > 3, F.lit("")).otherwise(head).alias("p"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
+@F.pandas_udf(BooleanType())
+def _runs(lists: pd.Series) -> pd.Series:
+    return pd.Series([_has_run(x) for x in lists], dtype=bool)
+
 
-    return F.coalesce(text.rlike(r"[\p{Cf}\p{Cs}]"), F.lit(False)) | (F.aggregate(tokens, start, step, lambda acc: acc["best"]) >= 8)
+def suspicious(text: Column, tokens: Column) -> Column:
+    """Format or surrogate characters, or eight short tokens in a row with one first letter."""
+    return F.coalesce(text.rlike(r"[\p{Cf}\p{Cs}]"), F.lit(False)) | _runs(tokens)
 
 
 def segment_flags(segments: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """Adds ``quality_flags`` and ``n_tokens`` to segments (start_s, end_s, text, avg_logprob); flags in rule order."""
     df = segments.withColumn("__tok", normalized_tokens(F.col("text")))
-    # two uses of the column keep the planner from folding the token list into the loops
     df = df.withColumn("n_tokens", F.size("__tok")).withColumn("__grams", max_ngrams(F.col("__tok"))).withColumn("__odd", suspicious(F.col("text"), F.col("__tok")))
     length = F.greatest(F.lit(0.0), F.col("end_s") - F.col("start_s"))
     slow = (F.col("n_tokens") > 0) & (length > 0) & (F.try_divide(F.col("n_tokens"), length) < s.min_word_rate)

@@ -105,26 +105,29 @@ def clean_turns(activities: DataFrame, shortest: int = 36_000, top: int = 25) ->
 def smooth_turns(segments: DataFrame, short: float, keys: list[str]) -> DataFrame:
     """(keys, start_sample, end_sample, speaker, ambiguous): turns under ``short`` between two turns of one other speaker take its label; between different labels they are ambiguous.
 
-    The neighbour before is the one already rewritten, so a source's turns go through one fold.
+    The neighbour before is the one already rewritten.  A turn keeps its label whatever came before it if it is
+    long, the first or the last, or has the label of the next one, so the turns after it start a fold of their own, and only
+    short turns of changing labels are folded together.
     """
-    turns = F.array_sort(F.collect_list(F.struct(F.col(S).alias("s"), F.col(E).alias("e"), F.col("speaker").alias("p"))))
-    grouped = segments.groupBy(*keys).agg(turns.alias("t"))
+    w = Window.partitionBy(*keys).orderBy(S, E, "speaker")
+    df = segments.select(*keys, S, E, F.col("speaker").alias("p"), F.lag("speaker").over(w).alias("before"), F.lead("speaker").over(w).alias("after"), F.row_number().over(w).alias("no"))
+    brief = F.col("before").isNotNull() & F.col("after").isNotNull() & (F.col(E) - F.col(S) < short)
+    df = df.withColumn("brief", brief).withColumn("sure", ~brief | (F.col("p") == F.col("after")))
+    past = Window.partitionBy(*keys).orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn("island", F.coalesce(F.sum(F.col("sure").cast("int")).over(past), F.lit(0)))
+    turn = F.struct("no", F.col(S).alias("s"), F.col(E).alias("e"), "p", "before", "after", "brief")
+    grouped = df.groupBy(*keys, "island").agg(F.array_sort(F.collect_list(turn)).alias("t"))
     kind = "array<struct<s:{0},e:{0},p:string,amb:boolean>>".format(segments.schema[S].dataType.simpleString())
-    position = F.sequence(F.lit(1), F.size("t"))
-
-    def step(acc, i):
-        cur, nxt, prev = F.element_at("t", i), F.get("t", i), F.element_at(acc, -1)
-        inner = (i > 1) & (i < F.size("t")) & (cur["e"] - cur["s"] < short)
-        same = inner & (prev["p"] == nxt["p"])
-        label = F.when(same & (prev["p"] != cur["p"]), prev["p"]).otherwise(cur["p"])
-        ambiguous = F.coalesce(inner & (prev["p"] != nxt["p"]), F.lit(False))
-        return F.concat(acc, F.array(F.struct(cur["s"].alias("s"), cur["e"].alias("e"), label.alias("p"), ambiguous.alias("amb"))))
-
-    # the first turn is put in by hand, as the fold looks back
-    first = F.element_at("t", 1)
-    begin = F.array(F.struct(first["s"].alias("s"), first["e"].alias("e"), first["p"].alias("p"), F.lit(False).alias("amb"))).cast(kind)
-    rest = F.when(F.size("t") > 1, F.slice(position, 2, F.size("t") - 1)).otherwise(F.array().cast("array<int>"))
-    out = grouped.select(*keys, F.explode(F.aggregate(rest, begin, lambda acc, i: step(acc, i).cast(kind))).alias("x"))
+
+    def step(acc, x):
+        before = F.coalesce(F.element_at(acc, -1)["p"], x["before"])
+        label = F.when(x["brief"] & (before == x["after"]), x["after"]).otherwise(x["p"])
+        ambiguous = F.coalesce(x["brief"] & (before != x["after"]), F.lit(False))
+        return F.concat(acc, F.array(F.struct(x["s"], x["e"], label.alias("p"), ambiguous.alias("amb")))).cast(kind)
+
+    # an element without a label comes first, as the fold looks back; it is left out at the end
+    none = F.array(F.struct(F.lit(None).alias("s"), F.lit(None).alias("e"), F.lit(None).alias("p"), F.lit(None).alias("amb"))).cast(kind)
+    out = grouped.select(*keys, F.explode(F.aggregate("t", none, step)).alias("x")).where("x.s is not null")
     return out.select(*keys, F.col("x.s").alias(S), F.col("x.e").alias(E), F.col("x.p").alias("speaker"), F.col("x.amb").alias("ambiguous"))
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import io
 import wave
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,14 +16,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import map_arrow
-from .intervals import E, S
+from .intervals import E, S, range_join
 
 BLOCK = 24_000
 FULL = 32767 / 32768
 
 
-def _sum(xs: Column, f) -> Column:
-    return F.aggregate(xs, F.lit(0.0), lambda a, x: a + f(x))
+def block_sums(blocks: DataFrame, keys: list[str], names: list[str], figures: Callable[[np.ndarray, np.ndarray], list[float]]) -> DataFrame:
+    """(keys, names): figures of the left and right samples of each block; numpy over Arrow's own buffers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = []
+            for column in batch.columns[-2:]:
+                flat, edges = column.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *(column.value_lengths().fill_null(0).to_pylist())])
+                sides.append((flat.astype(np.float64), edges))
+            (left, at), (right, to) = sides
+            rows = [figures(left[at[k] : at[k + 1]], right[to[k] : to[k + 1]]) for k in range(batch.num_rows)]
+            columns = np.array(rows, np.float64).reshape(batch.num_rows, len(names)).T
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *(pa.array(c) for c in columns)], names=[*keys, *names])
+
+    kinds = [f"`{k}` {blocks.schema[k].dataType.simpleString()}" for k in keys] + [f"{n} double" for n in names]
+    return map_arrow(blocks.select(*keys, "left", "right"), run, ", ".join(kinds))
+
+
+def _top(x: np.ndarray) -> float:
+    return float(np.abs(x).max()) if len(x) else 0.0
 
 
 def _db(level: Column) -> Column:
@@ -33,29 +51,34 @@ def _db(level: Column) -> Column:
 def channel_figures(pcm: DataFrame, key: str = "clip_id", silence_db: float = -50.0) -> DataFrame:
     """RMS, dBFS, peak, clipping and silence ratio of both channels of each clip."""
     floor = 10 ** (silence_db / 20)
-    parts, final = [F.sum(F.size("left")).alias("n")], []
+    each = ("n", "q", "peak", "c", "s")
+
+    def figures(left: np.ndarray, right: np.ndarray) -> list[float]:
+        return [v for x in (left, right) for v in (len(x), x @ x, _top(x), (np.abs(x) >= FULL).sum(), (np.abs(x) <= floor).sum())]
+
+    sums = block_sums(pcm, [key], [f"{side}_{e}" for side in ("left", "right") for e in each], figures)
+    total = sums.groupBy(key).agg(*[(F.max if e == "peak" else F.sum)(f"{side}_{e}").alias(f"{side}_{e}") for side in ("left", "right") for e in each])
+    final = []
     for side in ("left", "right"):
-        x = F.col(side)
-        parts += [
-            F.sum(_sum(x, lambda v: v.cast("double") * v)).alias(f"{side}_q"), F.max(F.array_max(F.transform(x, F.abs))).alias(f"{side}_peak"),
-            F.sum(F.size(F.filter(x, lambda v: F.abs(v) >= FULL))).alias(f"{side}_c"), F.sum(F.size(F.filter(x, lambda v: F.abs(v) <= floor))).alias(f"{side}_s"),
-        ]
-        n = F.col("n")
-        rms = F.when(n > 0, F.sqrt(F.col(f"{side}_q") / n)).otherwise(0.0)
-        final += [rms.alias(f"{side}_rms"), _db(rms).alias(f"{side}_dbfs"), F.coalesce(f"{side}_peak", F.lit(0.0)).cast("double").alias(f"{side}_peak")]
-        final += [F.when(n > 0, F.col(f"{side}_c") / n).otherwise(0.0).alias(f"{side}_clipping"), F.when(n > 0, F.col(f"{side}_s") / n).otherwise(1.0).alias(f"{side}_silence")]
-    return pcm.groupBy(key).agg(*parts).select(key, *final)
+        n, c = F.col(f"{side}_n"), lambda e, side=side: F.col(f"{side}_{e}")
+        rms = F.when(n > 0, F.sqrt(c("q") / n)).otherwise(0.0)
+        final += [rms.alias(f"{side}_rms"), _db(rms).alias(f"{side}_dbfs"), c("peak").alias(f"{side}_peak")]
+        final += [F.when(n > 0, c("c") / n).otherwise(0.0).alias(f"{side}_clipping"), F.when(n > 0, c("s") / n).otherwise(1.0).alias(f"{side}_silence")]
+    return total.select(key, *final)
 
 
 def masked_energy(pcm: DataFrame, masks: DataFrame, key: str = "clip_id") -> DataFrame:
-    """(key, role, left_energy, right_energy, n): mean squares inside the role's intervals (key, role, start_sample, end_sample, merged)."""
-    last = F.col("b0") + F.size("left")
-    met = pcm.withColumnRenamed("start_sample", "b0").join(masks, key).where((F.col(S) < last) & (F.col("b0") < F.col(E)))
-    at = F.greatest(F.lit(0), F.col(S) - F.col("b0"))
-    count = F.least(last, F.col(E)) - F.greatest("b0", S)
-    cut = met.withColumn("l", F.slice("left", at + 1, count)).withColumn("r", F.slice("right", at + 1, count))
-    total = cut.groupBy(key, "role").agg(F.sum(_sum(F.col("l"), lambda v: v.cast("double") * v)).alias("lq"), F.sum(_sum(F.col("r"), lambda v: v.cast("double") * v)).alias("rq"), F.sum(F.size("l")).alias("n"))
-    return total.select(key, "role", (F.col("lq") / F.col("n")).alias("left_energy"), (F.col("rq") / F.col("n")).alias("right_energy"), "n")
+    """(key, role, left_energy, right_energy, n): mean squares inside the role's intervals (key, role, start_sample, end_sample, merged).
+
+    Blocks meet the intervals through time bins, so a long clip with many intervals is many keys.
+    """
+    blocks = pcm.select(key, F.col("start_sample").alias("b0"), "start_sample", (F.col("start_sample") + F.size("left")).alias(E), "left", "right")
+    met = range_join(blocks, masks.select(key, "role", S, E), [key])
+    at, count = F.greatest(F.lit(0), F.col("r_start") - F.col("b0")), F.least(E, "r_end") - F.greatest("b0", "r_start")
+    cut = met.withColumn("left", F.slice("left", (at + 1).cast("int"), count.cast("int"))).withColumn("right", F.slice("right", (at + 1).cast("int"), count.cast("int")))
+    sums = block_sums(cut, [key, "role"], ["n", "lq", "rq"], lambda x, y: [len(x), x @ x, y @ y])
+    total = sums.groupBy(key, "role").agg(*[F.sum(c).alias(c) for c in ("n", "lq", "rq")])
+    return total.select(key, "role", (F.col("lq") / F.col("n")).alias("left_energy"), (F.col("rq") / F.col("n")).alias("right_energy"), F.col("n").cast("long").alias("n"))
 
 
 def leakage(energies: DataFrame, key: str = "clip_id") -> DataFrame:
@@ -79,9 +102,12 @@ def peaks(pcm: DataFrame, points: int = 4000, key: str = "clip_id") -> DataFrame
 
 def stereo_probe(pcm: DataFrame, key: str = "clip_id") -> DataFrame:
     """(key, dual_mono, clipping): the difference at least 30 dB under the programme or silent; a peak of -0.01 dB or more."""
-    diff = F.zip_with("left", "right", lambda a, b: a.cast("double") - b)
-    mean = F.zip_with("left", "right", lambda a, b: (a.cast("double") + b) / 2)
-    df = pcm.groupBy(key).agg(F.sum(F.size("left")).alias("n"), F.sum(_sum(diff, lambda v: v * v)).alias("d"), F.sum(_sum(mean, lambda v: v * v)).alias("p"), F.max(F.greatest(F.array_max(F.transform("left", F.abs)), F.array_max(F.transform("right", F.abs)))).alias("peak"))
+
+    def figures(left: np.ndarray, right: np.ndarray) -> list[float]:
+        return [len(left), ((left - right) ** 2).sum(), (((left + right) / 2) ** 2).sum(), max(_top(left), _top(right))]
+
+    sums = block_sums(pcm, [key], ["n", "d", "p", "peak"], figures)
+    df = sums.groupBy(key).agg(F.sum("n").alias("n"), F.sum("d").alias("d"), F.sum("p").alias("p"), F.max("peak").alias("peak"))
     level = lambda c: F.sqrt(F.col(c) / F.col("n"))
     mono = (F.col("d") == 0) | (_db(level("d")) - _db(level("p")) <= -30)
     return df.select(key, mono.alias("dual_mono"), (F.coalesce(_db(F.col("peak")), F.lit(float("-inf"))) >= -0.01).alias("clipping"))

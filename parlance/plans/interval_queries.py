@@ -115,9 +115,10 @@ def j6_alignment(spark, sf):
 
 
 def j7_closed_gaps(spark, sf):
-    words = D.turn_words(spark, sf).join(D.activities(spark, sf).select("source_id", "turn", "speaker"), ["source_id", "turn"])
-    # half-second steps between a speaker's turns are rare here; a longer limit exercises the rule
-    return A.close_gaps(D.activities(spark, sf), words.select("source_id", "speaker", (F.col(S) - 12000).alias(S), (F.col(E) + 12000).alias(E)), D.exclusions(spark, sf), 480_000)[1]
+    """Gaps of up to twenty seconds, where every fifth turn is missing from the activities."""
+    acts = D.activities(spark, sf).where("turn % 5 <> 2")
+    words = D.turn_words(spark, sf).join(acts.select("source_id", "turn", "speaker"), ["source_id", "turn"])
+    return A.close_gaps(acts, words.select("source_id", "speaker", (F.col(S) - 12000).alias(S), (F.col(E) + 12000).alias(E)), D.exclusions(spark, sf), 480_000)[1]
 
 
 def j8_clean_turns(spark, sf):
@@ -242,6 +243,20 @@ QUERIES = {
 }
 
 ORACLES = {
+    "W6_smooth_turns": f"""WITH RECURSIVE {D.SQL},
+o AS (SELECT *, row_number() OVER w AS no, lag(speaker) OVER w AS before, lead(speaker) OVER w AS after FROM sp0 WINDOW w AS (PARTITION BY source_id ORDER BY start_sample, end_sample, speaker)),
+r(source_id, no, start_sample, end_sample, speaker, ambiguous) AS (SELECT source_id, no, start_sample, end_sample, speaker, false FROM o WHERE no = 1
+  UNION ALL SELECT o.source_id, o.no, o.start_sample, o.end_sample, CASE WHEN o.after IS NOT NULL AND o.end_sample - o.start_sample < 30000 AND r.speaker = o.after THEN o.after ELSE o.speaker END,
+    o.after IS NOT NULL AND o.end_sample - o.start_sample < 30000 AND r.speaker <> o.after FROM r JOIN o ON o.source_id = r.source_id AND o.no = r.no + 1)
+SELECT source_id, start_sample, end_sample, speaker, ambiguous FROM r""",
+    "J4_overrides": f"""{BASE},
+p AS (SELECT source_id, unnest([start_sample, end_sample]) AS p FROM act UNION SELECT source_id, unnest([start_sample, end_sample]) FROM exc),
+q AS (SELECT source_id, p AS p0, lead(p) OVER (PARTITION BY source_id ORDER BY p) AS p1 FROM p),
+n AS (SELECT *, coalesce(CASE WHEN EXISTS (SELECT 1 FROM exc x WHERE x.source_id = q.source_id AND x.start_sample <= (p0 + p1) // 2 AND (p0 + p1) // 2 < x.end_sample) THEN 'B' END,
+  (SELECT arg_min(a.speaker, a.turn) FROM act a WHERE a.source_id = q.source_id AND a.start_sample <= (p0 + p1) // 2 AND (p0 + p1) // 2 < a.end_sample)) AS speaker FROM q WHERE p1 IS NOT NULL),
+x AS (SELECT *, lag(speaker) OVER (PARTITION BY source_id ORDER BY p0) AS ps, lag(p1) OVER (PARTITION BY source_id ORDER BY p0) AS pe FROM n WHERE speaker IS NOT NULL),
+y AS (SELECT *, sum(CASE WHEN ps = speaker AND p0 <= pe THEN 0 ELSE 1 END) OVER (PARTITION BY source_id ORDER BY p0) AS isl FROM x)
+SELECT source_id, speaker, min(p0) AS start_sample, max(p1) AS end_sample FROM y GROUP BY source_id, speaker, isl""",
     "W1_merge_intervals": f"{BASE},\n{merged('m', 'act', 'source_id, speaker')}\nSELECT * FROM m",
     "W1_merge_event_spans": f"{BASE},\n{merged('m', 'sp0', 'source_id')}\nSELECT * FROM m",
     "A1_union_length": f"{BASE},\n{merged('m', 'act', 'source_id')}\nSELECT source_id, CAST(sum(end_sample - start_sample) AS BIGINT) AS length FROM m GROUP BY 1",
@@ -295,11 +310,11 @@ FROM act a LEFT JOIN ov o ON o.source_id = a.source_id AND o.start_sample < a.en
 m AS (SELECT t.source_id, t.turn, bool_or(w.score < 0.4) AS low FROM turns t JOIN words w ON w.source_id = t.source_id AND w.start_sample < t.end_sample AND t.start_sample < w.end_sample GROUP BY 1, 2)
 SELECT source_id, turn, CASE WHEN low IS NULL THEN 'unaligned' WHEN low THEN 'low_confidence' ELSE 'aligned' END AS alignment_status,
   CASE WHEN low IS NULL THEN 'unaligned_words' WHEN low THEN 'low_confidence_alignment' ELSE '' END AS flags FROM turns LEFT JOIN m USING (source_id, turn)""",
-    "J7_close_gaps": f"""{BASE},\n{merged('m', 'act', 'source_id, speaker')},
+    "J7_close_gaps": f"""{BASE},\nac5 AS (SELECT * FROM act WHERE turn % 5 <> 2),\n{merged('m', 'ac5', 'source_id, speaker')},
 h AS (SELECT source_id, speaker, lag(end_sample) OVER (PARTITION BY source_id, speaker ORDER BY start_sample) AS g0, start_sample AS g1 FROM m)
 SELECT source_id, speaker, g0 AS start_sample, g1 AS end_sample FROM h WHERE g0 IS NOT NULL AND g1 - g0 <= 480000
-  AND EXISTS (SELECT 1 FROM words w JOIN act a ON a.source_id = w.source_id AND a.turn = w.turn WHERE w.source_id = h.source_id AND a.speaker = h.speaker AND w.start_sample - 12000 < g1 AND g0 < w.end_sample + 12000)
-  AND NOT EXISTS (SELECT 1 FROM act a WHERE a.source_id = h.source_id AND a.speaker <> h.speaker AND a.start_sample < g1 AND g0 < a.end_sample)
+  AND EXISTS (SELECT 1 FROM words w JOIN ac5 a ON a.source_id = w.source_id AND a.turn = w.turn WHERE w.source_id = h.source_id AND a.speaker = h.speaker AND w.start_sample - 12000 < g1 AND g0 < w.end_sample + 12000)
+  AND NOT EXISTS (SELECT 1 FROM ac5 a WHERE a.source_id = h.source_id AND a.speaker <> h.speaker AND a.start_sample < g1 AND g0 < a.end_sample)
   AND NOT EXISTS (SELECT 1 FROM exc x WHERE x.source_id = h.source_id AND x.start_sample < g1 AND g0 < x.end_sample)""",
     "J8_clean_turns": f"""{BASE}
 SELECT source_id, speaker, start_sample, end_sample, CAST(row_number() OVER (PARTITION BY source_id, speaker ORDER BY end_sample - start_sample DESC, start_sample) AS INTEGER) AS rank FROM act a

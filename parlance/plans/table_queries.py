@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from ..operators import identity as ID
 from ..operators import qc as C
 from ..operators import quality as Q
 from ..operators import state as M
+from ..shipping import map_arrow
 from ..sources import driver_tables as D
 
 
@@ -234,9 +237,17 @@ def _pcm(spark, sf):
     """Blocks of samples made of the event values of each user: 240 samples an event, left and right."""
     ev = D.table(spark, sf, "events").select(F.col("user_id").alias("clip_id"), "event_id", (F.col("value") / 200).alias("v"))
     w = Window.partitionBy("clip_id").orderBy("event_id")
-    ev = ev.withColumn("block_no", F.row_number().over(w) - 1)
-    tone = lambda k: F.transform(F.sequence(F.lit(0), F.lit(239)), lambda i: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("v") * (((i * k) % 21) - 10) / 10)).cast("float"))
-    return ev.select(F.col("clip_id"), F.col("block_no").cast("int").alias("block_no"), (F.col("block_no") * 240).cast("long").alias("start_sample"), tone(7).alias("left"), tone(5).alias("right"))
+    ev = ev.select("clip_id", (F.row_number().over(w) - 1).cast("int").alias("block_no"), "v")
+    ev = ev.select("clip_id", "block_no", (F.col("block_no") * 240).cast("long").alias("start_sample"), "v")
+    i = np.arange(240)
+
+    def run(batches):
+        for batch in batches:
+            v = batch.column(3).to_numpy(zero_copy_only=False)[:, None]
+            tones = [pa.array(list(np.clip(v * ((i * k) % 21 - 10) / 10, -1, 1).astype(np.float32)), pa.list_(pa.float32())) for k in (7, 5)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *tones], names=["clip_id", "block_no", "start_sample", "left", "right"])
+
+    return map_arrow(ev, run, f"clip_id {ev.schema['clip_id'].dataType.simpleString()}, block_no int, start_sample long, left array<float>, right array<float>")
 
 
 def a12_channel_figures(spark, sf):
@@ -320,6 +331,12 @@ CASE WHEN low < 0.65 THEN 'low_similarity' WHEN gap < 0.10 THEN 'low_margin' ELS
     "F1_normalize_text": """WITH w AS (SELECT doc_id, unnest(string_split_regex(text, '\\s+')) AS t, unnest(range(len(string_split_regex(text, '\\s+')))) AS i FROM documents),
 n AS (SELECT doc_id, i, regexp_replace(translate(regexp_replace(nfkc_text, '[\\x{0610}-\\x{061a}\\x{064b}-\\x{065f}\\x{0670}\\x{06d6}-\\x{06dc}\\x{06df}-\\x{06e8}\\x{06ea}-\\x{06ed}]', '', 'g'), 'أإآٱ', 'اااا'), '[\\p{P}\\p{S}]', '', 'g') AS t FROM (SELECT doc_id, i, t AS nfkc_text FROM w))
 SELECT d.doc_id, sha256(coalesce(string_agg(t, ' ' ORDER BY i) FILTER (t <> ''), '')) AS digest FROM documents d LEFT JOIN n USING (doc_id) WHERE text IS NOT NULL GROUP BY 1""",
+    "A13_leakage": f"""{_PCM}, m AS (SELECT clip_id, max(pos) - 239 AS m FROM pcm GROUP BY 1),
+g AS (SELECT clip_id, m, avg(l::DOUBLE * l) FILTER (pos < m // 2) AS al, avg(r::DOUBLE * r) FILTER (pos < m // 2) AS ar, avg(l::DOUBLE * l) FILTER (pos >= m // 2 AND pos < m) AS ul, avg(r::DOUBLE * r) FILTER (pos >= m // 2 AND pos < m) AS ur FROM pcm JOIN m USING (clip_id) GROUP BY 1, 2)
+SELECT clip_id, round(coalesce(ar, 0) / (coalesce(al, 0) + 1e-12), 6) AS right_leakage, round(coalesce(ul, 0) / (coalesce(ur, 0) + 1e-12), 6) AS left_leakage,
+  coalesce(ar, 0) > coalesce(al, 0) + 1e-12 AND coalesce(ul, 0) > coalesce(ur, 0) + 1e-12 AS swapped FROM g WHERE m > 0""",
+    "A24_stereo_probe": f"""{_PCM}, g AS (SELECT clip_id, count(*) AS n, sum((l::DOUBLE - r) * (l::DOUBLE - r)) AS d, sum((l::DOUBLE + r) / 2 * ((l::DOUBLE + r) / 2)) AS p, max(greatest(abs(l), abs(r))) AS peak FROM pcm GROUP BY 1)
+SELECT clip_id, d = 0 OR (p > 0 AND 20 * log10(sqrt(d / n)) - 20 * log10(sqrt(p / n)) <= -30) AS dual_mono, peak > 0 AND 20 * log10(CASE WHEN peak > 0 THEN peak::DOUBLE ELSE 1 END) >= -0.01 AS clipping FROM g""",
     "F3_tokens": f"WITH t AS (SELECT doc_id, {_TOK} AS t FROM documents) SELECT doc_id, len(t) AS n_tokens, CAST(len(list_distinct(t)) AS BIGINT) AS n_distinct FROM t",
     "A18_max_ngrams": f"WITH {_GRAMS} SELECT doc_id, m AS max_ngrams FROM g3",
     "F5_segment_flags": f"WITH {_FLAGS} SELECT doc_id, array_to_string(f, ',') AS flags FROM fl",
