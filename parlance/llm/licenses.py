@@ -3,7 +3,7 @@
 The canonical form is lower case, without copyright lines, with one spelling for equivalent
 ones, and with every run of other characters than a-z and 0-9 as one blank.  Units are the
 whole text of a document and each of its lines (a notice stands on a line of its own); a
-unit matches only if the whole of it has the digest of a known text.  Units without any word
+unit matches only if the whole of it has the digest of a known text, with or without its title.  Units without any word
 that all known texts need are passed over before they are put in canonical form.
 
 Defined results: null and empty texts match nothing; null ids are returned with what their
@@ -45,6 +45,58 @@ Copyright (c) <year> <owner>
 Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.
 
 THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.
+""",
+    "BSD-2-Clause": """BSD 2-Clause License
+
+Copyright (c) <year>, <owner>
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+""",
+    "BSD-3-Clause": """BSD 3-Clause License
+
+Copyright (c) <year>, <owner>
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+""",
+    "Zlib": """zlib License
+
+Copyright (c) <year> <owner>
+
+This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+
+3. This notice may not be removed or altered from any source distribution.
+""",
+    "Unlicense": """The Unlicense
+
+This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>
 """,
     "MIT-notice": "Released under the MIT License.",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
@@ -64,10 +116,11 @@ SPELLINGS = (
     ("merchantibility", "merchantability"),
     ("copyright owner", "copyright holder"),
     ("https:", "http:"),
+    ("non-commercial", "noncommercial"),
     ("&", "and"),
 )
 COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
-NEEDS = ("licen", "permission")  # every known text has one of these; checked in known_licenses
+NEEDS = ("licen", "permi")  # every known text has one of these; checked in known_licenses
 
 
 def canonical(text: Column) -> Column:
@@ -77,16 +130,26 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, "[^a-z0-9]+", " "))
 
 
+def with_untitled(known: dict[str, str]) -> list[tuple[str, str]]:
+    """(id, text) of known texts, and of those with a title line of their own also without it."""
+    rows = list(known.items())
+    for name, text in known.items():
+        title, _, rest = (text or "").partition("\n")
+        if rest.strip() and len(title.split()) <= 6:
+            rows.append((name, rest))
+    return rows
+
+
 def known_licenses(spark: SparkSession, known: dict[str, str] | None = None) -> DataFrame:
     """(license_id, digest); for equal digests the first id by name."""
-    rows = list((KNOWN if known is None else known).items())
+    rows = with_untitled(KNOWN if known is None else known)
     df = spark.createDataFrame(rows, "license_id string, text string").where("text is not null")
     named = df.select("license_id", canonical(F.col("text")).alias("c")).where("c <> ''")
     return named.groupBy(F.sha2("c", 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
 
 
 def _worth(text: Column, known: dict[str, str]) -> Column:
-    if all(t and any(w in t.lower() for w in NEEDS) for t in known.values()):
+    if all(t and any(w in t.lower() for w in NEEDS) for _, t in with_untitled(known)):
         low = F.lower(text)
         return low.contains(NEEDS[0]) | low.contains(NEEDS[1])
     return F.lit(True)
@@ -131,7 +194,7 @@ def _sql() -> str:
             x = f"replace({x}, {quote(other)}, {quote(kept)})"
         return f"trim(regexp_replace({x}, '[^a-z0-9]+', ' ', 'g'))"
 
-    rows = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in KNOWN.items())
+    rows = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in with_untitled(KNOWN))
     return f"""
 WITH known AS (SELECT {form("t")} AS c, min(k) AS license_id FROM (VALUES {rows}) v(k, t) GROUP BY 1),
 whole AS (SELECT doc_id, min(license_id) AS whole_license FROM (SELECT doc_id, {form("text")} AS c FROM documents) JOIN known USING (c) GROUP BY 1),

@@ -261,6 +261,17 @@ def test_embeddings_bounds_hold():
     assert len(embeddings.partners(embeddings.Group(columns), embeddings.THRESHOLD)) <= 200  # of 2 million pairs
 
 
+def test_whole_licenses_with_and_without_their_titles(spark):
+    texts = []
+    for name in ("MIT", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "Zlib", "Unlicense"):
+        text = licenses.KNOWN[name]
+        untitled = text.split("\n", 1)[1]
+        rewrapped = "\n * ".join(text.replace("<year>", "2019").replace(". ", ".\n").split("\n"))
+        texts += [(name, text), (name, untitled), (name, rewrapped.lower()), (None, text + " and more words")]
+    got = {r.doc_id: r.whole_license for r in licenses.scan(_docs(spark, [t for _, t in texts])).collect()}
+    assert [got[k] for k in range(len(texts))] == [n for n, _ in texts]
+
+
 def test_licenses(spark):
     mit = licenses.KNOWN["MIT"].upper().replace("SUBLICENSE", "sub-licence")
     texts = [*ODD, "Some text\nReleased under the MIT Licence!\n(c) 2020 X\nmore", mit, "Not released under the MIT License."]
