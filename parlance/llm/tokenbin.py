@@ -33,6 +33,7 @@ their order among themselves is not defined.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import os
 import struct
 import uuid
@@ -353,6 +354,14 @@ class Words:
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def _words_of(vocabulary: str, pattern: str) -> Words:
+    """The tokenizer of a worker, which keeps the words it knows from task to task."""
+    from tokenizers import Tokenizer
+
+    return Words(Tokenizer.from_str(vocabulary), pattern)
+
+
 class Writer:
     """Collects ids of documents and writes coded blocks as they fill."""
 
@@ -447,9 +456,8 @@ def write_ids(docs: DataFrame, folder: str, tokenizer_path: str, pattern: str, e
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
 
-        coder = Words(Tokenizer.from_str(shared.value), pattern)
+        coder = _words_of(shared.value, pattern)
         end = np.array([end_id], np.uint32)
         files, root = _files(folder)
         writer, path = None, ""
