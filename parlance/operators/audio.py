@@ -67,15 +67,63 @@ def channel_figures(pcm: DataFrame, key: str = "clip_id", silence_db: float = -5
     return total.select(key, *final)
 
 
+def read_intervals(pcm: DataFrame, asked: DataFrame, key: str = "clip_id") -> DataFrame:
+    """Pieces (key, asked's other columns, start_sample, left, right) of the blocks inside asked intervals (key, ..., start_sample, end_sample)."""
+    other = [c for c in asked.columns if c not in (key, S, E)]
+    blocks = pcm.select(key, F.col(S).alias("b0"), S, (F.col(S) + F.size("left")).alias(E), "left", "right")
+    met = range_join(blocks, asked, [key])
+    at, count = (F.greatest(F.lit(0), F.col("r_start") - F.col("b0")) + 1).cast("int"), F.greatest(F.lit(0), F.least(E, "r_end") - F.greatest("b0", "r_start")).cast("int")
+    return met.select(key, *other, F.greatest("b0", "r_start").alias(S), F.slice("left", at, count).alias("left"), F.slice("right", at, count).alias("right"))
+
+
+def interval_reads(pcm: DataFrame, asked: DataFrame, key: str = "clip_id") -> DataFrame:
+    """(asked's columns, decoded, left_sum, right_sum, problem): what was read of each interval; an impossible or short one has a problem.
+
+    Intervals (key, interval_id, start_sample, end_sample) are told apart by key and interval_id.
+    """
+    ids = [key, "interval_id"]
+    sums = block_sums(read_intervals(pcm, asked, key), ids, ["n", "ls", "rs"], lambda x, y: [len(x), x.sum(), y.sum()])
+    total = sums.groupBy(*ids).agg(F.sum("n").cast("long").alias("decoded"), F.sum("ls").alias("left_sum"), F.sum("rs").alias("right_sum"))
+    df = asked.join(total, ids, "left").na.fill(0, ["decoded", "left_sum", "right_sum"])
+    possible = F.coalesce((F.col(S) >= 0) & (F.col(E) > F.col(S)), F.lit(False))
+    return df.withColumn("problem", F.when(~possible, "invalid_interval").when(F.col("decoded") < F.col(E) - F.col(S), "short_read"))
+
+
+def substitute_stems(pcm: DataFrame, stems: DataFrame, regions: DataFrame, key: str = "clip_id") -> DataFrame:
+    """Blocks with the samples of recovered stems (key, start_sample, left, right) inside the regions (key, start_sample, end_sample, merged).
+
+    A block meets only the pieces that lie in it, so a row holds at most a block and its pieces.
+    """
+    from .intervals import merge_intervals
+
+    pieces = read_intervals(stems, merge_intervals(regions, [key]), key)
+    pieces = pieces.select(key, S, (F.col(S) + F.size("left")).alias(E), F.struct(F.col(S).alias("at"), "left", "right").alias("piece"))
+    met = range_join(pcm.select(key, "block_no", S, (F.col(S) + F.size("left")).alias(E)), pieces, [key])
+    joined = pcm.select(key, "block_no", S, "left", "right").join(met.groupBy(key, "block_no").agg(F.collect_list("piece").alias("pieces")), [key, "block_no"], "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = [[], []]
+            for start, left, right, found in zip(*(c.to_pylist() for c in batch.columns[2:])):
+                block = [np.array(left or [], np.float32), np.array(right or [], np.float32)]
+                for piece in found or []:
+                    lo, hi = max(start, piece["at"]), min(start + len(block[0]), piece["at"] + len(piece["left"]))
+                    for x, new in zip(block, (piece["left"], piece["right"])):
+                        x[lo - start : hi - start] = new[lo - piece["at"] : hi - piece["at"]]
+                for out, x in zip(sides, block):
+                    out.append(x)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(x, pa.list_(pa.float32())) for x in sides)], names=[key, "block_no", S, "left", "right"])
+
+    kind = lambda c: pcm.schema[c].dataType.simpleString()
+    return map_arrow(joined, run, f"`{key}` {kind(key)}, block_no {kind('block_no')}, {S} {kind(S)}, left array<float>, right array<float>")
+
+
 def masked_energy(pcm: DataFrame, masks: DataFrame, key: str = "clip_id") -> DataFrame:
     """(key, role, left_energy, right_energy, n): mean squares inside the role's intervals (key, role, start_sample, end_sample, merged).
 
     Blocks meet the intervals through time bins, so a long clip with many intervals is many keys.
     """
-    blocks = pcm.select(key, F.col("start_sample").alias("b0"), "start_sample", (F.col("start_sample") + F.size("left")).alias(E), "left", "right")
-    met = range_join(blocks, masks.select(key, "role", S, E), [key])
-    at, count = F.greatest(F.lit(0), F.col("r_start") - F.col("b0")), F.least(E, "r_end") - F.greatest("b0", "r_start")
-    cut = met.withColumn("left", F.slice("left", (at + 1).cast("int"), count.cast("int"))).withColumn("right", F.slice("right", (at + 1).cast("int"), count.cast("int")))
+    cut = read_intervals(pcm, masks.select(key, "role", S, E), key)
     sums = block_sums(cut, [key, "role"], ["n", "lq", "rq"], lambda x, y: [len(x), x @ x, y @ y])
     total = sums.groupBy(key, "role").agg(*[F.sum(c).alias(c) for c in ("n", "lq", "rq")])
     return total.select(key, "role", (F.col("lq") / F.col("n")).alias("left_energy"), (F.col("rq") / F.col("n")).alias("right_energy"), F.col("n").cast("long").alias("n"))
@@ -186,8 +234,13 @@ def wav_bytes(pcm: DataFrame, key: str = "clip_id") -> DataFrame:
     return pcm.groupBy(key).applyInPandas(build, f"{key} string, wav binary")
 
 
-def file_digests(files: DataFrame) -> DataFrame:
-    """(path, size, sha256, edges): digests of whole contents and of their first and last MiB."""
-    mib = 1 << 20
-    edge = F.when(F.length("content") > mib, F.concat(F.substring("content", 1, mib), F.expr(f"right(content, {mib})"))).otherwise(F.col("content"))
+def headers(blocks: DataFrame) -> DataFrame:
+    """(path, sample_rate, channels, samples, duration, decoded) of what ``read_wav`` returns."""
+    per = blocks.groupBy("path", "sample_rate", "channels", "samples").agg(F.sum(F.size("left")).alias("decoded"))
+    return per.select("path", "sample_rate", "channels", "samples", (F.col("samples") / F.col("sample_rate")).alias("duration"), "decoded")
+
+
+def file_digests(files: DataFrame, edge: int = 1 << 20) -> DataFrame:
+    """(path, size, sha256, edges): digests of whole contents and of their first and last MiB (``edge`` bytes); contents of one MiB at most are their own edges."""
+    edge = F.when(F.length("content") > edge, F.concat(F.substring("content", 1, edge), F.expr(f"substring(content, length(content) - {edge} + 1, {edge})"))).otherwise(F.col("content"))
     return files.select("path", F.length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha256"), F.sha2(edge, 256).alias("edges"))

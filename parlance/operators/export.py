@@ -12,12 +12,20 @@ from .qc import SPEAKER
 
 
 def split_sources(sources: DataFrame, project: str = "project_id", share: float = 0.10) -> DataFrame:
-    """``split`` train or eval: sources in the order of sha256(id), the first max(1, min(n - 1, round(share n))) evaluate; a single source trains."""
-    w = Window.partitionBy(project)
-    df = sources.withColumn("__h", F.sha2(F.col("source_id").cast("string"), 256))
-    df = df.withColumn("__r", F.row_number().over(w.orderBy("__h"))).withColumn("__n", F.count("*").over(w))
+    """``split`` train or eval: sources in the order of sha256(id), the first max(1, min(n - 1, round(share n))) evaluate; a single source trains.
+
+    Ranks are counted by the first three digits of the digest, so a large project is 4096 keys; only the
+    counts of these meet by project.
+    """
+    df = sources.withColumn("__h", F.sha2(F.col("source_id").cast("string"), 256)).withColumn("__k", F.substring("__h", 1, 3))
+    w = Window.partitionBy("__p")
+    sizes = df.groupBy(F.col(project).alias("__p"), F.col("__k").alias("__q")).agg(F.count("*").alias("__c"))
+    sizes = sizes.withColumn("__n", F.sum("__c").over(w)).withColumn("__before", F.sum("__c").over(w.orderBy("__q")) - F.col("__c"))
+    df = df.join(sizes, F.col(project).eqNullSafe(F.col("__p")) & F.col("__k").eqNullSafe(F.col("__q")))
+    rank = F.col("__before") + F.row_number().over(Window.partitionBy(project, "__k").orderBy("__h"))
     count = F.greatest(F.lit(1), F.least(F.col("__n") - 1, F.rint(F.col("__n") * share)))
-    return df.withColumn("split", F.when((F.col("__n") >= 2) & (F.col("__r") <= count), "eval").otherwise("train")).drop("__h", "__r", "__n")
+    df = df.withColumn("__r", rank)
+    return df.withColumn("split", F.when((F.col("__n") >= 2) & (F.col("__r") <= count), "eval").otherwise("train")).drop("__h", "__k", "__p", "__q", "__c", "__n", "__before", "__r")
 
 
 def sidecar_rows(words: DataFrame, clips: DataFrame, normalized: bool = True) -> DataFrame:

@@ -66,6 +66,52 @@ def approvals(statuses: DataFrame, approved: DataFrame, asked: DataFrame) -> tup
     return approved.select("path").union(known.where(fits).select("path")).distinct(), known.where(~fits)
 
 
+def discard_approvals(approved: DataFrame, discarded: DataFrame) -> DataFrame:
+    """The distinct approved paths without the discarded ones; a null path is never approved."""
+    return approved.where("path is not null").select("path").distinct().join(discarded.select("path").distinct(), "path", "left_anti")
+
+
+def recovery_totals(recoveries: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, regions, recovered) of recovery jobs (keys, status)."""
+    return recoveries.groupBy(*keys).agg(F.count("*").alias("regions"), F.count_if(F.col("status") == "recovered").alias("recovered"))
+
+
+def sections(parts: dict[str, tuple[DataFrame, Column]], keys: list[str]) -> DataFrame:
+    """(keys, section, start_sample, end_sample, detail): a nested report as one row an entry, so that no report has to fit in a row."""
+    out = None
+    for name, (df, detail) in parts.items():
+        bound = [F.col(c).cast("long") if c in df.columns else F.lit(None).cast("long") for c in (S, E)]
+        rows = df.select(*keys, F.lit(name).alias("section"), bound[0].alias(S), bound[1].alias(E), detail.cast("string").alias("detail"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def source_detail(durations: DataFrame, activities: DataFrame, overlaps: DataFrame, silences: DataFrame, recoveries: DataFrame, clips: DataFrame) -> DataFrame:
+    """All that is known of each source: header, activities, derived overlaps and silences, recoveries, planned clips."""
+    none = F.lit(None).cast("string")
+    head = durations.select("source_id", F.lit(0).alias(S), F.col("duration").alias(E))
+    return sections({"source": (head, none), "activity": (activities, F.col("speaker")), "overlap": (overlaps, none), "silence": (silences, none), "recovery": (recoveries, F.concat_ws(":", "version", "status", "decision")), "clip": (clips, F.col("clip_id"))}, ["source_id"])
+
+
+def review_items(clips: DataFrame, segments: DataFrame, timeline: DataFrame, overlaps: DataFrame) -> DataFrame:
+    """(source_id, clip_id, section, ...): segments, timeline entries and overlaps that meet each clip, whole; overrides and corrections come in with the rows."""
+    ids = ["source_id", "clip_id"]
+    meet = lambda df: range_join(clips.select(*ids, S, E), df, ["source_id"]).drop(S, E).withColumnsRenamed({"r_start": S, "r_end": E})
+    return sections({
+        "segment": (meet(segments.select("source_id", S, E, "text")), F.col("text")), "timeline": (meet(timeline.select("source_id", S, E, "speaker")), F.col("speaker")),
+        "overlap": (meet(overlaps.select("source_id", S, E)), F.lit(None)),
+    }, ids)
+
+
+def transcript_report(words: DataFrame, low: float = 0.4) -> DataFrame:
+    """(source_id, value): JSON texts of the words without times and of the unsure words of Latin script, one line a word."""
+    unaligned = F.col(S).isNull() | F.col(E).isNull()
+    unsure = T.latin(F.col("word")) & (F.col("score").isNull() | (F.col("score") < low))
+    kinds = F.array_compact(F.array(F.when(unaligned, F.lit("unaligned_words")), F.when(unsure, F.lit("low_confidence_latin_words"))))
+    rows = words.withColumn("list", F.explode(kinds))
+    return rows.select("source_id", F.to_json(F.struct("list", "word", S, E)).alias("value"))
+
+
 def overlay_corrections(raw: DataFrame, existing: DataFrame, new: DataFrame, key: str = "source_id") -> DataFrame:
     """Raw segments (key, start, end, text) with corrected texts by bounds to a millisecond: new before existing before raw; of equal bounds the last row (``no``) counts."""
     bounds = [F.round("start", 3).alias("s3"), F.round("end", 3).alias("e3")]

@@ -186,3 +186,50 @@ def test_greedy_segments(spark, talks):
             want.append((s, no, at, end, status, ",".join(reasons)))
             at = end
     assert got == sorted(want) and want
+
+
+def test_edges_of_files(spark):
+    import hashlib
+
+    from parlance.operators.audio import file_digests
+
+    contents = {"a": b"", "b": bytes(range(100)), "c": bytes(range(200)) * 3, "d": None}
+    rows = file_digests(spark.createDataFrame([(k, bytearray(v) if v is not None else None) for k, v in contents.items()], "path string, content binary"), edge=100).collect()
+    for r in rows:
+        c = contents[r.path]
+        if c is None:
+            assert r.size is None and r.sha256 is None and r.edges is None
+        else:
+            e = c[:100] + c[-100:] if len(c) > 100 else c
+            assert (r.size, r.sha256, r.edges) == (len(c), hashlib.sha256(c).hexdigest(), hashlib.sha256(e).hexdigest())
+
+
+def test_stems_replace_samples_across_blocks_of_other_sizes(spark):
+    import numpy as np
+
+    from parlance.operators.audio import substitute_stems
+
+    n = 100
+    x, y = np.arange(n, dtype=np.float32), -np.arange(n, dtype=np.float32)
+    cut = lambda size, l, r: [("c", k, k * size, l[k * size : (k + 1) * size].tolist(), r[k * size : (k + 1) * size].tolist()) for k in range(-(-n // size))]  # noqa: E731, E741
+    schema = "clip_id string, block_no int, start_sample long, left array<float>, right array<float>"
+    pcm, stems = spark.createDataFrame(cut(30, x, y), schema), spark.createDataFrame(cut(7, x + 500, y - 500), schema).drop("block_no")
+    regions = spark.createDataFrame([("c", 20, 45), ("c", 40, 65), ("c", 99, 120), ("d", 0, 9), ("c", None, 3)], "clip_id string, start_sample long, end_sample long")
+    got = substitute_stems(pcm, stems, regions).orderBy("start_sample").collect()
+    hit = np.zeros(n, bool)
+    hit[20:65] = hit[99:] = True
+    assert np.concatenate([r.left for r in got]).tolist() == np.where(hit, x + 500, x).tolist()
+    assert np.concatenate([r.right for r in got]).tolist() == np.where(hit, y - 500, y).tolist()
+
+
+def test_split_counts_null_and_single_projects(spark):
+    import hashlib
+
+    from parlance.operators.export import split_sources
+
+    rows = [("p" if k < 300 else None, f"s{k}") for k in range(340)] + [("q", "only")]
+    got = {r.source_id: r.split for r in split_sources(spark.createDataFrame(rows, "project_id string, source_id string")).collect()}
+    assert len(got) == len(rows) and got["only"] == "train"
+    for project, count in (("p", 30), (None, 4)):
+        ids = sorted((s for p, s in rows if p == project), key=lambda s: hashlib.sha256(s.encode()).hexdigest())
+        assert [got[s] for s in ids] == ["eval"] * count + ["train"] * (len(ids) - count)
