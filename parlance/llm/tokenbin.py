@@ -327,15 +327,15 @@ class Words:
                 del self.place[word]
         self.place.new = []
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
+    def encode(self, texts: list[str], after_blank: bool = False) -> list[np.ndarray]:
+        """The ids of each text, or of a blank and the text."""
         out: list[np.ndarray | None] = []
         for text in texts:
             if any(t in text for t in self.specials):
                 out.append(None)
                 continue
-            # a line feed is put before the text, so that its first word is like one after a line feed
-            words = ("\n" + text).replace("\n", " \n").split(" ")[1:]
+            # without a blank before it, a line feed is put there, so that the first word is like one after a line feed
+            words = ((" " if after_blank else "\n") + text).replace("\n", " \n").split(" ")[1:]
             codes = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
             if self.place.new:
                 self._take_in()
@@ -345,11 +345,11 @@ class Words:
             else:
                 each = self.sizes[codes]
                 ends = np.cumsum(each)
-                out.append(self.flat[np.repeat(self.starts[codes] - ends + each, each) + np.arange(ends[-1])][1:])
+                out.append(self.flat[np.repeat(self.starts[codes] - ends + each, each) + np.arange(ends[-1])][0 if after_blank else 1 :])
             if len(self.place) > CACHE:
                 self.clear()
         whole = [k for k, ids in enumerate(out) if ids is None]
-        for k, ids in zip(whole, self._whole([texts[k] for k in whole])):
+        for k, ids in zip(whole, self._whole([" " * after_blank + texts[k] for k in whole])):
             out[k] = np.array(ids, np.uint32)
         return out
 
