@@ -29,6 +29,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +39,12 @@ from pyspark.sql import functions as F
 
 from ..shipping import map_arrow
 from .common import checkpoint, table
-from .tokenbin import Words, _byte_letters
+from .tokenbin import Words, _byte_letters, _Places
 
-PART = 2 << 20  # characters of texts that are aligned together; a longer text is alone
-CACHE = 200_000  # words of B that a worker remembers
+PART = 1 << 19  # bytes of texts that are aligned together; a longer text is alone
+CACHE = 250_000  # words of each library that a worker remembers
 _SHIFT = 20  # a pair is a << _SHIFT | b
+_END = 32  # bits of an end in a join key; Arrow's lists are shorter
 
 
 def piece_bytes(piece: str) -> bytes:
@@ -60,23 +62,47 @@ class Pieces:
         self.coder = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.pieces = [self.coder.id_to_piece(i) for i in range(self.coder.get_piece_size())]
         self.alone = not any(re.search("[^▁]▁", p) for p in self.pieces)
-        self.known: dict[str, list[int]] = {}
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
+        self._clear()
+
+    def _clear(self) -> None:
+        self.place = _Places()
+        self.flat, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _take_in(self) -> None:
+        """Encodes the words that wait."""
+        found = self.coder.encode(self.place.new, num_threads=1)
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))])
+        self.place.new = []
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        if len(self.place) > CACHE:
+            self._clear()
         sure = [self.alone and bool(t) and "  " not in t and t[0] != " " and t[-1] != " " and "▁" not in t for t in texts]
-        split = [t.split(" ") if ok else () for t, ok in zip(texts, sure)]
-        if len(self.known) > CACHE:
-            self.known.clear()
-        new = list(set().union(*split).difference(self.known))
-        self.known.update(zip(new, self.coder.encode(new, num_threads=1) if new else []))
-        known = self.known
-        out = [[i for w in words for i in known[w]] for words in split]
-        whole = [k for k, ok in enumerate(sure) if not ok]
-        for k, ids in zip(whole, self.coder.encode([texts[k] for k in whole], num_threads=1) if whole else []):
-            out[k] = ids
+        codes = [np.fromiter(map(self.place.__getitem__, t.split(" ")), np.int64) if ok else None for t, ok in zip(texts, sure)]
+        if self.place.new:
+            self._take_in()
+        out = []
+        for text, words in zip(texts, codes):
+            if words is None:
+                out.append(np.array(self.coder.encode(text, num_threads=1), np.int32))
+            else:
+                each = self.sizes[words]
+                ends = np.cumsum(each)
+                out.append(self.flat[np.repeat(self.starts[words] - ends + each, each) + np.arange(ends[-1])])
         return out
 
 
+def lists_of(found: list[np.ndarray]) -> pa.ListArray:
+    """The arrays as one Arrow list column."""
+    offsets = np.zeros(len(found) + 1, np.int32)
+    np.cumsum([len(x) for x in found], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*found, np.zeros(0)]).astype(np.int32)))
+
+
 class Aligner:
     """Both vocabularies of a worker: ids, the bytes of each entry, and its decimal number with every separator."""
 
@@ -86,7 +112,7 @@ class Aligner:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         coder = Tokenizer.from_str(byte_vocabulary)
         coder.encode_special_tokens = True
-        self.a, self.b = Words(coder, pattern), Pieces(piece_model)
+        self.a, self.b = Words(coder, pattern, CACHE), Pieces(piece_model)
         letters = {c: b for b, c in _byte_letters().items()}
         size = coder.get_vocab_size()
         bytes_a = [bytes(letters[c] for c in coder.id_to_token(i)) if all(c in letters for c in coder.id_to_token(i)) else coder.id_to_token(i).encode() for i in range(size)]
@@ -103,7 +129,7 @@ class Aligner:
 
     def align(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], pa.Array]:
         """(A tokens, B tokens, links, digest, list of linked pairs) of each text."""
-        ids = [pa.array([x if t else () for t, x in zip(texts, coder)], pa.list_(pa.int32())) for coder in (self.a.encode(texts, after_blank=True), self.b.encode(texts))]
+        ids = [lists_of([x if t else x[:0] for t, x in zip(texts, found)]) for found in (self.a.encode(texts, after_blank=True), self.b.encode(texts))]
         spaced = pa.array([b" " + t.encode("utf-8", "surrogatepass") if t else b"" for t in texts], pa.binary())
         given = pa.array(np.ones(len(texts), bool))
         for lists, entry in zip(ids, self.bytes):
@@ -119,11 +145,12 @@ class Aligner:
             whole = pa.array(np.concatenate([[0], total.to_numpy()]))
             first = pc.subtract(lists.offsets, lists.offsets[0]).slice(0, len(lists))
             ends.append(pc.subtract(total, whole.take(first).take(parent[-1])))
-        sides = [pa.table({"doc": p, "end": e, name: pa.array(np.arange(len(e)))}) for p, e, name in zip(parent, ends, "ab")]
-        links = sides[0].join(sides[1], keys=["doc", "end"], join_type="inner", use_threads=False).sort_by("a")
+        key = [pc.add(pc.shift_left(pc.cast(p, pa.int64()), pa.scalar(_END, pa.int64())), e) for p, e in zip(parent, ends)]  # (document, end)
+        sides = [pa.table({"key": k, name: pa.array(np.arange(len(k)))}) for k, name in zip(key, "ab")]
+        links = sides[0].join(sides[1], keys="key", join_type="inner", use_threads=False).sort_by("a")
         at = [links[name].to_numpy() for name in "ab"]
         n = [pc.list_value_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ids]
-        n_links = np.bincount(links["doc"].to_numpy(), minlength=len(texts)).astype(np.int64)
+        n_links = np.bincount(links["key"].to_numpy() >> _END, minlength=len(texts)).astype(np.int64)
         codes = [x.to_numpy() for x in flat]
         pairs = codes[0][at[0]].astype(np.int64) << _SHIFT | codes[1][at[1]]
         pairs = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_links)]), pa.int32()), pa.array(pairs))
@@ -154,16 +181,16 @@ def aligner_of(byte_vocabulary: str, piece_model: bytes, pattern: str) -> Aligne
     return Aligner(byte_vocabulary, piece_model, pattern)
 
 
-def _parts(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Slices of about ``PART`` characters."""
-    first, size = 0, 0
-    for k, t in enumerate(texts):
-        if k > first and size + len(t or "") > PART:
+def _parts(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Slices of about ``PART`` in all."""
+    first, total = 0, 0
+    for k, n in enumerate(sizes):
+        if k > first and total + n > PART:
             yield first, k
-            first, size = k, 0
-        size += len(t or "")
-    if first < len(texts):
-        yield first, len(texts)
+            first, total = k, 0
+        total += n
+    if first < len(sizes):
+        yield first, len(sizes)
 
 
 def aligned(docs: DataFrame, byte_path: str, piece_path: str, pattern: str) -> DataFrame:
@@ -176,9 +203,9 @@ def aligned(docs: DataFrame, byte_path: str, piece_path: str, pattern: str) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = aligner_of(*shared.value)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for first, last in _parts(texts):
-                n_a, n_b, n_links, digests, pairs = aligner.align(texts[first:last])
+            texts = batch.column(1)
+            for first, last in _parts(pc.binary_length(texts).to_pylist()):
+                n_a, n_b, n_links, digests, pairs = aligner.align(texts.slice(first, last - first).to_pylist())
                 columns = [batch.column(0).slice(first, last - first), *map(pa.array, (n_a, n_b, n_links, n_links, digests)), pairs]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs"])
 

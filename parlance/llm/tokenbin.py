@@ -266,9 +266,10 @@ class Words:
     A word is what stands between blanks, with the line feed before it if there is one.
     """
 
-    def __init__(self, coder, pattern: str):
+    def __init__(self, coder, pattern: str, cache: int | None = None):
         import regex
 
+        self.cache = CACHE if cache is None else cache
         self.coder, self.model, self.split = coder, coder.model, regex.compile(pattern).findall
         self.specials = [t.content for t in coder.get_added_tokens_decoder().values()]
         self.letters = _byte_letters()
@@ -289,7 +290,7 @@ class Words:
         ids = self.units.get(unit)
         if ids is None:
             ids = [t.id for t in self.model.tokenize(unit.encode().decode("latin-1").translate(self.letters))]
-            if len(unit) < 4 and len(self.units) < CACHE // 8:
+            if len(unit) < 4 and len(self.units) < self.cache // 8:
                 self.units[unit] = ids
         return ids
 
@@ -346,7 +347,7 @@ class Words:
                 each = self.sizes[codes]
                 ends = np.cumsum(each)
                 out.append(self.flat[np.repeat(self.starts[codes] - ends + each, each) + np.arange(ends[-1])][0 if after_blank else 1 :])
-            if len(self.place) > CACHE:
+            if len(self.place) > self.cache:
                 self.clear()
         whole = [k for k, ids in enumerate(out) if ids is None]
         for k, ids in zip(whole, self._whole([" " * after_blank + texts[k] for k in whole])):
