@@ -156,27 +156,52 @@ def a2_window_verdicts(spark, sf):
     return G.window_verdicts(clips, D.activities(spark, sf), "A").withColumn("reasons", F.array_join("reasons", ","))
 
 
-def g8_feasible_counts(spark, sf):
+def _plan_inputs(spark, sf):
+    """(valid clips between candidates, bounds, activities, exclusions, words, durations), written where they are used again."""
     keep = keeper(spark)
-    cand, acts, exc, _, dur = _candidates(spark, sf)
+    acts, exc, words, dur = keep(D.activities(spark, sf)), keep(D.exclusions(spark, sf)), keep(D.turn_words(spark, sf)), keep(D.durations(spark, sf))
     bounds = keep(G.conversation_bounds(acts, dur))
-    edges = keep(G.clip_edges(keep(cand), bounds, acts, exc))
-    most = bounds.agg(F.max(F.expr("(hi - lo) div 480000"))).first()[0] or 0
-    return G.feasible_counts(edges, bounds, int(most), keep)
+    cand = keep(G.boundary_candidates(acts, exc, words, acts, dur))
+    return keep(G.clip_edges(cand, bounds, acts, exc)), bounds, acts, exc, words, dur
+
+
+def g8_feasible_counts(spark, sf):
+    """Every number of clips that each conversation can be cut into."""
+    edges, bounds, *_ = _plan_inputs(spark, sf)
+    asked = bounds.select("source_id", F.lit(0).alias("request"), F.lit("count").alias("mode"), F.lit(1).alias("asked"))
+    return G.plan_search(edges, bounds, asked).select("source_id", F.explode("counts").alias("k"))
+
+
+def g8_count_plans(spark, sf):
+    """One to six clips asked for, by conversation; the nearest number that has a plan, or why there is none."""
+    edges, bounds, *_ = _plan_inputs(spark, sf)
+    asked = bounds.select("source_id", F.lit(0).alias("request"), F.lit("count").alias("mode"), (F.col("source_id") % 6 + 1).alias("asked"))
+    return G.plan_search(edges, bounds, asked).select("source_id", "asked", "k", "feasible", "nearest", "message", F.array_join("cuts", ",").alias("cuts"))
 
 
 def g9_target_plan(spark, sf):
     """Clips of each conversation near a minute long, from the exact-count planner."""
     keep = keeper(spark)
-    cand, acts, exc, words, dur = _candidates(spark, sf)
-    bounds = keep(G.conversation_bounds(acts, dur))
-    edges = keep(G.clip_edges(keep(cand), bounds, acts, exc))
-    most = bounds.agg(F.max(F.expr("(hi - lo) div 480000"))).first()[0] or 0
-    counts = keep(G.pick_count(G.feasible_counts(edges, bounds, int(most), keep), bounds, target_samples=60 * CLOCK))
-    plan = keep(G.exact_count_plan(edges, bounds, counts, keep))
+    edges, bounds, acts, exc, words, dur = _plan_inputs(spark, sf)
+    asked = bounds.select("source_id", F.lit(0).alias("request"), F.lit("target").alias("mode"), F.lit(60 * CLOCK).alias("asked"))
+    plan = keep(G.plan_search(edges, bounds, asked).where("feasible").select("source_id", "cuts"))
     return G.plan_clips(plan, acts, exc, G.unsafe_intervals(acts, exc, words, dur)).withColumn("reasons", F.array_join("reasons", ","))
 
 
+def g10_plan_verdicts(spark, sf):
+    """Whether each conversation's plan can be used, and what to say: by count, by target or by hand, in turn."""
+    keep = keeper(spark)
+    edges, bounds, acts, exc, words, dur = _plan_inputs(spark, sf)
+    turn = F.col("source_id") % 3
+    asked = bounds.where(turn < 2).select("source_id", F.lit(0).alias("request"), F.when(turn == 0, "count").otherwise("target").alias("mode"), F.when(turn == 0, F.col("source_id") % 4 + 1).otherwise(40 * CLOCK).alias("asked"))
+    found = G.plan_search(edges, bounds, asked).select("source_id", "mode", "feasible", "message", "cuts")
+    hand = acts.where("source_id % 3 = 2 AND turn % 2 = 0").groupBy("source_id").agg(F.collect_list(E).alias("boundaries"))
+    hand = G.manual_cuts(hand, dur).select("source_id", F.lit("manual").alias("mode"), F.col("problem").isNull().alias("feasible"), "message", "cuts")
+    plans = keep(found.unionByName(hand))
+    clips = G.plan_clips(plans.where("size(cuts) > 1").select("source_id", "cuts"), acts, exc, G.unsafe_intervals(acts, exc, words, dur))
+    return G.plan_verdicts(plans, clips, ["source_id"]).select("source_id", "mode", "feasible", "message", F.array_join("cuts", ",").alias("cuts"))
+
+
 def g11_manual_plan(spark, sf):
     """Clips between every third turn's end: manual boundaries, with what is wrong with them."""
     acts, exc, words, dur = D.activities(spark, sf), D.exclusions(spark, sf), D.turn_words(spark, sf), D.durations(spark, sf)
@@ -238,7 +263,7 @@ QUERIES = {
     "J9_speaker_overlaps": j9_overlaps, "J9_event_pairs": j9_event_pairs, "J10_clip_to_windows": j10_clipped, "U1_boundaries": u1_boundaries, "J1_word_speakers": j1_word_speakers,
     "J2_majority_speaker": j2_turn_speakers, "J3_speaker_at": j3_speaker_at, "J4_overrides": j4_overrides, "J5_overlap_flags": j5_overlap_flags, "J6_alignment_status": j6_alignment,
     "J7_close_gaps": j7_closed_gaps, "J8_clean_turns": j8_clean_turns, "W6_smooth_turns": w6_smoothed, "G2_conversation_bounds": g2_bounds, "G5_boundary_candidates": g5_candidates,
-    "A3_evaluate_clips": a3_clip_figures, "A2_window_verdicts": a2_window_verdicts, "G8_feasible_counts": g8_feasible_counts, "G9_target_plan": g9_target_plan,
+    "A3_evaluate_clips": a3_clip_figures, "A2_window_verdicts": a2_window_verdicts, "G8_feasible_counts": g8_feasible_counts, "G8_count_plans": g8_count_plans, "G10_plan_verdicts": g10_plan_verdicts, "G9_target_plan": g9_target_plan,
     "G11_manual_plan": g11_manual_plan, "G6_greedy_segments": g6_greedy,
 }
 

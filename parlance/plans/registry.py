@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 
 from ..shipping import ship
-from . import detail_queries, interval_queries, record_queries, render_queries, table_queries
+from . import detail_queries, file_queries, interval_queries, record_queries, render_queries, table_queries
 
 
 def _shipped(query):
@@ -17,6 +17,6 @@ def _shipped(query):
     return run
 
 
-MODULES = (interval_queries, table_queries, record_queries, detail_queries, render_queries)
+MODULES = (interval_queries, table_queries, record_queries, detail_queries, render_queries, file_queries)
 QUERIES = {name: _shipped(q) for m in MODULES for name, q in m.QUERIES.items()}
 ORACLES = {name: q for m in MODULES for name, q in m.ORACLES.items()}
