@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import itertools
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..settings import CLOCK, DEFAULT, Settings
+from ..shipping import ship
 from .intervals import E, S, clip_to_windows, exchange_counts, merge_intervals, range_join, silences, speaker_overlaps, union_length
 
-LAYERS_BEFORE_WRITE = 4
-
-
 def conversation_bounds(activities: DataFrame, durations: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """(source_id, lo, hi, duration): first and last activity with context, cut to the source; the whole source without activities."""
     ends = activities.groupBy("source_id").agg(F.min(S).alias("a0"), F.max(E).alias("a1"))
@@ -112,56 +111,120 @@ def clip_edges(candidates: DataFrame, bounds: DataFrame, activities: DataFrame,
     return pairs.join(rated.select("source_id", F.col(S).alias("a"), F.col(E).alias("b")), ["source_id", "a", "b"], "left_semi")
 
 
-def feasible_counts(edges: DataFrame, bounds: DataFrame, most: int, keep=lambda df: df) -> DataFrame:
-    """(source_id, k): clip counts with which the whole conversation can be cut; one layer a count.
-
-    ``keep`` writes a layer down, so that the plan stays short.
+# fixed values: what a plan without a way says
+SAYS = {
+    "cover": "{count} clips cannot cover this conversation within 20–100 seconds; try approximately {nearest} clips.",
+    "count": "The exact clip count has no safe pause combination that gives every clip both speakers and a completed exchange.",
+    "other": "{count} clips are not feasible under the 20–100 second conversation constraints. Proposed the closest valid {k}-clip plan.",
+    "target": "No safe pause combination can satisfy the target duration while keeping both speakers and a completed exchange in every clip.",
+    "few": "Manual mode requires at least two distinct boundaries.",
+    "outside": "Manual boundaries must stay within the source.",
+    "clips": "One or more proposed clips violate export constraints.",
+}
+
+
+class _Edges:
+    """The valid clips of one source as rows of sorted starts."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, q: np.ndarray, lo: int, hi: int):
+        order = np.lexsort((b, a))
+        self.a, self.b, self.q, self.lo, self.hi = a[order], b[order], q[order], lo, hi
+
+    def counts(self) -> list[int]:
+        """Numbers of clips that lead from one end to the other: bit k of a place says that k clips reach it."""
+        bits = {self.lo: 1}
+        for a, b in zip(self.a.tolist(), self.b.tolist()):  # starts ascend, so a place is complete before it is used
+            have = bits.get(a)
+            if have is not None:
+                bits[b] = bits.get(b, 0) | have << 1
+        last = bits.get(self.hi, 0)
+        return [k for k in range(1, last.bit_length()) if last >> k & 1]
+
+    def cheapest(self, count: int) -> list[int]:
+        """The cuts of the best plan of a feasible count by (sum of qualities, sum of distances from even cuts).
+
+        Of equal ways to a place the one whose predecessor was found first stays, then the one found first.
+        """
+        places, q, d = np.array([self.lo]), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        back = []
+        for layer in range(1, count + 1):
+            first, last = np.searchsorted(self.a, places, "left"), np.searchsorted(self.a, places, "right")
+            state = np.repeat(np.arange(len(places)), last - first)
+            ends = np.cumsum(last - first)
+            edge = np.arange(len(state)) - np.repeat(ends - (last - first), last - first) + np.repeat(first, last - first)
+            b = self.b[edge]
+            fits = (b == self.hi) if layer == count else (b < self.hi)
+            state, edge, b = state[fits], edge[fits], b[fits]
+            ideal = self.lo + int(np.rint((self.hi - self.lo) * layer / count))
+            cost_q, cost_d = q[state] + np.where(b == self.hi, 0, self.q[edge]), d[state] + np.abs(b - ideal)
+            order = np.lexsort((np.arange(len(b)), cost_d, cost_q, b))
+            best = order[np.concatenate([[True], b[order][1:] != b[order][:-1]])] if len(b) else order
+            found = np.unique(b, return_index=True)[1]  # by place, like ``best``
+            best = best[np.argsort(found)]
+            back.append((b[best], state[best]))
+            places, q, d = b[best], cost_q[best], cost_d[best]
+        cuts, at = [], 0
+        for ends, before in reversed(back):
+            cuts.append(int(ends[at]))
+            at = int(before[at])
+        return [self.lo, *reversed(cuts)]
+
+    def plan(self, mode: str, asked: int, s: Settings) -> tuple[int | None, str, list[int], int]:
+        """(clips, message, cuts, nearest) for ``asked`` clips or, with the mode target, clips of ``asked`` samples; no clips without a way."""
+        total, counts = self.hi - self.lo, self.counts()
+        nearest = max(1, round(total / (60 * CLOCK)))
+        if mode == "count":
+            order = lambda k: (abs(k - asked), abs(total / k - 60 * CLOCK), k)
+            cover = asked * s.plan_min <= total <= asked * s.plan_max
+            none = SAYS["count"] if cover else SAYS["cover"].format(count=asked, nearest=nearest)
+        else:
+            asked = min(s.plan_max, max(s.plan_min, asked))
+            order = lambda k: (abs(total / k - asked), k)
+            none = SAYS["target"]
+        if not counts:
+            return None, none, [self.lo, self.hi], nearest
+        k = min(counts, key=order)
+        return k, SAYS["other"].format(count=asked, k=k) if mode == "count" and k != asked else "", self.cheapest(k), nearest
+
+
+def plan_search(edges: DataFrame, bounds: DataFrame, requests: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """(source_id, request, mode, asked, k, feasible, nearest, message, cuts, counts) of requests (source_id, request, mode, asked).
+
+    The mode is ``count`` (asked clips, else the nearest feasible number) or ``target`` (clips of about
+    asked samples).  One pass over the sources: a task holds a source's edges (24 bytes each, a start has at most
+    as many as candidates lie in 80 s) and a state for each candidate and clip (24 bytes; 10 hours are
+    at most 1800 clips).  ``counts`` are all feasible numbers.  A source without edges has no way; requests for unknown sources and with a null are left out.
     """
-    state = bounds.select("source_id", F.col("lo").alias("pos"))
-    found = None
-    for k in range(1, most + 1):
-        state = state.join(edges.select("source_id", F.col("a").alias("pos"), "b"), ["source_id", "pos"]).select("source_id", F.col("b").alias("pos")).distinct()
-        state = keep(state)
-        done = state.join(bounds.select("source_id", F.col("hi").alias("pos")), ["source_id", "pos"], "left_semi").select("source_id", F.lit(k).alias("k"))
-        found = done if found is None else found.unionAll(done)
-        if state.isEmpty():
-            break
-    return found
+    ship(edges.sparkSession)
+    asked = requests.join(bounds.select("source_id", "lo", "hi"), "source_id").where("asked IS NOT NULL AND mode IS NOT NULL")
+    asked = asked.select("source_id", F.col("request").cast("long").alias("request"), "mode", F.col("asked").cast("long").alias("asked"), "lo", "hi")
+    kind = bounds.schema["source_id"].dataType.simpleString()
 
+    def run(key: tuple, found: pa.Table, wanted: pa.Table) -> pa.Table:
+        a, b, q = (found[c].to_numpy().astype(np.int64) for c in ("a", "b", "q"))
+        rows = []
+        for r in wanted.to_pylist():
+            way = _Edges(a, b, q, r["lo"], r["hi"])
+            k, message, cuts, nearest = way.plan(r["mode"], r["asked"], s)
+            rows.append({"source_id": r["source_id"], "request": r["request"], "mode": r["mode"], "asked": r["asked"], "k": k, "feasible": k is not None, "nearest": nearest, "message": message, "cuts": cuts, "counts": way.counts()})
+        return pa.Table.from_pylist(rows, schema)
 
-def exact_count_plan(edges: DataFrame, bounds: DataFrame, counts: DataFrame, keep=lambda df: df) -> DataFrame:
-    """(source_id, k, cuts): the cheapest cut into k clips, by (sum of qualities, sum of distances from even cuts).
+    schema = pa.schema([_source_field(bounds), ("request", pa.int64()), ("mode", pa.string()), ("asked", pa.int64()), ("k", pa.int64()), ("feasible", pa.bool_()), ("nearest", pa.int64()), ("message", pa.string()), ("cuts", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
+    out = f"source_id {kind}, request long, mode string, asked long, k long, feasible boolean, nearest long, message string, cuts array<long>, counts array<long>"
+    rows = edges.select(F.col("source_id").alias("source_id"), "a", "b", "q")
+    return rows.groupBy("source_id").cogroup(asked.groupBy("source_id")).applyInArrow(run, out)
 
-    Layer by layer, the best state of each position survives; ties go to the predecessor found
-    first, that is by the predecessor's rank and then by position.
-    """
-    frame = bounds.join(counts, "source_id")
-    state = frame.select("source_id", "k", "lo", "hi", F.col("lo").alias("pos"), F.lit(0).cast("long").alias("q"), F.lit(0).cast("long").alias("d"), F.lit(1).alias("rank"), F.array("lo").alias("cuts"))
-    most = counts.agg(F.max("k")).first()[0] or 0
-    done = None
-    rename = edges.select("source_id", F.col("a").alias("pos"), "b", F.col("q").alias("bq"))
-    for layer in range(1, most + 1):
-        nxt = state.where(F.col("k") >= layer).join(rename, ["source_id", "pos"])
-        last = F.col("k") == layer
-        nxt = nxt.where(F.when(last, F.col("b") == F.col("hi")).otherwise(F.col("b") < F.col("hi")))
-        ideal = F.col("lo") + F.rint((F.col("hi") - F.col("lo")) * layer / F.col("k")).cast("long")
-        cost_q = F.col("q") + F.when(F.col("b") == F.col("hi"), 0).otherwise(F.col("bq"))
-        nxt = nxt.select("source_id", "k", "lo", "hi", "b", cost_q.alias("q"), (F.col("d") + F.abs(F.col("b") - ideal)).alias("d"), "rank", "cuts")
-        best = nxt.groupBy("source_id", "k", "lo", "hi", "b").agg(F.min(F.struct("q", "d", "rank", "cuts")).alias("m"), F.min("rank").alias("first"))
-        w = Window.partitionBy("source_id", "k").orderBy("first", "b")
-        state = best.select("source_id", "k", "lo", "hi", F.col("b").alias("pos"), F.col("m.q").alias("q"), F.col("m.d").alias("d"), F.row_number().over(w).alias("rank"), F.concat("m.cuts", F.array("b")).alias("cuts"))
-        state = keep(state)
-        ended = state.where(F.col("k") == layer).select("source_id", "k", "cuts")
-        done = ended if done is None else done.unionAll(ended)
-    return done
-
-
-def pick_count(feasible: DataFrame, bounds: DataFrame, target_samples: int | None = None, requested: int | None = None) -> DataFrame:
-    """(source_id, k): the wanted number of clips, or the feasible one nearest to the request or to the target length."""
-    df = feasible.join(bounds, "source_id")
-    mean = (F.col("hi") - F.col("lo")) / F.col("k")
-    order = F.struct(F.abs(F.col("k") - requested).alias("x"), F.abs(mean - 60 * CLOCK).alias("y"), "k") if requested is not None else F.struct(F.abs(mean - target_samples).alias("x"), F.lit(0.0).alias("y"), "k")
-    return df.groupBy("source_id").agg(F.min(order).alias("m")).select("source_id", F.col("m.k").alias("k"))
+
+def _source_field(bounds: DataFrame) -> pa.Field:
+    return pa.field("source_id", to_arrow_type(bounds.schema["source_id"].dataType))
+
+
+def plan_verdicts(plans: DataFrame, clips: DataFrame, keys: list[str]) -> DataFrame:
+    """Plans (keys, feasible, message) with what their clips (keys, status) say: an invalid clip makes a plan infeasible, its own message stays first."""
+    bad = clips.where("status = 'invalid'").select(*keys, F.lit(True).alias("bad")).distinct()
+    df = plans.join(bad, keys, "left")
+    message = F.when(F.col("bad") & (F.coalesce("message", F.lit("")) == ""), SAYS["clips"]).otherwise(F.coalesce("message", F.lit("")))
+    return df.withColumns({"feasible": F.col("feasible") & F.col("bad").isNull(), "message": message}).drop("bad")
 
 
 def plan_clips(plan: DataFrame, activities: DataFrame, excluded: DataFrame, unsafe: DataFrame, s: Settings = DEFAULT) -> DataFrame:
@@ -181,10 +244,11 @@ def plan_clips(plan: DataFrame, activities: DataFrame, excluded: DataFrame, unsa
 
 
 def manual_cuts(requests: DataFrame, durations: DataFrame) -> DataFrame:
-    """(source_id, cuts, problem) of requests (source_id, boundaries): distinct, sorted, at least two, inside the source."""
+    """(source_id, cuts, problem, message) of requests (source_id, boundaries): distinct, sorted, at least two, inside the source."""
     df = requests.join(durations, "source_id").withColumn("cuts", F.array_sort(F.array_distinct("boundaries")))
     problem = F.when(F.size("cuts") < 2, "too_few_boundaries").when((F.array_min("cuts") < 0) | (F.array_max("cuts") > F.col("duration")), "boundary_outside_source")
-    return df.select("source_id", "cuts", problem.alias("problem"))
+    message = F.when(problem == "too_few_boundaries", SAYS["few"]).when(problem.isNotNull(), SAYS["outside"]).otherwise("")
+    return df.select("source_id", "cuts", problem.alias("problem"), message.alias("message"))
 
 
 def window_verdicts(windows: DataFrame, segments: DataFrame, assistant: str, s: Settings = DEFAULT) -> DataFrame:
@@ -227,37 +291,67 @@ def window_verdicts(windows: DataFrame, segments: DataFrame, assistant: str, s:
     return wide.select("source_id", S, E, status.alias("status"), reasons.alias("reasons"), a.alias("assistant_s"), u.alias("user_s"), count.cast("long").alias("speaker_count"), quiet.alias("silence_ratio"), over.alias("overlap_ratio"), small.alias("min_share"))
 
 
-def greedy_segments(segments: DataFrame, durations: DataFrame, assistant: str, s: Settings = DEFAULT, keep=lambda df: df, most: int | None = None) -> DataFrame:
-    """(source_id, clip_no, start_sample, end_sample, status, reasons): clips one after the other from the first speech.
+def _next_cuts(cursors: DataFrame, cuts: DataFrame, lo: int, hi: int) -> DataFrame:
+    """(source_id, c, b): the boundaries at lo to hi from each cursor; both meet through bins of hi samples."""
+    bins = F.sequence(F.floor((F.col("c") + lo) / hi), F.floor((F.col("c") + hi) / hi))
+    left = cursors.select("source_id", "c", F.explode(bins).alias("bin"))
+    right = cuts.select("source_id", "b", F.floor(F.col("b") / hi).alias("bin"))
+    return left.join(right, ["source_id", "bin"]).where((F.col("b") - F.col("c")).between(lo, hi)).select("source_id", "c", "b")
 
-    All sources advance together, one clip a round.  A boundary is a turn's end with context; of
-    those at a fitting length the best is (status, overlap ratio, distance from the target,
-    minus the smaller share, position); without one the clip has the greatest length.  A rest that
-    is too short joins the last clip if that stays within bounds.  Rounds go on until all sources
-    are at their ends; more than ``most`` rounds are an error.
+
+def follow(steps: DataFrame, starts: DataFrame, keep=lambda df: df) -> DataFrame:
+    """(source_id, c, place): what is reached from each source's start (source_id, c) by steps (source_id, c, e), and after how many.
+
+    The steps are composed with themselves, so n steps take log2(n) rounds.  Steps must lead upwards.
+    """
+    reached, jump, length = keep(starts.select("source_id", "c", F.lit(0).cast("long").alias("place"))), steps.select("source_id", "c", "e"), 1
+    while True:
+        new = keep(reached.join(jump, ["source_id", "c"]).select("source_id", F.col("e").alias("c"), (F.col("place") + length).alias("place")))
+        if new.isEmpty():
+            return reached
+        reached = keep(reached.unionByName(new))
+        on = jump.select("source_id", F.col("c").alias("e"), F.col("e").alias("far"))
+        jump, length = keep(jump.join(on, ["source_id", "e"]).select("source_id", "c", F.col("far").alias("e"))), 2 * length
+
+
+def greedy_segments(segments: DataFrame, durations: DataFrame, assistant: str, s: Settings = DEFAULT, keep=lambda df: df) -> DataFrame:
+    """(source_id, clip_no, start_sample, end_sample, status, reasons): clips one after the other, from before the first speech to after the last.
+
+    A boundary is a turn's end with context; of those at a fitting length the best is (status, overlap
+    ratio, distance from the target, minus the smaller share, position); without one the clip has the
+    greatest length.  A rest that is too short joins the last clip if that stays within bounds.
+
+    The best next cut of every place is found at once, then the way from the start is followed by
+    doubling.  Places are the boundaries and what lies clips of the greatest length after one that has
+    none within reach; these are found in as many rounds as the longest stretch without a
+    boundary has such clips, for all sources together.
     """
     lo, mid, hi = (int(x * CLOCK) for x in (s.min_clip_s, s.target_clip_s, s.max_clip_s))
-    first = segments.groupBy("source_id").agg(F.min(S).alias("first")).join(durations, "source_id")
     context = int(s.context_s * CLOCK)
-    cuts = segments.join(first, "source_id").select("source_id", F.greatest(F.col("first"), F.least(F.col("duration"), F.col(E) + context)).alias("b")).distinct()
-    cuts = cuts.unionByName(first.select("source_id", F.col("duration").alias("b"))).distinct()
-    cursor = first.select("source_id", F.col("first").alias("c"), "duration", F.lit(1).alias("clip_no"))
-    out = None
-    for k in itertools.count():
-        if k == most:
-            raise RuntimeError(f"greedy_segments: sources are not at their ends after {most} rounds")
-        spans = cursor.join(cuts, "source_id").where((F.col("b") - F.col("c")).between(lo, hi))
-        rated = window_verdicts(spans.select("source_id", F.col("c").alias(S), F.col("b").alias(E)), segments, assistant, s)
-        rank = F.when(F.col("status") == "PASS", 0).when(F.col("status") == "REVIEW", 1).otherwise(2)
-        score = F.struct(rank.alias("x"), "overlap_ratio", F.abs(F.col(E) - F.col(S) - mid).alias("y"), (-F.col("min_share")).alias("z"), F.col(E).alias("b"))
-        best = rated.groupBy("source_id").agg(F.min(score).alias("m")).select("source_id", F.col("m.b").alias("best"))
-        step = cursor.join(best, "source_id", "left")
-        end = F.coalesce("best", F.least(F.col("duration"), F.col("c") + hi))
-        end = F.when((F.col("duration") - end < lo) & (F.col("duration") - F.col("c") <= hi), F.col("duration")).otherwise(end)
-        step = keep(step.select("source_id", "c", end.alias("e"), "duration", "clip_no"))
-        out = step if out is None else out.unionAll(step)
-        cursor = step.where(F.col("e") < F.col("duration")).select("source_id", F.col("e").alias("c"), "duration", (F.col("clip_no") + 1).alias("clip_no"))
-        if cursor.isEmpty():
+    ends = segments.groupBy("source_id").agg(F.min(S).alias("s0"), F.max(E).alias("e1")).join(durations, "source_id")
+    frame = keep(ends.select("source_id", F.greatest(F.lit(0), F.col("s0") - context).cast("long").alias("first"), F.least("duration", F.col("e1") + context).cast("long").alias("last"), "duration"))
+    cuts = segments.join(frame, "source_id").select("source_id", F.least("duration", F.greatest("first", F.col(E) + context)).cast("long").alias("b"))
+    cuts = keep(cuts.distinct())
+    limits = frame.select("source_id", "last")
+    new = keep(frame.select("source_id", F.col("first").alias("c")).unionByName(cuts.select("source_id", F.col("b").alias("c"))).distinct().join(limits, "source_id").where("c < last"))
+    places = new
+    while True:
+        stuck = new.join(_next_cuts(new, cuts, lo, hi).select("source_id", "c").distinct(), ["source_id", "c"], "left_anti")
+        new = stuck.select("source_id", (F.col("c") + hi).alias("c"), "last").where("c < last").distinct()
+        new = keep(new.join(places.select("source_id", "c"), ["source_id", "c"], "left_anti"))
+        if new.isEmpty():
             break
-    clips = out.select("source_id", "clip_no", F.col("c").alias(S), F.col("e").alias(E))
+        places = keep(places.unionByName(new))
+    spans = _next_cuts(places, cuts, lo, hi)
+    rated = window_verdicts(spans.select("source_id", F.col("c").alias(S), F.col("b").alias(E)), segments, assistant, s)
+    rank = F.when(F.col("status") == "PASS", 0).when(F.col("status") == "REVIEW", 1).otherwise(2)
+    score = F.struct(rank.alias("x"), "overlap_ratio", F.abs(F.col(E) - F.col(S) - mid).alias("y"), (-F.col("min_share")).alias("z"), F.col(E).alias("b"))
+    best = rated.groupBy("source_id", F.col(S).alias("c")).agg(F.min(score).alias("m")).select("source_id", "c", F.col("m.b").alias("best"))
+    step = places.join(best, ["source_id", "c"], "left")
+    end = F.coalesce("best", F.least("last", F.col("c") + hi))
+    end = F.when((F.col("last") - end < lo) & (F.col("last") - F.col("c") <= hi), F.col("last")).otherwise(end)
+    step = keep(step.select("source_id", "c", end.alias("e")).where("e > c"))
+    way = follow(step, frame.where("first < last").select("source_id", F.col("first").alias("c")), keep)
+    clips = way.join(step, ["source_id", "c"]).select("source_id", (F.col("place") + 1).cast("int").alias("clip_no"), F.col("c").alias(S), F.col("e").alias(E))
+    clips = keep(clips)
     return clips.join(window_verdicts(clips, segments, assistant, s), ["source_id", S, E]).select("source_id", "clip_no", S, E, "status", "reasons")

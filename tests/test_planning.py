@@ -93,19 +93,107 @@ def test_feasible_counts(spark, talks):
 
 
 def _cheapest(talk, edges, k):
+    """(cost, cuts) of the plan that the search finds first among the cheapest."""
     lo, hi = talk[4]
-    state = {lo: (0, 0)}
+    state = {lo: ((0, 0), [lo])}
     for layer in range(1, k + 1):
         ideal, nxt = lo + round((hi - lo) * layer / k), {}
-        for a, (q, d) in state.items():
+        for a, ((q, d), way) in state.items():
             for b, bq in edges.get(a, []):
                 if (b == hi) == (layer == k):
                     cost = (q + (0 if b == hi else bq), d + abs(b - ideal))
-                    nxt[b] = min(nxt.get(b, cost), cost)
+                    if b not in nxt or cost < nxt[b][0]:
+                        nxt[b] = cost, [*way, b]
         state = nxt
     return state[hi]
 
 
+def _count_plan(talk, edges, asked):
+    """(k, message, cuts) for a number of clips."""
+    lo, hi = talk[4]
+    counts = _counts(talk, edges)
+    cover = asked * DEFAULT.plan_min <= hi - lo <= asked * DEFAULT.plan_max
+    if not counts:
+        nearest = max(1, round((hi - lo) / (60 * CLOCK)))
+        said = "The exact clip count has no safe pause combination that gives every clip both speakers and a completed exchange."
+        return None, said if cover else f"{asked} clips cannot cover this conversation within 20–100 seconds; try approximately {nearest} clips.", [lo, hi]
+    k = min(counts, key=lambda c: (abs(c - asked), abs((hi - lo) / c - 60 * CLOCK), c))
+    said = f"{asked} clips are not feasible under the 20–100 second conversation constraints. Proposed the closest valid {k}-clip plan."
+    return k, "" if k == asked else said, _cheapest(talk, edges, k)[1]
+
+
+def test_count_plans(spark, talks):
+    got = {r.source_id: (r.k, r.message, r.cuts) for r in registry.QUERIES["G8_count_plans"](spark, SF).collect()}
+    want = {}
+    for s, talk in talks.items():
+        k, message, cuts = _count_plan(talk, _edges(talk), s % 6 + 1)
+        want[s] = k, message, ",".join(map(str, cuts))
+    assert got == want and len({bool(w[1]) for w in want.values()}) == 2
+
+
+def test_plan_search_on_random_edges(spark):
+    import random
+
+    from parlance.operators import planning as G
+
+    rng, edges, bounds, asks = random.Random(2), [], [], []
+    for s in range(40):
+        points = sorted(rng.sample(range(1, 60), rng.randint(0, 14)))
+        lo, hi = 0, 60 * CLOCK * 2
+        points = [lo, *(p * CLOCK * 2 for p in points), hi]
+        edges += [(s, a, b, 0 if b == hi else rng.randint(0, 2)) for a in points for b in points if DEFAULT.plan_min <= b - a <= DEFAULT.plan_max and rng.random() < 0.8]
+        bounds.append((s, lo, hi))
+        asks += [(s, 0, "count", rng.randint(1, 9)), (s, 1, "target", rng.choice([1, 20, 35, 10**4]) * CLOCK), (s, 2, "count", None)]
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    out = G.plan_search(frame(edges, "source_id long, a long, b long, q int"), frame(bounds, "source_id long, lo long, hi long"), frame(asks, "source_id long, request int, mode string, asked long")).collect()
+    assert len(out) == 80
+    for r in out:
+        talk = (None, None, None, None, (0, 60 * CLOCK * 2), None)
+        mine = {}
+        for s, a, b, q in sorted(edges):
+            if s == r.source_id:
+                mine.setdefault(a, []).append((b, q))
+        counts = _counts(talk, mine)
+        assert set(r.counts) == counts and r.feasible == bool(counts)
+        if r.mode == "count":
+            assert (r.k, r.message, r.cuts) == _count_plan(talk, mine, r.asked)
+        elif counts:
+            aim = min(DEFAULT.plan_max, max(DEFAULT.plan_min, next(x[3] for x in asks if x[0] == r.source_id and x[2] == "target")))
+            k = min(counts, key=lambda c: (abs(60 * CLOCK * 2 / c - aim), c))
+            assert (r.k, r.cuts) == (k, _cheapest(talk, mine, k)[1])
+    assert {r.feasible for r in out} == {True, False}
+
+
+def test_plan_verdicts(spark, talks):
+    got = {r.source_id: r for r in registry.QUERIES["G10_plan_verdicts"](spark, SF).collect()}
+    seen = set()
+    for s, talk in talks.items():
+        acts, exc, words, _, (lo, hi), duration = talk
+        if s % 3 == 2:
+            cuts = sorted({b for _, _, b, turn in acts if turn % 2 == 0})
+            if not cuts:
+                assert s not in got
+                continue
+            fine = len(cuts) > 1 and cuts[0] >= 0 and cuts[-1] <= duration
+            message = "" if fine else "Manual mode requires at least two distinct boundaries." if len(cuts) < 2 else "Manual boundaries must stay within the source."
+        elif s % 3 == 0:
+            k, message, cuts = _count_plan(talk, _edges(talk), s % 4 + 1)
+            fine = k is not None
+        else:
+            edges = _edges(talk)
+            counts = _counts(talk, edges)
+            fine = bool(counts)
+            cuts = _cheapest(talk, edges, min(counts, key=lambda c: (abs((hi - lo) / c - 40 * CLOCK), c)))[1] if counts else [lo, hi]
+            message = "" if fine else "No safe pause combination can satisfy the target duration while keeping both speakers and a completed exchange in every clip."
+        guarded = [(a - DEFAULT.word_guard, b + DEFAULT.word_guard) for a, b in _union(_cut(words, 0, duration))] or [(a, b) for _, a, b, _ in acts]
+        unsafe = [*exc, *_overlaps(acts), *guarded]
+        bad = any(_clip_reasons(acts, a, b) for a, b in zip(cuts, cuts[1:])) or len(cuts) > 1 and any(a < p < b for p in cuts for a, b in unsafe)
+        message = message or ("One or more proposed clips violate export constraints." if bad else "")
+        assert (got[s].feasible, got[s].message, got[s].cuts) == (fine and not bad, message, ",".join(map(str, cuts)))
+        seen.add((s % 3, fine and not bad))
+    assert len(seen) > 2
+
+
 def test_target_plans_are_the_cheapest(spark, talks):
     clips = defaultdict(list)
     for r in registry.QUERIES["G9_target_plan"](spark, SF).collect():
@@ -124,7 +212,7 @@ def test_target_plans_are_the_cheapest(spark, talks):
         assert cuts[0] == lo and cuts[-1] == hi and [r[1] for r in rows] == cuts[:-1]
         quality = {a: dict(b) for a, b in edges.items()}
         cost = (sum(quality[a][b] for a, b in zip(cuts, cuts[1:-1])), sum(abs(b - (lo + round((hi - lo) * i / k))) for i, b in enumerate(cuts[1:], 1)))
-        assert cost == _cheapest(talk, edges, k)
+        assert (cost, cuts) == _cheapest(talk, edges, k)
         planned += 1
     assert planned
 
@@ -169,18 +257,19 @@ def test_greedy_segments(spark, talks):
     for s, (acts, _, _, _, _, duration) in talks.items():
         if not acts:
             continue
-        at = first = min(a for _, a, _, _ in acts)
-        cuts = {max(first, min(duration, b + context)) for _, _, b, _ in acts} | {duration}
+        at = first = max(0, min(a for _, a, _, _ in acts) - context)
+        last = min(duration, max(b for _, _, b, _ in acts) + context)
+        cuts = {max(first, min(duration, b + context)) for _, _, b, _ in acts}
         no = 0
-        while at < duration:
+        while at < last:
             def score(b, at=at, acts=acts):
                 status, _, over, small = _window(acts, at, b)
                 return ("PASS", "REVIEW", "REJECT").index(status), over, abs(b - at - mid), -small, b
 
             fits = [b for b in cuts if lo <= b - at <= hi]
-            end = min(fits, key=score) if fits else min(duration, at + hi)
-            if duration - end < lo and duration - at <= hi:
-                end = duration
+            end = min(fits, key=score) if fits else min(last, at + hi)
+            if last - end < lo and last - at <= hi:
+                end = last
             no += 1
             status, reasons, _, _ = _window(acts, at, end)
             want.append((s, no, at, end, status, ",".join(reasons)))
