@@ -1,11 +1,17 @@
 """License scan: canonical digests of entire texts, joined with those of known licences.
 
 The canonical form is lower case, without copyright lines, with one spelling for equivalent
-ones, and with every run of other characters than a-z and 0-9 as one blank.  Units are the
-whole text of a document and each of its lines (a notice stands on a line of its own); a
+ones, and with every run of other characters than a-z and 0-9 as one blank.  A copyright line is one that
+starts with the word or the sign and goes on with a year, a sign or a place for the year, so a line of the licence's
+own that happens to start with the word stays, wherever lines are broken.  A notice may be broken, too: a second form of a
+text also leaves out what follows such a line up to the next empty one, and either form may match.  Units are the
+whole text of a document and each of its lines (a notice of use stands on a line of its own); a
 unit matches only if the whole of it has the digest of a known text, with or without its title.  Units without any word
 that all known texts need are passed over before they are put in canonical form.
 
+``KNOWN`` has whole texts of seven licences and the notices of others; longer licences (Apache, GPL, MPL) come
+from a folder of texts (``known_texts``), one file a licence, as systems keep in their folder of common licences.
+
 Defined results: null and empty texts match nothing; null ids are returned with what their
 text matches; repeated rows are returned each; known texts that are null or empty in canonical form match nothing.
 Extra columns are ignored.
@@ -119,12 +125,17 @@ SPELLINGS = (
     ("non-commercial", "noncommercial"),
     ("&", "and"),
 )
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+_OTHER = r"[^\p{L}\p{N}\n]*"
+_YEAR = r"(?:[0-9]{4}|[<\[{](?:year|yyyy))"
+# what a copyright line starts with, in lower case
+NOTICE = rf"{_OTHER}(?:copyright{_OTHER}(?:\(c\)|©|{_YEAR})|\(c\){_OTHER}{_YEAR}|©|all rights reserved)"
+COPYRIGHT_LINE = rf"(?m)^{NOTICE}[^\n]*$"
+COPYRIGHT_PARAGRAPH = rf"(?m)^{NOTICE}[^\n]*(?:\n[^\n]*[^\s][^\n]*)*"
 NEEDS = ("licen", "permi")  # every known text has one of these; checked in known_licenses
 
 
-def canonical(text: Column) -> Column:
-    text = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "")
+def canonical(text: Column, notices: str = COPYRIGHT_LINE) -> Column:
+    text = F.regexp_replace(F.regexp_replace(F.lower(text), notices, ""), r"\s+", " ")
     for other, kept in SPELLINGS:
         text = F.replace(text, F.lit(other), F.lit(kept))
     return F.trim(F.regexp_replace(text, "[^a-z0-9]+", " "))
@@ -140,11 +151,18 @@ def with_untitled(known: dict[str, str]) -> list[tuple[str, str]]:
     return rows
 
 
+def known_texts(spark: SparkSession, folder: str) -> dict[str, str]:
+    """The texts of the licence files in a folder (a bounded set, a few dozen), by file name without an ending such as .txt."""
+    rows = spark.read.text(folder, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.txt)?$", 1).alias("name"), "value")
+    return {r.name: r.value for r in rows.collect()}
+
+
 def known_licenses(spark: SparkSession, known: dict[str, str] | None = None) -> DataFrame:
-    """(license_id, digest); for equal digests the first id by name."""
+    """(license_id, digest) of both forms; for equal digests the first id by name."""
     rows = with_untitled(KNOWN if known is None else known)
     df = spark.createDataFrame(rows, "license_id string, text string").where("text is not null")
-    named = df.select("license_id", canonical(F.col("text")).alias("c")).where("c <> ''")
+    forms = F.array(canonical(F.col("text")), canonical(F.col("text"), COPYRIGHT_PARAGRAPH))
+    named = df.select("license_id", F.explode(forms).alias("c")).where("c <> ''")
     return named.groupBy(F.sha2("c", 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
 
 
@@ -163,7 +181,8 @@ def scan(docs: DataFrame, known: dict[str, str] | None = None) -> DataFrame:
     # rows are told apart by their place, as ids may be null or repeated
     docs = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
     worth = docs.where(F.col("text").isNotNull() & _worth(F.col("text"), known)).select("doc_id", "text", F.xxhash64("text").alias("t"))
-    whole = worth.select("doc_id", "t", canonical(F.col("text")).alias("c")).select("doc_id", "t", F.sha2("c", 256).alias("digest"), F.lit(True).alias("whole"))
+    forms = F.array_distinct(F.array(canonical(F.col("text")), canonical(F.col("text"), COPYRIGHT_PARAGRAPH)))
+    whole = worth.select("doc_id", "t", F.explode(forms).alias("c")).select("doc_id", "t", F.sha2("c", 256).alias("digest"), F.lit(True).alias("whole"))
     lines = worth.select("doc_id", "t", F.explode(F.split("text", "\n")).alias("line")).where(_worth(F.col("line"), known))
     lines = lines.select("doc_id", "t", F.sha2(canonical(F.col("line")), 256).alias("digest"), F.lit(False).alias("whole"))
     hits = whole.unionByName(lines).join(digests, "digest")
@@ -186,23 +205,34 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
+    """The definition line by line: which lines are notices, which of them a paragraph loses, what is left as words."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
 
-    def form(x: str) -> str:
-        x = f"regexp_replace(lower({x}), {quote(COPYRIGHT_LINE)}, '', 'g')"
+    def words(x: str) -> str:
+        x = f"regexp_replace({x}, '\\s+', ' ', 'g')"
         for other, kept in SPELLINGS:
             x = f"replace({x}, {quote(other)}, {quote(kept)})"
         return f"trim(regexp_replace({x}, '[^a-z0-9]+', ' ', 'g'))"
 
     rows = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in with_untitled(KNOWN))
+    start = "^[^\\p{L}\\p{N}]*"
+    year = "([0-9]{4}|[<\\[{](year|yyyy))"
+    notice = " OR ".join(f"regexp_matches(line, '{start}{x}')" for x in (f"copyright[^\\p{{L}}\\p{{N}}]*(\\(c\\)|©|{year})", f"\\(c\\)[^\\p{{L}}\\p{{N}}]*{year}", "©", "all rights reserved"))
     return f"""
-WITH known AS (SELECT {form("t")} AS c, min(k) AS license_id FROM (VALUES {rows}) v(k, t) GROUP BY 1),
-whole AS (SELECT doc_id, min(license_id) AS whole_license FROM (SELECT doc_id, {form("text")} AS c FROM documents) JOIN known USING (c) GROUP BY 1),
-lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
-notice AS (SELECT doc_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices, count(*) AS n
-  FROM (SELECT doc_id, {form("line")} AS c FROM lines) JOIN known USING (c) GROUP BY 1)
+WITH known_text AS (SELECT -row_number() OVER () AS id, k, t FROM (VALUES {rows}) v(k, t)),
+texts AS (SELECT row_number() OVER () AS id, doc_id, NULL AS k, text FROM documents UNION ALL SELECT id, NULL, k, t FROM known_text),
+lines AS (SELECT id, unnest(range(1, len(l) + 1)) AS no, unnest(l) AS line FROM (SELECT id, string_split(lower(text), chr(10)) AS l FROM texts)),
+seen AS (SELECT *, {notice} AS hit, count(*) FILTER (trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) = '') OVER (PARTITION BY id ORDER BY no) AS para FROM lines),
+marked AS (SELECT *, coalesce(bool_or(hit) OVER (PARTITION BY id, para ORDER BY no), false) AS after FROM seen),
+one AS (SELECT id, {words("coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (NOT hit), '')")} AS c FROM marked GROUP BY id),
+two AS (SELECT id, {words("coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (NOT after), '')")} AS c FROM marked GROUP BY id),
+forms AS (SELECT * FROM one UNION SELECT * FROM two),
+known AS (SELECT c, min(k) AS license_id FROM forms JOIN known_text USING (id) WHERE c <> '' GROUP BY c),
+whole AS (SELECT id, min(license_id) AS whole_license FROM forms JOIN known USING (c) WHERE id > 0 GROUP BY id),
+notes AS (SELECT id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices, count(*) AS n
+  FROM (SELECT id, CASE WHEN hit THEN '' ELSE {words("line")} END AS c FROM seen WHERE id > 0) JOIN known USING (c) GROUP BY id)
 SELECT doc_id, whole_license, coalesce(notices, '') AS notices, coalesce(n, 0) AS n_notices
-FROM documents LEFT JOIN whole USING (doc_id) LEFT JOIN notice USING (doc_id)
+FROM texts LEFT JOIN whole USING (id) LEFT JOIN notes USING (id) WHERE id > 0
 """
 
 
