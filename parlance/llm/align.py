@@ -41,8 +41,8 @@ from ..shipping import map_arrow
 from .common import checkpoint, table
 from .tokenbin import Words, _byte_letters, _Places
 
-PART = 1 << 19  # bytes of texts that are aligned together; a longer text is alone
-CACHE = 250_000  # words of each library that a worker remembers
+PART = 1 << 18  # bytes of texts that are aligned together; a longer text is alone
+CACHE = 200_000  # words of each library that a worker remembers
 _SHIFT = 20  # a pair is a << _SHIFT | b
 _END = 32  # bits of an end in a join key; Arrow's lists are shorter
 
@@ -208,6 +208,7 @@ def aligned(docs: DataFrame, byte_path: str, piece_path: str, pattern: str) -> D
                 n_a, n_b, n_links, digests, pairs = aligner.align(texts.slice(first, last - first).to_pylist())
                 columns = [batch.column(0).slice(first, last - first), *map(pa.array, (n_a, n_b, n_links, n_links, digests)), pairs]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs"])
+            pa.default_memory_pool().release_unused()
 
     return checkpoint(map_arrow(docs, run, "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>"))
 

@@ -8,13 +8,13 @@ share for ids not seen yet.  Each id is one step of a range coder with carry.
 
 A block of up to ``BLOCK`` ids starts from a fresh model and carries a crc32 of its ids, so any
 block can be decoded alone.  It is cut into lanes of consecutive ids, which advance side by side
-in numpy arrays, share the block's model and have a byte stream each; the model learns after
-every ``RENEW`` steps from all ids of these steps.  All results are integers, so files do
+in numpy arrays, share the block's model and have a byte stream each.  The predictions of orders 1 and 2 learn after
+every step from the ids of all lanes; the order-0 table and the weights are renewed after every ``RENEW`` steps.  All results are integers, so files do
 not depend on the machine (the one division in floating point is exact: both sides are under 2^48).
 
 A file holds the documents of one range of doc_id, in ascending order::
 
-    magic "PTIDBIN3" | blocks | index | u64 index position | u32 crc32 of the index | magic
+    magic "PTIDBIN4" | blocks | index | u64 index position | u32 crc32 of the index | magic
     block: u32 ids, u32 bytes, u32 crc32 of the ids (little-endian u32 each), bytes
     bytes: u16 lanes, u32 length in words of each lane, u16 words of the lanes
     index (zlib): u64 documents, u64 ids, then i64 doc_id, u8 null flag, u64 ids of each document
@@ -50,38 +50,43 @@ from pyspark.sql import Window
 from ..shipping import map_arrow
 from .common import checkpoint, shared_dir, table
 
-MAGIC = b"PTIDBIN3"
-BLOCK, LANES, RENEW = 1 << 19, 2048, 8
+MAGIC = b"PTIDBIN4"
+BLOCK, LANES, RENEW = 1 << 20, 1024, 8
+CONTEXTS = 18  # bits of an order-2 context's hash
 IDS = 1 << 16  # ids lie below
 END_ID = 0
 READ_TASKS = 20_000  # at most, for the files to be read
 CACHE = 500_000  # words that a worker remembers
 PIECE = 64
 LETTERS = "\u0500"  # below, letters and digits are the same in all versions of Unicode in use
-_BITS = 24  # of the mixture's total
+_BITS = 28  # of the mixture's total
 _TOTAL = 1 << _BITS
 _LEVELS = 16  # of a prediction's confidence
 _MISS, _HIT = 4, 3  # confidence of a new prediction, and what it gains when it comes true
 
 
 class _Model:
-    """The block's statistics: ``freeze`` makes the tables of the next steps, ``learn`` takes the ids of these steps."""
+    """The block's statistics: ``predict`` and ``learn`` go step by step, ``freeze`` makes the order-0 table and the weights of the next steps."""
 
     def __init__(self):
         self.counts = np.zeros(IDS, np.int64)
-        self.seen = 0
-        self.entry = [np.zeros(IDS, np.int64), np.zeros(IDS, np.int64)]  # predicted id * _LEVELS + confidence, by context
+        self.seen, self.waiting = 0, []
+        self.entry = [np.zeros(IDS, np.int64), np.zeros(1 << CONTEXTS, np.int64)]  # predicted id * _LEVELS + confidence, by context
         self.hits, self.tries = np.ones((2, _LEVELS), np.int64), np.full((2, _LEVELS), 4, np.int64)
         self.table = np.zeros(IDS + 1, np.int64)
 
     def freeze(self) -> None:
         """The order-0 table, in which every id has a floor that is larger while many ids are new, and the weights by confidence."""
+        if self.waiting:
+            ids = np.concatenate(self.waiting)
+            self.counts += np.bincount(ids, minlength=IDS)
+            self.seen, self.waiting = self.seen + len(ids), []
         distinct = np.count_nonzero(self.counts)
-        floor = max(8, _TOTAL * (distinct + 64) // (self.seen + 128) // 2 // IDS)
+        floor = max(_TOTAL >> 21, _TOTAL * (distinct + 64) // (self.seen + 128) // 2 // IDS)
         scale = (_TOTAL - floor * IDS) // max(1, self.seen)
         np.cumsum(self.counts * scale + floor, out=self.table[1:])
         self.table[-1] = _TOTAL
-        rate = np.minimum(self.hits * 3500 // self.tries, 2600)
+        rate = np.minimum(self.hits * 4096 // self.tries, 3700)  # so that every id keeps a width in the rest
         two = np.repeat(_TOTAL * rate[1] >> 12, _LEVELS)  # by order-2 confidence * _LEVELS + order-1 confidence
         one = (_TOTAL - two) * np.tile(rate[0], _LEVELS) >> 12
         self.weights = [one, two]
@@ -89,7 +94,7 @@ class _Model:
 
     def predict(self, one: np.ndarray, two: np.ndarray) -> None:
         """Predictions, weights and the share of order 0 after the ids ``one`` (the last) and ``two`` (the one before)."""
-        self.at = [one, (one * 40503 + two * 10007) & (IDS - 1)]
+        self.at = [one, ((one * 40503 + two * 10007) * 2654435761 >> 8) & ((1 << CONTEXTS) - 1)]
         entry = [e.take(x) for e, x in zip(self.entry, self.at)]
         self.guess = [e >> 4 for e in entry]
         self.level = [e & (_LEVELS - 1) for e in entry]
@@ -130,19 +135,17 @@ class _Model:
         ids[other], start[other], width[other] = found, low + shift, (self.table.take(found + 1) * share >> _BITS) - low
         return ids, start, width
 
-    def learn(self, steps: list[tuple]) -> None:
-        """Takes (ids, contexts, levels, predictions) of the steps since ``freeze``; of a context's several ids the last one counts."""
-        ids = np.concatenate([s[0] for s in steps])
+    def learn(self, ids: np.ndarray) -> None:
+        """Takes the ids of the step that was predicted; of a context's several ids the last one counts."""
+        self.waiting.append(ids)
         for k in (0, 1):
-            at, level, guess = (np.concatenate([s[j][k] for s in steps]) for j in (1, 2, 3))
+            at, level, guess = self.at[k], self.level[k], self.guess[k]
             hit = guess == ids
             self.tries[k] += np.bincount(level, minlength=_LEVELS)
             self.hits[k] += np.bincount(level[hit], minlength=_LEVELS)
             more = guess * _LEVELS + np.minimum(level + _HIT, _LEVELS - 1)
             less = np.where(level < _MISS, ids * _LEVELS + _MISS, guess * _LEVELS + (level >> 1))
             self.entry[k][at] = np.where(hit, more, less)
-        self.counts += np.bincount(ids, minlength=IDS)
-        self.seen += len(ids)
 
 
 _RANGE = (1 << 48) - 1
@@ -166,30 +169,29 @@ def encode_block(ids: np.ndarray) -> bytes:
     room = 2 * steps + 8
     out, start_at = np.zeros(lanes * room, np.uint16), np.arange(lanes, dtype=np.int64) * room
     at = start_at.copy()
-    for first in range(0, steps, RENEW):
-        last = min(first + RENEW, steps)
-        model.freeze()
-        now = columns[first + 2 : last + 2].ravel()
-        model.predict(columns[first + 1 : last + 1].ravel(), columns[first:last].ravel())
-        starts, widths = (x.reshape(last - first, lanes) for x in model.interval(now))
-        for start, width in zip(starts, widths):
-            unit = span >> _BITS
-            low += unit * start
-            span = unit * width
-            over = np.flatnonzero(low > _RANGE)
-            if len(over):
-                low[over] -= _RANGE + 1
-                _carry(out, at[over] - 1)
-            small = np.flatnonzero(span < 1 << 32)
-            while len(small):
-                some, place = low[small], at[small]
-                out[place] = some >> 32
-                at[small] = place + 1
-                low[small] = (some << 16) & _RANGE
-                left = span[small] << 16
-                span[small] = left
-                small = small[left < 1 << 32]
-        model.learn([(now, model.at, model.level, model.guess)])
+    for i in range(steps):
+        if i % RENEW == 0:
+            model.freeze()
+        now = columns[i + 2]
+        model.predict(columns[i + 1], columns[i])
+        start, width = model.interval(now)
+        model.learn(now)
+        unit = span >> _BITS
+        low += unit * start
+        span = unit * width
+        over = np.flatnonzero(low > _RANGE)
+        if len(over):
+            low[over] -= _RANGE + 1
+            _carry(out, at[over] - 1)
+        small = np.flatnonzero(span < 1 << 32)
+        while len(small):
+            some, place = low[small], at[small]
+            out[place] = some >> 32
+            at[small] = place + 1
+            low[small] = (some << 16) & _RANGE
+            left = span[small] << 16
+            span[small] = left
+            small = small[left < 1 << 32]
     for _ in range(3):
         out[at] = low >> 32
         at += 1
@@ -217,26 +219,24 @@ def decode_block(coded: bytes, count: int) -> np.ndarray:
     code, span = words[at] << 32 | words[at + 1] << 16 | words[at + 2], np.full(lanes, _RANGE, np.int64)
     at += 3
     columns = np.zeros((steps + 2, lanes), np.int64)
-    for first in range(0, steps, RENEW):
-        seen = []
-        model.freeze()
-        for i in range(first, min(first + RENEW, steps)):
-            model.predict(columns[i + 1], columns[i])
-            unit = span >> _BITS
-            ids, start, width = model.find(np.minimum((code / unit).astype(np.int64), _TOTAL - 1))
-            code -= unit * start
-            span = unit * width
-            small = np.flatnonzero(span < 1 << 32)
-            while len(small):
-                place = at[small]
-                code[small] = code[small] << 16 | words.take(place, mode="clip")
-                at[small] = place + 1
-                left = span[small] << 16
-                span[small] = left
-                small = small[left < 1 << 32]
-            columns[i + 2] = ids
-            seen.append((ids, model.at, model.level, model.guess))
-        model.learn(seen)
+    for i in range(steps):
+        if i % RENEW == 0:
+            model.freeze()
+        model.predict(columns[i + 1], columns[i])
+        unit = span >> _BITS
+        ids, start, width = model.find(np.minimum((code / unit).astype(np.int64), _TOTAL - 1))
+        model.learn(ids)
+        code -= unit * start
+        span = unit * width
+        small = np.flatnonzero(span < 1 << 32)
+        while len(small):
+            place = at[small]
+            code[small] = code[small] << 16 | words.take(place, mode="clip")
+            at[small] = place + 1
+            left = span[small] << 16
+            span[small] = left
+            small = small[left < 1 << 32]
+        columns[i + 2] = ids
     return np.ascontiguousarray(columns[2:].T).ravel()[:count]
 
 

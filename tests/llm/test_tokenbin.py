@@ -33,3 +33,27 @@ def test_blocks_round_trip(count, kind):
     ids = (rng.integers(0, top, count) if kind != "text" else np.minimum(rng.zipf(1.3, count), tokenbin.IDS - 1)).astype(np.uint32)
     ids[-1] = tokenbin.IDS - 1
     assert (tokenbin.decode_block(tokenbin.encode_block(ids), count) == ids).all()
+
+
+def test_contexts_earn_their_place(library):
+    """Half a bit an id less than the entropy of the ids' own frequencies, which no order-0 coder with a fixed table goes below."""
+    import duckdb
+
+    texts = [t or "" for (t,) in duckdb.sql("select text from '/root/testdata/sf0.01/documents.parquet' order by doc_id").fetchall()]
+    ids = np.concatenate([np.array([*e.ids, 0], np.uint32) for e in library.encode_batch(texts, add_special_tokens=False)])
+    share = np.bincount(ids)
+    share = share[share > 0] / len(ids)
+    coded = sum(len(tokenbin.encode_block(ids[k : k + tokenbin.BLOCK])) for k in range(0, len(ids), tokenbin.BLOCK))
+    assert 8 * coded / len(ids) < -(share * np.log2(share)).sum() - 0.5
+
+
+def test_odd_rows(spark, tmp_path):
+    """Null ids come first, repeated rows stay, null and empty texts have the end id only; columns of clashing names are ignored."""
+    schema = "doc_id long, text string, start long, n_tokens long, part int"
+    rows = [(3, "foo bar", 1, 1, 1), (None, "x", 1, 1, 1), (3, "foo bar", 1, 1, 1), (1, None, 1, 1, 1), (2, "", 1, 1, 1)]
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+    folder = str(tmp_path / "ids")
+    got = sorted(tokenbin.read_ids(tokenbin.write_ids(spark.createDataFrame(rows, schema), folder, *paths), folder).collect(), key=lambda r: r.start)
+    assert [(r.doc_id, r.start, r.n_tokens) for r in got] == [(None, 0, 2), (1, 2, 1), (2, 3, 1), (3, 4, 3), (3, 7, 3)]
+    folder = str(tmp_path / "none")
+    assert tokenbin.read_ids(tokenbin.write_ids(spark.createDataFrame([], schema), folder, *paths), folder).count() == 0
