@@ -23,13 +23,27 @@ REVIEW_WEIGHTS = {
 }
 
 
+# Python's own table of full case folding, which is Unicode's: letters with one folded letter, and those with several
+_FOLDED = {chr(c): chr(c).casefold() for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).casefold() != chr(c)}
+_ONE = {c: f for c, f in _FOLDED.items() if len(f) == 1}
+_MANY = {c: f for c, f in _FOLDED.items() if len(f) > 1}
+_HAS_MANY = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in _MANY) + "]"
+
+
 def casefold(text: Column) -> Column:
-    """Lower case with sharp s as ss and final sigma as sigma."""
-    return F.translate(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), "ς", "σ")
+    """Full case folding; only texts with a letter that folds to several go through their list."""
+    one = F.translate(text, "".join(_ONE), "".join(_ONE.values()))
+    many = one
+    for c, f in _MANY.items():
+        many = F.replace(many, F.lit(c), F.lit(f))
+    return F.when(text.rlike(_HAS_MANY), many).otherwise(one)
 
 
 def normalized_tokens(text: Column) -> Column:
-    return F.regexp_extract_all(casefold(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
+    """The tokens of a text, each case-folded; a letter that folds to several does not split its token."""
+    text = F.coalesce(text, F.lit(""))
+    find = lambda x: F.regexp_extract_all(x, F.lit(TOKEN), F.lit(0))
+    return F.when(text.rlike(_HAS_MANY), F.transform(find(text), casefold)).otherwise(find(F.translate(text, "".join(_ONE), "".join(_ONE.values()))))
 
 
 @F.pandas_udf(StringType())

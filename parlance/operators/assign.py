@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..settings import DEFAULT, Settings
@@ -102,33 +102,47 @@ def clean_turns(activities: DataFrame, shortest: int = 36_000, top: int = 25) ->
     return free.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
-def smooth_turns(segments: DataFrame, short: float, keys: list[str]) -> DataFrame:
-    """(keys, start_sample, end_sample, speaker, ambiguous): turns under ``short`` between two turns of one other speaker take its label; between different labels they are ambiguous.
+def _apply(step: Column, label: Column) -> Column:
+    """What a transition (s, u, v) makes of a label: u of the label s, v of all others."""
+    return F.when(label == step["s"], step["u"]).otherwise(step["v"])
 
-    The neighbour before is the one already rewritten.  A turn keeps its label whatever came before it if it is
-    long, the first or the last, or has the label of the next one, so the turns after it start a fold of their own, and only
-    short turns of changing labels are folded together.
+
+def _arrivals(steps: DataFrame, keys: list[str], width: int, levels: int) -> DataFrame:
+    """(keys, i, x): the label that arrives at each transition (keys, i, s, u, v) in order of i, null at the first.
+
+    Transitions one after the other are again a transition, so chunks of ``width`` are composed, what arrives
+    at each chunk follows in the same way from the chunks, and each chunk is gone through by itself.
+    """
+    group = [*keys, "c"] if levels else keys
+    df = steps.withColumn("c", F.floor(F.col("i") / width)) if levels else steps
+    df = df.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("i", "s", "u", "v"))).alias("t"))
+    start = F.lit(None).cast("string")
+    if levels:
+        first = F.struct(*[F.col("t")[0][c].alias(c) for c in "suv"])
+        whole = F.aggregate(F.slice("t", F.lit(2), F.size("t")), first, lambda a, e: F.struct(a["s"].alias("s"), _apply(e, a["u"]).alias("u"), _apply(e, a["v"]).alias("v")))
+        composed = df.select(*group, whole.alias("w")).select(*keys, F.col("c").alias("i"), "w.s", "w.u", "w.v")
+        df, start = df.join(_arrivals(composed, keys, width, levels - 1).withColumnRenamed("i", "c"), group), F.col("x")
+    none = F.struct(start.alias("x"), F.array().cast("array<string>").alias("out"))
+    gone = F.aggregate("t", none, lambda a, e: F.struct(_apply(e, a["x"]).alias("x"), F.concat(a["out"], F.array(a["x"])).alias("out")))
+    pairs = F.explode(F.arrays_zip(F.transform("t", lambda e: e["i"]).alias("i"), gone["out"].alias("x")))
+    return df.select(*keys, pairs.alias("z")).select(*keys, "z.i", "z.x")
+
+
+def smooth_turns(segments: DataFrame, short: float, keys: list[str], width: int = 256) -> DataFrame:
+    """(keys, start_sample, end_sample, speaker, ambiguous): turns under ``short`` between two turns of one other speaker take its label; other short ones are ambiguous.
+
+    The neighbour before is the one already rewritten; the first and the last turn never change.
+    A short turn maps the label before it to its next one's, if it is the same, else to its own; a long turn maps all
+    labels to its own.  A key's turns are composed in chunks of chunks of ``width``, so a run of short turns of any length is many tasks.
     """
     w = Window.partitionBy(*keys).orderBy(S, E, "speaker")
-    df = segments.select(*keys, S, E, F.col("speaker").alias("p"), F.lag("speaker").over(w).alias("before"), F.lead("speaker").over(w).alias("after"), F.row_number().over(w).alias("no"))
+    df = segments.select(*keys, S, E, F.col("speaker").alias("p"), F.lag("speaker").over(w).alias("before"), F.lead("speaker").over(w).alias("after"), (F.row_number().over(w) - 1).cast("long").alias("i"))
     brief = F.col("before").isNotNull() & F.col("after").isNotNull() & (F.col(E) - F.col(S) < short)
-    df = df.withColumn("brief", brief).withColumn("sure", ~brief | (F.col("p") == F.col("after")))
-    past = Window.partitionBy(*keys).orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumn("island", F.coalesce(F.sum(F.col("sure").cast("int")).over(past), F.lit(0)))
-    turn = F.struct("no", F.col(S).alias("s"), F.col(E).alias("e"), "p", "before", "after", "brief")
-    grouped = df.groupBy(*keys, "island").agg(F.array_sort(F.collect_list(turn)).alias("t"))
-    kind = "array<struct<s:{0},e:{0},p:string,amb:boolean>>".format(segments.schema[S].dataType.simpleString())
-
-    def step(acc, x):
-        before = F.coalesce(F.element_at(acc, -1)["p"], x["before"])
-        label = F.when(x["brief"] & (before == x["after"]), x["after"]).otherwise(x["p"])
-        ambiguous = F.coalesce(x["brief"] & (before != x["after"]), F.lit(False))
-        return F.concat(acc, F.array(F.struct(x["s"], x["e"], label.alias("p"), ambiguous.alias("amb")))).cast(kind)
-
-    # an element without a label comes first, as the fold looks back; it is left out at the end
-    none = F.array(F.struct(F.lit(None).alias("s"), F.lit(None).alias("e"), F.lit(None).alias("p"), F.lit(None).alias("amb"))).cast(kind)
-    out = grouped.select(*keys, F.explode(F.aggregate("t", none, step)).alias("x")).where("x.s is not null")
-    return out.select(*keys, F.col("x.s").alias(S), F.col("x.e").alias(E), F.col("x.p").alias("speaker"), F.col("x.amb").alias("ambiguous"))
+    df = df.withColumn("brief", brief).withColumns({"s": F.when(F.col("brief"), F.col("after")), "u": F.when(F.col("brief"), F.col("after")).otherwise(F.col("p")), "v": F.col("p")})
+    arrived = _arrivals(df.select(*keys, "i", "s", "u", "v"), keys, width, 2)
+    out = df.join(arrived, [*keys, "i"])
+    same = F.coalesce((F.col("x") == F.col("after")) & (F.col("x") != F.col("p")), F.lit(False))
+    return out.select(*keys, S, E, _apply(F.struct("s", "u", "v"), F.col("x")).alias("speaker"), (F.col("brief") & ~same).alias("ambiguous"))
 
 
 def choose_assistant(labels: DataFrame, explicit: DataFrame, mapped: DataFrame) -> DataFrame:

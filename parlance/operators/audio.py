@@ -143,9 +143,13 @@ def leakage(energies: DataFrame, key: str = "clip_id") -> DataFrame:
 def peaks(pcm: DataFrame, points: int = 4000, key: str = "clip_id") -> DataFrame:
     """(key, block, low, high): smallest and largest left sample of each of at most ``points`` stretches, to six places."""
     total = pcm.groupBy(key).agg(F.greatest(F.lit(1), F.ceil(F.sum(F.size("left")) / points)).alias("width"))
-    each = pcm.join(total, key).select(key, "width", "start_sample", F.posexplode("left").alias("i", "x"))
-    grouped = each.groupBy(key, F.floor((F.col("start_sample") + F.col("i")) / F.col("width")).alias("block"))
-    return grouped.agg(F.round(F.min("x").cast("double"), 6).alias("low"), F.round(F.max("x").cast("double"), 6).alias("high"))
+    # a block is cut at the stretches' bounds, and only the cuts' extremes go on
+    cut = pcm.join(total, key).where(F.size("left") > 0).select(key, "width", "start_sample", "left", F.explode(F.sequence(F.floor(F.col("start_sample") / F.col("width")), F.floor((F.col("start_sample") + F.size("left") - 1) / F.col("width")))).alias("block"))
+    lo = F.greatest(F.lit(0), F.col("block") * F.col("width") - F.col("start_sample"))
+    hi = F.least(F.size("left"), (F.col("block") + 1) * F.col("width") - F.col("start_sample"))
+    part = F.slice("left", (lo + 1).cast("int"), (hi - lo).cast("int"))
+    grouped = cut.select(key, "block", F.array_min(part).alias("a"), F.array_max(part).alias("b")).groupBy(key, "block")
+    return grouped.agg(F.round(F.min("a").cast("double"), 6).alias("low"), F.round(F.max("b").cast("double"), 6).alias("high"))
 
 
 def stereo_probe(pcm: DataFrame, key: str = "clip_id") -> DataFrame:
@@ -174,7 +178,10 @@ def route_stereo(mono: DataFrame, turns: DataFrame, muted: DataFrame, fade: int
     cut = muted.select(key, S, E).join(frame.select(key, "speaker"), key)
     holes = complement(runs.unionByName(cut.select(key, "speaker", S, E)), frame, [key, "speaker"])
     solid = complement(holes.unionByName(cut.select(key, "speaker", S, E)), frame, [key, "speaker"])
-    table = solid.groupBy(key).agg(F.collect_list(F.struct("speaker", S, E)).alias("runs"))
+    # a block meets the runs that touch it only
+    extents = mono.select(key, "block_no", S, (F.col(S) + F.size("samples")).alias(E))
+    met = range_join(extents, solid, [key]).select(key, "block_no", F.struct("speaker", F.col("r_start").alias(S), F.col("r_end").alias(E)).alias("run"))
+    table = met.groupBy(key, "block_no").agg(F.collect_list("run").alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,7 +200,7 @@ def route_stereo(mono: DataFrame, turns: DataFrame, muted: DataFrame, fade: int
                 right.append(x * gains["B"])
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(left, pa.list_(pa.float32())), pa.array(right, pa.list_(pa.float32()))], names=[key, "block_no", "start_sample", "left", "right"])
 
-    joined = mono.join(table, key, "left").select(F.col(key).cast("string").alias(key), F.col("block_no").cast("int").alias("block_no"), F.col("start_sample").cast("long").alias("start_sample"), "samples", "runs")
+    joined = mono.join(table, [key, "block_no"], "left").select(F.col(key).cast("string").alias(key), F.col("block_no").cast("int").alias("block_no"), F.col("start_sample").cast("long").alias("start_sample"), "samples", "runs")
     return map_arrow(joined, run, f"{key} string, block_no int, start_sample long, left array<float>, right array<float>")
 
 

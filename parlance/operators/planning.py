@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..settings import CLOCK, DEFAULT, Settings
 from ..shipping import ship
+from ..writing import keeper
 from .intervals import E, S, clip_to_windows, exchange_counts, merge_intervals, range_join, silences, speaker_overlaps, union_length
 
 def conversation_bounds(activities: DataFrame, durations: DataFrame, s: Settings = DEFAULT) -> DataFrame:
@@ -299,11 +302,13 @@ def _next_cuts(cursors: DataFrame, cuts: DataFrame, lo: int, hi: int) -> DataFra
     return left.join(right, ["source_id", "bin"]).where((F.col("b") - F.col("c")).between(lo, hi)).select("source_id", "c", "b")
 
 
-def follow(steps: DataFrame, starts: DataFrame, keep=lambda df: df) -> DataFrame:
+def follow(steps: DataFrame, starts: DataFrame, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(source_id, c, place): what is reached from each source's start (source_id, c) by steps (source_id, c, e), and after how many.
 
-    The steps are composed with themselves, so n steps take log2(n) rounds.  Steps must lead upwards.
+    The steps are composed with themselves, so n steps take log2(n) rounds.  Steps must lead upwards.  ``keep`` writes a
+    round's tables down, else each would be planned from the first again; without one they go to the shared folder.
     """
+    keep = keep or keeper(steps.sparkSession)
     reached, jump, length = keep(starts.select("source_id", "c", F.lit(0).cast("long").alias("place"))), steps.select("source_id", "c", "e"), 1
     while True:
         new = keep(reached.join(jump, ["source_id", "c"]).select("source_id", F.col("e").alias("c"), (F.col("place") + length).alias("place")))
@@ -314,7 +319,7 @@ def follow(steps: DataFrame, starts: DataFrame, keep=lambda df: df) -> DataFrame
         jump, length = keep(jump.join(on, ["source_id", "e"]).select("source_id", "c", F.col("far").alias("e"))), 2 * length
 
 
-def greedy_segments(segments: DataFrame, durations: DataFrame, assistant: str, s: Settings = DEFAULT, keep=lambda df: df) -> DataFrame:
+def greedy_segments(segments: DataFrame, durations: DataFrame, assistant: str, s: Settings = DEFAULT, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(source_id, clip_no, start_sample, end_sample, status, reasons): clips one after the other, from before the first speech to after the last.
 
     A boundary is a turn's end with context; of those at a fitting length the best is (status, overlap
@@ -323,9 +328,10 @@ def greedy_segments(segments: DataFrame, durations: DataFrame, assistant: str, s
 
     The best next cut of every place is found at once, then the way from the start is followed by
     doubling.  Places are the boundaries and what lies clips of the greatest length after one that has
-    none within reach; these are found in as many rounds as the longest stretch without a
-    boundary has such clips, for all sources together.
+    none within reach; these are found in a round for every stretch without a boundary that such clips
+    jump over and then miss the next boundary, for all sources together, mostly one or two.
     """
+    keep = keep or keeper(segments.sparkSession)
     lo, mid, hi = (int(x * CLOCK) for x in (s.min_clip_s, s.target_clip_s, s.max_clip_s))
     context = int(s.context_s * CLOCK)
     ends = segments.groupBy("source_id").agg(F.min(S).alias("s0"), F.max(E).alias("e1")).join(durations, "source_id")
@@ -337,7 +343,12 @@ def greedy_segments(segments: DataFrame, durations: DataFrame, assistant: str, s
     places = new
     while True:
         stuck = new.join(_next_cuts(new, cuts, lo, hi).select("source_id", "c").distinct(), ["source_id", "c"], "left_anti")
-        new = stuck.select("source_id", (F.col("c") + hi).alias("c"), "last").where("c < last").distinct()
+        # up to the next boundary clips of the greatest length follow each other, so all of their starts are places
+        marks = stuck.select("source_id", (F.col("c") + hi).alias("pos"), "c", "last", F.lit(None).cast("long").alias("b")).unionByName(cuts.select("source_id", F.col("b").alias("pos"), F.lit(None).cast("long").alias("c"), F.lit(None).cast("long").alias("last"), "b"))
+        ahead = F.first("b", ignorenulls=True).over(Window.partitionBy("source_id").orderBy("pos", F.col("b").isNotNull()).rowsBetween(1, Window.unboundedFollowing))
+        jumps = F.greatest(F.lit(1), F.floor((F.least("last", F.coalesce("next", "last")) - F.col("c")) / hi))
+        new = marks.withColumn("next", ahead).where("c IS NOT NULL").select("source_id", "c", "last", F.explode(F.sequence(F.lit(1).cast("long"), jumps)).alias("j"))
+        new = new.select("source_id", (F.col("c") + F.col("j") * hi).alias("c"), "last").where("c < last").distinct()
         new = keep(new.join(places.select("source_id", "c"), ["source_id", "c"], "left_anti"))
         if new.isEmpty():
             break

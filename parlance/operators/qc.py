@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import HIGH_RISK
@@ -81,11 +81,22 @@ def worse(a: str, b: str):
     return F.when(top == 2, "REJECT").when(top == 1, "REVIEW").otherwise("PASS")
 
 
+def overlay(below: Column, above: Column) -> Column:
+    """One map of figures over another: the upper one's entry wins wherever it has one, a null entry too; a null map is an empty one."""
+    empty = F.create_map().cast("map<string,double>")
+    return F.map_zip_with(F.coalesce(below, empty), F.coalesce(above, empty), lambda k, b, a: F.when(F.map_contains_key(F.coalesce(above, empty), k), a).otherwise(b))
+
+
 def merge_verdicts(planned: DataFrame, clips: DataFrame) -> DataFrame:
-    """(clip_id, status, reasons): the worse status and the union of reasons of plan and clip."""
-    df = planned.select("clip_id", F.col("status").alias("ps"), F.col("reasons").alias("pr")).join(clips.select("clip_id", "status", "reasons"), "clip_id")
-    merged = F.array_sort(F.array_remove(F.array_union("pr", "reasons"), "overlap_separation_required"))
-    return df.select("clip_id", worse("ps", "status").alias("status"), merged.alias("reasons"))
+    """(clip_id, status, reasons [, metrics]): the worse status, and the clip's reasons with the plan's other than a wanted separation.
+
+    Where both sides have ``metrics`` (map<string,double>) the clip's figures lie over the plan's.
+    """
+    figures = "metrics" in planned.columns and "metrics" in clips.columns
+    left = planned.select("clip_id", F.col("status").alias("ps"), F.col("reasons").alias("pr"), *([F.col("metrics").alias("pm")] if figures else []))
+    df = left.join(clips.select("clip_id", "status", "reasons", *(["metrics"] if figures else [])), "clip_id")
+    merged = F.array_sort(F.array_union("reasons", F.array_remove("pr", "overlap_separation_required")))
+    return df.select("clip_id", worse("ps", "status").alias("status"), merged.alias("reasons"), *([overlay(F.col("pm"), F.col("metrics")).alias("metrics")] if figures else []))
 
 
 def decision_requests(requests: DataFrame, clips: DataFrame) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..settings import CLOCK, DEFAULT, Settings
+from ..writing import keeper
+from .assign import speaker_at
 from .intervals import E, S, merge_intervals, range_join
 
 
@@ -140,9 +144,14 @@ def coverage(expected: Column, recovered: Column) -> Column:
 
 
 def signature(utterances: DataFrame, key: str = "source_id") -> DataFrame:
-    """(key, signature): a digest of all that word alignment depends on (id, speaker, bounds, text), in the order of the ids."""
-    row = F.concat_ws("|", "id", F.coalesce("speaker", F.lit("-")), S, E, "text")
-    return utterances.groupBy(key).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", row.alias("r")))), lambda x: x["r"]), "\n"), 256).alias("signature"))
+    """(key, signature): a digest of all that word alignment depends on (id, speaker, bounds, text), in the order of the ids.
+
+    Each row is digested as JSON, nulls included, so no text can pass for another row or field; the signature is
+    the digest of the rows' digests, so a source's texts never meet in one value.
+    """
+    row = F.sha2(F.to_json(F.struct("id", "speaker", S, E, "text"), {"ignoreNullFields": "false"}), 256)
+    rows = F.array_sort(F.collect_list(F.struct("id", row.alias("r"))))
+    return utterances.groupBy(key).agg(F.sha2(F.array_join(F.transform(rows, lambda x: x["r"]), ""), 256).alias("signature"))
 
 
 def diarization_report(segments: DataFrame, overlaps: DataFrame, short: float = DEFAULT.short_turn_s) -> DataFrame:
@@ -178,12 +187,31 @@ def acceptance(files: DataFrame, clips: DataFrame) -> DataFrame:
     )
 
 
-def best_permutation(words: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, mapping, errors, evaluated) of words (detected, gold): the better of the two label mappings; words without a gold speaker are skipped."""
-    known = words.where("gold is not null")
-    wrong = lambda a, b: F.count_if(F.when(F.col("detected") == "SPEAKER_00", a).when(F.col("detected") == "SPEAKER_01", b).otherwise("?") != F.col("gold"))
-    per = known.groupBy(*keys).agg(wrong("A", "B").alias("x"), wrong("B", "A").alias("y"), F.count("*").alias("evaluated"))
-    return per.select(*keys, F.when(F.col("x") <= F.col("y"), "straight").otherwise("crossed").alias("mapping"), F.least("x", "y").alias("errors"), "evaluated")
+def gold_labels(words: DataFrame, gold: DataFrame, keys: list[str], ids: list[str], order: str) -> DataFrame:
+    """Words (keys, ids, start_sample, end_sample, detected) with ``gold``, the speaker of the first gold segment (by ``order``) at their middle; null without one, or without times or a detected label."""
+    timed = words.where(F.col(S).isNotNull() & F.col(E).isNotNull() & F.col("detected").isNotNull())
+    at = speaker_at(timed.select(*keys, *ids, F.expr(f"({S} + {E}) div 2").alias("at")), gold, keys, ids, order)
+    return words.join(at.select(*keys, *ids, F.col("speaker_at").alias("gold")), [*keys, *ids], "left")
+
+
+def best_permutation(words: DataFrame, speakers: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, mapping, errors, evaluated) of words (detected, gold) and the gold speakers (keys, speaker) of each key.
+
+    Two detected labels and two gold ones are matched in both orders, and the one with fewer errors is taken, on a
+    tie the straight one; other numbers of labels stand for themselves.  Labels are counted whether or
+    not their words have a gold speaker; words without one are not evaluated.  Keys without a detected label have no row.
+    """
+    pairs = words.where("detected is not null").groupBy(*keys, "detected", "gold").agg(F.count("*").alias("n"))
+    found = pairs.groupBy(*keys).agg(F.array_sort(F.collect_set("detected")).alias("d"))
+    true = speakers.where("speaker is not null").groupBy(*keys).agg(F.array_sort(F.collect_set("speaker")).alias("g"))
+    df = pairs.join(found, keys).join(true, keys, "left").where("gold is not null")
+    two = (F.size("d") == 2) & (F.coalesce(F.size("g"), F.lit(0)) == 2)
+    at = F.array_position("d", F.col("detected"))
+    wrong = lambda label: F.sum(F.when(label == F.col("gold"), 0).otherwise(F.col("n")))
+    straight, crossed = F.when(two, F.get("g", (at - 1).cast("int"))).otherwise(F.col("detected")), F.when(two, F.get("g", (2 - at).cast("int")))
+    per = df.groupBy(*keys).agg(wrong(straight).alias("x"), F.when(F.bool_or(two), wrong(crossed)).alias("y"), F.sum("n").alias("evaluated"), F.bool_or(two).alias("two"))
+    name = F.when(~F.col("two"), "identity").when(F.col("x") <= F.col("y"), "straight").otherwise("crossed")
+    return per.select(*keys, name.alias("mapping"), F.least("x", "y").alias("errors"), "evaluated")
 
 
 def relabel_plans(plans: DataFrame) -> DataFrame:
@@ -193,16 +221,27 @@ def relabel_plans(plans: DataFrame) -> DataFrame:
     return plans.withColumns(new)
 
 
-def legacy_clip_ids(plans: DataFrame, previous: DataFrame) -> DataFrame:
-    """(source_id, clip_no, clip_id): a source's former ids first, then numbers after the largest of all."""
+def running_totals(counts: DataFrame, key: str, n: str, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(key, before): the sum of ``n`` of all keys before each (one row a key), by ranges that are summed apart and then offset.
+
+    ``keep`` writes the ranges down, as they must not be cut anew when they are read twice.
+    """
+    keep = keep or keeper(counts.sparkSession)
+    parts = keep(counts.select(key, n).repartitionByRange(key).withColumn("part", F.spark_partition_id()))
+    offset = parts.groupBy("part").agg(F.sum(n).alias("total"))
+    # one row a range
+    offset = offset.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("offset"))
+    inside = F.sum(n).over(Window.partitionBy("part").orderBy(key)) - F.col(n)
+    return parts.withColumn("inside", inside).join(F.broadcast(offset), "part").select(key, (F.col("offset") + F.col("inside")).alias("before"))
+
+
+def legacy_clip_ids(plans: DataFrame, previous: DataFrame, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(source_id, clip_no, clip_id): a source's former ids first, then numbers after the largest of all, in the order of the sources."""
     top = previous.agg(F.coalesce(F.max(F.regexp_extract("clip_id", r"^conversation_(\d+)$", 1).try_cast("long")), F.lit(0)).alias("top"))
     old = previous.select("source_id", F.row_number().over(Window.partitionBy("source_id").orderBy("clip_no")).alias("clip_no"), F.col("clip_id").alias("old_id"))
     df = plans.join(old, ["source_id", "clip_no"], "left")
-    # new numbers run over the sources in order: counts before each source, then the place within it
     fresh = df.where("old_id is null").withColumn("at", F.row_number().over(Window.partitionBy("source_id").orderBy("clip_no")))
-    sizes = fresh.groupBy("source_id").agg(F.count("*").alias("n"))
-    # one row a source that has new clips
-    before = sizes.select("source_id", (F.sum("n").over(Window.orderBy("source_id")) - F.col("n")).alias("before"))
+    before = running_totals(fresh.groupBy("source_id").agg(F.count("*").alias("n")), "source_id", "n", keep)
     named = fresh.join(before, "source_id").crossJoin(F.broadcast(top))  # a single row
     named = named.select("source_id", "clip_no", F.format_string("conversation_%03d", F.col("top") + F.col("before") + F.col("at")).alias("clip_id"))
     return named.unionByName(df.where("old_id is not null").select("source_id", "clip_no", F.col("old_id").alias("clip_id")))

@@ -12,7 +12,7 @@ from ..operators import files as W
 from ..settings import DEFAULT
 from ..sources import driver_tables as D
 from .record_queries import _MAN, _REP, REPORT, WAV
-from .writing import shared_folder
+from ..writing import shared_folder
 
 _TORN = 7  # every seventh source's file is cut off, every seventh other one says nothing of use
 

@@ -10,7 +10,7 @@ from ..operators import intervals as I
 from ..operators import planning as G
 from ..settings import CLOCK
 from ..sources import driver_tables as D
-from .writing import keeper
+from ..writing import keeper
 
 E, S = I.E, I.S
 
@@ -272,7 +272,7 @@ ORACLES = {
 o AS (SELECT *, row_number() OVER w AS no, lag(speaker) OVER w AS before, lead(speaker) OVER w AS after FROM sp0 WINDOW w AS (PARTITION BY source_id ORDER BY start_sample, end_sample, speaker)),
 r(source_id, no, start_sample, end_sample, speaker, ambiguous) AS (SELECT source_id, no, start_sample, end_sample, speaker, false FROM o WHERE no = 1
   UNION ALL SELECT o.source_id, o.no, o.start_sample, o.end_sample, CASE WHEN o.after IS NOT NULL AND o.end_sample - o.start_sample < 30000 AND r.speaker = o.after THEN o.after ELSE o.speaker END,
-    o.after IS NOT NULL AND o.end_sample - o.start_sample < 30000 AND r.speaker <> o.after FROM r JOIN o ON o.source_id = r.source_id AND o.no = r.no + 1)
+    o.after IS NOT NULL AND o.end_sample - o.start_sample < 30000 AND NOT (r.speaker = o.after AND r.speaker <> o.speaker) FROM r JOIN o ON o.source_id = r.source_id AND o.no = r.no + 1)
 SELECT source_id, start_sample, end_sample, speaker, ambiguous FROM r""",
     "J4_overrides": f"""{BASE},
 p AS (SELECT source_id, unnest([start_sample, end_sample]) AS p FROM act UNION SELECT source_id, unnest([start_sample, end_sample]) FROM exc),

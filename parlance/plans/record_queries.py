@@ -17,6 +17,7 @@ from ..operators import quality as Q
 from ..operators import records as R
 from ..operators import state as M
 from ..sources import driver_tables as D
+from ..writing import keeper
 from .table_queries import _UTT, _spoken, _utterances
 
 E, S = I.E, I.S
@@ -68,9 +69,15 @@ def q2_verdicts(spark, sf):
 
 
 def q4_merged(spark, sf):
-    """Verdicts of clips with those of their plans."""
-    planned = D.table(spark, sf, "orders").selectExpr("CAST(o_orderkey AS BIGINT) AS clip_id", f"{STATUS} AS status", f"CASE WHEN {_K} % 3 = 0 THEN array() WHEN {_K} % 3 = 1 THEN array('overlap_separation_required') ELSE array('excessive_silence', 'unaligned_words_present') END AS reasons")
-    return C.merge_verdicts(planned, _verdicts(spark, sf)).select("clip_id", "status", _words("reasons").alias("reasons"))
+    """Verdicts and figures of clips with those of their plans; of some clips one side has no figures, of some others the clip's figure is null."""
+    planned = D.table(spark, sf, "orders").selectExpr(
+        "CAST(o_orderkey AS BIGINT) AS clip_id", f"{STATUS} AS status", f"CASE WHEN {_K} % 3 = 0 THEN array() WHEN {_K} % 3 = 1 THEN array('overlap_separation_required') ELSE array('excessive_silence', 'unaligned_words_present') END AS reasons",
+        f"CASE WHEN {_K} % 5 <> 0 THEN map('overlap_ratio', CAST({_K} % 8 AS DOUBLE) / 8, 'silence_ratio', CAST({_K} % 4 AS DOUBLE) / 4) END AS metrics",
+    )
+    clips = _verdicts(spark, sf).withColumn("metrics", F.expr("CASE WHEN clip_id % 7 <> 0 THEN map('overlap_ratio', CASE WHEN clip_id % 11 <> 0 THEN overlap_ratio END, 'duration', duration) END"))
+    out = C.merge_verdicts(planned, clips)
+    said = F.array_join(F.array_sort(F.transform(F.map_entries("metrics"), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(F.format_string("%.6f", e["value"]), F.lit("null"))))), ",")
+    return out.select("clip_id", "status", _words("reasons").alias("reasons"), said.alias("metrics"))
 
 
 def q5_empty(spark, sf):
@@ -288,9 +295,13 @@ def j15_corrections(spark, sf):
 
 
 def j20_permutations(spark, sf):
-    w = D.turn_words(spark, sf).join(D.activities(spark, sf).select("source_id", "turn", "speaker"), ["source_id", "turn"])
-    w = w.select("source_id", F.when((F.col("i") + F.col("source_id")) % 3 == 0, F.lit("SPEAKER_00")).otherwise(F.lit("SPEAKER_01")).alias("detected"), F.when(F.col("i") % 6 != 5, F.col("speaker")).alias("gold"))
-    return R.best_permutation(w, ["source_id"])
+    """Words whose detected labels follow from their places, one, two or three labels a conversation, against the turns at the words' middles."""
+    w = D.turn_words(spark, sf)
+    n = (F.col("i") + F.col("source_id")) % 3
+    label = F.when(F.col("source_id") % 5 == 1, "A").when(F.col("source_id") % 5 == 2, F.concat(F.lit("S"), n)).when(n == 0, "SPEAKER_00").otherwise("SPEAKER_01")
+    w = w.select("source_id", "turn", "i", S, F.when(F.col("i") % 6 != 5, F.col(E)).alias(E), F.when(F.col("i") % 7 != 6, label).alias("detected"))
+    gold = D.activities(spark, sf).where("turn % 4 <> 3 OR source_id % 2 = 0")
+    return R.best_permutation(R.gold_labels(w, gold, ["source_id"], ["turn", "i"], "turn"), gold, ["source_id"])
 
 
 # ---------------------------------------------------------------- aggregates
@@ -362,7 +373,7 @@ def w11_clip_ids(spark, sf):
     o = D.table(spark, sf, "orders")
     plans = o.groupBy(F.col("o_custkey").alias("source_id")).agg(F.count("*").alias("n")).select("source_id", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("clip_no"))
     before = plans.where("source_id % 3 = 0 and clip_no <= 4").withColumn("clip_id", F.format_string("conversation_%03d", F.col("source_id") * 5 + F.col("clip_no")))
-    return R.legacy_clip_ids(plans, before)
+    return R.legacy_clip_ids(plans, before, keeper(spark))
 
 
 def w12_windows(spark, sf):
@@ -466,8 +477,11 @@ g AS (SELECT clip_id, bool_or(word IS NULL OR word = '' OR start_s < 0 OR end_s
 SELECT clip_id, CASE WHEN b THEN 'invalid_alignment_schema' ELSE array_to_string(list_filter([CASE WHEN x THEN 'alignment_timestamp_out_of_bounds' END, CASE WHEN u THEN 'alignment_timestamps_not_ordered' END], lambda v: v IS NOT NULL), ',') END AS reasons FROM g""",
     "Q2_clip_verdicts": f"WITH {_CL} SELECT clip_id, status, {_JOINED.format('reasons')} AS reasons FROM vd",
     "Q3_report_problems": f"""SELECT problem, count(*) AS n FROM (SELECT CASE WHEN {_K} % 50 = 0 THEN 'no_clip_id' WHEN {_K} % 51 = 0 OR {_K} % 53 = 0 THEN 'bad_status' WHEN {_K} % 59 = 0 THEN 'no_reasons' END AS problem FROM orders) WHERE problem IS NOT NULL GROUP BY 1""",
-    "Q4_merged_verdicts": f"""WITH {_CL}, pl AS (SELECT CAST({_K} AS BIGINT) AS clip_id, {STATUS} AS ps, CASE WHEN {_K} % 3 < 2 THEN [] ELSE ['excessive_silence', 'unaligned_words_present'] END AS pr FROM orders)
-SELECT clip_id, CASE WHEN 'REJECT' IN (ps, status) THEN 'REJECT' WHEN 'REVIEW' IN (ps, status) THEN 'REVIEW' ELSE 'PASS' END AS status, {_JOINED.format('list_sort(list_distinct(list_concat(pr, reasons)))')} AS reasons FROM vd JOIN pl USING (clip_id)""",
+    "Q4_merged_verdicts": f"""WITH {_CL}, pl AS (SELECT CAST({_K} AS BIGINT) AS clip_id, {STATUS} AS ps, CASE WHEN {_K} % 3 < 2 THEN [] ELSE ['excessive_silence', 'unaligned_words_present'] END AS pr FROM orders),
+m AS (SELECT *, clip_id % 5 <> 0 AS p, clip_id % 7 <> 0 AS q FROM vd JOIN pl USING (clip_id) JOIN (SELECT clip_id, duration, overlap_ratio FROM c) USING (clip_id))
+SELECT clip_id, CASE WHEN 'REJECT' IN (ps, status) THEN 'REJECT' WHEN 'REVIEW' IN (ps, status) THEN 'REVIEW' ELSE 'PASS' END AS status, {_JOINED.format('list_sort(list_distinct(list_concat(pr, reasons)))')} AS reasons,
+  array_to_string(list_filter([CASE WHEN q THEN printf('duration=%.6f', duration) END, CASE WHEN q THEN CASE WHEN clip_id % 11 = 0 THEN 'overlap_ratio=null' ELSE printf('overlap_ratio=%.6f', overlap_ratio) END WHEN p THEN printf('overlap_ratio=%.6f', (clip_id % 8)::DOUBLE / 8) END,
+    CASE WHEN p THEN printf('silence_ratio=%.6f', (clip_id % 4)::DOUBLE / 4) END], lambda v: v IS NOT NULL), ',') AS metrics FROM m""",
     "Q5_empty_alignment": f"""WITH {_CL} SELECT clip_id, CASE WHEN total_words = 0 THEN 'REJECT' ELSE status END AS status, {_JOINED.format("CASE WHEN total_words = 0 THEN list_sort(list_append(reasons, 'missing_assistant_alignment')) ELSE reasons END")} AS reasons FROM vd""",
     "Q7_transcript_gate": f"""WITH {_UTT}, me AS (SELECT *, id % 11 = 0 AND NOT hv AS risky, trim(text) = '' OR id % 31 = 0 AS weak FROM u WHERE speaker = 'A' AND source_id <> 'src2'),
 ok AS (SELECT me.* FROM me WHERE EXISTS (SELECT 1 FROM u c WHERE c.source_id = me.source_id AND c.decision = 'approve' AND c.start_sample < me.start_sample + 900 AND me.start_sample < c.start_sample + 900)),
@@ -515,7 +529,8 @@ f AS (SELECT source_id, string_agg(speaker || ':' || start_sample || ':' || end_
 SELECT source_id, CASE WHEN n >= 2 AND r <= greatest(1, least(n - 1, round_even(n * 0.10, 0))) THEN 'eval' ELSE 'train' END AS split, coalesce(refs, '') AS speaker_references FROM x LEFT JOIN f USING (source_id)""",
     "P19_manifest_problems": r"""SELECT CASE WHEN p_partkey % 5 = 0 THEN 'a' || chr(92) || p_partkey || '.wav' WHEN p_partkey % 7 = 0 THEN p_partkey || '.mp3' ELSE p_partkey || '.wav' END AS path, CASE WHEN p_partkey % 5 = 0 OR p_partkey % 7 = 0 THEN 'bad_path' ELSE 'bad_duration' END AS problem
 FROM part WHERE p_partkey % 5 = 0 OR p_partkey % 7 = 0 OR p_partkey % 11 = 0""",
-    "P20_signatures": f"""{_B} SELECT source_id, sha256(string_agg(turn || '|' || coalesce(speaker, '-') || '|' || start_sample || '|' || end_sample || '|' || role, chr(10) ORDER BY turn)) AS signature FROM turns GROUP BY 1""",
+    "P20_signatures": f"""{_B}, j AS (SELECT source_id, turn, sha256('{{"id":' || turn || ',"speaker":' || coalesce('"' || speaker || '"', 'null') || ',"start_sample":' || start_sample || ',"end_sample":' || end_sample || ',"text":"' || role || '"}}') AS d FROM turns)
+SELECT source_id, sha256(string_agg(d, '' ORDER BY turn)) AS signature FROM j GROUP BY 1""",
     "J12_suspicious_segments": f"""{_B}, {_MIN} SELECT m.source_id, m.clip_id, count(*) FILTER (turn % 3 = 0 OR turn % 4 = 0) AS suspicious, count(*) FILTER (turn % 3 = 0) AS unresolved
 FROM mins m LEFT JOIN turns t ON t.source_id = m.source_id AND start_sample < c1 AND c0 < end_sample GROUP BY 1, 2""",
     "J13_approved_recoveries": f"""{_B}, {_RCV}, {_MIN} SELECT m.source_id, m.clip_id, greatest(c0, start_sample) AS start_sample, least(c1, end_sample) AS end_sample FROM rc JOIN mins m ON m.source_id = rc.source_id AND start_sample < c1 AND c0 < end_sample
@@ -523,9 +538,14 @@ WHERE status = 'recovered' AND decision = 'approve' AND auditioned AND version =
     "J14_reset_verified": f"""WITH {_SPK} SELECT source_id, conv_id || '_' || turn AS id, hv AND turn % 5 NOT IN (1, 4) AND NOT (conv_id % 6 = 0 AND speaker IS DISTINCT FROM 'B') AS human_verified FROM us""",
     "J15_overlaid_corrections": f"""WITH s AS (SELECT l_orderkey AS source_id, l_linenumber AS n, round(CAST(l_linenumber % 4 AS DOUBLE) / 3, 3) AS b, CAST(l_linenumber AS DOUBLE) AS e, l_returnflag AS t FROM {_LINES})
 SELECT source_id, b AS start, e AS "end", CASE WHEN n % 2 = 0 THEN 'new ' || t WHEN source_id % 2 = 0 THEN 'old ' || t ELSE t END AS text FROM s""",
-    "J20_label_permutation": f"""{_B}, w AS (SELECT w.source_id, (i + w.source_id) % 3 = 0 AS zero, a.speaker AS gold FROM words w JOIN act a ON a.source_id = w.source_id AND a.turn = w.turn WHERE i % 6 <> 5),
-x AS (SELECT source_id, count(*) FILTER ((CASE WHEN zero THEN 'A' ELSE 'B' END) <> gold) AS x, count(*) FILTER ((CASE WHEN zero THEN 'B' ELSE 'A' END) <> gold) AS y, count(*) AS evaluated FROM w GROUP BY 1)
-SELECT source_id, CASE WHEN x <= y THEN 'straight' ELSE 'crossed' END AS mapping, least(x, y) AS errors, evaluated FROM x""",
+    "J20_label_permutation": f"""{_B}, gd AS (SELECT * FROM act WHERE turn % 4 <> 3 OR source_id % 2 = 0), gl AS (SELECT source_id, list_sort(list(DISTINCT speaker)) AS g FROM gd GROUP BY 1),
+w AS (SELECT source_id, turn, i, CASE WHEN i % 7 = 6 THEN NULL WHEN source_id % 5 = 1 THEN 'A' WHEN source_id % 5 = 2 THEN 'S' || ((i + source_id) % 3) WHEN (i + source_id) % 3 = 0 THEN 'SPEAKER_00' ELSE 'SPEAKER_01' END AS d,
+  CASE WHEN i % 6 <> 5 THEN (start_sample + end_sample) // 2 END AS m FROM words),
+dl AS (SELECT source_id, list_sort(list(DISTINCT d)) AS d FROM w WHERE d IS NOT NULL GROUP BY 1),
+e AS (SELECT w.source_id, w.d, arg_min(gd.speaker, gd.turn) AS gold FROM w JOIN gd ON gd.source_id = w.source_id AND gd.start_sample <= m AND m < gd.end_sample WHERE w.d IS NOT NULL GROUP BY w.source_id, w.turn, w.i, w.d),
+c AS (SELECT e.*, dl.d AS ds, g, len(dl.d) = 2 AND coalesce(len(g), 0) = 2 AS two FROM e JOIN dl USING (source_id) LEFT JOIN gl USING (source_id)),
+x AS (SELECT source_id, bool_or(two) AS two, count(*) FILTER ((CASE WHEN NOT two THEN d WHEN d = ds[1] THEN g[1] ELSE g[2] END) <> gold) AS x, count(*) FILTER ((CASE WHEN d = ds[1] THEN g[2] ELSE g[1] END) <> gold) AS y, count(*) AS evaluated FROM c GROUP BY 1)
+SELECT source_id, CASE WHEN NOT two THEN 'identity' WHEN x <= y THEN 'straight' ELSE 'crossed' END AS mapping, CASE WHEN two THEN least(x, y) ELSE x END AS errors, evaluated FROM x""",
     "A7_run_totals": f"""SELECT CAST(o_custkey % 10 AS BIGINT) AS batch, count(DISTINCT o_custkey) FILTER (o_custkey % 12 <> 0) AS processed, count(*) FILTER (o_custkey % 12 <> 0 AND {_K} % 3 = 0) AS accepted, count(*) FILTER (o_custkey % 12 <> 0 AND {_K} % 3 = 1) AS review,
 count(*) FILTER (o_custkey % 12 <> 0 AND {_K} % 3 = 2) AS rejected, count(DISTINCT o_custkey) FILTER (o_custkey % 12 = 0) AS failed FROM orders GROUP BY 1""",
     "A15_diarization_report": f"""{_B}, m0 AS (SELECT *, max(end_sample) OVER (PARTITION BY source_id, speaker ORDER BY start_sample, end_sample ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM sp0 WHERE end_sample > start_sample),

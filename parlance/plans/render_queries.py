@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import rendering as R
 from ..sources import driver_tables as D
 from .table_queries import _pcm
-from .writing import keeper
+from ..writing import keeper
 
 FADE, CHUNK = 24, 960  # short, as the clips are short
 

@@ -16,6 +16,7 @@ from ..operators import quality as Q
 from ..operators import state as M
 from ..shipping import map_arrow
 from ..sources import driver_tables as D
+from ..writing import keeper
 
 
 def _segments(spark, sf):
@@ -170,10 +171,14 @@ def w8_latest(spark, sf):
 
 
 def m1_append(spark, sf):
-    """Every hundredth event asks to append a revision to the log."""
-    rev = _revisions(spark, sf)
-    ask = rev.where("event_id % 100 = 0").select("source_id", F.col("event_id").alias("change_no"), (F.col("version") + F.col("event_id") % 3).cast("long").alias("expected_version"))
-    kept, refused = M.append_revisions(rev.where("event_id % 100 <> 1"), ask)
+    """Every tenth event asks to append a revision to the log; many expect what an earlier one of the batch makes current."""
+    keep = keeper(spark)
+    rev = keep(_revisions(spark, sf))
+    top = rev.where("event_id % 10 <> 0").groupBy("source_id").agg(F.max("version").alias("top"))
+    w = Window.partitionBy("source_id").orderBy("event_id")
+    ask = rev.where("event_id % 10 = 0").withColumn("n", F.row_number().over(w) - 1).join(top, "source_id")
+    ask = ask.select("source_id", F.col("event_id").alias("change_no"), (F.col("top") + F.col("n") - F.when(F.col("event_id") % 3 == 0, 1).otherwise(0)).cast("long").alias("expected_version"))
+    kept, refused = M.append_revisions(rev.where("event_id % 10 <> 0"), ask, keep)
     return kept.select("source_id", "change_no", "version", F.lit("accepted").alias("result")).unionByName(refused.select("source_id", "change_no", F.col("current").alias("version"), F.lit("conflict").alias("result")))
 
 
@@ -195,6 +200,20 @@ def m8_patch(spark, sf):
     return M.patch(c, ch, "c_custkey", ["c_name", "c_nationkey"])
 
 
+def m8_headers(spark, sf):
+    """Customers as headers: inserts (some of keys that exist, some without a name), updates (some of no key, some of fields that are not allowed), nulls that stay or not."""
+    now = D.table(spark, sf, "customer").selectExpr("CAST(c_custkey AS BIGINT) AS id", "c_name AS name", "'uploaded' AS status", "CAST(c_nationkey AS BIGINT) AS size", "c_mktsegment AS path")
+    k = "CAST(o_orderkey AS BIGINT)"
+    changes = D.table(spark, sf, "orders").selectExpr(
+        f"{k} AS change_no", f"CASE WHEN {k} % 3 = 0 THEN 'insert' ELSE 'update' END AS op", f"CASE WHEN {k} % 3 = 0 THEN 1000000 + {k} % 500 WHEN {k} % 4 = 0 THEN 1000000 + {k} % 600 ELSE CAST(o_custkey AS BIGINT) END AS id",
+        f"CASE WHEN {k} % 3 = 0 THEN map('name', CASE WHEN {k} % 11 = 0 THEN '  ' ELSE concat(' new ', {k}) END, 'size', CAST({k} AS STRING)) WHEN {k} % 7 = 0 THEN map('status', 'ready', 'owner', 'x') "
+        f"ELSE map('status', CASE WHEN {k} % 5 <> 0 THEN o_orderstatus END, 'path', CASE WHEN {k} % 2 = 0 THEN concat('p', {k}) END) END AS values",
+    )
+    rows, said = M.merge_headers(now, changes, "id", ["name", "status", "size", "path"], {"status": "uploaded"}, named="name", sticky=("path",))
+    left = rows.select(F.lit("row").alias("kind"), "id", F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("name", "status", "size", "path")]).alias("what"))
+    return left.unionByName(said.where("refused IS NOT NULL").select(F.lit("refused").alias("kind"), F.col("change_no").alias("id"), F.col("refused").alias("what")))
+
+
 def a8_projects(spark, sf):
     """Nations as projects, customers as sources: how many, and how many have a finished order."""
     n, c, o = (D.table(spark, sf, t) for t in ("nation", "customer", "orders"))
@@ -289,7 +308,7 @@ QUERIES = {
     "F6_quality_rank": t7_quality_rank, "T7_select_decode": t7_select_decode, "F1_normalize_text": f1_normalized, "F8_character_error_rate": f8_character_error_rate, "A11_error_rates": a11_error_rates,
     "A5_dashboard": a5_dashboard, "T1_review_queue": t1_review_queue, "Q6_export_gate": q6_export_gate, "A20_readiness": a20_readiness, "Q8_decisions": q8_decisions, "J16_undecided": j16_undecided,
     "J21_identity": j21_identity, "F12_cosine": f12_cosine, "W10_enrolment": w10_enrolment, "W8_latest": w8_latest, "M1_append_revisions": m1_append, "M3_upsert": m3_upsert, "M6_delete_sources": m6_delete,
-    "M8_patch": m8_patch, "A8_projects": a8_projects, "A9_next_version": a9_next_version, "A6_status_counts": a6_status_counts, "W9_split": w9_split, "J11_sidecar_words": j11_sidecar_words,
+    "M8_patch": m8_patch, "M8_headers": m8_headers, "A8_projects": a8_projects, "A9_next_version": a9_next_version, "A6_status_counts": a6_status_counts, "W9_split": w9_split, "J11_sidecar_words": j11_sidecar_words,
     "S14_train_manifest": s14_train_manifest, "A12_channel_figures": a12_channel_figures, "A13_leakage": a13_leakage, "A14_peaks": a14_peaks, "A24_stereo_probe": a24_stereo_probe, "R2_stereo_routing": r2_stereo_routing,
 }
 
@@ -369,13 +388,24 @@ FROM u WHERE decision IS NOT NULL""",
 FROM act WHERE end_sample - start_sample >= 36000)
 SELECT source_id, speaker, turn, start_sample, CAST(start_sample + least(end_sample - start_sample, 720000 - prior) AS BIGINT) AS end_sample FROM p WHERE prior < 720000""",
     "W8_latest": f"{_REV} SELECT source_id, event_id, CAST(version AS INTEGER) AS version FROM rev QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY version DESC) = 1",
-    "M1_append_revisions": f"""{_REV}, cur AS (SELECT source_id, max(version) AS c FROM rev WHERE event_id % 100 <> 1 GROUP BY 1),
-a AS (SELECT rev.source_id, event_id AS change_no, version + event_id % 3 AS ev, coalesce(c, 0) AS c FROM rev LEFT JOIN cur USING (source_id) WHERE event_id % 100 = 0),
-b AS (SELECT *, ev = c AND row_number() OVER (PARTITION BY source_id, ev = c ORDER BY change_no) = 1 AS good FROM a)
-SELECT source_id, change_no, CAST(CASE WHEN good THEN c + 1 ELSE c END AS INTEGER) AS version, CASE WHEN good THEN 'accepted' ELSE 'conflict' END AS result FROM b""",
+    "M1_append_revisions": f"""{_REV.replace("WITH ", "WITH RECURSIVE ", 1)}, cur AS (SELECT source_id, CAST(max(version) AS BIGINT) AS top FROM rev WHERE event_id % 10 <> 0 GROUP BY 1),
+a AS (SELECT source_id, event_id AS change_no, row_number() OVER (PARTITION BY source_id ORDER BY event_id) AS no, top, top + row_number() OVER (PARTITION BY source_id ORDER BY event_id) - 1 - CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS ev FROM rev JOIN cur USING (source_id) WHERE event_id % 10 = 0),
+r(source_id, no, change_no, now, good) AS (SELECT source_id, no, change_no, top, ev = top FROM a WHERE no = 1
+  UNION ALL SELECT a.source_id, a.no, a.change_no, r.now + CAST(r.good AS BIGINT), a.ev = r.now + CAST(r.good AS BIGINT) FROM r JOIN a ON a.source_id = r.source_id AND a.no = r.no + 1)
+SELECT source_id, change_no, now + CAST(good AS BIGINT) AS version, CASE WHEN good THEN 'accepted' ELSE 'conflict' END AS result FROM r""",
     "M3_upsert": """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 6 = 0 THEN 'X' ELSE o_orderstatus END AS decision, o_totalprice::DOUBLE + CASE WHEN o_orderkey % 6 = 0 THEN 1.0 ELSE 0.0 END AS updated_at FROM orders""",
     "M6_delete_sources": """SELECT o_custkey AS source_id, o_orderkey AS child, o_orderstatus AS status FROM orders
 WHERE o_custkey % 5 <> 0 OR o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 2 = 0)""",
+    "M8_headers": """WITH ch AS (SELECT o_orderkey AS k, o_orderkey % 3 = 0 AS ins, CASE WHEN o_orderkey % 3 = 0 THEN 1000000 + o_orderkey % 500 WHEN o_orderkey % 4 = 0 THEN 1000000 + o_orderkey % 600 ELSE o_custkey END AS id, o_orderstatus AS st FROM orders),
+j AS (SELECT ch.*, c.c_custkey IS NOT NULL AS known, CASE WHEN ins AND k % 11 = 0 THEN 'blank_name' WHEN NOT ins AND k % 7 = 0 THEN 'unknown_fields:owner' END AS wrong FROM ch LEFT JOIN customer c ON c.c_custkey = ch.id),
+b AS (SELECT *, min(CASE WHEN wrong IS NULL AND ins AND NOT known THEN k END) OVER (PARTITION BY id) AS born FROM j),
+v AS (SELECT *, coalesce(wrong, CASE WHEN ins AND (known OR coalesce(born < k, false)) THEN 'exists' WHEN NOT ins AND NOT (known OR coalesce(born < k, false)) THEN 'unknown_key' END) AS refused FROM b),
+ok AS (SELECT * FROM v WHERE refused IS NULL),
+ups AS (SELECT id, count(*) AS n, arg_max(CASE WHEN k % 5 <> 0 THEN st ELSE '-' END, k) AS st FROM ok WHERE NOT ins GROUP BY 1),
+pth AS (SELECT id, arg_max('p' || k, k) AS p FROM ok WHERE NOT ins AND k % 2 = 0 GROUP BY 1),
+base AS (SELECT c_custkey AS id, c_name AS name, 'uploaded' AS status, c_nationkey AS size, c_mktsegment AS path FROM customer UNION ALL SELECT id, 'new ' || k, 'uploaded', k, NULL FROM ok WHERE ins)
+SELECT 'row' AS kind, base.id, name || '|' || coalesce(ups.st, status) || '|' || size || '|' || coalesce(pth.p, path, '-') AS what FROM base LEFT JOIN ups USING (id) LEFT JOIN pth USING (id)
+UNION ALL SELECT 'refused', k, refused FROM v WHERE refused IS NOT NULL""",
     "M8_patch": "SELECT c_custkey, CASE WHEN c_custkey % 8 = 0 THEN c_name || '-new' ELSE c_name END AS c_name, c_nationkey FROM customer",
     "A8_projects": """SELECT n_nationkey, n_name, count(c_custkey) AS sources, CAST(coalesce(sum(CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') THEN 1 ELSE 0 END), 0) AS BIGINT) AS ready
 FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2""",

@@ -13,7 +13,7 @@ from parlance.operators import intervals as I
 from parlance.operators import planning as G
 from parlance.operators import qc as C
 from parlance.operators import state as M
-from parlance.plans.writing import keeper
+from parlance.writing import keeper
 from parlance.sources import driver_tables as D
 
 K = 24_000
@@ -108,14 +108,10 @@ def test_greedy_segments(spark):
     assert all(a[1] == b[0] for a, b in zip(bounds, bounds[1:]))
 
 
-def test_greedy_segments_leaves_out_no_clip_silently(spark):
-    from parlance.settings import Settings
-
-    s = Settings(min_clip_s=4, target_clip_s=6, max_clip_s=8, min_speaker_s=0.5)
-    acts = _acts(spark, [("A", .5, 2), ("B", 2.5, 4), ("A", 4.5, 6), ("B", 6.5, 8), ("A", 8.5, 10), ("B", 10.5, 12)])
-    dur = spark.createDataFrame([(1, int(12.5 * K))], "source_id long, duration long")
-    with pytest.raises(RuntimeError):
-        G.greedy_segments(acts, dur, "A", s, keep=keeper(spark), most=1)
+def test_greedy_segments_end_after_the_last_speech(spark):
+    acts = _acts(spark, [("A", 1, 2), ("B", 2.5, 4), ("A", 4.5, 6)])
+    dur = spark.createDataFrame([(1, 60 * K)], "source_id long, duration long")
+    assert _rows(G.greedy_segments(acts, dur, "A"), "clip_no", "start_sample", "end_sample") == [(1, int(.75 * K), int(6.25 * K))]
 
 
 def test_turns_of_any_length(spark, tmp_path):
