@@ -73,18 +73,20 @@ def u1_boundaries(spark, sf):
 
 def conversation_summary(spark, sf):
     """A and B seconds, overlap, silence and exchanges of each conversation."""
-    acts = D.activities(spark, sf)
+    t = keeper(spark)(D.turns(spark, sf))
+    acts = D.activities(spark, sf, t)
     own = I.union_length(acts, ["source_id", "speaker"]).groupBy("source_id").pivot("speaker", ["A", "B"]).agg(F.sum("length"))
     over = I.union_length(I.speaker_overlaps(acts), ["source_id"]).withColumnRenamed("length", "overlap")
-    quiet = I.union_length(w3_silences(spark, sf), ["source_id"]).withColumnRenamed("length", "silence")
-    out = D.durations(spark, sf).join(own, "source_id", "left").join(over, "source_id", "left").join(quiet, "source_id", "left").join(I.exchange_counts(acts, ["source_id"]), "source_id", "left")
+    quiet = I.union_length(I.silences(acts, D.durations(spark, sf, t)), ["source_id"]).withColumnRenamed("length", "silence")
+    out = D.durations(spark, sf, t).join(own, "source_id", "left").join(over, "source_id", "left").join(quiet, "source_id", "left").join(I.exchange_counts(acts, ["source_id"]), "source_id", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     return out.select("source_id", "duration", (zero("A") / 24000).alias("a_s"), (zero("B") / 24000).alias("b_s"), zero("overlap").alias("overlap"), zero("silence").alias("silence"), zero("exchanges").alias("exchanges"))
 
 
 def j1_word_speakers(spark, sf):
-    words = D.turn_words(spark, sf).withColumn("speaker", F.lit(None).cast("string"))
-    out = A.assign_speakers(words, D.activities(spark, sf), ["source_id"], ["turn", "i"])
+    t = keeper(spark)(D.turns(spark, sf))
+    words = D.turn_words(spark, sf, t).withColumn("speaker", F.lit(None).cast("string"))
+    out = A.assign_speakers(words, D.activities(spark, sf, t), ["source_id"], ["turn", "i"])
     return out.select("source_id", "turn", "i", "speaker", "assignment_confidence", "uncertain")
 
 
@@ -94,8 +96,9 @@ def j2_turn_speakers(spark, sf):
 
 
 def j3_speaker_at(spark, sf):
-    points = D.turn_words(spark, sf).select("source_id", "turn", "i", F.expr(f"({S} + {E}) div 2").alias("at"))
-    return A.speaker_at(points, D.activities(spark, sf), ["source_id"], ["turn", "i"], "turn")
+    t = keeper(spark)(D.turns(spark, sf))
+    points = D.turn_words(spark, sf, t).select("source_id", "turn", "i", F.expr(f"({S} + {E}) div 2").alias("at"))
+    return A.speaker_at(points, D.activities(spark, sf, t), ["source_id"], ["turn", "i"], "turn")
 
 
 def j4_overrides(spark, sf):
@@ -135,7 +138,8 @@ def g2_bounds(spark, sf):
 
 
 def _candidates(spark, sf):
-    acts, exc, words, dur = D.activities(spark, sf), D.exclusions(spark, sf), D.turn_words(spark, sf), D.durations(spark, sf)
+    t = keeper(spark)(D.turns(spark, sf))
+    acts, exc, words, dur = D.activities(spark, sf, t), D.exclusions(spark, sf, t), D.turn_words(spark, sf, t), D.durations(spark, sf, t)
     return G.boundary_candidates(acts, exc, words, acts, dur), acts, exc, words, dur
 
 
@@ -144,22 +148,25 @@ def g5_candidates(spark, sf):
 
 
 def a3_clip_figures(spark, sf):
-    acts, exc = D.activities(spark, sf), D.exclusions(spark, sf)
-    clips = D.durations(spark, sf).select("source_id", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(duration - 1) div 960000"))).alias("k"))
+    t = keeper(spark)(D.turns(spark, sf))
+    acts, exc = D.activities(spark, sf, t), D.exclusions(spark, sf, t)
+    clips = D.durations(spark, sf, t).select("source_id", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(duration - 1) div 960000"))).alias("k"))
     clips = clips.select("source_id", (F.col("k") * 960_000).alias(S), ((F.col("k") + 1) * 960_000).alias(E))
     return G.evaluate_clips(clips, acts, exc).withColumn("reasons", F.array_join("reasons", ","))
 
 
 def a2_window_verdicts(spark, sf):
-    clips = D.durations(spark, sf).select("source_id", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(duration - 1) div 960000"))).alias("k"))
+    t = keeper(spark)(D.turns(spark, sf))
+    clips = D.durations(spark, sf, t).select("source_id", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(duration - 1) div 960000"))).alias("k"))
     clips = clips.select("source_id", (F.col("k") * 960_000).alias(S), ((F.col("k") + 1) * 960_000).alias(E))
-    return G.window_verdicts(clips, D.activities(spark, sf), "A").withColumn("reasons", F.array_join("reasons", ","))
+    return G.window_verdicts(clips, D.activities(spark, sf, t), "A").withColumn("reasons", F.array_join("reasons", ","))
 
 
 def _plan_inputs(spark, sf):
     """(valid clips between candidates, bounds, activities, exclusions, words, durations), written where they are used again."""
     keep = keeper(spark)
-    acts, exc, words, dur = keep(D.activities(spark, sf)), keep(D.exclusions(spark, sf)), keep(D.turn_words(spark, sf)), keep(D.durations(spark, sf))
+    t = keep(D.turns(spark, sf))
+    acts, exc, words, dur = keep(D.activities(spark, sf, t)), keep(D.exclusions(spark, sf, t)), keep(D.turn_words(spark, sf, t)), keep(D.durations(spark, sf, t))
     bounds = keep(G.conversation_bounds(acts, dur))
     cand = keep(G.boundary_candidates(acts, exc, words, acts, dur))
     return keep(G.clip_edges(cand, bounds, acts, exc)), bounds, acts, exc, words, dur
@@ -204,7 +211,8 @@ def g10_plan_verdicts(spark, sf):
 
 def g11_manual_plan(spark, sf):
     """Clips between every third turn's end: manual boundaries, with what is wrong with them."""
-    acts, exc, words, dur = D.activities(spark, sf), D.exclusions(spark, sf), D.turn_words(spark, sf), D.durations(spark, sf)
+    t = keeper(spark)(D.turns(spark, sf))
+    acts, exc, words, dur = D.activities(spark, sf, t), D.exclusions(spark, sf, t), D.turn_words(spark, sf, t), D.durations(spark, sf, t)
     asked = acts.where("turn % 3 = 0").groupBy("source_id").agg(F.collect_list(E).alias("boundaries"))
     cuts = G.manual_cuts(asked, dur).where("problem is null")
     return G.plan_clips(cuts, acts, exc, G.unsafe_intervals(acts, exc, words, dur)).withColumn("reasons", F.array_join("reasons", ","))
@@ -212,7 +220,8 @@ def g11_manual_plan(spark, sf):
 
 def g6_greedy(spark, sf):
     keep = keeper(spark)
-    return G.greedy_segments(keep(D.activities(spark, sf)), keep(D.durations(spark, sf)), "A", keep=keep).withColumn("reasons", F.array_join("reasons", ","))
+    t = keep(D.turns(spark, sf))
+    return G.greedy_segments(keep(D.activities(spark, sf, t)), keep(D.durations(spark, sf, t)), "A", keep=keep).withColumn("reasons", F.array_join("reasons", ","))
 
 
 _MERGE = """{n}0 AS (SELECT {k}, start_sample, end_sample, max(end_sample) OVER (PARTITION BY {k} ORDER BY start_sample, end_sample ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach

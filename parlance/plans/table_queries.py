@@ -238,8 +238,9 @@ def w9_split(spark, sf):
 
 def j11_sidecar_words(spark, sf):
     """Assistant words of minute-long clips: where they stand in the clip, or why they are left out."""
-    words = D.turn_words(spark, sf).join(D.activities(spark, sf).where("speaker = 'A'").select("source_id", "turn"), ["source_id", "turn"], "left_semi")
-    clips = D.durations(spark, sf).select("source_id", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(duration - 1) div 1440000"))).alias("k"))
+    t = keeper(spark)(D.turns(spark, sf))
+    words = D.turn_words(spark, sf, t).join(D.activities(spark, sf, t).where("speaker = 'A'").select("source_id", "turn"), ["source_id", "turn"], "left_semi")
+    clips = D.durations(spark, sf, t).select("source_id", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(duration - 1) div 1440000"))).alias("k"))
     clips = clips.select("source_id", F.format_string("%d_%d", "source_id", "k").alias("clip_id"), (F.col("k") * 1_440_000).alias("start_sample"), ((F.col("k") + 1) * 1_440_000).alias("end_sample"))
     rows = X.sidecar_rows(words.select("source_id", "word", "start_sample", "end_sample"), clips, normalized=False)
     return rows.groupBy("source_id", "clip_id", F.coalesce("reason", F.lit("kept")).alias("result")).agg(F.count("*").alias("n"), F.round(F.sum("start_s"), 3).alias("start_sum"))

@@ -24,22 +24,27 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def activities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return turns(spark, sf_dir).where("speaker is not null").select("source_id", "turn", "speaker", "start_sample", "end_sample")
+def _turns(spark: SparkSession, sf_dir: str, of: DataFrame | None) -> DataFrame:
+    """Turns that a query has written down already (``of``), or the plan that makes them."""
+    return turns(spark, sf_dir) if of is None else of
 
 
-def exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return turns(spark, sf_dir).where("speaker is null").select("source_id", "turn", "start_sample", "end_sample")
+def activities(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    return _turns(spark, sf_dir, of).where("speaker is not null").select("source_id", "turn", "speaker", "start_sample", "end_sample")
 
 
-def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def exclusions(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    return _turns(spark, sf_dir, of).where("speaker is null").select("source_id", "turn", "start_sample", "end_sample")
+
+
+def durations(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
     """(source_id, duration): the end of the last turn and one second."""
-    return turns(spark, sf_dir).groupBy("source_id").agg((F.max("end_sample") + 24000).alias("duration"))
+    return _turns(spark, sf_dir, of).groupBy("source_id").agg((F.max("end_sample") + 24000).alias("duration"))
 
 
-def turn_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+def turn_words(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
     """(source_id, turn, i, word, start_sample, end_sample, score): the tokens of each spoken turn."""
-    words = turns(spark, sf_dir).where("speaker is not null").select("source_id", "turn", "start_sample", F.posexplode("toks").alias("i", "word"))
+    words = _turns(spark, sf_dir, of).where("speaker is not null").select("source_id", "turn", "start_sample", F.posexplode("toks").alias("i", "word"))
     start = F.col("start_sample") + F.col("i") * 9600
     return words.select(
         "source_id", "turn", "i", "word", (start + 960).alias("start_sample"), (start + F.when(F.col("i") % 8 == 7, 3360).otherwise(8640)).alias("end_sample"),
