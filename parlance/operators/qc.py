@@ -145,6 +145,32 @@ def export_gate(sources: DataFrame) -> DataFrame:
     return sources.withColumn("gate", gate.otherwise("ready")).withColumn("gate_reason", why)
 
 
+# fixed values: what a report says of each reason of the gate
+GATE_SAYS = {
+    "no_current_clips": "no current generated clips; source will be skipped",
+    "undecided_clips": "every generated clip needs a review decision",
+    "pending_overlaps": "every successfully recovered overlap needs an auditioned approve/reject decision",
+    "rejected_clip_approved": "rejected-QC clips cannot be approved",
+    "no_approved_clips": "no clips were approved; source will be skipped",
+    "rights": "source rights declaration is incomplete",
+}
+NOTHING_READY = "No fully reviewed and approved clips are ready for export"
+
+
+def gate_messages(gated: DataFrame, label: str = "source_id", project: str = "project_id") -> DataFrame:
+    """(project, kind, label, message) of gated sources, a row a message: blockers, warnings of skipped sources, and a blocker of a project in which nothing is ready.
+
+    A transcript's blocker is the source's own text (``transcript_blocker``, null if there is no such column).
+    """
+    says = F.create_map(*[F.lit(x) for pair in GATE_SAYS.items() for x in pair])
+    own = F.col("transcript_blocker") if "transcript_blocker" in gated.columns else F.lit(None).cast("string")
+    text = F.when(F.col("gate_reason") == "transcript", F.coalesce(own, F.lit("transcript"))).otherwise(says[F.col("gate_reason")])
+    kind = F.when(F.col("gate") == "blocked", "blocker").otherwise("warning")
+    rows = gated.where("gate <> 'ready'").select(project, kind.alias("kind"), F.col(label).alias("label"), F.concat(F.col(label).cast("string"), F.lit(": "), text).alias("message"))
+    none = gated.groupBy(project).agg(F.count_if(F.col("gate") == "ready").alias("n")).where("n = 0")
+    return rows.unionByName(none.select(project, F.lit("blocker").alias("kind"), F.lit(None).cast(gated.schema[label].dataType).alias("label"), F.lit(NOTHING_READY).alias("message")))
+
+
 def readiness(gated: DataFrame, project: str = "project_id") -> DataFrame:
     """(project, ready_sources, blocked_sources, approved_clips, valid): valid without blocked sources and with at least one ready."""
     ready = F.col("gate") == "ready"

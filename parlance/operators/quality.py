@@ -15,8 +15,15 @@ def quality_summary(segments: DataFrame, keys: list[str]) -> DataFrame:
     return segments.groupBy(*keys).agg(F.count("*").alias("n_segments"), F.count_if(F.size("quality_flags") > 0).alias("n_suspicious"), F.count_if(severe).alias("n_unresolved"))
 
 
-def dashboard(utterances: DataFrame, keys: list[str]) -> DataFrame:
-    """Figures of each source from utterances (speaker, assistant, model_speaker, text, model_text, quality_flags, alignment_status, human_verified)."""
+def recovery_approval(recoveries: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, recovery_approval_rate) of recoveries (status, decision, auditioned): the share of recovered overlaps that were approved after they were heard; null without any."""
+    back = F.col("status") == "recovered"
+    good = (F.col("decision") == "approve") & F.coalesce("auditioned", F.lit(False))
+    return recoveries.groupBy(*keys).agg(F.avg(F.when(back, F.coalesce(good, F.lit(False)).cast("double"))).alias("recovery_approval_rate"))
+
+
+def dashboard(utterances: DataFrame, keys: list[str], recoveries: DataFrame | None = None) -> DataFrame:
+    """Figures of each source from utterances (speaker, assistant, model_speaker, text, model_text, quality_flags, alignment_status, human_verified) and its recoveries."""
     high = F.arrays_overlap("quality_flags", F.array(*[F.lit(x) for x in T.HIGH_RISK]))
     mine = F.col("speaker").eqNullSafe(F.col("assistant"))
     worded = F.trim("text") != ""
@@ -30,7 +37,8 @@ def dashboard(utterances: DataFrame, keys: list[str]) -> DataFrame:
         F.count_if(golden).alias("golden"), F.avg(rate).alias("model_cer"),
         F.avg(F.when(both, (F.col("model_speaker") != F.col("speaker")).cast("double"))).alias("speaker_correction_rate"),
     )
-    return df.withColumn("assistant_alignment_coverage", F.when(F.col("__as") > 0, F.col("__al") / F.col("__as")).otherwise(0.0)).drop("__al", "__as")
+    df = df.withColumn("assistant_alignment_coverage", F.when(F.col("__as") > 0, F.col("__al") / F.col("__as")).otherwise(0.0)).drop("__al", "__as")
+    return df if recoveries is None else df.join(recovery_approval(recoveries, keys), keys, "left")
 
 
 def review_queue(utterances: DataFrame) -> DataFrame:

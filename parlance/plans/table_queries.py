@@ -106,7 +106,11 @@ def _spoken(spark, sf):
 
 
 def a5_dashboard(spark, sf):
-    return Q.dashboard(_spoken(spark, sf), ["source_id"]).withColumn("model_cer", F.round("model_cer", 9))
+    recoveries = D.table(spark, sf, "conversations").selectExpr(
+        "conv_id % 20 AS source_id", "CASE WHEN turn % 3 = 0 AND conv_id % 20 <> 7 THEN 'recovered' ELSE 'failed' END AS status",
+        "CASE WHEN conv_id % 3 = 0 THEN 'approve' WHEN conv_id % 3 = 1 THEN 'reject' END AS decision", "CASE WHEN turn % 5 <> 0 THEN turn % 2 = 0 END AS auditioned",
+    )
+    return Q.dashboard(_spoken(spark, sf), ["source_id"], recoveries).withColumn("model_cer", F.round("model_cer", 9))
 
 
 def t1_review_queue(spark, sf):
@@ -130,6 +134,12 @@ def a20_readiness(spark, sf):
     return C.readiness(g)
 
 
+def a20_messages(spark, sf):
+    """Blockers and warnings of the gated sources; a project is the last two letters of a source's name, so that some have nothing that is ready."""
+    g = q6_export_gate(spark, sf).withColumn("project_id", F.right("source_id", F.lit(2)))
+    return C.gate_messages(g)
+
+
 def q8_decisions(spark, sf):
     u = _utterances(spark, sf)
     clips = u.where("id % 10 <> 9").select(F.col("id").alias("clip_id"), F.when(F.col("id") % 6 == 0, "REJECT").otherwise("PASS").alias("status"))
@@ -307,7 +317,7 @@ def r2_stereo_routing(spark, sf):
 QUERIES = {
     "F3_tokens": f3_tokens, "A18_max_ngrams": a18_max_ngrams, "F5_segment_flags": f5_segment_flags, "A4_quality_summary": a4_quality_summary, "A10_weighted_logprob": a10_weighted_logprob,
     "F6_quality_rank": t7_quality_rank, "T7_select_decode": t7_select_decode, "F1_normalize_text": f1_normalized, "F8_character_error_rate": f8_character_error_rate, "A11_error_rates": a11_error_rates,
-    "A5_dashboard": a5_dashboard, "T1_review_queue": t1_review_queue, "Q6_export_gate": q6_export_gate, "A20_readiness": a20_readiness, "Q8_decisions": q8_decisions, "J16_undecided": j16_undecided,
+    "A5_dashboard": a5_dashboard, "T1_review_queue": t1_review_queue, "Q6_export_gate": q6_export_gate, "A20_readiness": a20_readiness, "A20_messages": a20_messages, "Q8_decisions": q8_decisions, "J16_undecided": j16_undecided,
     "J21_identity": j21_identity, "F12_cosine": f12_cosine, "W10_enrolment": w10_enrolment, "W8_latest": w8_latest, "M1_append_revisions": m1_append, "M3_upsert": m3_upsert, "M6_delete_sources": m6_delete,
     "M8_patch": m8_patch, "M8_headers": m8_headers, "A8_projects": a8_projects, "A9_next_version": a9_next_version, "A6_status_counts": a6_status_counts, "W9_split": w9_split, "J11_sidecar_words": j11_sidecar_words,
     "S14_train_manifest": s14_train_manifest, "A12_channel_figures": a12_channel_figures, "A13_leakage": a13_leakage, "A14_peaks": a14_peaks, "A24_stereo_probe": a24_stereo_probe, "R2_stereo_routing": r2_stereo_routing,
@@ -369,16 +379,24 @@ WHEN 'abnormally_low_word_rate' THEN 3 WHEN 'low_average_log_probability' THEN 2
     "F8_character_error_rate": f"""WITH b AS (SELECT item_id, {_NORM.format("text")} AS t FROM benchmark)
 SELECT a.item_id, CASE WHEN length(a.t) = 0 THEN CASE WHEN length(o.t) = 0 THEN 0.0 ELSE 1.0 END ELSE levenshtein(a.t, o.t) / length(a.t)::DOUBLE END AS cer FROM b a JOIN b o ON o.item_id = a.item_id + 1""",
     "A5_dashboard": f"""WITH u AS (SELECT conv_id % 20 AS source_id, CASE role WHEN 'assistant' THEN 'A' WHEN 'user' THEN 'B' END AS speaker, CASE WHEN turn % 5 < 3 THEN 'A' ELSE 'B' END AS model_speaker,
-text, regexp_replace(text, 'th', 't', 'gi') AS model_text, (conv_id + turn) % 6 = 0 AS dd, turn % 7 = 0 AS rn, CASE WHEN (conv_id + turn) % 4 = 0 THEN 'unaligned' ELSE 'aligned' END AS st, (conv_id + turn) % 2 = 0 AS hv FROM conversations)
+text, regexp_replace(text, 'th', 't', 'gi') AS model_text, (conv_id + turn) % 6 = 0 AS dd, turn % 7 = 0 AS rn, CASE WHEN (conv_id + turn) % 4 = 0 THEN 'unaligned' ELSE 'aligned' END AS st, (conv_id + turn) % 2 = 0 AS hv,
+CASE WHEN turn % 3 = 0 AND conv_id % 20 <> 7 THEN (conv_id % 3 = 0 AND turn % 5 <> 0 AND turn % 2 = 0)::INT END AS ok FROM conversations)
 SELECT source_id, count(*) AS utterances, CAST(sum((dd OR rn)::INT) AS BIGINT) AS flagged, CAST(sum(((dd OR rn) AND NOT hv)::INT) AS BIGINT) AS unresolved,
 CAST(sum(((dd OR rn) AND NOT hv AND speaker IS NOT DISTINCT FROM 'A')::INT) AS BIGINT) AS assistant_unresolved, CAST(sum((hv AND trim(text) <> '')::INT) AS BIGINT) AS golden,
 round(avg(CASE WHEN hv AND trim(text) <> '' AND trim(model_text) <> '' THEN levenshtein({_NORM.format('text')}, {_NORM.format('model_text')}) / length({_NORM.format('text')})::DOUBLE END), 9) AS model_cer,
 avg(CASE WHEN hv AND trim(text) <> '' AND speaker IS NOT NULL THEN (model_speaker <> speaker)::INT END) AS speaker_correction_rate,
-CASE WHEN sum((speaker IS NOT DISTINCT FROM 'A' AND trim(text) <> '')::INT) > 0 THEN sum((speaker IS NOT DISTINCT FROM 'A' AND trim(text) <> '' AND st = 'aligned')::INT) / sum((speaker IS NOT DISTINCT FROM 'A' AND trim(text) <> '')::INT)::DOUBLE ELSE 0.0 END AS assistant_alignment_coverage
+CASE WHEN sum((speaker IS NOT DISTINCT FROM 'A' AND trim(text) <> '')::INT) > 0 THEN sum((speaker IS NOT DISTINCT FROM 'A' AND trim(text) <> '' AND st = 'aligned')::INT) / sum((speaker IS NOT DISTINCT FROM 'A' AND trim(text) <> '')::INT)::DOUBLE ELSE 0.0 END AS assistant_alignment_coverage,
+avg(ok) AS recovery_approval_rate
 FROM u GROUP BY 1""",
     "T1_review_queue": f"""WITH {_UTT}, q AS (SELECT source_id, id, start_sample, dd::INT * 55 + rn::INT * 90 + CASE WHEN speaker = 'A' THEN 20 ELSE 0 END + CASE WHEN st <> 'aligned' THEN 30 ELSE 0 END - hv::INT * 1000 AS priority FROM u)
 SELECT source_id, id, priority, start_sample FROM q WHERE priority > 0""",
     "Q6_export_gate": f"WITH {_GATE} SELECT * FROM gg",
+    "A20_messages": f"""WITH {_GATE}, prj AS (SELECT *, right(source_id, 2) AS project_id FROM gg)
+SELECT project_id, CASE gate WHEN 'blocked' THEN 'blocker' ELSE 'warning' END AS kind, source_id AS label, source_id || ': ' || CASE gate_reason WHEN 'no_current_clips' THEN 'no current generated clips; source will be skipped'
+  WHEN 'undecided_clips' THEN 'every generated clip needs a review decision' WHEN 'pending_overlaps' THEN 'every successfully recovered overlap needs an auditioned approve/reject decision'
+  WHEN 'rejected_clip_approved' THEN 'rejected-QC clips cannot be approved' WHEN 'no_approved_clips' THEN 'no clips were approved; source will be skipped' WHEN 'rights' THEN 'source rights declaration is incomplete' ELSE 'transcript' END AS message
+FROM prj WHERE gate <> 'ready'
+UNION ALL SELECT project_id, 'blocker', NULL, 'No fully reviewed and approved clips are ready for export' FROM prj GROUP BY 1 HAVING count(*) FILTER (gate = 'ready') = 0""",
     "A20_readiness": f"""WITH {_GATE} SELECT substring(source_id, 1, 4) AS project_id, CAST(sum((gate = 'ready')::INT) AS BIGINT) AS ready_sources, CAST(sum((gate = 'blocked')::INT) AS BIGINT) AS blocked_sources,
 CAST(coalesce(sum(CASE WHEN gate = 'ready' THEN n_approved END), 0) AS BIGINT) AS approved_clips, sum((gate = 'blocked')::INT) = 0 AND sum((gate = 'ready')::INT) > 0 AS valid FROM gg GROUP BY 1""",
     "Q8_decisions": f"""WITH {_UTT} SELECT id AS clip_id, decision, CASE WHEN id % 10 = 9 THEN 'unknown_clip' WHEN decision = 'approve' AND id % 2 <> 0 THEN 'not_auditioned' WHEN decision = 'approve' AND id % 6 = 0 THEN 'rejected_by_qc' END AS refused
