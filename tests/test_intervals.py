@@ -141,8 +141,10 @@ def test_exact_count_plan(spark):
     cand = keep(G.boundary_candidates(acts, exc, words, acts.where("false"), dur))
     bounds = keep(G.conversation_bounds(acts, dur))
     edges = keep(G.clip_edges(cand, bounds, acts, exc))
-    assert 2 in [r.k for r in G.feasible_counts(edges, bounds, 6, keep).collect()]
-    plan = keep(G.exact_count_plan(edges, bounds, spark.createDataFrame([(1, 2)], "source_id long, k int"), keep))
+    asked = spark.createDataFrame([(1, 0, "count", 2)], "source_id long, request int, mode string, asked int")
+    found = keep(G.plan_search(edges, bounds, asked))
+    assert 2 in found.first().counts and found.first().k == 2
+    plan = found.select("source_id", "cuts")
     clips = G.plan_clips(plan, acts, exc, G.unsafe_intervals(acts, exc, words, dur)).collect()
     assert len(clips) == 2 and all(20 * K <= c.end_sample - c.start_sample <= 100 * K and c.exchanges >= 1 and c.status == "valid" for c in clips)
     manual = G.plan_clips(spark.createDataFrame([(1, [0, 25 * K, 90 * K])], "source_id long, cuts array<long>"), _acts(spark, [("A", 0, 30), ("B", 30, 60), ("A", 60, 90)]), exc, _acts(spark, [("A", 0, 30)]).drop("speaker"))
