@@ -4,7 +4,9 @@ The leaves of a tree hold, for each live byte position, the rank of the pair tha
 there with its right neighbour; inner nodes hold the leftmost minimum, so the root is the
 next merge.  A merge updates three leaves (the merged pair, its left neighbour, the
 swallowed position) and their paths.  Short matches of a batch are grouped by length and
-their trees advance together in numpy arrays; long ones use one tree in Python lists.
+their trees advance together in numpy arrays, where a step renews all inner nodes by one
+minimum a level; long ones use one tree in Python lists.  Distinct matches are numbered, and
+Arrow joins the decimal ids and the decoded bytes of the texts.
 
 The rank file is a bounded vocabulary (about 1 MB): the driver reads it, the path is a
 parameter, and Spark's broadcast carries its bytes to the workers.
@@ -16,46 +18,82 @@ each; a null doc_id passes.  Extra columns are ignored.
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import map_arrow
 from .common import table
+from .tokenbin import _Places
 
 NONE = 1 << 30
 LONG = 64  # bytes of the longest match whose tree is kept in numpy
-CACHE = 200_000  # distinct matches that a task remembers
+CACHE = 200_000  # distinct matches that a worker remembers
+TOGETHER = 4096  # short matches whose trees advance together
 
 
 class Ranks:
-    """Ids of byte strings, and the ranks of all pairs of ids that merge."""
+    """Ids of byte strings, and the ranks of all pairs of ids that merge, in a hash table of numpy arrays."""
 
     def __init__(self, lines: bytes):
         self.ids = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines())}
         self.bytes = dict((i, t) for t, i in self.ids.items())
-        self.text = {i: str(i) for i in self.bytes}
-        pairs = {}
-        for token, rank in self.ids.items():
+        left, right, rank = [], [], []
+        for token, merged in self.ids.items():
             for k in range(1, len(token)):
                 a, b = self.ids.get(token[:k]), self.ids.get(token[k:])
                 if a is not None and b is not None:
-                    pairs[a << 20 | b] = rank
-        self.pairs = pairs
-        self.keys = np.array(sorted(pairs), np.int64)
-        self.ranks = np.array([pairs[k] for k in self.keys.tolist()], np.int32)
+                    left.append(a)
+                    right.append(b)
+                    rank.append(merged)
+        keys = np.array(left, np.int64) << 20 | np.array(right, np.int64)
+        rank = np.array(rank, np.int32)
+        self.bits = max(8, (4 * len(keys)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, np.int64)  # no key is negative
+        self.ranks = np.full(1 << self.bits, NONE, np.int32)
+        at = self._slot(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[at] < 0)
+            slot, first = np.unique(at[free], return_index=True)
+            first = free[first]
+            self.keys[slot], self.ranks[slot] = keys[first], rank[first]
+            keys, rank, at = (np.delete(x, first) for x in (keys, rank, at))
+            at = at + 1 & len(self.keys) - 1
         self.single = np.array([self.ids[bytes([b])] for b in range(256)], np.int32)
+        self.byte_pairs = self.of_pairs(np.repeat(self.single, 256), np.tile(self.single, 256))
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def of_pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Ranks of pairs, NONE where they don't merge."""
+        """Ranks of pairs, NONE where they don't merge; an id of -1 merges with none."""
         key = a.astype(np.int64) << 20 | b
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.ranks[at], NONE)
+        at = self._slot(key)
+        found = self.keys.take(at)
+        out = np.where(found == key, self.ranks.take(at), np.int32(NONE))
+        left = np.flatnonzero((found != key) & (found >= 0) & (key >= 0))
+        at = at[left]
+        while len(left):
+            at = at + 1 & len(self.keys) - 1
+            found = self.keys.take(at)
+            hit = found == key[left]
+            out[left[hit]] = self.ranks[at[hit]]
+            more = ~hit & (found >= 0)
+            left, at = left[more], at[more]
+        return out
+
+    @functools.cached_property
+    def pairs(self) -> dict[int, int]:
+        """The same as a dict, made when the first long match comes."""
+        full = self.keys >= 0
+        return dict(zip(self.keys[full].tolist(), self.ranks[full].tolist()))
 
 
 def encode_long(piece: bytes, ranks: Ranks) -> list[int]:
@@ -107,50 +145,56 @@ def encode_long(piece: bytes, ranks: Ranks) -> list[int]:
 
 
 def encode_short(pieces: list[bytes], size: int, ranks: Ranks) -> list[list[int]]:
-    """Ids of pieces of 2 to ``size`` bytes (a power of two); their trees advance together."""
+    """Ids of pieces of 2 to ``size`` bytes (a power of two); their trees advance together.
+
+    Arrays are laid out position by position, so that a level of all trees is renewed by one minimum of
+    contiguous rows.  Position ``size`` stands for the places outside a piece: its id is -1, which merges with none.
+    """
     n = len(pieces)
     lengths = np.fromiter(map(len, pieces), np.int64, n)
-    raw = np.frombuffer(b"".join(x.ljust(size, b"\0") for x in pieces), np.uint8).reshape(n, size)
-    place = np.arange(size)
-    ids = np.where(place < lengths[:, None], ranks.single[raw], -1).astype(np.int32)
-    after = np.broadcast_to(place + 1, (n, size)).astype(np.int8)
-    before = np.broadcast_to(place - 1, (n, size)).astype(np.int8)
+    raw = np.frombuffer(b"".join(x.ljust(size, b"\0") for x in pieces), np.uint8).reshape(n, size).T
+    place = np.arange(size + 1, dtype=np.int64)[:, None]
+    ids = np.full((size + 1, n), -1, np.int32)
+    ids[:-1] = np.where(place[:-1] < lengths, ranks.single[raw], np.int32(-1))
+    after, before = np.repeat(np.minimum(place + 1, size), n, 1), np.repeat(np.where(place, place - 1, size), n, 1)
     shift = size.bit_length() - 1
-    tree = np.full((n, 2 * size), NONE, np.int32)
-    rank = ranks.of_pairs(ids[:, :-1], ids[:, 1:])
-    rank[place[:-1] + 1 >= lengths[:, None]] = NONE
-    tree[:, size:-1] = np.where(rank < NONE, rank << shift | place[:-1], NONE)
-    level = size
-    while level > 1:
-        tree[:, level // 2 : level] = np.minimum(tree[:, level : 2 * level : 2], tree[:, level + 1 : 2 * level : 2])
-        level //= 2
-    live = np.flatnonzero(tree[:, 1] < NONE)
-    while len(live):
-        top = tree[live, 1]
-        p, r = (top & (size - 1)).astype(np.int64), top >> shift
-        q = after[live, p].astype(np.int64)
-        nxt = after[live, q].astype(np.int64)
-        left = before[live, p].astype(np.int64)
-        ids[live, p], after[live, p], ids[live, q] = r, nxt, -1
-        inside = nxt < lengths[live]
-        before[live[inside], nxt[inside]] = p[inside]
-        right_rank = ranks.of_pairs(r, np.where(inside, ids[live, np.minimum(nxt, size - 1)], 0))
-        tree[live, size + q] = NONE
-        tree[live, size + p] = np.where(inside & (right_rank < NONE), right_rank << shift | p, NONE)
-        has = left >= 0
-        left_rank = ranks.of_pairs(np.where(has, ids[live, left], 0), r)
-        other = np.where(has, left, p)
-        tree[live, size + other] = np.where(has, np.where(left_rank < NONE, left_rank << shift | left, NONE), tree[live, size + p])
-        for node in (size + q, size + p, size + other):
-            for _ in range(shift):
-                node = node >> 1
-                tree[live, node] = np.minimum(tree[live, 2 * node], tree[live, 2 * node + 1])
-        live = live[tree[live, 1] < NONE]
-    return [row[row >= 0].tolist() for row in ids]
+    leaves = np.full((size + 1, n), NONE, np.int32)
+    rank = ranks.byte_pairs.take(raw[:-1].astype(np.int64) << 8 | raw[1:])
+    leaves[: size - 1] = np.where((place[1:-1] < lengths) & (rank < NONE), rank << shift | place[:-2], NONE)
+    row, done = np.arange(n), np.full((n, size), -1, np.int32)
+    while True:
+        level = leaves[:-1]
+        while len(level) > 1:
+            level = np.minimum(level[0::2], level[1::2])
+        live = np.flatnonzero(level[0] < NONE)
+        if 4 * len(live) < 3 * len(row):  # finished pieces go out
+            over = level[0] >= NONE
+            done[row[over]] = ids[:-1, over].T
+            ids, after, before, leaves, level = (np.ascontiguousarray(x[:, live]) for x in (ids, after, before, leaves, level))
+            row, live = row[live], np.arange(len(live))
+        if not len(live):
+            break
+        width = len(row)
+        flat_ids, flat_after, flat_before, flat_leaves = (x.reshape(-1) for x in (ids, after, before, leaves))
+        top = level[0].take(live)
+        r = top >> shift
+        p = (top & (size - 1)).astype(np.int64)
+        at_p = p * width + live
+        at_q = flat_after.take(at_p) * width + live
+        nxt, left = flat_after.take(at_q), flat_before.take(at_p)
+        at_next, at_left = nxt * width + live, left * width + live
+        flat_ids[at_p], flat_ids[at_q] = r, -1
+        flat_after[at_p], flat_before[at_next] = nxt, p
+        new = ranks.of_pairs(np.concatenate([r, flat_ids.take(at_left)]), np.concatenate([flat_ids.take(at_next), r]))
+        new = np.where(new < NONE, new << shift | np.concatenate([p, left]), NONE)
+        flat_leaves[at_q], flat_leaves[at_p], flat_leaves[at_left] = NONE, new[: len(p)], new[len(p) :]
+    counts = np.cumsum((done >= 0).sum(1)).tolist()
+    flat = done[done >= 0].tolist()
+    return [flat[a:b] for a, b in zip([0, *counts], counts)]
 
 
 class Encoder:
-    """Encodes texts match by match; distinct matches of a batch meet the trees once."""
+    """Encodes texts match by match; distinct matches meet the trees once and are numbers from then on."""
 
     def __init__(self, lines: bytes, pattern: str):
         import regex
@@ -158,35 +202,56 @@ class Encoder:
         self.ranks = Ranks(lines)
         # fixed values: the pattern's \s and \S mean Unicode's White_Space
         self.matches = regex.compile(pattern.replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")).findall
-        self.cache: dict[str, list[int]] = {}
-
-    def learn(self, words: Iterable[str]) -> None:
-        short: dict[int, list[str]] = {}
-        for word in words:
-            piece = word.encode("utf-8", "surrogatepass")
-            whole = self.ranks.ids.get(piece)
-            if whole is not None:
-                self.cache[word] = [whole]
-            elif len(piece) > LONG:
-                self.cache[word] = encode_long(piece, self.ranks)
-            else:
-                short.setdefault(max(2, 1 << (len(piece) - 1).bit_length()), []).append(word)
+        size = max(self.ranks.bytes) + 1
+        self.bytes = pa.array([self.ranks.bytes.get(i, b"") for i in range(size)], pa.large_binary())
+        self.decimals = pa.array(map(str, range(size)), pa.large_string())
+        self._clear()
+
+    def _clear(self) -> None:
+        self.place = _Places()
+        self.flat, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _learn(self) -> None:
+        """Encodes the matches that wait."""
+        new = [w.encode("utf-8", "surrogatepass") for w in self.place.new]
+        found = [[i] if i is not None else None for i in map(self.ranks.ids.get, new)]
+        short: dict[int, list[int]] = {}
+        for k, ids in enumerate(found):
+            if ids is None and len(new[k]) > LONG:
+                found[k] = encode_long(new[k], self.ranks)
+            elif ids is None:
+                short.setdefault(max(2, 1 << (len(new[k]) - 1).bit_length()), []).append(k)
         for size, group in short.items():
-            for k in range(0, len(group), 8192):
-                part = group[k : k + 8192]
-                self.cache.update(zip(part, encode_short([w.encode("utf-8", "surrogatepass") for w in part], size, self.ranks)))
-
-    def encode(self, texts: list[str]) -> Iterator[list[int]]:
+            for first in range(0, len(group), TOGETHER):
+                part = group[first : first + TOGETHER]
+                for k, ids in zip(part, encode_short([new[k] for k in part], size, self.ranks)):
+                    found[k] = ids
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))])
+        self.place.new = []
+
+    def encode(self, texts: list[str]) -> pa.ListArray:
+        """The ids of each text."""
+        if len(self.place) > CACHE:
+            self._clear()
         split = [self.matches(t) for t in texts]
-        new = set(chain.from_iterable(split))
-        if len(self.cache) + len(new) > CACHE:
-            self.cache.clear()
-        self.learn(new.difference(self.cache))
-        for words in split:
-            yield list(chain.from_iterable(map(self.cache.__getitem__, words)))
-
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.ranks.bytes.__getitem__, ids))
+        words = np.fromiter(map(self.place.__getitem__, chain.from_iterable(split)), np.int64)
+        if self.place.new:
+            self._learn()
+        each = self.sizes[words]
+        ends = np.cumsum(each)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.flat[np.repeat(self.starts[words] - ends + each, each) + np.arange(total)]
+        last = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))
+        offsets = np.concatenate([[0], ends])[np.concatenate([[0], last])]
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
+
+    def joined(self, ids: pa.ListArray, entries: pa.Array, between: str | bytes) -> Iterator[str]:
+        """SHA-256 of the entries of each text's ids, joined."""
+        for x in pc.binary_join(pa.ListArray.from_arrays(ids.offsets, entries.take(ids.values)), pa.scalar(between, entries.type)):
+            yield hashlib.sha256(x.as_buffer()).hexdigest()
 
 
 _made: dict[tuple, Encoder] = {}
@@ -217,17 +282,12 @@ def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str, with_ids:
                     texts.append(batch.column(1)[k].as_py())
                     size += len(texts[-1])
                     k += 1
-                totals, digests, decoded, kept = [], [], [], []
-                for ids in coder.encode(texts):
-                    totals.append(len(ids))
-                    digests.append(hashlib.sha256(",".join(map(coder.ranks.text.__getitem__, ids)).encode()).hexdigest())
-                    decoded.append(hashlib.sha256(coder.decode(ids)).hexdigest())
-                    if with_ids:
-                        kept.append(np.array(ids, np.int32))
-                columns = [batch.column(0).slice(done, k - done), pa.array(totals, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
+                ids = coder.encode(texts)
+                digests, decoded = coder.joined(ids, coder.decimals, ","), coder.joined(ids, coder.bytes, b"")
+                columns = [batch.column(0).slice(done, k - done), pc.cast(pc.list_value_length(ids), pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    columns.append(pa.array(kept, pa.list_(pa.int32())))
+                    columns.append(ids)
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
                 done = k

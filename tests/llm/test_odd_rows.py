@@ -124,3 +124,43 @@ def test_warc_odd_rows(spark, tmp_path):
             html = next(h or "" for p, _, h in some if p == page).encode()
             assert (size, digest) == (len(html), hashlib.sha1(html).hexdigest())
             assert (kind, refers) == (("revisit", 2) if page == 1 else ("response", None))
+
+
+def test_bpe_trees_and_forgetting(monkeypatch):
+    """Matches of every length up to the long ones, of random bytes too, against the library; a worker that forgets after each batch."""
+    import base64
+
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    with open(path, "rb") as f:
+        lines = f.read()
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines())}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    coder, rng = bpe.Encoder(lines, public_tokenizers.PATTERN), np.random.default_rng(8)
+    letters = list("aeinorst" * 3 + "zéñß日本語ж")
+    words = ["".join(rng.choice(letters, n)) for n in [*range(1, 70), *rng.integers(2, 20, 9000)]]
+    pairs = rng.permutation(len(coder.ranks.keys))[:2000]
+    a, b = coder.ranks.keys[pairs] >> 20, coder.ranks.keys[pairs] & (1 << 20) - 1
+    assert (coder.ranks.of_pairs(a, b)[a >= 0] == coder.ranks.ranks[pairs][a >= 0]).all() and (coder.ranks.of_pairs(np.full(5, -1), np.arange(5)) == bpe.NONE).all()
+    monkeypatch.setattr(bpe, "CACHE", 100)
+    texts = [" ".join(words[k : k + 50]) for k in range(0, len(words), 50)] + ["", "a"]
+    for k in range(0, len(texts), 40):
+        ids = coder.encode(texts[k : k + 40])
+        assert ids.to_pylist() == [library.encode_ordinary(t) for t in texts[k : k + 40]]
+        assert list(coder.joined(ids, coder.bytes, b"")) == [hashlib.sha256(t.encode()).hexdigest() for t in texts[k : k + 40]]
+        assert len(coder.place) == len(coder.sizes)
+
+
+def test_bpe_worker_keeps_numbers_not_lists():
+    """What a worker remembers of a match is one number: 100,000 matches stay under 40 MB."""
+    import tracemalloc
+
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        coder = bpe.Encoder(f.read(), public_tokenizers.PATTERN)
+    texts = [" ".join(f"w{k}x{i}" for i in range(500)) for k in range(100)]
+    tracemalloc.start()
+    coder.encode(texts)
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert kept < 40e6 and isinstance(next(iter(coder.place.values())), int)
