@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shipping import map_arrow
+from ..shipping import map_arrow, small_batches
 from .common import table
 from .tokenbin import _Places
 
@@ -44,7 +44,6 @@ class Ranks:
 
     def __init__(self, lines: bytes):
         self.ids = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines())}
-        self.bytes = dict((i, t) for t, i in self.ids.items())
         left, right, rank = [], [], []
         for token, merged in self.ids.items():
             for k in range(1, len(token)):
@@ -55,7 +54,7 @@ class Ranks:
                     rank.append(merged)
         keys = np.array(left, np.int64) << 20 | np.array(right, np.int64)
         rank = np.array(rank, np.int32)
-        self.bits = max(8, (4 * len(keys)).bit_length())
+        self.bits = max(8, (2 * len(keys)).bit_length())
         self.keys = np.full(1 << self.bits, -1, np.int64)  # no key is negative
         self.ranks = np.full(1 << self.bits, NONE, np.int32)
         at = self._slot(keys)
@@ -202,8 +201,11 @@ class Encoder:
         self.ranks = Ranks(lines)
         # fixed values: the pattern's \s and \S mean Unicode's White_Space
         self.matches = regex.compile(pattern.replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")).findall
-        size = max(self.ranks.bytes) + 1
-        self.bytes = pa.array([self.ranks.bytes.get(i, b"") for i in range(size)], pa.large_binary())
+        size = max(self.ranks.ids.values()) + 1
+        entries = [b""] * size
+        for token, i in self.ranks.ids.items():
+            entries[i] = token
+        self.bytes = pa.array(entries, pa.large_binary())
         self.decimals = pa.array(map(str, range(size)), pa.large_string())
         self._clear()
 
@@ -291,6 +293,7 @@ def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str, with_ids:
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
                 done = k
+        pa.default_memory_pool().release_unused()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return map_arrow(docs, run, schema)
@@ -306,6 +309,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of the kept documents."""
     import public_tokenizers
 
+    small_batches(spark)
     return encode_and_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
 
 

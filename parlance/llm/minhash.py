@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shipping import map_arrow
+from ..shipping import map_arrow, small_batches
 from .common import checkpoint, components, mix, one_text, shingle_set, table
 
 CIRCLE = 1 << 20
@@ -191,6 +191,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts and rows with a null id stay; repeated rows of a kept id all stay, and of an id with
     several texts all rows stay or go by the text with the smallest hash; extra columns pass through, whatever their names.
     """
+    small_batches(spark)
     gone = near_duplicates(docs, n=5, percent=80).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
     return docs.join(gone, docs.doc_id.cast("long") == gone.gone, "left_anti")
 

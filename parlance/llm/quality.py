@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shipping import map_arrow
+from ..shipping import map_arrow, small_batches
 from .common import _LOWER, checkpoint, crc_mod, ngram_hashes, span_hashes, table, text_bytes, word_bounds
 
 NAMES = (
@@ -212,6 +212,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts are scored like others; a row with a null id stays; repeated rows of one text stay or go
     together, rows of one id and different texts each by their own score; extra columns pass through, whatever their names.
     """
+    small_batches(spark)
     rejected = scores(docs, table(spark, sf_dir, "labels"), hashed=True).where("predicted = 0").select(F.col("doc_id").alias("gone"), "t").distinct()
     return docs.join(rejected, (docs.doc_id.cast("long") == rejected.gone) & (F.xxhash64(docs.text.cast("string")) == rejected.t), "left_anti")
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shipping import map_arrow
+from ..shipping import map_arrow, small_batches
 from .common import _LOWER, checkpoint, free_name, join_hot, mix, span_hashes, table, text_bytes, word_bounds
 
 SENTENCES, WORDS = 2, 16
@@ -157,6 +157,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ties and repeated rows the text stays in each row that has the smallest (id, text hash); extra columns pass
     through, also those that are named like the operator's figures.
     """
+    small_batches(spark)
     out = dedup_spans(docs, figures=(free_name(docs, "mark_total"), free_name(docs, "mark_removed")))
     if "n_chars" in out.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)))

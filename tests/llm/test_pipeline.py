@@ -52,3 +52,17 @@ def test_quality_stage_with_odd_rows(spark):
     bad = {r.doc_id for r in quality.scores(both, labels).collect() if r.predicted == 0 and r.doc_id is not None}
     assert None in left and left == {r.doc_id for r in both.select("doc_id").collect()} - bad
     assert quality.stage(spark, both.limit(0), SF).count() == 0
+
+
+def test_stages_ask_for_small_batches(spark):
+    """Whole texts reach the workers 1000 rows at a time, so that neither side holds tens of MB of them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = table(spark, SF, "documents")
+    for _, stage in corpus_pipeline.STAGES:
+        if stage is decontam.stage:  # no Python
+            continue
+        spark.conf.set(name, "10000")
+        assert stage(spark, docs, SF).columns and 0 < int(spark.conf.get(name)) <= 1000
+    spark.conf.set(name, "64")
+    corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert spark.conf.get(name) == "64"
