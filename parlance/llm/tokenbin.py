@@ -23,8 +23,8 @@ The tokenizers library encodes the words of the texts, each with the blank or li
 it, and a worker remembers up to ``CACHE`` of them: the library's own splitting starts a new unit at
 such a blank, so the words' ids in a row are the ids of the whole text.  Texts in which that is
 not sure (other white space, runs of it, words of over ``PIECE`` characters, special tokens) are
-given to the library whole.  Words of letters under ``LETTERS`` are cut by the library's published
-pattern and given to its BPE model; other words go through all of the library.
+given to the library whole.  New words go through all of the library in rows of ``ROW``; the bytes
+of the ids tell where a word ends.
 
 Defined results: null counts as empty; every document ends with the end id, so an empty text has
 one id; null doc_ids come first and are read back as null; of repeated rows each is stored,
@@ -58,7 +58,7 @@ END_ID = 0
 READ_TASKS = 20_000  # at most, for the files to be read
 CACHE = 500_000  # words that a worker remembers
 PIECE = 64
-LETTERS = "\u0500"  # below, letters and digits are the same in all versions of Unicode in use
+ROW = 64  # new words that the library gets as one text
 _BITS = 28  # of the mixture's total
 _TOTAL = 1 << _BITS
 _LEVELS = 16  # of a prediction's confidence
@@ -269,14 +269,16 @@ class Words:
     def __init__(self, coder, pattern: str, cache: int | None = None):
         import regex
 
+        if regex.findall(pattern, "a b\nc d") != ["a", " b", "\n", "c", " d"]:
+            raise ValueError("the pattern does not cut before a blank and a line feed")
         self.cache = CACHE if cache is None else cache
-        self.coder, self.model, self.split = coder, coder.model, regex.compile(pattern).findall
+        self.coder = coder
         self.specials = [t.content for t in coder.get_added_tokens_decoder().values()]
-        self.letters = _byte_letters()
+        self.widths = np.array([len(coder.id_to_token(i) or "") for i in range(coder.get_vocab_size())], np.int64)  # a byte is one character
         self.clear()
 
     def clear(self) -> None:
-        self.place, self.units = _Places(), {}
+        self.place = _Places()
         self.flat, self.total = np.zeros(1 << 16, np.uint32), 0
         self.starts, self.sizes, self.odd, self.fed = (np.zeros(1 << 16, t) for t in (np.int64, np.int64, bool, bool))
         self.place["\n"]
@@ -285,35 +287,33 @@ class Words:
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.coder.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    def _unit(self, unit: str) -> list[int]:
-        """The ids of one match of the library's pattern; those of marks and endings are remembered."""
-        ids = self.units.get(unit)
-        if ids is None:
-            ids = [t.id for t in self.model.tokenize(unit.encode().decode("latin-1").translate(self.letters))]
-            if len(unit) < 4 and len(self.units) < self.cache // 8:
-                self.units[unit] = ids
-        return ids
+    def _rows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of sound words, how many each has): the words go to the library in rows of ``ROW`` and are told apart by where their bytes end."""
+        rows = ["".join(words[k : k + ROW]) for k in range(0, len(words), ROW)]
+        found = self._whole(rows)
+        ids = np.fromiter(chain.from_iterable(found), np.uint32)
+        stops = np.concatenate([[0], np.cumsum(self.widths[ids])])
+        want = np.concatenate([[0], np.cumsum(np.fromiter((len(w.encode()) for w in words), np.int64, len(words)))])
+        at = np.searchsorted(stops, want)
+        if at[-1] != len(ids) or not (stops[at] == want).all() or any(t in row for row in rows for t in self.specials):
+            found = self._whole(words)
+            return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+        return ids, np.diff(at)
 
     def _take_in(self) -> None:
         """Encodes the words that wait."""
         new, first = self.place.new, self.place.last + 1 - len(self.place.new)
-        found, odd, other = [], [], []
+        odd = np.zeros(len(new), bool)
+        sound = []
         for k, word in enumerate(new):
             fed = word[:1] == "\n"
-            strange = word != "\n" and (len(word) > PIECE or word.split() != [word[1:] if fed else word])
-            odd.append(strange)
-            if strange:
-                found.append(())
-            elif max(word) < LETTERS:
-                units = self.split(word if fed else " " + word)
-                found.append(self._unit(units[0]) if len(units) == 1 else [i for unit in units for i in self._unit(unit)])
+            if word != "\n" and (len(word) > PIECE or word.split() != [word[1:] if fed else word]):
+                odd[k] = True
             else:
-                other.append(k)
-                found.append(())
-        for k, ids in zip(other, self._whole([new[k] if new[k][0] == "\n" else " " + new[k] for k in other])):
-            found[k] = ids
-        each = np.fromiter(map(len, found), np.int64, len(found))
-        count = int(each.sum())
+                sound.append(word if fed else " " + word)
+        found, sizes = self._rows(sound)
+        count, each = len(found), np.zeros(len(new), np.int64)
+        each[~odd] = sizes
         for name, need in (("starts", first + len(new)), ("sizes", first + len(new)), ("odd", first + len(new)), ("fed", first + len(new)), ("flat", self.total + count)):
             have = getattr(self, name)
             if need > len(have):
@@ -321,7 +321,7 @@ class Words:
         where = slice(first, first + len(new))
         self.sizes[where], self.starts[where], self.odd[where] = each, self.total + np.cumsum(each) - each, odd
         self.fed[where] = [len(word) > 1 and word[0] == "\n" for word in new]
-        self.flat[self.total : self.total + count] = np.fromiter(chain.from_iterable(found), np.uint32, count)
+        self.flat[self.total : self.total + count] = found
         self.total += count
         for word in new:
             if len(word) > PIECE:  # not remembered

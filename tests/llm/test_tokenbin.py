@@ -57,3 +57,31 @@ def test_odd_rows(spark, tmp_path):
     assert [(r.doc_id, r.start, r.n_tokens) for r in got] == [(None, 0, 2), (1, 2, 1), (2, 3, 1), (3, 4, 3), (3, 7, 3)]
     folder = str(tmp_path / "none")
     assert tokenbin.read_ids(tokenbin.write_ids(spark.createDataFrame([], schema), folder, *paths), folder).count() == 0
+
+
+def test_new_words_go_to_the_library_in_rows(library):
+    """Few and long rows instead of one call a word, and words that the rows cannot tell apart still get the library's ids."""
+
+    class Counting:
+        def __init__(self):
+            self.texts = 0
+
+        def __getattr__(self, name):
+            return getattr(library, name)
+
+        def encode_batch_fast(self, texts, **how):
+            self.texts += len(texts)
+            return library.encode_batch_fast(texts, **how)
+
+    coder = Counting()
+    words = tokenbin.Words(coder, public_tokenizers.PATTERN)
+    rng = random.Random(9)
+    text = " ".join("".join(rng.choices("abcdeéñ日'1.,\n", k=rng.randint(1, 12))).strip("\n").replace("\n\n", "\n") or "x" for _ in range(4000))
+    text = "\n".join(line.strip() for line in text.split("\n") if line.strip())
+    assert words.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+    assert coder.texts < 200
+    words.widths = words.widths + 1  # a vocabulary whose ids do not tell their bytes
+    words.clear()
+    assert words.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids and coder.texts > 3000
+    with pytest.raises(ValueError):
+        tokenbin.Words(library, r"\S+|\s+")
