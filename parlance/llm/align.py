@@ -37,11 +37,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shipping import map_arrow
+from ..shipping import map_arrow, small_batches
 from .common import checkpoint, table
 from .tokenbin import Words, _byte_letters, _Places
 
-PART = 1 << 18  # bytes of texts that are aligned together; a longer text is alone
+PART = 1 << 18  # bytes of texts that are aligned together, and links that meet the counts together; a longer text is alone
 CACHE = 200_000  # words of each library that a worker remembers
 _SHIFT = 20  # a pair is a << _SHIFT | b
 _END = 32  # bits of an end in a join key; Arrow's lists are shorter
@@ -199,6 +199,7 @@ def aligned(docs: DataFrame, byte_path: str, piece_path: str, pattern: str) -> D
     with open(byte_path, encoding="utf-8") as f, open(piece_path, "rb") as g:  # two bounded vocabularies
         shared = spark.sparkContext.broadcast((f.read(), g.read(), pattern))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = aligner_of(*shared.value)
@@ -240,7 +241,8 @@ def alignment(docs: DataFrame, byte_path: str, piece_path: str, pattern: str) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = known.value
         names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs"]
-        for batch in batches:
+        slices = (batch.slice(a, b - a) for batch in batches for a, b in _parts(pc.list_value_length(batch.column(6)).to_pylist()))
+        for batch in slices:
             rest, lists = batch.select(names[:6]), batch.column(6)
             links = pa.table({"row": pc.list_parent_indices(lists), "pair": pc.list_flatten(lists)})
             seen = links.group_by(["row", "pair"], use_threads=False).aggregate([([], "count_all")]).rename_columns(["row", "pair", "k"])
@@ -252,7 +254,9 @@ def alignment(docs: DataFrame, byte_path: str, piece_path: str, pattern: str) ->
             best[sums["row"].to_numpy()], total[sums["row"].to_numpy()] = sums["best_sum"].to_numpy(), sums["sum_sum"].to_numpy()
             columns = [*rest.columns[:5], pa.array(best), pa.array(total), rest.column(5)]
             yield pa.RecordBatch.from_arrays(columns, names=[*names[:5], "n_best", "count_sum", "groups_sha256"])
+        pa.default_memory_pool().release_unused()
 
+    small_batches(rows.sparkSession)
     return map_arrow(rows, run, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
 
 

@@ -76,3 +76,18 @@ def test_pairs_are_bounded_by_the_vocabularies():
     ends = set(b)
     pairs = sum(x[k:] in ends for x in a for k in range(len(x))) + sum(len(x) for x in b)
     assert pairs <= aligner.pair_bound() < 1 << 20 and aligner.b.alone
+
+
+def test_batches_are_small_and_many_links_meet_the_counts_in_parts(spark):
+    """One partition with more links than ``PART``: Spark hands over 1000 rows at most, and the sums are those of the definition."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, "10000")
+    some = ["the of the " * 240, "foo bar " * 180 + "end", "to be"]
+    rows = spark.createDataFrame([(k, some[k % 3], "x", 1) for k in range(2400)], SCHEMA).coalesce(1)
+    got = align.alignment(rows, *PATHS).collect()
+    assert int(spark.conf.get(name)) <= 1000
+    want = _definition(some)
+    assert sum(r.n_links for r in got) > 2 * align.PART and len(got) == 2400
+    for r in got:
+        *same, total, digest = want[r.doc_id % 3]
+        assert (r.n_a, r.n_b, r.n_groups, r.n_links, r.groups_sha256) == (*same[:4], digest) and r.count_sum == 800 * total
