@@ -34,12 +34,14 @@ their order among themselves is not defined.  Extra columns are ignored.
 from __future__ import annotations
 
 import functools
+import json
 import os
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -52,101 +54,129 @@ from .common import checkpoint, shared_dir, table
 
 MAGIC = b"PTIDBIN4"
 BLOCK, LANES, RENEW = 1 << 20, 1024, 8
+SIDE = 4  # blocks of equal size that are coded side by side, at most 7
 CONTEXTS = 18  # bits of an order-2 context's hash
 IDS = 1 << 16  # ids lie below
 END_ID = 0
 READ_TASKS = 20_000  # at most, for the files to be read
-CACHE = 500_000  # words that a worker remembers
+CACHE = 1_000_000  # words that a worker remembers
 PIECE = 64
 ROW = 64  # new words that the library gets as one text
+TOGETHER = 1 << 22  # characters of the texts whose words are told apart in one pass
 _BITS = 28  # of the mixture's total
 _TOTAL = 1 << _BITS
 _LEVELS = 16  # of a prediction's confidence
 _MISS, _HIT = 4, 3  # confidence of a new prediction, and what it gains when it comes true
+_NEXT = np.array([min(k + _HIT, _LEVELS - 1) for k in range(_LEVELS)] + [_MISS if k < _MISS else k >> 1 for k in range(_LEVELS)], np.int32)  # confidence after a hit, after a miss
 
 
-class _Model:
-    """The block's statistics: ``predict`` and ``learn`` go step by step, ``freeze`` makes the order-0 table and the weights of the next steps."""
+class _Models:
+    """The statistics of blocks of equal size that advance side by side, each with its own: ``look`` gives the entries of a step,
+    ``learn`` takes the ids that came, ``freeze`` makes the order-0 tables and the weights of the next steps.
 
-    def __init__(self):
-        self.counts = np.zeros(IDS, np.int64)
+    A row of a step holds the lanes of the blocks one after the other; rows of entries hold those of order 1 and then those of order 2.
+    Tables of all blocks are one array, and a block's order-0 table starts where that of the block before ends, so that one search finds ids in all of them.
+    """
+
+    def __init__(self, blocks: int, lanes: int):
+        self.counts = np.zeros((blocks, IDS), np.int32)
         self.seen, self.waiting = 0, []
-        self.entry = [np.zeros(IDS, np.int64), np.zeros(1 << CONTEXTS, np.int64)]  # predicted id * _LEVELS + confidence, by context
-        self.hits, self.tries = np.ones((2, _LEVELS), np.int64), np.full((2, _LEVELS), 4, np.int64)
-        self.table = np.zeros(IDS + 1, np.int64)
+        size = IDS + (1 << CONTEXTS)
+        self.entries = np.zeros(blocks * size, np.int32)  # predicted id * _LEVELS + confidence, by context
+        self.hits, self.tries = np.ones((2, blocks, _LEVELS), np.int64), np.full((2, blocks, _LEVELS), 4, np.int64)
+        self.table = np.zeros(blocks * (IDS + 1), np.int32)
+        number = np.repeat(np.arange(blocks, dtype=np.int64), lanes)
+        self.of_counts, self.of_table, self.of_weights, self.of_total = (number * x for x in (IDS, IDS + 1, _LEVELS * _LEVELS, _TOTAL))
+        self.of_one, self.of_two = number * size, number * size + IDS
+        self.of_levels = np.concatenate([number, number + blocks]) * _LEVELS
 
     def freeze(self) -> None:
-        """The order-0 table, in which every id has a floor that is larger while many ids are new, and the weights by confidence."""
+        """The order-0 tables, in which every id has a floor that is larger while many ids are new, and the weights by confidence."""
         if self.waiting:
-            ids = np.concatenate(self.waiting)
-            self.counts += np.bincount(ids, minlength=IDS)
-            self.seen, self.waiting = self.seen + len(ids), []
-        distinct = np.count_nonzero(self.counts)
-        floor = max(_TOTAL >> 21, _TOTAL * (distinct + 64) // (self.seen + 128) // 2 // IDS)
+            ids, level, came = map(np.concatenate, zip(*self.waiting))
+            np.add.at(self.counts.reshape(-1), ids, np.int32(1))
+            self.seen += ids.size // len(self.counts)
+            self.tries += np.bincount(level, minlength=self.tries.size).reshape(self.tries.shape)
+            self.hits += np.bincount(came, minlength=self.hits.size).reshape(self.hits.shape)
+        self.waiting = []
+        distinct = np.array([np.count_nonzero(x) for x in self.counts])
+        floor = np.maximum(_TOTAL >> 21, _TOTAL * (distinct + 64) // (self.seen + 128) // 2 // IDS)
         scale = (_TOTAL - floor * IDS) // max(1, self.seen)
-        np.cumsum(self.counts * scale + floor, out=self.table[1:])
-        self.table[-1] = _TOTAL
-        rate = np.minimum(self.hits * 4096 // self.tries, 3700)  # so that every id keeps a width in the rest
-        two = np.repeat(_TOTAL * rate[1] >> 12, _LEVELS)  # by order-2 confidence * _LEVELS + order-1 confidence
-        one = (_TOTAL - two) * np.tile(rate[0], _LEVELS) >> 12
-        self.weights = [one, two]
-        self.rest = _TOTAL - two - one
-
-    def predict(self, one: np.ndarray, two: np.ndarray) -> None:
-        """Predictions, weights and the share of order 0 after the ids ``one`` (the last) and ``two`` (the one before)."""
-        self.at = [one, ((one * 40503 + two * 10007) * 2654435761 >> 8) & ((1 << CONTEXTS) - 1)]
-        entry = [e.take(x) for e, x in zip(self.entry, self.at)]
-        self.guess = [e >> 4 for e in entry]
-        self.level = [e & (_LEVELS - 1) for e in entry]
-        pair = self.level[1] * _LEVELS + self.level[0]
-        self.weight = [w.take(pair) for w in self.weights]
-        self.share = self.rest.take(pair)
+        table = self.table.reshape(len(floor), -1)
+        table[:, 0] = np.arange(len(floor)) * _TOTAL
+        np.multiply(self.counts, scale.astype(np.int32)[:, None], out=table[:, 1:])
+        table[:, 1:] += floor.astype(np.int32)[:, None]
+        np.cumsum(table, axis=1, out=table)
+        table[:, -1] = np.arange(1, len(floor) + 1) * _TOTAL
+        one, two = np.minimum(self.hits * 4096 // self.tries, 3700)  # so that every id keeps a width in the rest
+        two = np.repeat(_TOTAL * two.ravel() >> 12, _LEVELS)  # by block, order-2 confidence and order-1 confidence
+        one = (_TOTAL - two) * np.tile(one, _LEVELS).ravel() >> 12
+        self.weights = [one, two, _TOTAL - two - one]  # the last is the share of order 0
+
+    def look(self, one: np.ndarray, two: np.ndarray) -> None:
+        """The entries after the ids ``one`` (the last) and ``two`` (the one before), with their weights."""
+        two = ((one * 40503 + two * 10007) * 2654435761 >> 8) & ((1 << CONTEXTS) - 1)
+        self.at = np.concatenate([one + self.of_one, two + self.of_two])
+        self.entry = self.entries.take(self.at)
+        self.level = self.entry & _LEVELS - 1
+        half = len(one)
+        pair = self.of_weights + (self.level[half:] << 4 | self.level[:half])
+        self.one, self.two, self.rest = (w.take(pair) for w in self.weights)
+        self.guess = (self.entry >> 4).astype(np.int64)
+
+    def learn(self, ids: np.ndarray) -> None:
+        """Takes a step's ids; of a context's several ids the last one counts."""
+        new = np.concatenate([ids, ids]).astype(np.int32) << 4
+        miss = (self.entry ^ new).view(np.uint32) >= _LEVELS
+        stays = -(miss & (self.level >= _MISS)).astype(np.int32)  # all bits where the prediction is kept though it failed
+        self.entries[self.at] = (new ^ (new ^ self.entry - self.level) & stays) | _NEXT.take(self.level | miss.astype(np.int32) << 4)
+        level = self.level + self.of_levels
+        self.waiting.append((ids + self.of_counts, level, level[~miss]))
+
+    def order0(self, ids: np.ndarray, share: np.ndarray, of_table: np.ndarray, of_total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(lower, upper end) of ids in a share of their block's order-0 table."""
+        at = ids + of_table
+        return (self.table.take(at) - of_total) * share >> _BITS, (self.table.take(at + 1) - of_total) * share >> _BITS
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(lower end, width) of ids in the mixture."""
-        low = self.table.take(ids) * self.share >> _BITS
-        width = (self.table.take(ids + 1) * self.share >> _BITS) - low
-        for g, w in zip(self.guess, self.weight):
-            low += w * (ids > g)
+        half = len(ids)
+        low, width = self.order0(ids, self.rest, self.of_table, self.of_total)
+        width -= low
+        for g, w in zip((self.guess[:half], self.guess[half:]), (self.one, self.two)):
+            low += w & g - ids >> 63
             width += w * (ids == g)
         return low, width
 
     def find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The ids whose intervals hold the values, and the intervals."""
-        (g1, g2), (w1, w2) = self.guess, self.weight
-        before, equal = g1 < g2, g1 == g2
-        low1, low2 = (self.table.take(g) * self.share >> _BITS for g in self.guess)
-        high1, high2 = ((self.table.take(g + 1) * self.share >> _BITS) + w for g, w in zip(self.guess, self.weight))
-        after = ~(before | equal)
-        low1 += w2 * after
-        high1 += w2 * ~before
-        low2 += w1 * before
-        high2 += w1 * ~after
-        ids, start, width = g1.copy(), low1, high1 - low1
-        is2 = (value >= low2) & (value < high2)
-        np.copyto(ids, g2, where=is2)
-        np.copyto(start, low2, where=is2)
-        np.copyto(width, high2 - low2, where=is2)
-        other = np.flatnonzero(~is2 & ((value < low1) | (value >= high1)))
-        v, share = value[other], self.share[other]
-        shift = w1[other] * (v >= high1[other]) + w2[other] * (v >= high2[other])
-        found = np.searchsorted(self.table, ((v - shift + 1 << _BITS) - 1) // share, "right") - 1
-        low = self.table.take(found) * share >> _BITS
-        ids[other], start[other], width[other] = found, low + shift, (self.table.take(found + 1) * share >> _BITS) - low
+        half = len(value)
+        g1, g2, w1, w2 = self.guess[:half], self.guess[half:], self.one, self.two
+        low1, high1 = self.order0(g1, self.rest, self.of_table, self.of_total)
+        low2, high2 = self.order0(g2, self.rest, self.of_table, self.of_total)
+        less, more = g1 - g2 >> 63, g2 - g1 >> 63  # all bits where the first guess lies before the second, after it
+        high1 += w1 + (w2 & ~less)
+        high2 += w2 + (w1 & ~more)
+        low1 += w2 & more
+        low2 += w1 & less
+        below1, below2 = value - high1 >> 63, value - high2 >> 63
+        is1, is2 = below1 & (low1 + ~value >> 63), below2 & (low2 + ~value >> 63)
+        ids, start, high = g1 ^ (g1 ^ g2) & is2, low1 ^ (low1 ^ low2) & is2, high1 ^ (high1 ^ high2) & is2
+        width = high - start
+        other = np.flatnonzero((is1 | is2) == 0)
+        shift = (w1 & ~below1) + (w2 & ~below2)
+        wanted = ((value - shift + 1).take(other) << _BITS) - 1
+        wanted //= self.rest.take(other)
+        wanted += self.of_total.take(other)
+        wanted = wanted << 16 | other  # a sorted search is kinder to the caches; a row is shorter than 1 << 16
+        wanted.sort()
+        other = wanted & 0xFFFF
+        shift, share, of_table, of_total = (x.take(other) for x in (shift, self.rest, self.of_table, self.of_total))
+        found = self.table.searchsorted((wanted >> 16).astype(np.int32), "right") - 1 - of_table
+        low, high = self.order0(found, share, of_table, of_total)
+        ids[other], start[other], width[other] = found, low + shift, high - low
         return ids, start, width
 
-    def learn(self, ids: np.ndarray) -> None:
-        """Takes the ids of the step that was predicted; of a context's several ids the last one counts."""
-        self.waiting.append(ids)
-        for k in (0, 1):
-            at, level, guess = self.at[k], self.level[k], self.guess[k]
-            hit = guess == ids
-            self.tries[k] += np.bincount(level, minlength=_LEVELS)
-            self.hits[k] += np.bincount(level[hit], minlength=_LEVELS)
-            more = guess * _LEVELS + np.minimum(level + _HIT, _LEVELS - 1)
-            less = np.where(level < _MISS, ids * _LEVELS + _MISS, guess * _LEVELS + (level >> 1))
-            self.entry[k][at] = np.where(hit, more, less)
-
 
 _RANGE = (1 << 48) - 1
 
@@ -157,25 +187,33 @@ def _lanes(count: int) -> int:
 
 def encode_block(ids: np.ndarray) -> bytes:
     """The coded bytes of at least one id."""
-    lanes = _lanes(len(ids))
-    steps = -(-len(ids) // lanes)
-    grid = np.zeros((lanes, steps + 2), np.int64)  # two empty contexts before each lane
-    padded = np.zeros(lanes * steps, np.int64)
-    padded[: len(ids)] = ids
-    grid[:, 2:] = padded.reshape(lanes, steps)
-    columns = np.ascontiguousarray(grid.T)
-    model = _Model()
-    low, span = np.zeros(lanes, np.int64), np.full(lanes, _RANGE, np.int64)
+    return encode_blocks([ids])[0]
+
+
+def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
+    """The coded bytes of blocks of one size, each as if it were alone."""
+    count, sides = len(blocks[0]), len(blocks)
+    lanes = _lanes(count)
+    steps, wide = -(-count // lanes), lanes * sides
+    columns = np.zeros((steps, wide), np.uint16)
+    for k, ids in enumerate(blocks):
+        padded = np.zeros(lanes * steps, np.uint16)
+        padded[:count] = ids
+        columns[:, k * lanes : (k + 1) * lanes] = padded.reshape(lanes, steps).T
+    models = _Models(sides, lanes)
+    low, span = np.zeros(wide, np.int64), np.full(wide, _RANGE, np.int64)
     room = 2 * steps + 8
-    out, start_at = np.zeros(lanes * room, np.uint16), np.arange(lanes, dtype=np.int64) * room
+    out, start_at = np.zeros(wide * room, np.uint16), np.arange(wide, dtype=np.int64) * room
     at = start_at.copy()
+    one = two = np.zeros(wide, np.int64)  # two empty contexts before each lane
     for i in range(steps):
         if i % RENEW == 0:
-            model.freeze()
-        now = columns[i + 2]
-        model.predict(columns[i + 1], columns[i])
-        start, width = model.interval(now)
-        model.learn(now)
+            models.freeze()
+        models.look(one, two)
+        now = columns[i].astype(np.int64)
+        start, width = models.interval(now)
+        models.learn(now)
+        one, two = now, one
         unit = span >> _BITS
         low += unit * start
         span = unit * width
@@ -197,8 +235,11 @@ def encode_block(ids: np.ndarray) -> bytes:
         at += 1
         low = (low << 16) & _RANGE
     used = at - start_at
-    words = out.reshape(lanes, room)[np.arange(room) < used[:, None]]
-    return struct.pack("<H", lanes) + used.astype("<u4").tobytes() + words.astype("<u2").tobytes()
+    rows = out.reshape(sides, lanes, room)
+    coded = []
+    for row, n in zip(rows, used.reshape(sides, lanes)):
+        coded.append(struct.pack("<H", lanes) + n.astype("<u4").tobytes() + row[np.arange(room) < n[:, None]].astype("<u2").tobytes())
+    return coded
 
 
 def _carry(out: np.ndarray, at: np.ndarray) -> None:
@@ -210,22 +251,30 @@ def _carry(out: np.ndarray, at: np.ndarray) -> None:
 
 def decode_block(coded: bytes, count: int) -> np.ndarray:
     """The ``count`` ids of a coded block."""
-    (lanes,) = struct.unpack("<H", coded[:2])
-    used = np.frombuffer(coded, "<u4", lanes, 2).astype(np.int64)
-    words = np.concatenate([np.frombuffer(coded, "<u2", -1, 2 + 4 * lanes).astype(np.int64), np.zeros(4, np.int64)])
+    return decode_blocks([coded], count)[0]
+
+
+def decode_blocks(blocks: list[bytes], count: int) -> list[np.ndarray]:
+    """The ids of coded blocks that hold ``count`` ids each."""
+    lanes, sides = _lanes(count), len(blocks)
+    if any(struct.unpack("<H", x[:2]) != (lanes,) for x in blocks):
+        raise ValueError("a block has other lanes than its ids need")
+    used = np.concatenate([np.frombuffer(x, "<u4", lanes, 2) for x in blocks]).astype(np.int64)
+    words = np.concatenate([*(np.frombuffer(x, "<u2", -1, 2 + 4 * lanes) for x in blocks), np.zeros(4, "<u2")])
     at = np.concatenate([[0], np.cumsum(used)[:-1]])
-    steps = -(-count // lanes)
-    model = _Model()
-    code, span = words[at] << 32 | words[at + 1] << 16 | words[at + 2], np.full(lanes, _RANGE, np.int64)
+    steps, wide = -(-count // lanes), lanes * sides
+    models = _Models(sides, lanes)
+    code, span = words.take(at).astype(np.int64) << 32 | words.take(at + 1).astype(np.int64) << 16 | words.take(at + 2), np.full(wide, _RANGE, np.int64)
     at += 3
-    columns = np.zeros((steps + 2, lanes), np.int64)
+    columns = np.zeros((steps, wide), np.uint16)
+    one = two = np.zeros(wide, np.int64)
     for i in range(steps):
         if i % RENEW == 0:
-            model.freeze()
-        model.predict(columns[i + 1], columns[i])
+            models.freeze()
+        models.look(one, two)
         unit = span >> _BITS
-        ids, start, width = model.find(np.minimum((code / unit).astype(np.int64), _TOTAL - 1))
-        model.learn(ids)
+        ids, start, width = models.find(np.minimum((code / unit).astype(np.int64), _TOTAL - 1))
+        models.learn(ids)
         code -= unit * start
         span = unit * width
         small = np.flatnonzero(span < 1 << 32)
@@ -236,8 +285,9 @@ def decode_block(coded: bytes, count: int) -> np.ndarray:
             left = span[small] << 16
             span[small] = left
             small = small[left < 1 << 32]
-        columns[i + 2] = ids
-    return np.ascontiguousarray(columns[2:].T).ravel()[:count]
+        columns[i] = ids
+        one, two = ids, one
+    return [columns[:, k * lanes : (k + 1) * lanes].T.ravel()[:count] for k in range(sides)]
 
 
 def _byte_letters() -> dict[int, str]:
@@ -247,6 +297,31 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(0x100 + hidden.index(b)) if b in hidden else chr(b) for b in range(256)}
 
 
+# of ASCII, 1: blank and line feed, 2: letters and digits, 4: signs
+_KINDS = bytes(1 if b in b" \n" else 2 if bytes([b]).isalnum() else 4 if b in b".,;:!?" else 0 for b in range(256))
+
+
+_OTHER_SPACE = re.compile(r"[^\S \n]").search
+
+
+def _plain(coder):
+    """The library's tokenizer for words that are one match each, in the letters of byte-level vocabularies with line feeds between; None if it may work otherwise."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    spec = json.loads(coder.to_str())
+    splits = spec["pre_tokenizer"] or {}
+    if any(spec[x] is not None for x in ("normalizer", "truncation", "padding")) or (splits.get("type"), splits.get("add_prefix_space"), splits.get("use_regex")) != ("ByteLevel", False, True):
+        return None
+    if any(t["content"].isalpha() for t in spec["added_tokens"]):
+        return None
+    plain = Tokenizer.from_str(coder.to_str())
+    plain.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+    return plain
+
+
+_LETTERS = np.array([b if b in b"\r\n" else ord(letter) for b, letter in sorted(_byte_letters().items())], np.uint32)
+
+
 class _Places(dict):
     """Numbers of words; a word that is not known gets the next one and waits in ``new``."""
 
@@ -263,97 +338,150 @@ class _Places(dict):
 class Words:
     """Ids of whole texts by the tokenizers library, which sees every different word of the texts once.
 
-    A word is what stands between blanks, with the line feed before it if there is one.
+    A word starts with the blank or line feed before it, or with a sign that comes after an ASCII letter or digit: no match of the pattern goes over these places.
     """
 
     def __init__(self, coder, pattern: str, cache: int | None = None):
         import regex
 
-        if regex.findall(pattern, "a b\nc d") != ["a", " b", "\n", "c", " d"]:
-            raise ValueError("the pattern does not cut before a blank and a line feed")
+        if regex.findall(pattern, "a b\nc d") != ["a", " b", "\n", "c", " d"] or regex.findall(pattern, "a.b1,A;0:z!Z?9.") != list("a.b1,A;0:z!Z?9."):
+            raise ValueError("the pattern does not cut before a blank, a line feed and a sign after a letter")
         self.cache = CACHE if cache is None else cache
         self.coder = coder
         self.specials = [t.content for t in coder.get_added_tokens_decoder().values()]
+        self.plain = _plain(coder)
         self.widths = np.array([len(coder.id_to_token(i) or "") for i in range(coder.get_vocab_size())], np.int64)  # a byte is one character
         self.clear()
 
     def clear(self) -> None:
-        self.place = _Places()
+        self.place: dict[bytes, int] = {}
         self.flat, self.total = np.zeros(1 << 16, np.uint32), 0
         self.starts, self.sizes, self.odd, self.fed = (np.zeros(1 << 16, t) for t in (np.int64, np.int64, bool, bool))
-        self.place["\n"]
-        self._take_in()
+        self.count = 0
+        self._numbers([b"\n"])
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.coder.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    def _rows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of sound words, how many each has): the words go to the library in rows of ``ROW`` and are told apart by where their bytes end."""
-        rows = ["".join(words[k : k + ROW]) for k in range(0, len(words), ROW)]
-        found = self._whole(rows)
-        ids = np.fromiter(chain.from_iterable(found), np.uint32)
+    def _sizes(self, ids: np.ndarray, words: list[str]) -> np.ndarray | None:
+        """How many of the ids each word has, told by where the words' bytes end; None if some end inside an id."""
         stops = np.concatenate([[0], np.cumsum(self.widths[ids])])
-        want = np.concatenate([[0], np.cumsum(np.fromiter((len(w.encode()) for w in words), np.int64, len(words)))])
+        want = np.concatenate([[0], np.cumsum(np.fromiter(map(len, map(str.encode, words)), np.int64, len(words)))])
         at = np.searchsorted(stops, want)
-        if at[-1] != len(ids) or not (stops[at] == want).all() or any(t in row for row in rows for t in self.specials):
+        return np.diff(at) if at[-1] == len(ids) and (stops[at] == want).all() else None
+
+    def _rows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of sound words, how many each has): the words go to the library in rows of ``ROW``."""
+        rows = ["".join(words[k : k + ROW]) for k in range(0, len(words), ROW)]
+        ids = np.fromiter(chain.from_iterable(self._whole(rows)), np.uint32)
+        sizes = self._sizes(ids, words)
+        if sizes is None or any(t in row for row in rows for t in self.specials):
             found = self._whole(words)
             return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
-        return ids, np.diff(at)
-
-    def _take_in(self) -> None:
-        """Encodes the words that wait."""
-        new, first = self.place.new, self.place.last + 1 - len(self.place.new)
-        odd = np.zeros(len(new), bool)
-        sound = []
-        for k, word in enumerate(new):
-            fed = word[:1] == "\n"
-            if word != "\n" and (len(word) > PIECE or word.split() != [word[1:] if fed else word]):
-                odd[k] = True
-            else:
-                sound.append(word if fed else " " + word)
-        found, sizes = self._rows(sound)
-        count, each = len(found), np.zeros(len(new), np.int64)
-        each[~odd] = sizes
-        for name, need in (("starts", first + len(new)), ("sizes", first + len(new)), ("odd", first + len(new)), ("fed", first + len(new)), ("flat", self.total + count)):
+        return ids, sizes
+
+    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words that are a blank and letters: each is one match, so the library need not look for the matches."""
+        if self.plain is not None:
+            rows = "\r".join("\n".join(words[k : k + ROW]) for k in range(0, len(words), ROW))
+            rows = _LETTERS.take(np.frombuffer(rows.encode(), np.uint8)).tobytes().decode("utf-32-le").split("\r")
+            found = self.plain.encode_batch_fast(rows, add_special_tokens=False)
+            ids = np.fromiter(chain.from_iterable(x.ids for x in found), np.uint32)
+            sizes = self._sizes(ids, words)
+            if sizes is not None:
+                return ids, sizes
+        return self._rows(words)
+
+    def _numbers(self, words: list[bytes]) -> np.ndarray:
+        """Numbers of different words; those that are not known are encoded."""
+        numbers = list(map(self.place.get, words))
+        coded = [w for w, n in zip(words, numbers) if n is None]
+        if not coded:
+            return np.array(numbers, np.int64)
+        new, first = [w.decode() for w in coded], self.count
+        self.count += len(new)
+        numbers = np.array([-1 if n is None else n for n in numbers], np.int64)
+        numbers[numbers < 0] = np.arange(first, self.count)
+        long = np.fromiter(map(len, new), np.int64, len(new)) > PIECE
+        head = np.fromiter((w[0] for w in coded), np.uint8, len(new))
+        after = (head != 0x20) & (head != 0x0A)  # starts with a sign
+        odd = long | np.fromiter(map(b" ".__eq__, coded), bool, len(new))
+        if _OTHER_SPACE("".join(new)):
+            odd |= np.fromiter((_OTHER_SPACE(w) is not None for w in new), bool, len(new))
+        after &= ~odd
+        letters = np.fromiter((w[0] == " " and w[1:].isalpha() and (w.isascii() or max(w) < "\u0250") for w in new), bool, len(new)) & ~odd
+        starts, sizes, parts = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64), []
+        # in a row, a word that starts with a sign comes after a line feed, which is not taken
+        for some, encode in ((letters, self._letters), (~letters & ~odd, self._rows)):
+            chosen = np.flatnonzero(some)
+            if len(chosen):
+                found, each = encode(["\n" + new[k] if cut else new[k] for k, cut in zip(chosen.tolist(), after[chosen].tolist())])
+                starts[chosen] = self.total + sum(map(len, parts)) + np.cumsum(each) - each
+                sizes[chosen] = each
+                parts.append(found)
+        found = np.concatenate([np.zeros(0, np.uint32), *parts])
+        for name, need in (("starts", self.count), ("sizes", self.count), ("odd", self.count), ("fed", self.count), ("flat", self.total + len(found))):
             have = getattr(self, name)
             if need > len(have):
                 setattr(self, name, np.concatenate([have, np.zeros(need, have.dtype)]))
-        where = slice(first, first + len(new))
-        self.sizes[where], self.starts[where], self.odd[where] = each, self.total + np.cumsum(each) - each, odd
-        self.fed[where] = [len(word) > 1 and word[0] == "\n" for word in new]
-        self.flat[self.total : self.total + count] = found
-        self.total += count
-        for word in new:
-            if len(word) > PIECE:  # not remembered
-                del self.place[word]
-        self.place.new = []
+        where = slice(first, self.count)
+        self.sizes[where], self.starts[where], self.odd[where] = sizes - after, starts + after, odd
+        self.fed[where] = (head == 0x0A) & (np.fromiter(map(len, coded), np.int64, len(new)) > 1)
+        self.flat[self.total : self.total + len(found)] = found
+        self.total += len(found)
+        self.place.update(zip(coded, range(first, self.count)))
+        for k in np.flatnonzero(long):  # not remembered
+            del self.place[coded[k]]
+        return numbers
 
     def encode(self, texts: list[str], after_blank: bool = False) -> list[np.ndarray]:
         """The ids of each text, or of a blank and the text."""
-        out: list[np.ndarray | None] = []
-        for text in texts:
-            if any(t in text for t in self.specials):
-                out.append(None)
-                continue
-            # without a blank before it, a line feed is put there, so that the first word is like one after a line feed
-            words = ((" " if after_blank else "\n") + text).replace("\n", " \n").split(" ")[1:]
-            codes = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-            if self.place.new:
-                self._take_in()
-            alone = codes == 0  # a line feed by itself is sound before one that has a word
-            if self.odd[codes].any() or (alone[1:] & ~self.fed[np.append(codes[2:], 0)]).any() or (alone[0] and len(codes) > 1):
-                out.append(None)
-            else:
-                each = self.sizes[codes]
-                ends = np.cumsum(each)
-                out.append(self.flat[np.repeat(self.starts[codes] - ends + each, each) + np.arange(ends[-1])][0 if after_blank else 1 :])
-            if len(self.place) > self.cache:
+        out: list[np.ndarray | None] = [None] * len(texts)
+        plain = [k for k, text in enumerate(texts) if not any(t in text for t in self.specials)]
+        done = 0
+        while done < len(plain):
+            size, first = 0, done
+            while done < len(plain) and (size < TOGETHER or done == first):
+                size += len(texts[plain[done]])
+                done += 1
+            for k, ids in zip(plain[first:done], self._together([texts[k] for k in plain[first:done]], after_blank)):
+                out[k] = ids
+            if self.count > self.cache:
                 self.clear()
         whole = [k for k, ids in enumerate(out) if ids is None]
         for k, ids in zip(whole, self._whole([" " * after_blank + texts[k] for k in whole])):
             out[k] = np.array(ids, np.uint32)
         return out
 
+    def _together(self, texts: list[str], after_blank: bool) -> Iterator[np.ndarray | None]:
+        """The ids of each text, None where its words are not sure to have them; Arrow numbers the different words."""
+        # without a blank before it, a line feed is put there, so that the first word is like one after a line feed
+        before = b" " if after_blank else b"\n"
+        coded = [before + text.encode() for text in texts]
+        ends = np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)))
+        data = b"".join(coded)
+        kind = np.frombuffer(data.translate(_KINDS), np.uint8)
+        starts_word = kind == 1
+        starts_word[1:] |= (kind[1:] == 4) & (kind[:-1] == 2)
+        at = np.flatnonzero(starts_word)
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, len(data))), pa.py_buffer(data)]).dictionary_encode()
+        _, edges, letters = words.dictionary.buffers()
+        letters, edges = letters.to_pybytes(), np.frombuffer(edges, np.int64, len(words.dictionary) + 1).tolist()
+        codes = self._numbers([letters[a:b] for a, b in pairwise(edges)]).take(words.indices.to_numpy())
+        stop = np.searchsorted(at, ends)  # of each text's words
+        first = np.append(0, stop[:-1])
+        alone = codes == 0  # a line feed by itself is sound before one that has a word, and as all of a text
+        followed = np.append(self.fed.take(codes[1:]), False)
+        followed[stop - 1] = False
+        followed[first] = stop - first == 1
+        odd = np.logical_or.reduceat(self.odd.take(codes) | alone & ~followed, first)
+        each = self.sizes.take(codes)
+        place = np.cumsum(each)
+        ids = self.flat.take(np.repeat(self.starts.take(codes) - place + each, each) + np.arange(place[-1]))
+        place = np.append(0, place)
+        for wrong, a, b in zip(odd.tolist(), (place.take(first) + (not after_blank)).tolist(), place.take(stop).tolist()):
+            yield None if wrong else ids[a:b]
+
 
 @functools.lru_cache(maxsize=1)
 def _words_of(vocabulary: str, pattern: str) -> Words:
@@ -376,17 +504,20 @@ class Writer:
         self.parts.append(ids)
         self.waiting += len(ids)
         self.total += len(ids)
-        if self.waiting >= BLOCK:
+        if self.waiting >= BLOCK * SIDE:
             self._flush(False)
 
     def _flush(self, last: bool) -> None:
         ids = np.concatenate(self.parts) if self.parts else np.zeros(0, np.uint32)
         cut = len(ids) if last else len(ids) // BLOCK * BLOCK
-        for k in range(0, cut, BLOCK):
-            block = ids[k : min(k + BLOCK, cut)]
-            coded = encode_block(block)
-            self.stream.write(struct.pack("<III", len(block), len(coded), zlib.crc32(block.astype("<u4").tobytes())) + coded)
-            self.size += 12 + len(coded)
+        full = [ids[k : k + BLOCK] for k in range(0, cut - BLOCK + 1, BLOCK)]
+        groups = [full[k : k + SIDE] for k in range(0, len(full), SIDE)]
+        if cut % BLOCK:
+            groups.append([ids[cut // BLOCK * BLOCK : cut]])
+        for blocks in groups:
+            for block, coded in zip(blocks, encode_blocks(blocks)):
+                self.stream.write(struct.pack("<III", len(block), len(coded), zlib.crc32(block.astype("<u4").tobytes())) + coded)
+                self.size += 12 + len(coded)
         self.parts, self.waiting = [ids[cut:]], len(ids) - cut
 
     def close(self) -> None:
@@ -419,14 +550,21 @@ def read_file(source) -> Iterator[tuple[int | None, int, int, int]]:
         raise ValueError("bad magic")
 
     def batches() -> Iterator[np.ndarray]:
-        left = total
-        while left:
-            n, length, crc = struct.unpack("<III", source.read(12))
-            raw = decode_block(source.read(length), n).astype("<u4")
-            if zlib.crc32(raw.tobytes()) != crc:
-                raise ValueError("a block's ids differ from its checksum")
-            left -= n
-            yield raw
+        left, group = total, []
+        while left or group:
+            n, length, crc = struct.unpack("<III", source.read(12)) if left else (0, 0, 0)
+            if group and (len(group) == SIDE or n != group[0][0]):
+                for (_, want, _), raw in zip(group, decode_blocks([x for _, _, x in group], group[0][0])):
+                    raw = raw.astype("<u4")
+                    if zlib.crc32(raw.tobytes()) != want:
+                        raise ValueError("a block's ids differ from its checksum")
+                    yield raw
+                group = []
+            if left:
+                if not 0 < n <= left:
+                    raise ValueError("bad block")
+                group.append((n, crc, source.read(length)))
+                left -= n
 
     blocks, have, start = batches(), np.zeros(0, "<u4"), 0
     for k in range(count):
@@ -463,14 +601,19 @@ def write_ids(docs: DataFrame, folder: str, tokenizer_path: str, pattern: str, e
         files, root = _files(folder)
         writer, path = None, ""
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for k in range(0, len(ids), 64):
-                for doc, found in zip(ids[k : k + 64], coder.encode(texts.slice(k, 64).to_pylist())):
+            ids, column, done = batch.column(0).to_pylist(), batch.column(1), 0
+            while done < len(ids):
+                texts, size = [], 0
+                while done + len(texts) < len(ids) and size < TOGETHER:
+                    texts.append(column[done + len(texts)].as_py())
+                    size += len(texts[-1])
+                for doc, found in zip(ids[done : done + len(texts)], coder.encode(texts)):
                     if writer is None:
                         files.create_dir(root, recursive=True)
                         path = f"{root}/{uuid.uuid4().hex}.ids"
                         writer = Writer(files.open_output_stream(path))
                     writer.add(doc, np.concatenate([found, end]))
+                done += len(texts)
         if writer is not None:
             writer.close()
             part = TaskContext.get().partitionId()

@@ -85,3 +85,56 @@ def test_new_words_go_to_the_library_in_rows(library):
     assert words.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids and coder.texts > 3000
     with pytest.raises(ValueError):
         tokenbin.Words(library, r"\S+|\s+")
+
+
+def test_words_are_known_without_the_signs_after_them(library):
+    """A word meets the library once, whatever signs come after it, and the ids stay those of whole texts."""
+    words = tokenbin.Words(library, public_tokenizers.PATTERN)
+    rng = random.Random(5)
+    stems = ["".join(rng.choices("abcdeghimnorstué", k=9)) for _ in range(500)]
+    texts = [" ".join(w + sign for w in rng.sample(stems, 500)) for sign in ("", ".", ",", ";", ":", "!", "?", "...", "?!", ".x", "'s.", "×,")]
+    for text, ids in zip(texts, words.encode(texts)):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text[:80]
+    plain = tokenbin.Words(library, public_tokenizers.PATTERN)
+    plain.encode([x for x in texts[:8]])
+    assert plain.count < 1800  # of 4000; about a third of the words end in é, after which words are not cut
+
+
+@pytest.mark.parametrize("count", [130, 70_000])
+def test_blocks_side_by_side_are_as_alone(count):
+    rng = np.random.default_rng(4)
+    blocks = [np.minimum(rng.zipf(1.2 + k / 10, count), tokenbin.IDS - 1).astype(np.uint32) for k in range(tokenbin.SIDE)]
+    coded = tokenbin.encode_blocks(blocks)
+    assert coded == [tokenbin.encode_block(x) for x in blocks]
+    assert all((a == b).all() for a, b in zip(tokenbin.decode_blocks(coded, count), blocks))
+
+
+def test_files_of_many_blocks(monkeypatch):
+    """Groups of blocks and the rest are read back, document by document, and a changed byte is seen."""
+    import io
+    import zlib
+
+    monkeypatch.setattr(tokenbin, "BLOCK", 3000)
+    rng = np.random.default_rng(8)
+
+    class Kept(io.BytesIO):
+        def close(self):
+            self.kept = self.getvalue()
+
+    class Source(io.BytesIO):
+        def size(self):
+            return len(self.getvalue())
+
+    for total in (1, 2999, 3000, 3001, 12_000, 12_001, 26_999, 40_000):
+        ids = np.minimum(rng.zipf(1.3, total), tokenbin.IDS - 1).astype(np.uint32)
+        cuts = np.unique(np.append(rng.integers(0, total, 7), [0, total]))
+        writer = tokenbin.Writer(Kept())
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            writer.add(k, ids[a:b])
+        writer.close()
+        want = [(k, int(a), int(b - a), zlib.crc32(ids[a:b].astype("<u4").tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+        assert list(tokenbin.read_file(Source(writer.stream.kept))) == want
+    broken = bytearray(writer.stream.kept)
+    broken[len(broken) // 3] ^= 1
+    with pytest.raises(ValueError):
+        list(tokenbin.read_file(Source(bytes(broken))))
