@@ -8,7 +8,8 @@ share for ids not seen yet.  Each id is one step of a range coder with carry.
 
 A block of up to ``BLOCK`` ids starts from a fresh model and carries a crc32 of its ids, so any
 block can be decoded alone.  It is cut into lanes of consecutive ids, which advance side by side
-in numpy arrays, share the block's model and have a byte stream each.  The predictions of orders 1 and 2 learn after
+in numpy arrays, share the block's model and have a byte stream each.  Up to ``SIDE`` blocks with as many lanes and steps
+are coded, and decoded, side by side as well, each with its own model and to the same bytes as alone; the last blocks of a file are of about one size for that.  The predictions of orders 1 and 2 learn after
 every step from the ids of all lanes; the order-0 table and the weights are renewed after every ``RENEW`` steps.  All results are integers, so files do
 not depend on the machine (the one division in floating point is exact: both sides are under 2^48).
 
@@ -19,12 +20,12 @@ A file holds the documents of one range of doc_id, in ascending order::
     bytes: u16 lanes, u32 length in words of each lane, u16 words of the lanes
     index (zlib): u64 documents, u64 ids, then i64 doc_id, u8 null flag, u64 ids of each document
 
-The tokenizers library encodes the words of the texts, each with the blank or line feed before
-it, and a worker remembers up to ``CACHE`` of them: the library's own splitting starts a new unit at
-such a blank, so the words' ids in a row are the ids of the whole text.  Texts in which that is
+The tokenizers library encodes the words of the texts, and a worker remembers up to ``CACHE`` of
+them.  A word starts with the blank or line feed before it, or with a sign that comes after an ASCII letter or digit: the
+library's own splitting starts a new unit at these places, so the words' ids in a row are the ids of the whole text.  Texts in which that is
 not sure (other white space, runs of it, words of over ``PIECE`` characters, special tokens) are
-given to the library whole.  New words go through all of the library in rows of ``ROW``; the bytes
-of the ids tell where a word ends.
+given to the library whole.  Arrow numbers the words of many texts at once.  New words go to the library in rows of ``ROW``, those
+of a blank and Latin letters, which are one unit each, without its search for units; the bytes of the ids tell where a word ends.
 
 Defined results: null counts as empty; every document ends with the end id, so an empty text has
 one id; null doc_ids come first and are read back as null; of repeated rows each is stored,
@@ -41,7 +42,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain, pairwise
+from itertools import chain, compress, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +63,7 @@ READ_TASKS = 20_000  # at most, for the files to be read
 CACHE = 1_000_000  # words that a worker remembers
 PIECE = 64
 ROW = 64  # new words that the library gets as one text
+CALL = 32  # rows of words in one call
 TOGETHER = 1 << 22  # characters of the texts whose words are told apart in one pass
 _BITS = 28  # of the mixture's total
 _TOTAL = 1 << _BITS
@@ -88,16 +90,17 @@ class _Models:
         number = np.repeat(np.arange(blocks, dtype=np.int64), lanes)
         self.of_counts, self.of_table, self.of_weights, self.of_total = (number * x for x in (IDS, IDS + 1, _LEVELS * _LEVELS, _TOTAL))
         self.of_one, self.of_two = number * size, number * size + IDS
-        self.of_levels = np.concatenate([number, number + blocks]) * _LEVELS
+        self.of_levels, self.of_came = (np.concatenate([number, number + blocks]) * x for x in (_LEVELS, _LEVELS + 1))
 
     def freeze(self) -> None:
         """The order-0 tables, in which every id has a floor that is larger while many ids are new, and the weights by confidence."""
         if self.waiting:
+            blocks = len(self.counts)
             ids, level, came = map(np.concatenate, zip(*self.waiting))
             np.add.at(self.counts.reshape(-1), ids, np.int32(1))
-            self.seen += ids.size // len(self.counts)
+            self.seen += ids.size // blocks
             self.tries += np.bincount(level, minlength=self.tries.size).reshape(self.tries.shape)
-            self.hits += np.bincount(came, minlength=self.hits.size).reshape(self.hits.shape)
+            self.hits += np.bincount(came, minlength=2 * blocks * (_LEVELS + 1)).reshape(2, blocks, _LEVELS + 1)[..., :_LEVELS]
         self.waiting = []
         distinct = np.array([np.count_nonzero(x) for x in self.counts])
         floor = np.maximum(_TOTAL >> 21, _TOTAL * (distinct + 64) // (self.seen + 128) // 2 // IDS)
@@ -127,11 +130,11 @@ class _Models:
     def learn(self, ids: np.ndarray) -> None:
         """Takes a step's ids; of a context's several ids the last one counts."""
         new = np.concatenate([ids, ids]).astype(np.int32) << 4
-        miss = (self.entry ^ new).view(np.uint32) >= _LEVELS
-        stays = -(miss & (self.level >= _MISS)).astype(np.int32)  # all bits where the prediction is kept though it failed
-        self.entries[self.at] = (new ^ (new ^ self.entry - self.level) & stays) | _NEXT.take(self.level | miss.astype(np.int32) << 4)
-        level = self.level + self.of_levels
-        self.waiting.append((ids + self.of_counts, level, level[~miss]))
+        came = np.minimum((self.entry ^ new).view(np.uint32), _LEVELS).view(np.int32)  # the confidence of what came true, else _LEVELS
+        miss = came >> 4
+        stays = -(miss & (self.level >= _MISS))  # all bits where the prediction is kept though it failed
+        self.entries[self.at] = (new ^ (new ^ self.entry - self.level) & stays) | _NEXT.take(self.level | miss << 4)
+        self.waiting.append((ids + self.of_counts, self.level + self.of_levels, came + self.of_came))
 
     def order0(self, ids: np.ndarray, share: np.ndarray, of_table: np.ndarray, of_total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(lower, upper end) of ids in a share of their block's order-0 table."""
@@ -181,8 +184,10 @@ class _Models:
 _RANGE = (1 << 48) - 1
 
 
-def _lanes(count: int) -> int:
-    return max(1, min(LANES, count // 64))
+def _shape(count: int) -> tuple[int, int]:
+    """(lanes, steps) of a block."""
+    lanes = max(1, min(LANES, count // 64))
+    return lanes, -(-count // lanes)
 
 
 def encode_block(ids: np.ndarray) -> bytes:
@@ -191,14 +196,13 @@ def encode_block(ids: np.ndarray) -> bytes:
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """The coded bytes of blocks of one size, each as if it were alone."""
-    count, sides = len(blocks[0]), len(blocks)
-    lanes = _lanes(count)
-    steps, wide = -(-count // lanes), lanes * sides
+    """The coded bytes of blocks of one shape, each as if it were alone."""
+    (lanes, steps), sides = _shape(len(blocks[0])), len(blocks)
+    wide = lanes * sides
     columns = np.zeros((steps, wide), np.uint16)
     for k, ids in enumerate(blocks):
         padded = np.zeros(lanes * steps, np.uint16)
-        padded[:count] = ids
+        padded[: len(ids)] = ids
         columns[:, k * lanes : (k + 1) * lanes] = padded.reshape(lanes, steps).T
     models = _Models(sides, lanes)
     low, span = np.zeros(wide, np.int64), np.full(wide, _RANGE, np.int64)
@@ -238,7 +242,7 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     rows = out.reshape(sides, lanes, room)
     coded = []
     for row, n in zip(rows, used.reshape(sides, lanes)):
-        coded.append(struct.pack("<H", lanes) + n.astype("<u4").tobytes() + row[np.arange(room) < n[:, None]].astype("<u2").tobytes())
+        coded.append(struct.pack("<H", lanes) + n.astype("<u4").tobytes() + np.concatenate([x[:m] for x, m in zip(row, n.tolist())]).astype("<u2").tobytes())
     return coded
 
 
@@ -251,18 +255,18 @@ def _carry(out: np.ndarray, at: np.ndarray) -> None:
 
 def decode_block(coded: bytes, count: int) -> np.ndarray:
     """The ``count`` ids of a coded block."""
-    return decode_blocks([coded], count)[0]
+    return decode_blocks([coded], [count])[0]
 
 
-def decode_blocks(blocks: list[bytes], count: int) -> list[np.ndarray]:
-    """The ids of coded blocks that hold ``count`` ids each."""
-    lanes, sides = _lanes(count), len(blocks)
+def decode_blocks(blocks: list[bytes], counts: list[int]) -> list[np.ndarray]:
+    """The ids of coded blocks of one shape, which hold ``counts`` ids."""
+    (lanes, steps), sides = _shape(counts[0]), len(blocks)
     if any(struct.unpack("<H", x[:2]) != (lanes,) for x in blocks):
         raise ValueError("a block has other lanes than its ids need")
     used = np.concatenate([np.frombuffer(x, "<u4", lanes, 2) for x in blocks]).astype(np.int64)
     words = np.concatenate([*(np.frombuffer(x, "<u2", -1, 2 + 4 * lanes) for x in blocks), np.zeros(4, "<u2")])
     at = np.concatenate([[0], np.cumsum(used)[:-1]])
-    steps, wide = -(-count // lanes), lanes * sides
+    wide = lanes * sides
     models = _Models(sides, lanes)
     code, span = words.take(at).astype(np.int64) << 32 | words.take(at + 1).astype(np.int64) << 16 | words.take(at + 2), np.full(wide, _RANGE, np.int64)
     at += 3
@@ -287,7 +291,7 @@ def decode_blocks(blocks: list[bytes], count: int) -> list[np.ndarray]:
             small = small[left < 1 << 32]
         columns[i] = ids
         one, two = ids, one
-    return [columns[:, k * lanes : (k + 1) * lanes].T.ravel()[:count] for k in range(sides)]
+    return [columns[:, k * lanes : (k + 1) * lanes].T.ravel()[:count] for k, count in enumerate(counts)]
 
 
 def _byte_letters() -> dict[int, str]:
@@ -301,6 +305,8 @@ def _byte_letters() -> dict[int, str]:
 _KINDS = bytes(1 if b in b" \n" else 2 if bytes([b]).isalnum() else 4 if b in b".,;:!?" else 0 for b in range(256))
 
 
+# bytes that are no part of UTF-8's letters from U+00C0 to U+023F and of ASCII's; lead bytes of others are enough
+_NO_LETTER = bytes(not (bytes([b]).isalpha() or 0x80 <= b < 0xC0 or 0xC3 <= b < 0xC9) for b in range(256))
 _OTHER_SPACE = re.compile(r"[^\S \n]").search
 
 
@@ -308,13 +314,14 @@ def _plain(coder):
     """The library's tokenizer for words that are one match each, in the letters of byte-level vocabularies with line feeds between; None if it may work otherwise."""
     from tokenizers import Tokenizer, pre_tokenizers
 
-    spec = json.loads(coder.to_str())
+    text = coder.to_str()
+    spec = json.loads(text)
     splits = spec["pre_tokenizer"] or {}
     if any(spec[x] is not None for x in ("normalizer", "truncation", "padding")) or (splits.get("type"), splits.get("add_prefix_space"), splits.get("use_regex")) != ("ByteLevel", False, True):
         return None
     if any(t["content"].isalpha() for t in spec["added_tokens"]):
         return None
-    plain = Tokenizer.from_str(coder.to_str())
+    plain = Tokenizer.from_str(text)
     plain.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
     return plain
 
@@ -363,10 +370,10 @@ class Words:
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.coder.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    def _sizes(self, ids: np.ndarray, words: list[str]) -> np.ndarray | None:
+    def _sizes(self, ids: np.ndarray, words: list[bytes]) -> np.ndarray | None:
         """How many of the ids each word has, told by where the words' bytes end; None if some end inside an id."""
         stops = np.concatenate([[0], np.cumsum(self.widths[ids])])
-        want = np.concatenate([[0], np.cumsum(np.fromiter(map(len, map(str.encode, words)), np.int64, len(words)))])
+        want = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))])
         at = np.searchsorted(stops, want)
         return np.diff(at) if at[-1] == len(ids) and (stops[at] == want).all() else None
 
@@ -374,23 +381,23 @@ class Words:
         """(ids of sound words, how many each has): the words go to the library in rows of ``ROW``."""
         rows = ["".join(words[k : k + ROW]) for k in range(0, len(words), ROW)]
         ids = np.fromiter(chain.from_iterable(self._whole(rows)), np.uint32)
-        sizes = self._sizes(ids, words)
+        sizes = self._sizes(ids, list(map(str.encode, words)))
         if sizes is None or any(t in row for row in rows for t in self.specials):
             found = self._whole(words)
             return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
         return ids, sizes
 
-    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _letters(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The same for words that are a blank and letters: each is one match, so the library need not look for the matches."""
         if self.plain is not None:
-            rows = "\r".join("\n".join(words[k : k + ROW]) for k in range(0, len(words), ROW))
-            rows = _LETTERS.take(np.frombuffer(rows.encode(), np.uint8)).tobytes().decode("utf-32-le").split("\r")
-            found = self.plain.encode_batch_fast(rows, add_special_tokens=False)
-            ids = np.fromiter(chain.from_iterable(x.ids for x in found), np.uint32)
+            rows = b"\r".join(b"\n".join(words[k : k + ROW]) for k in range(0, len(words), ROW))
+            rows = _LETTERS.take(np.frombuffer(rows, np.uint8)).tobytes().decode("utf-32-le").split("\r")
+            found = (x.ids for k in range(0, len(rows), CALL) for x in self.plain.encode_batch_fast(rows[k : k + CALL], add_special_tokens=False))
+            ids = np.fromiter(chain.from_iterable(found), np.uint32)
             sizes = self._sizes(ids, words)
             if sizes is not None:
                 return ids, sizes
-        return self._rows(words)
+        return self._rows([w.decode() for w in words])
 
     def _numbers(self, words: list[bytes]) -> np.ndarray:
         """Numbers of different words; those that are not known are encoded."""
@@ -398,24 +405,33 @@ class Words:
         coded = [w for w, n in zip(words, numbers) if n is None]
         if not coded:
             return np.array(numbers, np.int64)
-        new, first = [w.decode() for w in coded], self.count
-        self.count += len(new)
+        first = self.count
+        self.count += len(coded)
         numbers = np.array([-1 if n is None else n for n in numbers], np.int64)
         numbers[numbers < 0] = np.arange(first, self.count)
-        long = np.fromiter(map(len, new), np.int64, len(new)) > PIECE
-        head = np.fromiter((w[0] for w in coded), np.uint8, len(new))
+        size = np.fromiter(map(len, coded), np.int64, len(coded))
+        data = np.frombuffer(b"".join(coded), np.uint8)
+        start = np.cumsum(size) - size
+        head = data.take(start)
         after = (head != 0x20) & (head != 0x0A)  # starts with a sign
-        odd = long | np.fromiter(map(b" ".__eq__, coded), bool, len(new))
-        if _OTHER_SPACE("".join(new)):
-            odd |= np.fromiter((_OTHER_SPACE(w) is not None for w in new), bool, len(new))
+        no_letter = np.frombuffer(data.tobytes().translate(_NO_LETTER), bool).copy()
+        no_letter[1:] |= (data[:-1] == 0xC3) & (data[1:] | 0x20 == 0xB7)  # the signs of multiplication and division
+        no_letter[start] = head != 0x20
+        letters = ~np.logical_or.reduceat(no_letter, start) & (size > 1) & (size <= PIECE)
+        long, odd = np.zeros(len(coded), bool), np.zeros(len(coded), bool)
+        new: dict[int, str] = {}
+        for k in np.flatnonzero(~letters).tolist():
+            word = coded[k].decode()
+            long[k] = len(word) > PIECE
+            if long[k] or word == " " or _OTHER_SPACE(word):
+                odd[k] = True
+            else:  # in a row, a word that starts with a sign comes after a line feed, which is not taken
+                new[k] = "\n" + word if after[k] else word
         after &= ~odd
-        letters = np.fromiter((w[0] == " " and w[1:].isalpha() and (w.isascii() or max(w) < "\u0250") for w in new), bool, len(new)) & ~odd
-        starts, sizes, parts = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64), []
-        # in a row, a word that starts with a sign comes after a line feed, which is not taken
-        for some, encode in ((letters, self._letters), (~letters & ~odd, self._rows)):
-            chosen = np.flatnonzero(some)
-            if len(chosen):
-                found, each = encode(["\n" + new[k] if cut else new[k] for k, cut in zip(chosen.tolist(), after[chosen].tolist())])
+        starts, sizes, parts = np.zeros(len(coded), np.int64), np.zeros(len(coded), np.int64), []
+        for chosen, encode, words in ((np.flatnonzero(letters), self._letters, list(compress(coded, letters.tolist()))), (np.array(list(new), np.int64), self._rows, list(new.values()))):
+            if words:
+                found, each = encode(words)
                 starts[chosen] = self.total + sum(map(len, parts)) + np.cumsum(each) - each
                 sizes[chosen] = each
                 parts.append(found)
@@ -426,7 +442,7 @@ class Words:
                 setattr(self, name, np.concatenate([have, np.zeros(need, have.dtype)]))
         where = slice(first, self.count)
         self.sizes[where], self.starts[where], self.odd[where] = sizes - after, starts + after, odd
-        self.fed[where] = (head == 0x0A) & (np.fromiter(map(len, coded), np.int64, len(new)) > 1)
+        self.fed[where] = (head == 0x0A) & (size > 1)
         self.flat[self.total : self.total + len(found)] = found
         self.total += len(found)
         self.place.update(zip(coded, range(first, self.count)))
@@ -509,11 +525,18 @@ class Writer:
 
     def _flush(self, last: bool) -> None:
         ids = np.concatenate(self.parts) if self.parts else np.zeros(0, np.uint32)
-        cut = len(ids) if last else len(ids) // BLOCK * BLOCK
-        full = [ids[k : k + BLOCK] for k in range(0, cut - BLOCK + 1, BLOCK)]
-        groups = [full[k : k + SIDE] for k in range(0, len(full), SIDE)]
-        if cut % BLOCK:
-            groups.append([ids[cut // BLOCK * BLOCK : cut]])
+        sizes = [BLOCK] * (len(ids) // (BLOCK * SIDE) * SIDE)
+        rest = len(ids) - sum(sizes)
+        if last and rest:  # in blocks of about one size, so that they have one shape
+            n = -(-rest // BLOCK)
+            sizes += [(rest + k) // n for k in range(n)]
+        stops = np.cumsum([0, *sizes]).tolist()
+        cut, groups = stops[-1], []
+        for first, stop in pairwise(stops):
+            if groups and len(groups[-1]) < SIDE and _shape(len(groups[-1][0])) == _shape(stop - first):
+                groups[-1].append(ids[first:stop])
+            else:
+                groups.append([ids[first:stop]])
         for blocks in groups:
             for block, coded in zip(blocks, encode_blocks(blocks)):
                 self.stream.write(struct.pack("<III", len(block), len(coded), zlib.crc32(block.astype("<u4").tobytes())) + coded)
@@ -553,8 +576,8 @@ def read_file(source) -> Iterator[tuple[int | None, int, int, int]]:
         left, group = total, []
         while left or group:
             n, length, crc = struct.unpack("<III", source.read(12)) if left else (0, 0, 0)
-            if group and (len(group) == SIDE or n != group[0][0]):
-                for (_, want, _), raw in zip(group, decode_blocks([x for _, _, x in group], group[0][0])):
+            if group and (len(group) == SIDE or not left or _shape(n) != _shape(group[0][0])):
+                for (_, want, _), raw in zip(group, decode_blocks([x for _, _, x in group], [n for n, _, _ in group])):
                     raw = raw.astype("<u4")
                     if zlib.crc32(raw.tobytes()) != want:
                         raise ValueError("a block's ids differ from its checksum")
