@@ -1,8 +1,8 @@
 """Clips rendered end to end: routed stereo, fades, recovered stems, figures, sidecar, verdict, manifest row.
 
-All masks are interval algebra in Spark; only samples are Python's, in a cogroup of a chunk's
-audio with the intervals that touch it.  A clip is as many chunks as its length takes, so no task
-holds a whole clip.
+All masks are interval algebra in Spark; only samples are Python's: sorted rows bring each chunk's
+audio and the intervals that touch it, and many chunks are rendered at once.  A clip is as many chunks
+as its length takes, so no task holds a whole clip.
 
 Defined results: audio that is missing is silence; intervals outside a clip and empty ones do nothing; a clip
 without length has no row; of repeated audio rows the last by position wins, repeated intervals
@@ -12,23 +12,27 @@ count once; null bounds are ignored; sources without a chosen assistant have no
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..settings import CLOCK, DEFAULT, Settings
-from ..shipping import ship
+from ..shipping import map_arrow
 from .audio import FULL, _db
 from .export import sidecar_json, sidecar_rows
-from .intervals import E, S, complement, merge_intervals, range_join, speaker_overlaps
+from .intervals import E, S, complement, merge_intervals, proper, range_join, speaker_overlaps
 from .qc import SPEAKER, clip_verdicts, reject_empty, sidecar_problems
 
-CHUNK = 8 * CLOCK  # samples that are rendered together
+CHUNK = 8 * CLOCK  # samples of a chunk
+PACK = 1 << 18  # samples of chunks that are rendered together
 CLIP = ["source_id", "clip_id"]
 _RUNS = ("assistant", "user")
+_KINDS = ("frame", "audio", *_RUNS, "stem", "mute")  # of rows of a chunk, in order
 _FIGURES = ["n", *(f"{side}_{x}" for side in ("left", "right") for x in ("sum", "sq", "peak", "full", "quiet")), *(f"{who}_{x}" for who in _RUNS for x in ("n", "left_sq", "right_sq"))]
 
 
@@ -61,61 +65,80 @@ def channel_runs(clips: DataFrame, activities: DataFrame, assistants: DataFrame,
     return merge_intervals(alone.unionByName(in_roles(back)), keys), _without(both, back, clips.select(*CLIP, S, E), CLIP)
 
 
-def _gains(run: tuple[int, int], lo: int, hi: int, fade: int) -> np.ndarray:
-    """Linear fades of a run at its places lo to hi: up over the first samples, down over the last, at most half of it each."""
-    a, b = run
-    width = min(fade, (b - a) // 2)
-    gain = np.ones(hi - lo)
-    if width > 0:
-        place = np.arange(lo, hi)
-        up, down = place - a, place - (b - width)
-        step = max(1, width - 1)
-        gain = np.where(up < width, up / step, gain)
-        gain = np.where(down >= 0, 1 - down / step, gain)
-    return gain
-
-
-def _render(frame: tuple[int, int], audio: list[tuple], runs: dict[str, list[tuple[int, int]]], stems: list[tuple], mutes: list[tuple[int, int]], fade: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """((n, 2) samples of a chunk, where each role sounds)."""
-    c0, c1 = frame
-    mono = np.zeros(c1 - c0, np.float32)
-    sides = {"assistant": np.zeros(c1 - c0, np.float32), "user": np.zeros(c1 - c0, np.float32)}
-    sounds = {who: np.zeros(c1 - c0, bool) for who in _RUNS}
-
-    def put(target: np.ndarray, at: int, samples) -> None:
-        lo, hi = max(at, c0), min(at + len(samples), c1)
-        if lo < hi:
-            target[lo - c0 : hi - c0] = samples[lo - at : hi - at]
-
-    for at, samples in sorted(audio, key=lambda x: x[0]):
-        put(mono, at, samples)
-    for who in _RUNS:
-        for a, b in runs[who]:
-            lo, hi = max(a, c0) - c0, min(b, c1) - c0
-            sides[who][lo:hi], sounds[who][lo:hi] = mono[lo:hi], True
-    for at, left, right in sorted(stems, key=lambda x: x[0]):
-        put(sides["assistant"], at, left)
-        put(sides["user"], at, right)
-    for who in _RUNS:
-        for a, b in runs[who]:
-            lo, hi = max(a, c0), min(b, c1)
-            part = slice(lo - c0, hi - c0)
-            sides[who][part] = (sides[who][part] * _gains((a, b), lo, hi, fade)).astype(np.float32)
-        for a, b in mutes:
-            part = slice(max(a, c0) - c0, max(0, min(b, c1) - c0))
-            sides[who][part], sounds[who][part] = 0, False
-    return np.stack([sides["assistant"], sides["user"]], axis=1), sounds
-
-
-def _figures(pcm: np.ndarray, sounds: dict[str, np.ndarray], silence: float) -> list[float]:
-    x = pcm.astype(np.float64) / 32768
-    out: list[float] = [len(x)]
+def _places(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Ranges of so many numbers from each first one, in a row."""
+    ends = np.cumsum(count)
+    return np.repeat(first - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _inside(n: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Which of n places lie in an interval lo to hi."""
+    step = np.bincount(lo, minlength=n + 1) - np.bincount(hi, minlength=n + 1)
+    return np.cumsum(step[:n]) > 0
+
+
+def _render(pack: pa.Table, at: np.ndarray, fade: int) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """((n, 2) PCM of the pack's chunks one after the other, where each begins, where each role sounds); ``at`` has the row of each chunk's frame."""
+    kind, a, b = (pack[c].to_numpy() for c in ("kind", "a", "b"))
+    chunk = np.searchsorted(at, np.arange(len(kind)), "right") - 1
+    c0, c1 = a[at], b[at]
+    edges = np.concatenate([[0], np.cumsum(c1 - c0)])
+    n, base = int(edges[-1]), edges[:-1] - c0  # a sample's place is its position and the chunk's base
+
+    def put(target: np.ndarray, rows: pa.Table, side: str, first: np.ndarray) -> None:
+        lists = rows[side].combine_chunks()
+        target[_places(first, lists.value_lengths().fill_null(0).to_numpy())] = lists.flatten().to_numpy(zero_copy_only=False)
+
+    def of(name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct intervals, each with its chunk."""
+        rows = np.flatnonzero(kind == _KINDS.index(name))
+        x = np.unique(np.stack([chunk[rows], a[rows], b[rows]]), axis=1)
+        return x[0], x[1], x[2]
+
+    def cut(k: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of intervals inside their chunks."""
+        lo = np.minimum(np.maximum(lo, c0[k]), c1[k])
+        return base[k] + lo, base[k] + np.maximum(lo, np.minimum(hi, c1[k]))
+
+    mono = np.zeros(n, np.float32)
+    rows = np.flatnonzero(kind == _KINDS.index("audio"))
+    put(mono, pack.take(rows), "left", base[chunk[rows]] + a[rows])
+    runs = {who: of(who) for who in _RUNS}
+    sounds = {who: _inside(n, *cut(*runs[who])) for who in _RUNS}
+    sides = {who: np.where(sounds[who], mono, np.float32(0)) for who in _RUNS}
+    rows = np.flatnonzero(kind == _KINDS.index("stem"))
+    if len(rows):
+        pieces = pack.take(rows)
+        for who, side in zip(_RUNS, ("left", "right")):
+            put(sides[who], pieces, side, base[chunk[rows]] + a[rows])
+    mute = _inside(n, *cut(*of("mute")))
+    pcm = np.empty((n, 2), "<i2")
+    for column, who in enumerate(_RUNS):
+        k, lo, hi = runs[who]
+        width = np.minimum(fade, (hi - lo) // 2)  # linear fades: up over the first samples, down over the last, at most half of a run each
+        for zone, up in ((cut(k, lo, lo + width), True), (cut(k, hi - width, hi), False)):
+            count = zone[1] - zone[0]
+            where = _places(zone[0], count)
+            place = where - np.repeat(base[k] + (lo if up else hi - width), count)
+            gain = place / np.repeat(np.maximum(1, width - 1), count)
+            sides[who][where] = (sides[who][where] * (gain if up else 1 - gain)).astype(np.float32)
+        sides[who][mute] = 0
+        sounds[who] &= ~mute
+        pcm[:, column] = np.rint(np.clip(sides[who], -1, FULL) * 32768)
+    return pcm, edges, sounds
+
+
+def _figures(pcm: np.ndarray, edges: np.ndarray, sounds: dict[str, np.ndarray], silence: float) -> list[np.ndarray]:
+    """The chunks' figures; sums of whole numbers, so they are exact."""
+    first = edges[:-1]
+    total = lambda x: np.add.reduceat(x, first, dtype=np.int64)
+    out, squares = [np.diff(edges)], []
     for k in (0, 1):
-        level = np.abs(x[:, k])
-        out += [level.sum(), level @ level, level.max(initial=0), (level >= FULL).sum(), (level <= silence).sum()]
+        level = np.abs(pcm[:, k].astype(np.int32))
+        squares.append(level * level)
+        out += [total(level) / 32768, total(squares[k]) / 2**30, np.maximum.reduceat(level, first) / 32768, total(level >= FULL * 32768), total(level <= silence * 32768)]
     for who in _RUNS:
-        part = x[sounds[who]]
-        out += [len(part), *(part**2).sum(axis=0)]
+        out += [total(sounds[who]), *(total(x * sounds[who]) / 2**30 for x in squares)]
     return out
 
 
@@ -126,51 +149,83 @@ def rendered_chunks(
 
     ``mono`` has blocks (source_id, start_sample, samples), ``stems`` pieces (source_id, start_sample,
     left, right) with the assistant on the left, ``runs`` is what ``channel_runs`` returns.
+
+    What touches a chunk is sorted behind the chunk's frame; a task renders as many whole chunks at once as ``PACK`` samples hold.
     """
-    ship(mono.sparkSession)
     keys = [*CLIP, "chunk"]
-    k = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(E) - F.col(S) - 1) / chunk)))
-    frames = clips.where(F.col(E) > F.col(S)).select(*CLIP, F.col(S).alias("clip_start"), F.col(E).alias("clip_end"), k.alias("chunk"))
-    start = F.col("clip_start") + F.col("chunk") * chunk
-    frames = frames.select(*keys, "clip_start", start.alias(S), F.least(F.col("clip_end"), start + chunk).alias(E))
+    clips = clips.where(F.col(E) > F.col(S)).select(*CLIP, S, E)
     no = F.lit(None).cast("array<float>")
-    row = lambda df, kind, a, b, left=no, right=no: df.select(*keys, F.lit(kind).alias("kind") if isinstance(kind, str) else kind.alias("kind"), F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"), left.alias("left"), right.alias("right"))
     span = lambda df, size: df.select("source_id", S, (F.col(S) + F.size(size)).alias(E), *[c for c in df.columns if c not in ("source_id", S, E)])
-    window = frames.select(*keys, S, E)
-
-    def piece(column: str) -> Column:
-        """The part of a block that lies in the chunk, so that a long block is not copied to each of its chunks."""
-        return F.slice(column, (F.greatest(F.lit(0), F.col(S) - F.col("r_start")) + 1).cast("int"), (F.least(E, "r_end") - F.greatest(S, "r_start")).cast("int"))
-
-    met = range_join(window, span(mono, "samples"), ["source_id"]).withColumn("at", F.greatest(S, "r_start"))
-    audio = row(met, "audio", "at", E, piece("samples"))
-    audio = audio.select(*[F.col(c).alias(c) for c in audio.columns])  # names of its own, as both sides come from the same frames
-    met = range_join(window, span(stems, "left"), ["source_id"]).withColumn("at", F.greatest(S, "r_start"))
+    meet = lambda df: range_join(clips, df, ["source_id"], width=4 * chunk)
+
+    def cut(met: DataFrame, kind: Column, whole: bool = False, sides: tuple[str, ...] = ()) -> DataFrame:
+        """A row for each chunk that an interval r_start to r_end of a clip touches, with the samples that lie in it; ``whole`` keeps the interval's own bounds."""
+        lo, hi = F.greatest(S, "r_start") - F.col(S), F.least(E, "r_end") - F.col(S)
+        in_chunks = met.where(hi > lo).withColumn("chunk", F.explode(F.sequence(F.floor(lo / chunk), F.floor((hi - 1) / chunk))))
+        c0 = F.col(S) + F.col("chunk") * chunk
+        a, b = F.greatest(c0, "r_start"), F.least(E, c0 + chunk, "r_end")
+        piece = lambda c: F.when((a == F.col("r_start")) & (b == F.col("r_end")), F.col(c)).otherwise(F.slice(c, (a - F.col("r_start") + 1).cast("int"), (b - a).cast("int")))
+        left, right = [*map(piece, sides), no, no][:2]
+        if whole:
+            a, b = F.col("r_start"), F.col("r_end")
+        return in_chunks.select(*keys, kind.cast("int").alias("kind"), F.col("r_start").cast("long").alias("first"), a.cast("long").alias("a"), b.cast("long").alias("b"), left.alias("left"), right.alias("right"))
+
+    number = lambda name: F.lit(_KINDS.index(name))
     parts = [
-        row(frames, "frame", "clip_start", E), row(window, "window", S, E),
-        row(range_join(window, runs.select(*CLIP, "role", S, E), CLIP), F.col("role"), "r_start", "r_end"),
-        row(met, "stem", "at", E, piece("left"), piece("right")),
-        row(range_join(window, merge_intervals(exclusions, ["source_id"]), ["source_id"]), "mute", "r_start", "r_end"),
+        cut(clips.withColumns({"r_start": F.col(S), "r_end": F.col(E)}), number("frame")),
+        cut(meet(span(mono, "samples")), number("audio"), sides=("samples",)),
+        cut(clips.join(proper(runs).select(*CLIP, "role", F.col(S).alias("r_start"), F.col(E).alias("r_end")), CLIP), F.when(F.col("role") == "assistant", number("assistant")).otherwise(number("user")), whole=True),
+        cut(meet(span(stems, "left")), number("stem"), sides=("left", "right")),
+        cut(meet(merge_intervals(exclusions, ["source_id"])), number("mute"), whole=True),
     ]
-    plan = reduce(DataFrame.unionByName, parts)
+    # pieces in the order of the blocks they are cut from, so that of repeated audio the last by position wins
+    rows = reduce(DataFrame.unionByName, parts).repartition(*keys).sortWithinPartitions(*keys, "kind", "first", "a")
     quiet = 10 ** (silence_db / 20)
     schema = f"source_id {clips.schema['source_id'].dataType.simpleString()}, clip_id {clips.schema['clip_id'].dataType.simpleString()}, chunk long, {S} long, pcm binary, digest string, " + ", ".join(f"{n} double" for n in _FIGURES)
 
-    def run(key: tuple, sound: pa.Table, what: pa.Table) -> pa.Table:
-        rows = {}
-        for kind, a, b, left, right in zip(*(what[c] for c in ("kind", "a", "b", "left", "right"))):
-            rows.setdefault(kind.as_py(), []).append((a.as_py(), b.as_py(), left.values, right.values))
-        pieces = [(a.as_py(), x.values.to_numpy(zero_copy_only=False)) for a, x in zip(sound["a"], sound["left"])]
-        frame = rows["window"][0][:2]
-        runs = {who: sorted({r[:2] for r in rows.get(who, [])}) for who in _RUNS}
-        stems = [(r[0], r[2].to_numpy(zero_copy_only=False), r[3].to_numpy(zero_copy_only=False)) for r in rows.get("stem", [])]
-        x, sounds = _render(frame, pieces, runs, stems, [r[:2] for r in rows.get("mute", [])], fade)
-        pcm = np.rint(np.clip(x, -1, FULL) * 32768).astype("<i2")
-        columns = [pa.array([v.as_py()]) for v in key] + [pa.array([frame[0] - rows["frame"][0][0]]), pa.array([pcm.tobytes()], pa.binary()), pa.array([hashlib.sha256(pcm.tobytes()).hexdigest()])]
-        columns += [pa.array([float(v)]) for v in _figures(pcm, sounds, quiet)]
-        return pa.Table.from_arrays(columns, names=[*keys, S, "pcm", "digest", *_FIGURES])
-
-    return audio.groupBy(*keys).cogroup(plan.groupBy(*keys)).applyInArrow(run, schema)
+    def new_chunks(table: pa.Table) -> np.ndarray:
+        """The rows of frames that begin a chunk; a clip that is there twice has a second one."""
+        at = np.flatnonzero(table["kind"].to_numpy() == _KINDS.index("frame"))
+        if len(at) < 2:
+            return at
+        new = np.zeros(len(at) - 1, bool)
+        frames = table.select(keys).take(at)
+        for c in keys:
+            x, y = frames[c].slice(1), frames[c].slice(0, len(at) - 1)
+            same = pc.fill_null(pc.equal(x, y), False).to_numpy() | (x.is_null().to_numpy() & y.is_null().to_numpy())
+            new |= ~same
+        return at[np.concatenate([[True], new])]
+
+    def rendered(table: pa.Table, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Packs of the chunks that begin at these rows."""
+        a, b, clip = (table[c].to_numpy()[at] for c in ("a", "b", "first"))
+        ends, begin = np.append(at[1:], table.num_rows), 0
+        filled = np.cumsum(b - a)
+        while begin < len(at):
+            end = max(begin + 1, int(np.searchsorted(filled, (filled[begin - 1] if begin else 0) + PACK, "right")))
+            part = at[begin:end]
+            pack = table.slice(part[0], ends[end - 1] - part[0])
+            pcm, edges, sounds = _render(pack, part - part[0], fade)
+            digests = [hashlib.sha256(pcm[x:y]).hexdigest() for x, y in zip(edges[:-1].tolist(), edges[1:].tolist())]
+            content = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer((edges * 4).astype(np.int32)), pa.py_buffer(pcm)])
+            frames = pack.select(keys).take(part - part[0]).combine_chunks()
+            columns = [*(frames[c].combine_chunks() for c in keys), pa.array(a[begin:end] - clip[begin:end]), content, pa.array(digests)]
+            columns += [pa.array(x.astype(np.float64)) for x in _figures(pcm, edges, sounds, quiet)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keys, S, "pcm", "digest", *_FIGURES])
+            begin = end
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None  # from the last chunk's frame on, as more rows of it may follow
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch], held.schema)])
+            at = new_chunks(table)
+            if len(at) > 1:
+                yield from rendered(table.slice(0, at[-1]), at[:-1])
+            held = table.slice(at[-1])
+        if held is not None:
+            yield from rendered(held, new_chunks(held))
+
+    return map_arrow(rows, run, schema)
 
 
 def clip_totals(chunks: DataFrame, overlap_left: DataFrame) -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import rendering as R
 from ..sources import driver_tables as D
-from .table_queries import _pcm
+from .table_queries import _tones, _values
 from ..writing import keeper
 
 FADE, CHUNK = 24, 960  # short, as the clips are short
@@ -16,15 +15,15 @@ FADE, CHUNK = 24, 960  # short, as the clips are short
 def _inputs(spark, sf):
     """Speech that runs into the next event, exclusions, recovered stems and words, all from the event's number and type."""
     keep = keeper(spark)
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    ev = D.table(spark, sf, "events").select("user_id", "event_id", "event_type", ((F.row_number().over(w) - 1) * 240).cast("long").alias("at"))
-    ev = keep(ev.select(F.col("user_id").alias("source_id"), "event_id", "event_type", "at"))
-    pcm = keep(_pcm(spark, sf).withColumnRenamed("clip_id", "source_id"))
+    # the values are written down, not the samples, which are two thousand bytes an event
+    values = keep(_values(spark, sf))
+    ev = values.select(F.col("clip_id").alias("source_id"), "event_id", "event_type", F.col("start_sample").alias("at"))
+    pcm = lambda rows: _tones(rows).withColumnRenamed("clip_id", "source_id")
     span = lambda df, a, b, *more: df.select("source_id", *more, F.expr(a).cast("long").alias("start_sample"), F.expr(b).cast("long").alias("end_sample"))
     speaker = F.when(F.col("event_type").isin("click", "view"), "A").otherwise("B").alias("speaker")
     activities = span(ev, "greatest(0, at - 60 * (at div 240 % 3))", "at + 240 + 100 * (event_id % 2)", speaker)
     exclusions = span(ev.where("event_id % 13 = 0"), "at + 30", "at + 90")
-    took = pcm.join(ev.where("event_id % 11 = 0").select("source_id", F.col("at").alias("start_sample")), ["source_id", "start_sample"], "left_semi")
+    took = pcm(values.where("event_id % 11 = 0"))
     half = F.transform(F.slice("left", 1, 120), lambda x: (x * 0.5).cast("float"))
     stems = took.select("source_id", "start_sample", half.alias("left"), F.slice("right", 1, 120).alias("right"))
     ends = ev.groupBy("source_id").agg((F.max("at") + 240).alias("n"))
@@ -32,7 +31,7 @@ def _inputs(spark, sf):
     clips = clips.select("source_id", F.format_string("%d_%d", "source_id", "j").alias("clip_id"), F.expr("j * 2400").alias("start_sample"), F.expr("least(n, (j + 1) * 2400)").alias("end_sample"), ((F.col("j") % 4) / 40).alias("overlap_ratio"))
     assistants = ends.select("source_id", F.when(F.col("source_id") % 2 == 0, "A").otherwise("B").alias("assistant"))
     words = span(ev.withColumn("speaker", speaker).join(assistants, "source_id").where("speaker = assistant"), "at + 10", "at + 200", F.concat(F.lit("w"), "event_id").alias("word"))
-    return pcm.select("source_id", "start_sample", F.col("left").alias("samples")), clips, activities, assistants, stems, exclusions, words
+    return pcm(values).select("source_id", "start_sample", F.col("left").alias("samples")), clips, activities, assistants, stems, exclusions, words
 
 
 def _rendered(spark, sf):
@@ -41,8 +40,8 @@ def _rendered(spark, sf):
     recovered = stems.select("source_id", "start_sample", (F.col("start_sample") + F.size("left")).alias("end_sample"))
     runs, left_out = R.channel_runs(clips, activities, assistants, recovered)
     left_out = keep(left_out)
-    chunks = keep(R.rendered_chunks(mono, clips, runs, stems, exclusions, FADE, CHUNK))
-    return R.clip_totals(chunks, left_out), clips, words, stems, left_out
+    chunks = R.rendered_chunks(mono, clips, runs, stems, exclusions, FADE, CHUNK)
+    return keep(R.clip_totals(chunks, left_out)), clips, words, stems, left_out
 
 
 def r6_rendered_clips(spark, sf):

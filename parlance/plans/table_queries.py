@@ -14,7 +14,7 @@ from ..operators import identity as ID
 from ..operators import qc as C
 from ..operators import quality as Q
 from ..operators import state as M
-from ..shipping import map_arrow
+from ..shipping import BATCH_ROWS, map_arrow
 from ..sources import driver_tables as D
 from ..writing import keeper
 
@@ -263,21 +263,33 @@ def s14_train_manifest(spark, sf):
     return t.join(src.select("source_id", "split"), "source_id").select("split", "path", "duration")
 
 
-def _pcm(spark, sf):
-    """Blocks of samples made of the event values of each user: 240 samples an event, left and right."""
-    ev = D.table(spark, sf, "events").select(F.col("user_id").alias("clip_id"), "event_id", (F.col("value") / 200).alias("v"))
+def _values(spark, sf):
+    """(clip_id, block_no, start_sample, v, event_id, event_type): the events of each user in order, one a block."""
+    ev = D.table(spark, sf, "events").select(F.col("user_id").alias("clip_id"), "event_id", "event_type", (F.col("value") / 200).alias("v"))
     w = Window.partitionBy("clip_id").orderBy("event_id")
-    ev = ev.select("clip_id", (F.row_number().over(w) - 1).cast("int").alias("block_no"), "v")
-    ev = ev.select("clip_id", "block_no", (F.col("block_no") * 240).cast("long").alias("start_sample"), "v")
-    i = np.arange(240)
+    ev = ev.withColumn("block_no", (F.row_number().over(w) - 1).cast("int"))
+    return ev.select("clip_id", "block_no", (F.col("block_no") * 240).cast("long").alias("start_sample"), "v", "event_id", "event_type")
+
+
+def _tones(values):
+    """Blocks of 240 samples, left and right, of rows (clip_id, block_no, start_sample, v)."""
+    steps = [((np.arange(240) * k) % 21 - 10) for k in (7, 5)]
 
     def run(batches):
-        for batch in batches:
-            v = batch.column(3).to_numpy(zero_copy_only=False)[:, None]
-            tones = [pa.array(list(np.clip(v * ((i * k) % 21 - 10) / 10, -1, 1).astype(np.float32)), pa.list_(pa.float32())) for k in (7, 5)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *tones], names=["clip_id", "block_no", "start_sample", "left", "right"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH_ROWS):
+                batch = whole.slice(at, BATCH_ROWS)
+                v = batch.column(3).to_numpy(zero_copy_only=False)[:, None]
+                edges = pa.array(np.arange(0, 240 * batch.num_rows + 1, 240, dtype=np.int32))
+                tones = [pa.ListArray.from_arrays(edges, pa.array(np.clip(v * step / 10, -1, 1).astype(np.float32).ravel())) for step in steps]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *tones], names=["clip_id", "block_no", "start_sample", "left", "right"])
 
-    return map_arrow(ev, run, f"clip_id {ev.schema['clip_id'].dataType.simpleString()}, block_no int, start_sample long, left array<float>, right array<float>")
+    return map_arrow(values.select("clip_id", "block_no", "start_sample", "v"), run, f"clip_id {values.schema['clip_id'].dataType.simpleString()}, block_no int, start_sample long, left array<float>, right array<float>")
+
+
+def _pcm(spark, sf):
+    """Blocks of samples made of the event values of each user: 240 samples an event, left and right."""
+    return _tones(_values(spark, sf))
 
 
 def a12_channel_figures(spark, sf):

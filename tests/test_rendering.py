@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from parlance.operators import rendering as R
+from parlance.plans import registry, render_queries
 
 LOADS = {"mono": "source_id long, start_sample long, samples array<float>", "clips": "source_id long, clip_id string, start_sample long, end_sample long, overlap_ratio double",
          "activities": "source_id long, speaker string, start_sample long, end_sample long", "assistants": "source_id long, assistant string",
@@ -104,3 +105,45 @@ def test_artifacts(spark):
     assert (got["mute"].status, got["mute"].reasons, got["mute"].path) == ("REJECT", ["missing_assistant_alignment"], None)
     assert got["loud"].status == "REJECT" and "overlap_separation_incomplete" in got["loud"].reasons
     assert R.clip_totals(R.rendered_chunks(mono.limit(0), clips.limit(0), runs.limit(0), stems, exclusions), left_out.limit(0)).count() == 0
+
+
+def test_repeated_audio_at_a_chunks_start(spark):
+    """Two blocks reach into the second chunk and are cut at its start there; the later block's samples count in both chunks."""
+    mono = spark.createDataFrame([(1, 2, [0.5] * 6), (1, 1, [0.25] * 8)], LOADS["mono"])
+    clips = spark.createDataFrame([(1, "c", 0, 10, 0.0), (1, "c", 0, 10, 0.0)], LOADS["clips"])  # the clip is there twice
+    runs = spark.createDataFrame([(1, "c", "assistant", 0, 10)], "source_id long, clip_id string, role string, start_sample long, end_sample long")
+    none = spark.createDataFrame([], LOADS["exclusions"])
+    rows = R.rendered_chunks(mono, clips, runs, spark.createDataFrame([], LOADS["stems"]), none, 0, 4).orderBy("chunk").collect()
+    left = np.concatenate([np.frombuffer(r.pcm, "<i2").reshape(-1, 2)[:, 0] for r in rows]) / 32768
+    assert left.tolist() == [0, 0.25, *[0.5] * 6, 0.25, 0] and [r.start_sample for r in rows] == [0, 4, 8]
+
+
+def test_many_chunks_in_packs(spark, monkeypatch):
+    """Batches and packs end inside and between chunks; a chunk's rows may lie in several batches."""
+    monkeypatch.setattr(R, "PACK", 100)
+    rng = random.Random(4)
+    mono = [(s, at, [float(np.float32(rng.uniform(-1, 1))) for _ in range(10)]) for s in range(3) for at in range(0, 900, 10)]
+    clips = [(s, f"{s}-{k}", k * 300, (k + 1) * 300, 0.0) for s in range(3) for k in range(3)]
+    t = {"mono": spark.createDataFrame(mono, LOADS["mono"]), "clips": spark.createDataFrame(clips, LOADS["clips"])}
+    runs = spark.createDataFrame([(s, c, "user", a, b) for s, c, a, b, _ in clips], "source_id long, clip_id string, role string, start_sample long, end_sample long")
+    none = spark.createDataFrame([], LOADS["exclusions"])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        rows = R.rendered_chunks(t["mono"], t["clips"], runs, spark.createDataFrame([], LOADS["stems"]), none, 0, 64).orderBy("source_id", "clip_id", "chunk").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    right = np.concatenate([np.frombuffer(r.pcm, "<i2").reshape(-1, 2)[:, 1] for r in rows])
+    assert right.tolist() == np.rint(np.array([x for *_, samples in mono for x in samples], np.float32) * 32768).astype("<i2").tolist()
+
+
+def _kept(spark, monkeypatch, name):
+    """The schemas of the tables that a query writes down."""
+    seen, make = [], render_queries.keeper
+    monkeypatch.setattr(render_queries, "keeper", lambda s: lambda df, keep=make(s): seen.append(df.schema.simpleString()) or keep(df))
+    assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").count()
+    return seen
+
+
+def test_rendered_clips_write_no_samples_down(spark, monkeypatch):
+    kept = _kept(spark, monkeypatch, "R6_rendered_clips")
+    assert kept and not [x for x in kept if "array<float>" in x or "binary" in x]
