@@ -147,3 +147,8 @@ def _kept(spark, monkeypatch, name):
 def test_rendered_clips_write_no_samples_down(spark, monkeypatch):
     kept = _kept(spark, monkeypatch, "R6_rendered_clips")
     assert kept and not [x for x in kept if "array<float>" in x or "binary" in x]
+
+
+def test_clip_artifacts_write_no_samples_down(spark, monkeypatch):
+    kept = _kept(spark, monkeypatch, "R6_clip_artifacts")
+    assert kept and not [x for x in kept if "array<float>" in x or "binary" in x]
