@@ -15,13 +15,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shipping import map_arrow
+from ..shipping import map_arrow, ship, small_batches
 from .intervals import E, S, range_join
 
 BLOCK = 24_000
 FULL = 32767 / 32768
 
 
+def places(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Ranges of so many numbers from each first one, in a row."""
+    ends = np.cumsum(count)
+    return np.repeat(first - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(values, bounds) of lists; a null list is empty."""
+    return lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+
+
 def block_sums(blocks: DataFrame, keys: list[str], names: list[str], figures: Callable[[np.ndarray, np.ndarray], list[float]]) -> DataFrame:
     """(keys, names): figures of the left and right samples of each block; numpy over Arrow's own buffers."""
 
@@ -29,13 +40,14 @@ def block_sums(blocks: DataFrame, keys: list[str], names: list[str], figures: Ca
         for batch in batches:
             sides = []
             for column in batch.columns[-2:]:
-                flat, edges = column.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *(column.value_lengths().fill_null(0).to_pylist())])
+                flat, edges = _flat(column)
                 sides.append((flat.astype(np.float64), edges))
             (left, at), (right, to) = sides
             rows = [figures(left[at[k] : at[k + 1]], right[to[k] : to[k + 1]]) for k in range(batch.num_rows)]
             columns = np.array(rows, np.float64).reshape(batch.num_rows, len(names)).T
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *(pa.array(c) for c in columns)], names=[*keys, *names])
 
+    small_batches(blocks.sparkSession)
     kinds = [f"`{k}` {blocks.schema[k].dataType.simpleString()}" for k in keys] + [f"{n} double" for n in names]
     return map_arrow(blocks.select(*keys, "left", "right"), run, ", ".join(kinds))
 
@@ -71,7 +83,7 @@ def read_intervals(pcm: DataFrame, asked: DataFrame, key: str = "clip_id") -> Da
     """Pieces (key, asked's other columns, start_sample, left, right) of the blocks inside asked intervals (key, ..., start_sample, end_sample)."""
     other = [c for c in asked.columns if c not in (key, S, E)]
     blocks = pcm.select(key, F.col(S).alias("b0"), S, (F.col(S) + F.size("left")).alias(E), "left", "right")
-    met = range_join(blocks, asked, [key])
+    met = range_join(blocks, asked, [key], width=BLOCK)
     at, count = (F.greatest(F.lit(0), F.col("r_start") - F.col("b0")) + 1).cast("int"), F.greatest(F.lit(0), F.least(E, "r_end") - F.greatest("b0", "r_start")).cast("int")
     return met.select(key, *other, F.greatest("b0", "r_start").alias(S), F.slice("left", at, count).alias("left"), F.slice("right", at, count).alias("right"))
 
@@ -98,21 +110,28 @@ def substitute_stems(pcm: DataFrame, stems: DataFrame, regions: DataFrame, key:
 
     pieces = read_intervals(stems, merge_intervals(regions, [key]), key)
     pieces = pieces.select(key, S, (F.col(S) + F.size("left")).alias(E), F.struct(F.col(S).alias("at"), "left", "right").alias("piece"))
-    met = range_join(pcm.select(key, "block_no", S, (F.col(S) + F.size("left")).alias(E)), pieces, [key])
+    met = range_join(pcm.select(key, "block_no", S, (F.col(S) + F.size("left")).alias(E)), pieces, [key], width=BLOCK)
     joined = pcm.select(key, "block_no", S, "left", "right").join(met.groupBy(key, "block_no").agg(F.collect_list("piece").alias("pieces")), [key, "block_no"], "left")
 
+    small_batches(pcm.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sides = [[], []]
-            for start, left, right, found in zip(*(c.to_pylist() for c in batch.columns[2:])):
-                block = [np.array(left or [], np.float32), np.array(right or [], np.float32)]
-                for piece in found or []:
-                    lo, hi = max(start, piece["at"]), min(start + len(block[0]), piece["at"] + len(piece["left"]))
-                    for x, new in zip(block, (piece["left"], piece["right"])):
-                        x[lo - start : hi - start] = new[lo - piece["at"] : hi - piece["at"]]
-                for out, x in zip(sides, block):
-                    out.append(x)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(x, pa.list_(pa.float32())) for x in sides)], names=[key, "block_no", S, "left", "right"])
+            start, found = batch.column(2).to_numpy(zero_copy_only=False), batch.column(5)
+            block = np.repeat(np.arange(batch.num_rows), found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            at, *news = found.flatten().flatten()  # of structs: a column for each field
+            at, new_edges = at.to_numpy(zero_copy_only=False), _flat(news[0])[1]
+            length = np.diff(_flat(batch.column(3))[1])
+            lo = np.maximum(start[block], at)
+            count = np.maximum(0, np.minimum(start[block] + length[block], at + np.diff(new_edges)) - lo)
+            order = np.lexsort((at, block))  # of pieces that overlap the last by position wins
+            sides = []
+            for column, new in zip((3, 4), news):
+                values, edges = _flat(batch.column(column))
+                values, pieces = values.astype(np.float32), _flat(new)
+                values[places((edges[block] + lo - start[block])[order], count[order])] = pieces[0][places((pieces[1][:-1] + lo - at)[order], count[order])]
+                sides.append(pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(values)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *sides], names=[key, "block_no", S, "left", "right"])
 
     kind = lambda c: pcm.schema[c].dataType.simpleString()
     return map_arrow(joined, run, f"`{key}` {kind(key)}, block_no {kind('block_no')}, {S} {kind(S)}, left array<float>, right array<float>")
@@ -219,26 +238,39 @@ def read_wav(files: DataFrame) -> DataFrame:
                         row = [path, rate, channels, total, no, start, x[:, 0], x[:, -1]]
                         yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=names)
 
+    small_batches(files.sparkSession)
     return map_arrow(files.select("path", "content"), run, "path string, sample_rate int, channels int, samples long, block_no int, start_sample long, left array<float>, right array<float>")
 
 
 def wav_bytes(pcm: DataFrame, key: str = "clip_id") -> DataFrame:
     """(key, wav): a stereo PCM-16 file of each clip's blocks; a clip is bounded by its length, 100 s."""
 
-    def build(pdf):
-        import pandas as pd
+    ship(pcm.sparkSession)
+    small_batches(pcm.sparkSession)
 
-        pdf = pdf.sort_values("block_no")
-        x = np.stack([np.concatenate(pdf["left"].to_list()), np.concatenate(pdf["right"].to_list())], axis=1)
+    def build(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("block_no")
+        left, right = (rows[c].combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("left", "right"))
+        x = np.empty((len(left), 2), "<i2")
+        for column, side in enumerate((left, right)):
+            x[:, column] = (np.clip(side, -1, FULL) * 32768).round()
         out = io.BytesIO()
         with wave.open(out, "wb") as w:
             w.setnchannels(2)
             w.setsampwidth(2)
             w.setframerate(24_000)
-            w.writeframes((np.clip(x, -1, FULL) * 32768).round().astype("<i2").tobytes())
-        return pd.DataFrame({key: [str(pdf[key].iloc[0])], "wav": [out.getvalue()]})
+            w.writeframes(x.tobytes())
+        return pa.table({key: rows[key].slice(0, 1).cast(pa.string()), "wav": pa.array([out.getvalue()], pa.binary())})
+
+    return pcm.select(key, "block_no", "left", "right").groupBy(key).applyInArrow(build, f"{key} string, wav binary")
+
 
-    return pcm.groupBy(key).applyInPandas(build, f"{key} string, wav binary")
+def read_sums(blocks: DataFrame) -> DataFrame:
+    """(path, sample_rate, channels, samples, duration, decoded, left_sum, right_sum) of what ``read_wav`` returns, in one pass; sums in steps of 16 bits."""
+    of = ["path", "sample_rate", "channels", "samples"]
+    sums = block_sums(blocks, of, ["n", "ls", "rs"], lambda x, y: [len(x), x.sum() * 32768, y.sum() * 32768])
+    total = sums.groupBy(*of).agg(*[F.sum(c).cast("long").alias(name) for c, name in (("n", "decoded"), ("ls", "left_sum"), ("rs", "right_sum"))])
+    return total.select(*of, (F.col("samples") / F.col("sample_rate")).alias("duration"), "decoded", "left_sum", "right_sum")
 
 
 def headers(blocks: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..settings import CLOCK, DEFAULT, Settings
 from ..shipping import map_arrow
-from .audio import FULL, _db
+from .audio import FULL, _db, places
 from .export import sidecar_json, sidecar_rows
 from .intervals import E, S, complement, merge_intervals, proper, range_join, speaker_overlaps
 from .qc import SPEAKER, clip_verdicts, reject_empty, sidecar_problems
@@ -65,12 +65,6 @@ def channel_runs(clips: DataFrame, activities: DataFrame, assistants: DataFrame,
     return merge_intervals(alone.unionByName(in_roles(back)), keys), _without(both, back, clips.select(*CLIP, S, E), CLIP)
 
 
-def _places(first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Ranges of so many numbers from each first one, in a row."""
-    ends = np.cumsum(count)
-    return np.repeat(first - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)
-
-
 def _inside(n: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Which of n places lie in an interval lo to hi."""
     step = np.bincount(lo, minlength=n + 1) - np.bincount(hi, minlength=n + 1)
@@ -87,7 +81,7 @@ def _render(pack: pa.Table, at: np.ndarray, fade: int) -> tuple[np.ndarray, np.n
 
     def put(target: np.ndarray, rows: pa.Table, side: str, first: np.ndarray) -> None:
         lists = rows[side].combine_chunks()
-        target[_places(first, lists.value_lengths().fill_null(0).to_numpy())] = lists.flatten().to_numpy(zero_copy_only=False)
+        target[places(first, lists.value_lengths().fill_null(0).to_numpy())] = lists.flatten().to_numpy(zero_copy_only=False)
 
     def of(name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct intervals, each with its chunk."""
@@ -118,7 +112,7 @@ def _render(pack: pa.Table, at: np.ndarray, fade: int) -> tuple[np.ndarray, np.n
         width = np.minimum(fade, (hi - lo) // 2)  # linear fades: up over the first samples, down over the last, at most half of a run each
         for zone, up in ((cut(k, lo, lo + width), True), (cut(k, hi - width, hi), False)):
             count = zone[1] - zone[0]
-            where = _places(zone[0], count)
+            where = places(zone[0], count)
             place = where - np.repeat(base[k] + (lo if up else hi - width), count)
             gain = place / np.repeat(np.maximum(1, width - 1), count)
             sides[who][where] = (sides[who][where] * (gain if up else 1 - gain)).astype(np.float32)

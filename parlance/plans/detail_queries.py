@@ -11,7 +11,8 @@ from ..operators import records as R
 from ..sources import driver_tables as D
 from .interval_queries import _QUIET
 from .record_queries import _B, _CL, _MIN, _OVL, _RCV, _REP, _index, _minutes, _recoveries, _verdicts
-from .table_queries import _PCM, _pcm
+from .table_queries import _PCM, _pcm, _tones, _values
+from ..writing import keeper
 
 E, S = I.E, I.S
 CLIP_BLOCKS = 10_000  # blocks of 240 samples in a clip of 100 s
@@ -65,9 +66,10 @@ def s8_reads(spark, sf):
 
 def r3_stems(spark, sf):
     """Stems with the channels exchanged, between the quarter and the half of each user's samples."""
-    pcm = _pcm(spark, sf)
+    values = keeper(spark)(_values(spark, sf))
+    pcm = _tones(values)
     stems = pcm.select("clip_id", S, F.col("right").alias("left"), F.col("left").alias("right"))
-    regions = pcm.groupBy("clip_id").agg(F.max(S).alias("m")).select("clip_id", F.expr("m div 4").alias(S), F.expr("m div 2").alias(E))
+    regions = values.groupBy("clip_id").agg(F.max(S).alias("m")).select("clip_id", F.expr("m div 4").alias(S), F.expr("m div 2").alias(E))
     sums = AU.block_sums(AU.substitute_stems(pcm, stems, regions), ["clip_id"], ["n", "ls", "rs"], lambda x, y: [len(x), x.sum(), y.sum()])
     return sums.groupBy("clip_id").agg(F.sum("n").cast("long").alias("samples"), F.round(F.sum("ls"), 6).alias("left_sum"), F.round(F.sum("rs"), 6).alias("right_sum"))
 
@@ -77,8 +79,7 @@ def s10_headers(spark, sf):
     cut = F.expr(f"block_no div {CLIP_BLOCKS}")
     pcm = _pcm(spark, sf).select(F.concat_ws("_", "clip_id", cut).alias("clip_id"), F.expr(f"block_no % {CLIP_BLOCKS}").alias("block_no"), S, "left", "right")
     blocks = AU.read_wav(AU.wav_bytes(pcm).select(F.col("clip_id").alias("path"), F.col("wav").alias("content")))
-    sums = AU.block_sums(blocks, ["path"], ["ls", "rs"], lambda x, y: [x.sum() * 32768, y.sum() * 32768]).groupBy("path").agg(F.sum("ls").cast("long").alias("left_sum"), F.sum("rs").cast("long").alias("right_sum"))
-    return AU.headers(blocks).join(sums, "path")
+    return AU.read_sums(blocks)
 
 
 def s7_digests(spark, sf):

@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 BATCH_ROWS = 1000
+BATCH_BYTES = 8 << 20
 
 _sent: set[str] = set()
 
@@ -30,10 +31,17 @@ def ship(spark: SparkSession) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """The session's Arrow batches get ``BATCH_ROWS`` rows at most: the JVM and the worker hold a batch of whole texts each, and with Spark's 10,000 rows it is tens of MB."""
+    """The session's Arrow batches get ``BATCH_ROWS`` rows at most, and a batch ends when it has ``BATCH_BYTES``.
+
+    The JVM and the worker hold a batch of whole texts or samples each, several where one worker feeds another, and with
+    Spark's 10,000 rows or 64 MB the copies are hundreds of MB.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
         spark.conf.set(name, str(BATCH_ROWS))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(name).removesuffix("b")) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
