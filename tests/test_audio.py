@@ -37,3 +37,14 @@ def test_a_wav_of_blocks_in_any_order(spark):
     sums = {r.path: r for r in AU.read_sums(AU.read_wav(table)).collect()}
     assert [sums["a"].decoded, sums["a"].left_sum, sums["a"].right_sum] == [50, *got.sum(0, dtype=int).tolist()]
     assert (sums["b"].samples, sums["b"].left_sum, sums["b"].right_sum) == (1, 8192, -32768)
+
+
+def test_overlapping_stems_the_last_by_position_wins(spark):
+    spark.conf.unset(BYTES)
+    pcm = spark.createDataFrame([("c", 0, 0, [0.0] * 8, [0.0] * 8), ("c", 1, 8, [0.0] * 8, None), ("d", 0, 0, None, None)], SCHEMA)
+    stems = [("c", 6, [3.0] * 3, [4.0] * 3), ("c", 4, [1.0] * 4, [2.0] * 4), ("c", 2, [5.0] * 3, [6.0] * 3)]
+    stems = spark.createDataFrame(stems, "clip_id string, start_sample long, left array<float>, right array<float>").coalesce(1)
+    regions = spark.createDataFrame([("c", 0, 8), ("d", 0, 8)], "clip_id string, start_sample long, end_sample long")
+    got = {(r.clip_id, r.block_no): (r.left, r.right) for r in AU.substitute_stems(pcm, stems, regions).collect()}
+    assert got == {("c", 0): ([0, 0, 5, 5, 1, 1, 3, 3], [0, 0, 6, 6, 2, 2, 4, 4]), ("c", 1): ([0] * 8, []), ("d", 0): ([], [])}
+    assert int(spark.conf.get(BYTES).removesuffix("b")) <= BATCH_BYTES
