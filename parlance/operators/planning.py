@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -13,7 +15,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..settings import CLOCK, DEFAULT, Settings
 from ..shipping import ship
 from ..writing import keeper
-from .intervals import E, S, clip_to_windows, exchange_counts, merge_intervals, range_join, silences, speaker_overlaps, union_length
+from .audio import places
+from .intervals import E, S, clip_to_windows, exchange_counts, merge_intervals, proper, range_join, silences, speaker_overlaps, union_length
 
 def conversation_bounds(activities: DataFrame, durations: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """(source_id, lo, hi, duration): first and last activity with context, cut to the source; the whole source without activities."""
@@ -102,16 +105,95 @@ def evaluate_clips(clips: DataFrame, activities: DataFrame, excluded: DataFrame,
     )
 
 
+PAIRS = 1 << 20  # pairs of candidates that are rated together
+
+
+class _Measure:
+    """How much of a union of intervals lies before given places."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray):
+        order = np.argsort(a, kind="stable")
+        a, reach = a[order], np.maximum.accumulate(b[order])
+        new = np.flatnonzero(np.concatenate([[True], a[1:] > reach[:-1]])) if len(a) else np.zeros(0, np.int64)
+        self.a = a[new]
+        self.size = (reach[np.append(new[1:], len(a)) - 1] if len(a) else a) - self.a
+        self.before = np.concatenate([[0], np.cumsum(self.size)])
+
+    def until(self, places: np.ndarray) -> np.ndarray:
+        k = np.searchsorted(self.a, places, "right") - 1
+        if not len(self.a):
+            return np.zeros(len(places), np.int64)
+        return np.where(k < 0, 0, self.before[k] + np.minimum(places - self.a[k], self.size[k]))
+
+
+def _exchanges(a: np.ndarray, b: np.ndarray, who: list, lo: int, hi: int) -> bool:
+    """Whether the speaker changes in a window, in the order of (start, end, speaker); a null speaker comes first and ends no turn."""
+    inside = [(max(int(a[k]), lo), min(int(b[k]), hi), who[k] is not None, who[k] or "") for k in np.flatnonzero((a < hi) & (b > lo))]
+    inside.sort()
+    return any(x[2] and y[2] and x[3] != y[3] for x, y in zip(inside, inside[1:]))
+
+
+def _valid_clips(pos: np.ndarray, quality: np.ndarray, spoken: pa.Table, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, q) of the clips between sorted candidates of one source that ``evaluate_clips`` has nothing against.
+
+    Speech until each candidate is measured once, so a pair costs a few differences; the pairs are rated ``PAIRS`` at a time.
+    """
+    a, b, who = spoken["a"].to_numpy(), spoken["b"].to_numpy(), spoken["speaker"].to_pylist()
+    name = np.array([x or "" for x in who], object)
+    null = np.array([x is None for x in who], bool)
+    until = {x: _Measure(a[m], b[m]).until(pos) for x in {"A", "B", *name[~null].tolist()} for m in [(name == x) & ~null]}
+    speech, unknown = _Measure(a, b).until(pos), _Measure(a[null], b[null]).until(pos)
+    first, last = np.searchsorted(pos, pos + s.plan_min, "left"), np.searchsorted(pos, pos + s.plan_max, "right")
+    count = last - first
+    filled, begin, found = np.cumsum(count), 0, [(np.zeros(0, np.int64),) * 2]
+    while begin < len(pos):
+        end = max(begin + 1, int(np.searchsorted(filled, (filled[begin - 1] if begin else 0) + PAIRS, "right")))
+        n = count[begin:end]
+        x = np.repeat(np.arange(begin, end), n)
+        y = places(first[begin:end], n)
+        length, size = pos[y] - pos[x], lambda m: m[y] - m[x]  # noqa: B023
+        va, vb = size(until["A"]), size(until["B"])
+        fits = (1.0 - size(speech) / length <= s.max_silence) & (va >= CLOCK * s.min_speaker_s) & (vb >= CLOCK * s.min_speaker_s)
+        fits &= ~((va + vb > 0) & (np.minimum(va, vb) / np.maximum(1, va + vb) < s.min_speaker_share))
+        fits &= sum((size(m) > 0).astype(np.int64) for m in until.values()) > 1
+        for k in np.flatnonzero(fits & (size(unknown) > 0)):  # a null speaker between two others hides their exchange
+            fits[k] = _exchanges(a, b, who, int(pos[x[k]]), int(pos[y[k]]))
+        found.append((x[fits], y[fits]))
+        begin = end
+    x, y = (np.concatenate(c) for c in zip(*found))
+    return pos[x], pos[y], quality[y]
+
+
+def _source_rows(candidates: DataFrame, bounds: DataFrame, activities: DataFrame) -> DataFrame:
+    """(source_id, a, b, q, speaker): candidates with the bounds (q is their best quality), and activities (q is null)."""
+    ends = candidates.select("source_id", "pos", "quality").unionByName(bounds.select("source_id", F.explode(F.array("lo", "hi")).alias("pos"), F.lit(0).alias("quality")))
+    ends = ends.where("pos IS NOT NULL").groupBy("source_id", "pos").agg(F.min("quality").cast("int").alias("q"))
+    ends = ends.select("source_id", F.col("pos").cast("long").alias("a"), F.col("pos").cast("long").alias("b"), "q", F.lit(None).cast("string").alias("speaker"))
+    spoken = proper(activities).select("source_id", F.col(S).cast("long").alias("a"), F.col(E).cast("long").alias("b"), F.lit(None).cast("int").alias("q"), F.col("speaker").cast("string").alias("speaker"))
+    return ends.unionByName(spoken)
+
+
+def _clips_of(rows: pa.Table, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``_valid_clips`` of one source's ``_source_rows``."""
+    is_end = rows["q"].is_valid()
+    ends = rows.filter(is_end).sort_by("a")
+    return _valid_clips(ends["a"].to_numpy(), ends["q"].to_numpy().astype(np.int64), rows.filter(pc.invert(is_end)), s)
+
+
 def clip_edges(candidates: DataFrame, bounds: DataFrame, activities: DataFrame, excluded: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """(source_id, a, b, q): valid clips between candidates; q is the quality of b.  Candidates meet through coarse bins of their position."""
-    width = s.plan_max
-    ends = candidates.unionByName(bounds.select("source_id", F.explode(F.array("lo", "hi")).alias("pos"), F.lit(0).alias("quality")))
-    ends = ends.groupBy("source_id", "pos").agg(F.min("quality").alias("quality"))
-    left = ends.select("source_id", F.col("pos").alias("a"), F.explode(F.array(F.floor(F.col("pos") / width), F.floor(F.col("pos") / width) + 1)).alias("bin"))
-    right = ends.select("source_id", F.col("pos").alias("b"), F.col("quality").alias("q"), F.floor(F.col("pos") / width).alias("bin"))
-    pairs = left.join(right, ["source_id", "bin"]).where((F.col("b") - F.col("a")).between(s.plan_min, s.plan_max)).drop("bin")
-    rated = evaluate_clips(pairs.select("source_id", F.col("a").alias(S), F.col("b").alias(E)), activities, excluded, s).where(F.size("reasons") == 0)
-    return pairs.join(rated.select("source_id", F.col(S).alias("a"), F.col(E).alias("b")), ["source_id", "a", "b"], "left_semi")
+    """(source_id, a, b, q): valid clips between candidates; q is the quality of b.  A task holds one source's candidates, activities and edges.
+
+    No rule that makes a clip invalid asks for the exclusions; they only count in a clip's figures.
+    """
+    ship(candidates.sparkSession)
+    field = _source_field(bounds)
+
+    def run(rows: pa.Table) -> pa.Table:
+        a, b, q = _clips_of(rows, s)
+        source = pa.repeat(rows["source_id"][0], len(a)).cast(field.type)
+        return pa.Table.from_arrays([source, pa.array(a), pa.array(b), pa.array(q.astype(np.int32))], names=["source_id", "a", "b", "q"])
+
+    return _source_rows(candidates, bounds, activities).groupBy("source_id").applyInArrow(run, f"source_id {bounds.schema['source_id'].dataType.simpleString()}, a long, b long, q int")
 
 
 # fixed values: what a plan without a way says
@@ -133,7 +215,8 @@ class _Edges:
         order = np.lexsort((b, a))
         self.a, self.b, self.q, self.lo, self.hi = a[order], b[order], q[order], lo, hi
 
-    def counts(self) -> list[int]:
+    @cached_property
+    def _counts(self) -> list[int]:
         """Numbers of clips that lead from one end to the other: bit k of a place says that k clips reach it."""
         bits = {self.lo: 1}
         for a, b in zip(self.a.tolist(), self.b.tolist()):  # starts ascend, so a place is complete before it is used
@@ -143,6 +226,9 @@ class _Edges:
         last = bits.get(self.hi, 0)
         return [k for k in range(1, last.bit_length()) if last >> k & 1]
 
+    def counts(self) -> list[int]:
+        return self._counts
+
     def cheapest(self, count: int) -> list[int]:
         """The cuts of the best plan of a feasible count by (sum of qualities, sum of distances from even cuts).
 
@@ -198,23 +284,38 @@ def plan_search(edges: DataFrame, bounds: DataFrame, requests: DataFrame, s: Set
     as many as candidates lie in 80 s) and a state for each candidate and clip (24 bytes; 10 hours are
     at most 1800 clips).  ``counts`` are all feasible numbers.  A source without edges has no way; requests for unknown sources and with a null are left out.
     """
-    ship(edges.sparkSession)
+    return _search(edges.select("source_id", "a", "b", "q"), lambda rows: tuple(rows[c].to_numpy().astype(np.int64) for c in ("a", "b", "q")), bounds, requests, s)
+
+
+def plan_candidates(candidates: DataFrame, bounds: DataFrame, activities: DataFrame, requests: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """What ``plan_search`` returns for the edges of ``clip_edges``, which are made where they are used: neither written nor shuffled.
+
+    A start has up to 100 s of candidates before it, so edges are some hundred times the candidates.
+    """
+    return _search(_source_rows(candidates, bounds, activities), lambda rows: _clips_of(rows, s), bounds, requests, s)
+
+
+def _search(rows: DataFrame, edges: Callable[[pa.Table], tuple[np.ndarray, ...]], bounds: DataFrame, requests: DataFrame, s: Settings) -> DataFrame:
+    """The plans of each source; ``edges`` makes (a, b, q) of its rows."""
+    ship(rows.sparkSession)
     asked = requests.join(bounds.select("source_id", "lo", "hi"), "source_id").where("asked IS NOT NULL AND mode IS NOT NULL")
     asked = asked.select("source_id", F.col("request").cast("long").alias("request"), "mode", F.col("asked").cast("long").alias("asked"), "lo", "hi")
     kind = bounds.schema["source_id"].dataType.simpleString()
 
     def run(key: tuple, found: pa.Table, wanted: pa.Table) -> pa.Table:
-        a, b, q = (found[c].to_numpy().astype(np.int64) for c in ("a", "b", "q"))
-        rows = []
+        rows, ways = [], {}
+        if wanted.num_rows:
+            a, b, q = edges(found)
         for r in wanted.to_pylist():
-            way = _Edges(a, b, q, r["lo"], r["hi"])
+            at = r["lo"], r["hi"]
+            way = ways[at] = ways.get(at) or _Edges(a, b, q, *at)
             k, message, cuts, nearest = way.plan(r["mode"], r["asked"], s)
             rows.append({"source_id": r["source_id"], "request": r["request"], "mode": r["mode"], "asked": r["asked"], "k": k, "feasible": k is not None, "nearest": nearest, "message": message, "cuts": cuts, "counts": way.counts()})
         return pa.Table.from_pylist(rows, schema)
 
     schema = pa.schema([_source_field(bounds), ("request", pa.int64()), ("mode", pa.string()), ("asked", pa.int64()), ("k", pa.int64()), ("feasible", pa.bool_()), ("nearest", pa.int64()), ("message", pa.string()), ("cuts", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
     out = f"source_id {kind}, request long, mode string, asked long, k long, feasible boolean, nearest long, message string, cuts array<long>, counts array<long>"
-    rows = edges.select(F.col("source_id").alias("source_id"), "a", "b", "q")
+    rows = rows.select(F.col("source_id").alias("source_id"), *rows.columns[1:])
     return rows.groupBy("source_id").cogroup(asked.groupBy("source_id")).applyInArrow(run, out)
 
 

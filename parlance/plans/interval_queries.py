@@ -163,45 +163,44 @@ def a2_window_verdicts(spark, sf):
 
 
 def _plan_inputs(spark, sf):
-    """(valid clips between candidates, bounds, activities, exclusions, words, durations), written where they are used again."""
+    """(candidates, bounds, activities, exclusions, words, durations), written where they are used again."""
     keep = keeper(spark)
     t = keep(D.turns(spark, sf))
-    acts, exc, words, dur = keep(D.activities(spark, sf, t)), keep(D.exclusions(spark, sf, t)), keep(D.turn_words(spark, sf, t)), keep(D.durations(spark, sf, t))
+    acts, exc, words, dur = D.activities(spark, sf, t), D.exclusions(spark, sf, t), D.turn_words(spark, sf, t), keep(D.durations(spark, sf, t))
     bounds = keep(G.conversation_bounds(acts, dur))
-    cand = keep(G.boundary_candidates(acts, exc, words, acts, dur))
-    return keep(G.clip_edges(cand, bounds, acts, exc)), bounds, acts, exc, words, dur
+    return keep(G.boundary_candidates(acts, exc, words, acts, dur)), bounds, acts, exc, words, dur
 
 
 def g8_feasible_counts(spark, sf):
     """Every number of clips that each conversation can be cut into."""
-    edges, bounds, *_ = _plan_inputs(spark, sf)
+    cand, bounds, acts, *_ = _plan_inputs(spark, sf)
     asked = bounds.select("source_id", F.lit(0).alias("request"), F.lit("count").alias("mode"), F.lit(1).alias("asked"))
-    return G.plan_search(edges, bounds, asked).select("source_id", F.explode("counts").alias("k"))
+    return G.plan_candidates(cand, bounds, acts, asked).select("source_id", F.explode("counts").alias("k"))
 
 
 def g8_count_plans(spark, sf):
     """One to six clips asked for, by conversation; the nearest number that has a plan, or why there is none."""
-    edges, bounds, *_ = _plan_inputs(spark, sf)
+    cand, bounds, acts, *_ = _plan_inputs(spark, sf)
     asked = bounds.select("source_id", F.lit(0).alias("request"), F.lit("count").alias("mode"), (F.col("source_id") % 6 + 1).alias("asked"))
-    return G.plan_search(edges, bounds, asked).select("source_id", "asked", "k", "feasible", "nearest", "message", F.array_join("cuts", ",").alias("cuts"))
+    return G.plan_candidates(cand, bounds, acts, asked).select("source_id", "asked", "k", "feasible", "nearest", "message", F.array_join("cuts", ",").alias("cuts"))
 
 
 def g9_target_plan(spark, sf):
     """Clips of each conversation near a minute long, from the exact-count planner."""
     keep = keeper(spark)
-    edges, bounds, acts, exc, words, dur = _plan_inputs(spark, sf)
+    cand, bounds, acts, exc, words, dur = _plan_inputs(spark, sf)
     asked = bounds.select("source_id", F.lit(0).alias("request"), F.lit("target").alias("mode"), F.lit(60 * CLOCK).alias("asked"))
-    plan = keep(G.plan_search(edges, bounds, asked).where("feasible").select("source_id", "cuts"))
+    plan = keep(G.plan_candidates(cand, bounds, acts, asked).where("feasible").select("source_id", "cuts"))
     return G.plan_clips(plan, acts, exc, G.unsafe_intervals(acts, exc, words, dur)).withColumn("reasons", F.array_join("reasons", ","))
 
 
 def g10_plan_verdicts(spark, sf):
     """Whether each conversation's plan can be used, and what to say: by count, by target or by hand, in turn."""
     keep = keeper(spark)
-    edges, bounds, acts, exc, words, dur = _plan_inputs(spark, sf)
+    cand, bounds, acts, exc, words, dur = _plan_inputs(spark, sf)
     turn = F.col("source_id") % 3
     asked = bounds.where(turn < 2).select("source_id", F.lit(0).alias("request"), F.when(turn == 0, "count").otherwise("target").alias("mode"), F.when(turn == 0, F.col("source_id") % 4 + 1).otherwise(40 * CLOCK).alias("asked"))
-    found = G.plan_search(edges, bounds, asked).select("source_id", "mode", "feasible", "message", "cuts")
+    found = G.plan_candidates(cand, bounds, acts, asked).select("source_id", "mode", "feasible", "message", "cuts")
     hand = acts.where("source_id % 3 = 2 AND turn % 2 = 0").groupBy("source_id").agg(F.collect_list(E).alias("boundaries"))
     hand = G.manual_cuts(hand, dur).select("source_id", F.lit("manual").alias("mode"), F.col("problem").isNull().alias("feasible"), "message", "cuts")
     plans = keep(found.unionByName(hand))

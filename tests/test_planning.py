@@ -322,3 +322,48 @@ def test_split_counts_null_and_single_projects(spark):
     for project, count in (("p", 30), (None, 4)):
         ids = sorted((s for p, s in rows if p == project), key=lambda s: hashlib.sha256(s.encode()).hexdigest())
         assert [got[s] for s in ids] == ["eval"] * count + ["train"] * (len(ids) - count)
+
+
+def test_clips_by_differences_are_those_that_the_rules_leave(spark):
+    """Random talk with a third and a null speaker, touching, repeated and empty turns: the edges are what ``evaluate_clips`` has no reason against."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from parlance.operators import planning as G
+
+    rng, acts, points, bounds = random.Random(6), [], [], []
+    for source in range(12):
+        at, end = 0, rng.choice([90, 240, 400]) * CLOCK
+        while at < end:
+            long = int(rng.choice([0, 0.2, 0.7, 2, 6, 30]) * CLOCK)
+            speaker = rng.choice("AB" if source % 3 == 0 else ["A", "B", "C", None] if source % 3 == 1 else ["A", None, None, "B", None])
+            acts.append((source, speaker, at, at + long))
+            at += long + rng.choice([0, 0, 300, CLOCK * 3, CLOCK * 40 if source % 4 == 0 else 0, -long // 2])
+            at = max(at, acts[-1][2] + 1)
+        points += [(source, p, rng.randint(0, 2)) for p in sorted({*rng.sample(range(0, end, 1000), 60), 0})]
+        bounds.append((source, 0, end))
+    acts += acts[:5] + [(3, "A", None, 9), (12, "A", 0, CLOCK)]
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    t = frame(acts, "source_id long, speaker string, start_sample long, end_sample long")
+    c, b, none = frame(points, "source_id long, pos long, quality int"), frame(bounds, "source_id long, lo long, hi long"), frame([], "source_id long, start_sample long, end_sample long")
+    ends = {(s, p): q for s, p, q in points} | {(s, p): 0 for s, *x in bounds for p in x}
+    pairs = [(s, p, r) for s, p in ends for z, r in ends if z == s and DEFAULT.plan_min <= r - p <= DEFAULT.plan_max]
+    rated = G.evaluate_clips(frame(pairs, "source_id long, start_sample long, end_sample long"), t, none).where(F.size("reasons") == 0).collect()
+    want = sorted((r.source_id, r.start_sample, r.end_sample, ends[r.source_id, r.end_sample]) for r in rated)
+    got = sorted(tuple(r) for r in G.clip_edges(c, b, t, none).collect())
+    assert got == want and 100 < len(want) < len(pairs) and len({w[0] % 3 for w in want}) > 1
+    asks = frame([(s, 0, "count", 3) for s in range(12)], "source_id long, request int, mode string, asked long")
+    rows = lambda df: sorted((r.source_id, r.k, r.cuts, r.counts, r.message) for r in df.collect())
+    assert rows(G.plan_candidates(c, b, t, asks)) == rows(G.plan_search(G.clip_edges(c, b, t, none), b, asks))
+
+
+@pytest.mark.parametrize("name", ["G9_target_plan"])
+def test_plans_write_no_pairs_of_candidates(spark, monkeypatch, name):
+    from parlance.plans import interval_queries
+
+    seen, make = [], interval_queries.keeper
+    monkeypatch.setattr(interval_queries, "keeper", lambda s: lambda df, keep=make(s): seen.append(set(df.columns)) or keep(df))
+    df = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert seen and not [x for x in seen if {"a", "b"} <= x]
+    assert "bin" not in df._jdf.queryExecution().optimizedPlan().toString().replace("__bin", "")  # where pairs used to meet
