@@ -358,7 +358,7 @@ def test_clips_by_differences_are_those_that_the_rules_leave(spark):
     assert rows(G.plan_candidates(c, b, t, asks)) == rows(G.plan_search(G.clip_edges(c, b, t, none), b, asks))
 
 
-@pytest.mark.parametrize("name", ["G9_target_plan", "G8_feasible_counts", "G8_count_plans"])
+@pytest.mark.parametrize("name", ["G9_target_plan", "G8_feasible_counts", "G8_count_plans", "G10_plan_verdicts"])
 def test_plans_write_no_pairs_of_candidates(spark, monkeypatch, name):
     from parlance.plans import interval_queries
 
